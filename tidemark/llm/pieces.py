@@ -1,9 +1,9 @@
 """SentencePiece encoding and decoding over a relational lattice.
 
-Texts are cut into units: a run of word marks with the characters up to the next one. No piece
-crosses from a character into a following mark, nor touches a control character that the
-vocabulary has in no longer piece, so units are encoded one by one and their ids are those of
-the whole text. Each distinct unit of the corpus is encoded once:
+Texts are cut into words, a run of word marks with the characters up to the next one, and
+words into units wherever two characters meet that stand side by side in no piece. No merge
+can cross such a cut, so units are encoded one by one and their ids are those of the whole
+text. Each distinct unit of the corpus is encoded once:
 
 * its substrings of up to the longest piece's length are exploded and equi-joined to the piece
   table, whose size is the vocabulary's;
@@ -24,11 +24,12 @@ from __future__ import annotations
 import hashlib
 import heapq
 import io
-import re
+import itertools
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -36,9 +37,10 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 MAX_FOLD = 48
-CHUNK_CHARS = 16_000_000
+CHUNK_CHARS = 12_000_000
 UNKNOWN_PENALTY = 10.0
-_NO_RANK = 1e300
+#: Private characters, of which one that no text of a chunk holds separates words while Arrow splits them.
+_PRIVATE = (range(0xE000, 0xF900), range(0xF0000, 0xFFFFE), range(0x100000, 0x10FFFE))
 
 
 @dataclass(frozen=True)
@@ -55,17 +57,18 @@ class Vocabulary:
     def longest(self) -> int:
         return max(map(len, self.ids), default=1)
 
-    @property
-    def isolated(self) -> str:
-        """Control characters that no piece of two or more characters holds."""
-        held = {c for p in self.ids if len(p) > 1 for c in p}
-        return "".join(c for c in map(chr, range(32)) if c not in held)
-
-    def unit_pattern(self) -> re.Pattern:
+    def cutter(self) -> Cutter:
         if any(MARK in p.lstrip(MARK) for p in self.ids):
             raise ValueError("a piece holds a word mark after a character: texts can't be cut at marks")
-        alone = re.escape(self.isolated)
-        return re.compile(f"{MARK}*[^{MARK}{alone}]+|{MARK}+" + (f"|[{alone}]" if alone else ""))
+        pairs = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        known = sorted({c for p in pairs for c in p})
+        at = {c: i + 1 for i, c in enumerate(known)}
+        joins = np.zeros((len(known) + 1, len(known) + 1), bool)
+        for p in pairs:
+            joins[at[p[0]], at[p[1]]] = True
+        number = np.zeros(max(map(ord, known), default=0) + 1, np.int32)
+        number[[ord(c) for c in known]] = np.arange(1, len(known) + 1)
+        return Cutter(number, joins)
 
     def piece_bytes(self) -> dict[int, bytes]:
         """What each id stands for; a mark is a space."""
@@ -74,6 +77,35 @@ class Vocabulary:
         return out
 
 
+@dataclass(frozen=True)
+class Cutter:
+    """Cuts strings between characters that stand side by side in no piece: no merge crosses there.
+
+    ``number`` has the place of a character among those of longer pieces (0: in none), and
+    ``joins`` the pairs that some piece holds.
+    """
+
+    number: np.ndarray
+    joins: np.ndarray
+
+    def __call__(self, words: list[str]) -> tuple[list[str], np.ndarray]:
+        """The parts of all words, one after another, and how many each word has."""
+        if not words:
+            return [], np.zeros(0, np.int64)
+        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        places = np.where(points < len(self.number), self.number[np.minimum(points, len(self.number) - 1)], 0)
+        cut = np.ones(len(points), bool)  # whether a part starts at each character
+        cut[1:] = ~self.joins[places[:-1], places[1:]]
+        firsts = np.cumsum(lengths) - lengths
+        cut[firsts[lengths > 0]] = True
+        starts = np.nonzero(cut)[0]
+        ends = np.append(starts[1:], len(points))
+        joined = "".join(words)
+        parts = [joined[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        return parts, np.add.reduceat(cut.astype(np.int64), firsts) if (lengths > 0).all() else np.bincount(np.repeat(np.arange(len(words)), lengths)[cut], minlength=len(words))
+
+
 def load(path: str = MODEL, kind: str = "bpe") -> Vocabulary:
     import sentencepiece
 
@@ -96,29 +128,40 @@ def marked(text: str | None) -> str:
 
 
 def piece_table(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
-    rows = [(p, i, vocabulary.scores[p]) for p, i in vocabulary.ids.items()]
-    return spark.createDataFrame(rows, "piece string, id int, score double")
+    """(piece, id, score, rank): rank 0 is the best score, equal scores share a rank."""
+    rank = {x: i for i, x in enumerate(sorted(set(vocabulary.scores.values()), reverse=True))}
+    rows = [(p, i, vocabulary.scores[p], rank[vocabulary.scores[p]]) for p, i in vocabulary.ids.items()]
+    return spark.createDataFrame(rows, "piece string, id int, score double, rank int")
 
 
-def lattices(units: DataFrame, pieces: DataFrame, longest: int) -> DataFrame:
-    """(unit, edges): the lattice of each distinct unit, edges (a, b, id, score) with null ids for unknown characters."""
+def lattices(units: DataFrame, pieces: DataFrame, longest: int, edge: Column) -> DataFrame:
+    """(unit, edges): the lattice of each distinct unit. An unknown character is an edge without an id."""
     n = F.length("unit")
     substrings = F.flatten(
         F.transform(
             F.sequence(F.lit(1), n),
             lambda a: F.transform(
                 F.sequence(F.lit(1), F.least(F.lit(longest), n - a + 1)),
-                lambda size: F.struct((a - 1).alias("a"), (a - 1 + size).alias("b"), F.substring(F.col("unit"), a, size).alias("piece")),
+                lambda size: F.struct(((a - 1) * 64 + a - 1 + size).alias("span"), F.substring(F.col("unit"), a, size).alias("piece")),
             ),
         )
     )
     edges = (
         units.select("unit", F.explode(substrings).alias("s"))
-        .select("unit", "s.a", "s.b", "s.piece")
+        .select("unit", "s.span", "s.piece")
         .join(F.broadcast(pieces), "piece", "left")
-        .where("id is not null or b = a + 1")
+        .where("id is not null or span % 64 = floor(span / 64) + 1")
     )
-    return edges.groupBy("unit").agg(F.collect_list(F.struct("a", "b", "id", "score")).alias("edges"))
+    return edges.groupBy("unit").agg(F.collect_list(edge).alias("edges"))
+
+
+def _packed() -> Column:
+    """An edge of a BPE lattice in one number: span (12 bits), rank (24), id + 1 (24); zero for no id."""
+    return F.expr("shiftleft(cast(span as bigint), 48) + shiftleft(cast(coalesce(rank, 16777215) as bigint), 24) + coalesce(id + 1, 0)")
+
+
+def _spelled() -> Column:
+    return F.struct(F.expr("cast(floor(span / 64) as int)").alias("a"), F.expr("span % 64").alias("b"), "id", "score")
 
 
 def _let(value: Column, body) -> Column:
@@ -126,21 +169,16 @@ def _let(value: Column, body) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
-def _by_span(edges: Column) -> Column:
-    return F.map_from_entries(F.transform(edges, lambda e: F.struct((e["a"] * 64 + e["b"]).alias("span"), F.struct(e["id"].alias("id"), e["score"].alias("score")).alias("edge"))))
-
-
 def merge_fold(spans: Column, n: Column) -> Column:
     """Bounds of the merged symbols. Of equal ranks the leftmost pair merges first."""
 
     def step(bounds: Column, _: Column) -> Column:
         pairs = F.transform(
             F.sequence(F.lit(1), F.size(bounds) - 2),
-            lambda p: F.struct(
-                F.coalesce(-F.element_at(spans, F.get(bounds, p - 1) * 64 + F.get(bounds, p + 1))["score"], F.lit(_NO_RANK)).alias("rank"), p.alias("p")
-            ),
+            lambda p: F.struct(F.shiftright(F.element_at(spans, F.get(bounds, p - 1) * 64 + F.get(bounds, p + 1)), 24).alias("rank"), p.alias("p")),
         )
-        joined = _let(F.array_min(pairs), lambda best: F.when(best["rank"] < _NO_RANK, F.filter(bounds, lambda x, i: i != best["p"])).otherwise(bounds))
+        known = F.filter(pairs, lambda x: x["rank"].isNotNull())
+        joined = _let(F.array_min(known), lambda best: F.when(best.isNotNull(), F.filter(bounds, lambda x, i: i != best["p"])).otherwise(bounds))
         return F.when(F.size(bounds) > 2, joined).otherwise(bounds)
 
     steps = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
@@ -171,11 +209,16 @@ def encode_units(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     """(unit, ids) for distinct units."""
     spark = units.sparkSession
     n = F.length("unit")
-    found = lattices(units.where(n <= MAX_FOLD), piece_table(spark, vocabulary), vocabulary.longest)
-    if vocabulary.kind == "bpe":
+    bpe = vocabulary.kind == "bpe"
+    found = lattices(units.where(n <= MAX_FOLD), piece_table(spark, vocabulary), vocabulary.longest, _packed() if bpe else _spelled())
+    if bpe:
+        spans = F.map_from_arrays(F.transform("edges", lambda e: F.shiftright(e, 48).cast("int")), F.transform("edges", lambda e: e.bitwiseAND(F.lit((1 << 48) - 1))))
         bounds = merge_fold(F.col("spans"), n)
+        id_of = lambda edge: F.nullif(edge.bitwiseAND(F.lit((1 << 24) - 1)), F.lit(0)).cast("int") - 1
     else:
+        spans = F.map_from_entries(F.transform("edges", lambda e: F.struct(e["a"] * 64 + e["b"], e["id"])))
         bounds = viterbi_fold(F.col("edges"), n, min(vocabulary.scores.values(), default=0.0) - UNKNOWN_PENALTY)
+        id_of = lambda edge: edge
     byte_ids = F.array(*[F.lit(i) for i in vocabulary.byte_ids]) if vocabulary.byte_ids else None
 
     def fallback(a: Column) -> Column:
@@ -191,12 +234,12 @@ def encode_units(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         F.transform(
             F.sequence(F.lit(0), F.size("bounds") - 2),
             lambda p: _let(
-                F.element_at(F.col("spans"), F.get("bounds", p) * 64 + F.get("bounds", p + 1))["id"],
+                id_of(F.element_at(F.col("spans"), F.get("bounds", p) * 64 + F.get("bounds", p + 1))),
                 lambda i: F.when(i.isNotNull(), F.array(i)).otherwise(fallback(F.get("bounds", p))),
             ),
         )
     )
-    short = found.withColumn("spans", _by_span(F.col("edges"))).withColumn("bounds", bounds).select("unit", ids.alias("ids"))
+    short = found.withColumn("spans", spans).withColumn("bounds", bounds).select("unit", ids.alias("ids"))
 
     def long_units(batches):
         for batch in batches:
@@ -261,76 +304,119 @@ def _viterbi_long(unit: str, vocabulary: Vocabulary) -> list[int]:
     return [i for a, b in zip(bounds, bounds[1:], strict=False) for i in _ids_of(unit[a:b], vocabulary)]
 
 
+@dataclass
+class _Chunk:
+    """Documents as word numbers, words as unit numbers, and the units: all in order of first appearance."""
+
+    name: int
+    doc_id: pa.Array
+    texts: pa.Array
+    words_of: pa.ListArray
+    units_of: pa.ListArray
+    units: pa.Array
+
+
 class _Chunks:
-    """The documents of a task in chunks of bounded text; each chunk's name is a digest of its content."""
+    """The documents of a task in chunks of bounded text; a chunk's name is a digest of its content.
+
+    Words are what stands between spaces, with a mark for each space before. Arrow splits and
+    numbers them; only distinct words are cut into units one by one.
+    """
 
-    def __init__(self, pattern: re.Pattern, limit: int) -> None:
-        self.pattern, self.limit = pattern, limit
+    def __init__(self, cutter: Cutter, limit: int) -> None:
+        self.cutter, self.limit = cutter, limit
 
     def __call__(self, batches):
-        ids, texts, size = [], [], 0
+        held, size = [], 0
         for batch in batches:
-            for start in range(batch.num_rows):
-                text = batch.column(1)[start].as_py() or ""
-                ids.append(batch.column(0).slice(start, 1))
-                texts.append(text)
-                size += len(text)
-                if size >= self.limit:
-                    yield self.finish(ids, texts)
-                    ids, texts, size = [], [], 0
-        if texts:
-            yield self.finish(ids, texts)
-
-    def finish(self, ids, texts):
-        cut = [self.pattern.findall(marked(t)) for t in texts]
-        units = sorted(set().union(*cut))
-        key = pa.concat_arrays(ids)
-        digest = hashlib.md5()
-        for i, t in zip(key.to_pylist(), texts, strict=True):
-            digest.update(f"{i}\x00{len(t)}\x00".encode())
-            digest.update(t.encode("utf-8", "surrogatepass"))
-        name = int.from_bytes(digest.digest()[:8], "little", signed=True)
-        return name, key, texts, cut, units
+            lengths = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
+            start = 0
+            for end in range(1, batch.num_rows + 1):
+                if size + lengths[end - 1] - (lengths[start - 1] if start else 0) >= self.limit:
+                    yield self.finish([*held, batch.slice(start, end - start)])
+                    held, size, start = [], 0, end
+            if start < batch.num_rows:
+                held.append(batch.slice(start))
+                size += int(lengths[-1] - (lengths[start - 1] if start else 0))
+        if held:
+            yield self.finish(held)
+
+    def finish(self, batches) -> _Chunk:
+        table = pa.Table.from_batches(batches).combine_chunks()
+        key, texts = (pa.concat_arrays(c.chunks) for c in table.columns)
+        texts = pc.fill_null(texts, "")
+        digest = hashlib.md5(pc.utf8_length(texts).to_numpy(zero_copy_only=False).tobytes())
+        digest.update("\x00".join(map(str, key.to_pylist())).encode())
+        digest.update(memoryview(texts.buffers()[2])[_first_offset(texts) : _last_offset(texts)] if texts.buffers()[2] else b"")
+        # A word ends before the first space after it; the text itself starts after a mark.
+        marks = pc.binary_join_element_wise(pa.scalar(" "), texts, "")
+        cut = next(c for c in map(chr, itertools.chain(*_PRIVATE)) if not pc.any(pc.match_substring(marks, c)).as_py())
+        ended = pc.replace_substring_regex(marks, pattern="([^ ])( )", replacement=f"\\1{cut}\\2")
+        lists = pc.split_pattern(pc.if_else(pc.equal(texts, ""), "", ended), cut)
+        words = pc.dictionary_encode(lists.flatten())
+        lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+        spelled = [w.replace(" ", MARK) for w in words.dictionary.to_pylist()]
+        parts, n = self.cutter(spelled)
+        units = pc.dictionary_encode(pa.array(parts, pa.string()))
+        return _Chunk(
+            int.from_bytes(digest.digest()[:8], "little", signed=True), key, texts,
+            pa.ListArray.from_arrays(_offsets(lengths), words.indices), pa.ListArray.from_arrays(_offsets(n), units.indices), units.dictionary,
+        )
+
+
+def _offsets(lengths: np.ndarray) -> pa.Array:
+    return pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32())
+
+
+def _bounds(texts: pa.Array) -> np.ndarray:
+    wide = pa.types.is_large_string(texts.type)
+    return np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1]
+
+
+def _first_offset(texts: pa.Array) -> int:
+    return int(_bounds(texts)[0])
+
+
+def _last_offset(texts: pa.Array) -> int:
+    return int(_bounds(texts)[-1])
 
 
 def chunk_units(docs: DataFrame, vocabulary: Vocabulary, limit: int) -> DataFrame:
     """(chunk, at, unit): the distinct units of each chunk, numbered in order."""
-    chunks = _Chunks(vocabulary.unit_pattern(), limit)
+    chunks = _Chunks(vocabulary.cutter(), limit)
 
     def run(batches):
-        for name, _, _, _, units in chunks(batches):
-            for at in range(0, len(units), 1 << 16):
-                part = units[at : at + (1 << 16)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(part), name, np.int64)), pa.array(np.arange(at, at + len(part), dtype=np.int32)), pa.array(part, pa.string())], ["chunk", "at", "unit"]
-                )
+        for chunk in chunks(batches):
+            n = len(chunk.units)
+            for at in range(0, n, 1 << 16):
+                part = chunk.units.slice(at, 1 << 16)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk.name, np.int64)), pa.array(np.arange(at, at + len(part), dtype=np.int32)), part], ["chunk", "at", "unit"])
 
     return docs.mapInArrow(run, "chunk long, at int, unit string")
 
 
 def chunk_documents(docs: DataFrame, vocabulary: Vocabulary, limit: int) -> DataFrame:
-    """(chunk, packed): a chunk's documents as numbers of its units, compressed, with a digest of each text."""
-    chunks = _Chunks(vocabulary.unit_pattern(), limit)
+    """(chunk, packed): a chunk's documents as numbers of words and units, compressed, with a digest of each text."""
+    chunks = _Chunks(vocabulary.cutter(), limit)
 
     def run(batches):
-        for name, key, texts, cut, units in chunks(batches):
-            number = {u: i for i, u in enumerate(units)}
-            table = pa.table(
-                {
-                    "doc_id": key,
-                    "units": pa.array([np.fromiter(map(number.__getitem__, c), np.int32, len(c)) for c in cut], pa.list_(pa.int32())),
-                    "digest": pa.array([hashlib.md5(t.encode("utf-8", "surrogatepass")).digest() for t in texts], pa.binary()),
-                }
-            )
+        for chunk in chunks(batches):
+            digests = pa.array([hashlib.md5(t.encode("utf-8", "surrogatepass")).digest() for t in chunk.texts.to_pylist()], pa.binary())
             sink = io.BytesIO()
-            with pa.ipc.new_stream(sink, table.schema) as writer:
-                writer.write_table(table)
+            for table in (pa.table({"doc_id": chunk.doc_id, "words": chunk.words_of, "digest": digests}), pa.table({"units": chunk.units_of})):
+                with pa.ipc.new_stream(sink, table.schema) as writer:
+                    writer.write_table(table)
             packed = zstandard.compress(sink.getvalue(), 3)
-            yield pa.RecordBatch.from_arrays([pa.array([name], pa.int64()), pa.array([packed], pa.binary())], ["chunk", "packed"])
+            yield pa.RecordBatch.from_arrays([pa.array([chunk.name], pa.int64()), pa.array([packed], pa.binary())], ["chunk", "packed"])
 
     return docs.mapInArrow(run, "chunk long, packed binary")
 
 
+def _ragged(lists) -> tuple[np.ndarray, np.ndarray]:
+    lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
+    return lists.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
+
+
 def _gather(values: np.ndarray, offsets: np.ndarray, picks: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The ragged rows ``picks`` of (values, offsets), one after another, and their lengths."""
     lengths = (offsets[1:] - offsets[:-1])[picks]
@@ -359,31 +445,20 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary | None = None, chun
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         if not left.num_rows:
             raise ValueError("the documents came in other chunks the second time; write them as a table first")
-        right = right.sort_by("at").combine_chunks()
-        lists = right.column("ids").combine_chunks() if isinstance(right.column("ids"), pa.ChunkedArray) else right.column("ids")
-        values = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int32)
-        offsets = np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
-        spelled = [b"".join([piece_bytes.get(i, b"\xef\xbf\xbd") for i in values[a:b].tolist()]) for a, b in zip(offsets[:-1].tolist(), offsets[1:].tolist(), strict=True)]
-        out = []
-        for blob in left.column("packed").slice(0, 1).to_pylist():
-            table = pa.ipc.open_stream(zstandard.decompress(blob)).read_all()
-            units = table.column("units").combine_chunks()
-            picks = units.flatten().to_numpy(zero_copy_only=False)
-            n_units = units.value_lengths().to_numpy(zero_copy_only=False)
-            ids, lengths = _gather(values, offsets, picks)
-            bounds = np.concatenate(([0], np.cumsum(n_units)))
-            ends = np.concatenate(([0], np.cumsum(lengths)))[bounds]
-            texts = [b"".join([spelled[i] for i in picks[a:b].tolist()])[1:] for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True)]
-            same = [hashlib.md5(t).digest() == d for t, d in zip(texts, table.column("digest").to_pylist(), strict=True)]
-            out.append(
-                pa.table(
-                    {
-                        "doc_id": table.column("doc_id"),
-                        "ids": pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32())),
-                        "round_trip": pa.array(same, pa.bool_()),
-                    }
-                )
-            )
+        right = right.sort_by("at")
+        values, offsets = _ragged(right.column("ids"))
+        blob = io.BytesIO(zstandard.decompress(left.column("packed")[0].as_py()))
+        docs, words = pa.ipc.open_stream(blob).read_all(), pa.ipc.open_stream(blob).read_all()
+        picks, ends = _ragged(words.column("units"))
+        values, lengths = _gather(values.astype(np.int32), offsets, picks)
+        offsets = np.concatenate(([0], np.cumsum(lengths)))[ends]  # now of words
+        spelled = [b"".join([piece_bytes.get(i, b"\xef\xbf\xbd") for i in values[a:b].tolist()]) for a, b in itertools.pairwise(offsets.tolist())]
+        picks, ends = _ragged(docs.column("words"))
+        ids, lengths = _gather(values, offsets, picks)
+        texts = [b"".join([spelled[i] for i in picks[a:b].tolist()])[1:] for a, b in itertools.pairwise(ends.tolist())]
+        same = [hashlib.md5(t).digest() == d for t, d in zip(texts, docs.column("digest").to_pylist(), strict=True)]
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths)))[ends], pa.int32()), pa.array(ids, pa.int32()))
+        out = [pa.table({"doc_id": docs.column("doc_id"), "ids": lists, "round_trip": pa.array(same, pa.bool_())})]
         # Chunks of equal content have one name and equal rows.
         return pa.concat_tables(out * left.num_rows)
 
