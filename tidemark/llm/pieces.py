@@ -351,12 +351,15 @@ class _Chunks:
         # A word ends before the first space after it; the text itself starts after a mark.
         marks = pc.binary_join_element_wise(pa.scalar(" "), texts, "")
         cut = next(c for c in map(chr, itertools.chain(*_PRIVATE)) if not pc.any(pc.match_substring(marks, c)).as_py())
-        ended = pc.replace_substring_regex(marks, pattern="([^ ])( )", replacement=f"\\1{cut}\\2")
+        # The regular expression is for texts with runs of spaces alone; in the others each space starts a word.
+        runs = pc.match_substring(marks, "  ")
+        ended = pc.utf8_slice_codeunits(pc.replace_substring(marks, " ", f"{cut} "), 1)
+        if pc.any(runs).as_py():
+            ended = pc.replace_with_mask(ended, runs, pc.replace_substring_regex(marks.filter(runs), pattern="([^ ])( )", replacement=f"\\1{cut}\\2"))
         lists = pc.split_pattern(pc.if_else(pc.equal(texts, ""), "", ended), cut)
         words = pc.dictionary_encode(lists.flatten())
         lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
-        spelled = [w.replace(" ", MARK) for w in words.dictionary.to_pylist()]
-        parts, n = self.cutter(spelled)
+        parts, n = self.cutter(pc.replace_substring(words.dictionary, " ", MARK).to_pylist())
         units = pc.dictionary_encode(pa.array(parts, pa.string()))
         return _Chunk(
             int.from_bytes(digest.digest()[:8], "little", signed=True), key, texts,
