@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 MAX_FOLD = 48
-CHUNK_CHARS = 12_000_000
+CHUNK_CHARS = 4_000_000
 UNKNOWN_PENALTY = 10.0
 #: Private characters, of which one that no text of a chunk holds separates words while Arrow splits them.
 _PRIVATE = (range(0xE000, 0xF900), range(0xF0000, 0xFFFFE), range(0x100000, 0x10FFFE))
@@ -137,18 +137,10 @@ def piece_table(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
 def lattices(units: DataFrame, pieces: DataFrame, longest: int, edge: Column) -> DataFrame:
     """(unit, edges): the lattice of each distinct unit. An unknown character is an edge without an id."""
     n = F.length("unit")
-    substrings = F.flatten(
-        F.transform(
-            F.sequence(F.lit(1), n),
-            lambda a: F.transform(
-                F.sequence(F.lit(1), F.least(F.lit(longest), n - a + 1)),
-                lambda size: F.struct(((a - 1) * 64 + a - 1 + size).alias("span"), F.substring(F.col("unit"), a, size).alias("piece")),
-            ),
-        )
-    )
+    starts = units.select("unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("a"))
+    ends = starts.select("unit", "a", F.explode(F.sequence(F.col("a") + 1, F.least(F.col("a") + longest, n))).alias("b"))
     edges = (
-        units.select("unit", F.explode(substrings).alias("s"))
-        .select("unit", "s.span", "s.piece")
+        ends.select("unit", (F.col("a") * 64 + F.col("b")).alias("span"), F.substring("unit", F.col("a") + 1, F.col("b") - F.col("a")).alias("piece"))
         .join(F.broadcast(pieces), "piece", "left")
         .where("id is not null or span % 64 = floor(span / 64) + 1")
     )
@@ -173,16 +165,16 @@ def merge_fold(spans: Column, n: Column) -> Column:
     """Bounds of the merged symbols. Of equal ranks the leftmost pair merges first."""
 
     def step(bounds: Column, _: Column) -> Column:
+        # Rank and place in one number: the least is the best rank, then the leftmost. A trailing -1 says that no pair is left.
         pairs = F.transform(
             F.sequence(F.lit(1), F.size(bounds) - 2),
-            lambda p: F.struct(F.shiftright(F.element_at(spans, F.get(bounds, p - 1) * 64 + F.get(bounds, p + 1)), 24).alias("rank"), p.alias("p")),
+            lambda p: F.shiftright(F.element_at(spans, F.get(bounds, p - 1) * 64 + F.get(bounds, p + 1)), 24) * 64 + p,
         )
-        known = F.filter(pairs, lambda x: x["rank"].isNotNull())
-        joined = _let(F.array_min(known), lambda best: F.when(best.isNotNull(), F.filter(bounds, lambda x, i: i != best["p"])).otherwise(bounds))
-        return F.when(F.size(bounds) > 2, joined).otherwise(bounds)
+        joined = _let(F.array_min(pairs), lambda best: F.when(best.isNull(), F.concat(bounds, F.array(F.lit(-1)))).otherwise(F.filter(bounds, lambda x, i: i != best % 64)))
+        return F.when((F.size(bounds) <= 2) | (F.element_at(bounds, -1) < 0), bounds).otherwise(joined)
 
     steps = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, F.sequence(F.lit(0), n), step)
+    return F.aggregate(steps, F.sequence(F.lit(0), n), step, lambda bounds: F.filter(bounds, lambda x: x >= 0))
 
 
 def viterbi_fold(edges: Column, n: Column, unknown_score: float) -> Column:
