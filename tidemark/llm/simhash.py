@@ -14,8 +14,9 @@ sent to each bounded block of the shard's probes, so no task holds a whole hot s
 
 from __future__ import annotations
 
+import itertools
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
@@ -104,18 +105,14 @@ class BKTree:
         return found
 
 
-def _probe(frame: pd.DataFrame, radius: int) -> pd.DataFrame:
-    """Links of one tree with one block of probes, thinned to a forest (components need no more)."""
-    if len(frame) < 2:
-        return pd.DataFrame({"src": [], "dst": []}, dtype="int64")
-    frame = frame.sort_values("fp")
-    rows = frame["fp"].to_numpy(np.int64).view(np.uint64).tolist()
-    tree_side, probe_side = frame["in_tree"].to_numpy(), frame["in_probe"].to_numpy()
+def _forest(fps: list[int], tree_side: list[bool], probe_side: list[bool], radius: int) -> list[tuple[int, int]]:
+    """Links of one tree with one block of probes, as positions, thinned to a forest: components need no more."""
     tree, placed = BKTree(), []
-    for i in np.nonzero(tree_side)[0].tolist():
-        tree.add(rows[i])
-        placed.append(i)
-    parent = list(range(len(rows)))
+    for i, fp in enumerate(fps):
+        if tree_side[i]:
+            tree.add(fp)
+            placed.append(i)
+    parent = list(range(len(fps)))
 
     def root(x: int) -> int:
         while parent[x] != x:
@@ -123,22 +120,53 @@ def _probe(frame: pd.DataFrame, radius: int) -> pd.DataFrame:
             x = parent[x]
         return x
 
-    src, dst = [], []
-    signed = frame["fp"].tolist()
-    for i in np.nonzero(probe_side)[0].tolist():
-        for hit in tree.within(rows[i], radius):
-            a, b = root(i), root(placed[hit])
-            if a != b:
-                parent[a] = b
-                src.append(signed[i])
-                dst.append(signed[placed[hit]])
-    return pd.DataFrame({"src": pd.array(src, "int64"), "dst": pd.array(dst, "int64")})
+    links = []
+    for i, fp in enumerate(fps):
+        if probe_side[i]:
+            for hit in tree.within(fp, radius):
+                a, b = root(i), root(placed[hit])
+                if a != b:
+                    parent[a] = b
+                    links.append((i, placed[hit]))
+    return links
+
+
+def _probe_sorted(batches, radius: int):
+    """The links of every group in batches that come sorted by (band, part, i, j); a group may span batches."""
+    held = None
+
+    def links_of(rows: list[np.ndarray]) -> pa.RecordBatch:
+        keys, fps, in_tree, in_probe = rows
+        change = np.nonzero((keys[1:] != keys[:-1]).any(axis=1))[0] + 1
+        src, dst = [], []
+        for a, b in itertools.pairwise([0, *change.tolist(), len(fps)]):
+            group = fps[a:b]
+            for x, y in _forest(group.view(np.uint64).tolist(), in_tree[a:b].tolist(), in_probe[a:b].tolist(), radius):
+                src.append(group[x])
+                dst.append(group[y])
+        return pa.RecordBatch.from_arrays([pa.array(src, pa.int64()), pa.array(dst, pa.int64())], ["src", "dst"])
+
+    for batch in batches:
+        columns = [c.to_numpy(zero_copy_only=False) for c in batch.columns]
+        rows = [np.stack(columns[:4], axis=1).astype(np.int64), np.ascontiguousarray(columns[4]), columns[5], columns[6]]
+        if held is not None:
+            rows = [np.concatenate([h, r]) for h, r in zip(held, rows, strict=True)]
+        if not len(rows[1]):
+            continue
+        last = np.nonzero((rows[0] != rows[0][-1]).any(axis=1))[0]
+        cut = int(last[-1]) + 1 if len(last) else 0
+        if cut:
+            yield links_of([r[:cut] for r in rows])
+        held = [r[cut:] for r in rows]
+    if held is not None:
+        yield links_of(held)
 
 
 def link_fingerprints(fps: DataFrame, radius: int = 3, bands: int = BANDS, tree_size: int = TREE_SIZE) -> DataFrame:
     """(src, dst) links between distinct fingerprints that suffice for the components.
 
-    Shards of one fingerprint link nothing and are left out before any Python runs.
+    Shards of one fingerprint link nothing and are left out before any Python runs. Groups are
+    small and many, so a task reads them sorted, one after another.
     """
     if radius >= bands:
         raise ValueError("a pair within the radius must share a band: radius < bands")
@@ -160,10 +188,11 @@ def link_fingerprints(fps: DataFrame, radius: int = 3, bands: int = BANDS, tree_
         .select("band", "part", "p.i", "p.j", "fp", (F.col("own") == F.col("p.i")).alias("in_tree"), (F.col("own") == F.col("p.j")).alias("in_probe"))
     )
 
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        return _probe(frame, radius)
+    def run(batches):
+        return _probe_sorted(batches, radius)
 
-    return dealt.groupBy("band", "part", "i", "j").applyInPandas(run, "src long, dst long")
+    keys = ["band", "part", "i", "j"]
+    return dealt.repartition(*keys).sortWithinPartitions(*keys, "fp").mapInArrow(run, "src long, dst long")
 
 
 def simhash_components(docs: DataFrame, radius: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
