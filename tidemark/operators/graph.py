@@ -18,7 +18,8 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     dropped, self loops keep their node, an empty table gives an empty result.
     """
     spark = edges.sparkSession
-    e = edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null")
+    # Once as a table: both the nodes and the first round read it.
+    e, _ = materialize(edges.select(F.col(src).alias("u"), F.col(dst).alias("v")).where("u is not null and v is not null").distinct(), "links")
     nodes = e.select("u").union(e.select("v")).distinct().withColumnRenamed("u", "node")
     current, path = materialize(
         e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
