@@ -37,7 +37,7 @@ from pyspark.sql import functions as F
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 MAX_FOLD = 48
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 1_500_000
 UNKNOWN_PENALTY = 10.0
 #: Private characters, of which one that no text of a chunk holds separates words while Arrow splits them.
 _PRIVATE = (range(0xE000, 0xF900), range(0xF0000, 0xFFFFE), range(0x100000, 0x10FFFE))
@@ -327,6 +327,7 @@ class _Chunks:
                 if size + lengths[end - 1] - (lengths[start - 1] if start else 0) >= self.limit:
                     yield self.finish([*held, batch.slice(start, end - start)])
                     held, size, start = [], 0, end
+                    pa.default_memory_pool().release_unused()
             if start < batch.num_rows:
                 held.append(batch.slice(start))
                 size += int(lengths[-1] - (lengths[start - 1] if start else 0))

@@ -246,13 +246,15 @@ def infer(nodes: list[dict], weights: np.ndarray, rounds: int = 30, damping: flo
 def fit(counts: list[tuple[list[str], str, int]], steps: int = 400, l2: float = 1.0) -> np.ndarray:
     """Softmax regression on (features, label, count) rows, started at and drawn to a weak prior.
 
-    The prior says what no base span can teach: an obfuscated address is a mail. Without any
-    rows the prior alone is the model.
+    The prior says what a shape alone tells, and what no base span can teach: an obfuscated
+    address is a mail. Without any rows the prior alone is the model.
     """
     at = {f: i for i, f in enumerate(FEATURES)}
     prior = np.zeros((len(FEATURES), len(LABELS)))
     prior[at["mail_obfuscated"], LABELS.index("email")] = 4.0
     prior[at["mail_local"], LABELS.index("email")] = 0.5
+    for shape, kind in (("mail", "email"), ("four_valid", "ip"), ("luhn", "card"), ("phone_plus", "phone")):
+        prior[at[shape], LABELS.index(kind)] = 4.0
     if not counts:
         return prior
     x = np.zeros((len(counts), len(FEATURES)))

@@ -225,15 +225,25 @@ def keep_one(docs: DataFrame, radius: int = 3) -> DataFrame:
 
     Rows that repeat that doc_id come down to one: the first by fingerprint and text.
     """
-    found = simhash_components(docs, radius).where("doc_id <=> component_id").groupBy("doc_id").agg(
-        F.min("fp").alias("keep_fp"), F.count("*").alias("copies")
-    )
-    kept = docs.join(found.withColumnRenamed("doc_id", "keep_id"), F.col("doc_id").eqNullSafe(F.col("keep_id")))
+    found = simhash_components(docs, radius)
+    chosen = found.groupBy("doc_id").agg(
+        F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("fp"))).alias("keep_fp"), F.count("*").alias("copies")
+    ).where("keep_fp is not null")
+    kept = docs.join(chosen.withColumnRenamed("doc_id", "keep_id"), F.col("doc_id").eqNullSafe(F.col("keep_id")))
     single = kept.where("copies = 1").select(*docs.columns)
-    repeated = kept.where("copies > 1").select(*docs.columns)
+    # Only rows of a repeated id are looked at again: the one kept has the fingerprint of the component.
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __keep long, __fp long"
+    at = docs.columns.index("text")
+
+    def again(batches):
+        for batch in batches:
+            fps = np.array([fingerprint(t) for t in batch.column(at).to_pylist()], dtype=np.uint64).view(np.int64)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64())], [*batch.schema.names, "__fp"])
+
+    repeated = kept.where("copies > 1").select(*docs.columns, F.col("keep_fp").alias("__keep")).mapInArrow(again, schema).where("__fp = __keep")
     order = [F.xxhash64("text"), *[F.col(c) for c in docs.columns]]
     first = repeated.withColumn("__rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)))
-    return single.unionByName(first.where("__rank = 1").drop("__rank"))
+    return single.unionByName(first.where("__rank = 1").select(*docs.columns))
 
 
 def hamming(a: int, b: int) -> int:
