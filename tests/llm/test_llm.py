@@ -60,7 +60,7 @@ def test_pii_base_is_the_patterns(docs):
 
 
 def test_pii_adds_repeats_in_other_forms_and_leaves_clean_texts(spark):
-    rows = [(i, f"call +1 (202) 555-{1000 + i} or mail bob.{i}@mail.example.com now") for i in range(60)]
+    rows = [(i, f"call +1 (202) 555-{1000 + i} or mail bob.{i}@mail.example.com now 4111111111111111") for i in range(60)]
     rows += [(100, "call +1 (202) 555-0101 . . . later 202-555-0101 again"), (101, "+1 (269) 555-3296 4524132264652876"), (102, "plain words with 1234567 and 2024-01-02 in them"), (103, "ann.77@x.io wrote; ann.77 wrote again")]
     got = {r.doc_id: r for r in pii.find_personal_data(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert "phone:35:47" in got[100].spans.split(",")
