@@ -278,7 +278,9 @@ def test_nearest_of_odd_rows(spark):
     assert ann.nearest_vectors(table.limit(0)).count() == 0
 
 
-def test_encoding_is_the_librarys(spark, docs):
+@pytest.mark.parametrize("common", [pieces.COMMON_UNITS, 2000, 0])
+def test_encoding_is_the_librarys(spark, docs, monkeypatch, common):
+    monkeypatch.setattr(pieces, "COMMON_UNITS", common)  # all units but the longest, some, none
     model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
     texts = [*ODD, "  a  b ", " lead", "ab ", "\n\n\n", "x" * 300 + " " + "ab" * 200, " " * 70 + "z", "tab\t\tq \r\n z"]
     table = docs.select("doc_id", "text").union(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(texts)], "doc_id long, text string"))

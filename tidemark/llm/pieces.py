@@ -14,7 +14,8 @@ text. Each distinct unit of the corpus is encoded once:
   whose joint edge has the best rank.
 
 Documents stay in chunks of bounded text; a chunk sends out its distinct units and gets back
-their ids, so words are not shuffled one by one. Chunks are named by their content, the same
+their ids, so words are not shuffled one by one. The ids of the units that the most chunks
+hold, in a table of bounded size, go to every task instead. Chunks are named by their content, the same
 in every attempt. A unit longer than ``MAX_FOLD`` characters takes the same merges from a
 heap, since the fold's work grows with the square of a unit's length.
 """
@@ -34,10 +35,15 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.session import materialize
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 MAX_FOLD = 48
 CHUNK_CHARS = 1_500_000
+#: Bounds of the table of common units that each task gets; the rest are joined by unit.
+COMMON_UNITS = 1 << 18
+COMMON_CHARS = 16
 UNKNOWN_PENALTY = 10.0
 #: Private characters, of which one that no text of a chunk holds separates words while Arrow splits them.
 _PRIVATE = (range(0xE000, 0xF900), range(0xF0000, 0xFFFFE), range(0x100000, 0x10FFFE))
@@ -88,22 +94,23 @@ class Cutter:
     number: np.ndarray
     joins: np.ndarray
 
-    def __call__(self, words: list[str]) -> tuple[list[str], np.ndarray]:
-        """The parts of all words, one after another, and how many each word has."""
-        if not words:
-            return [], np.zeros(0, np.int64)
-        points = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
-        lengths = np.fromiter(map(len, words), np.int64, len(words))
+    def __call__(self, words: pa.Array) -> tuple[pa.Array, np.ndarray]:
+        """The parts of all words, one after another, and how many each word has. The parts lie in the words' own bytes."""
+        bounds = _bounds(words).astype(np.int64)
+        data = words.buffers()[2]
+        data = data.slice(bounds[0], bounds[-1] - bounds[0]) if data is not None else pa.py_buffer(b"")
+        points = np.frombuffer(data.to_pybytes().decode("utf-8", "surrogatepass").encode("utf-32-le", "surrogatepass"), np.uint32)
+        widths = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+        at = np.concatenate(([0], np.cumsum(widths)))  # the byte where each character starts
+        firsts, lasts = np.searchsorted(at, bounds[:-1] - bounds[0]), np.searchsorted(at, bounds[1:] - bounds[0])
         places = np.where(points < len(self.number), self.number[np.minimum(points, len(self.number) - 1)], 0)
         cut = np.ones(len(points), bool)  # whether a part starts at each character
         cut[1:] = ~self.joins[places[:-1], places[1:]]
-        firsts = np.cumsum(lengths) - lengths
-        cut[firsts[lengths > 0]] = True
-        starts = np.nonzero(cut)[0]
-        ends = np.append(starts[1:], len(points))
-        joined = "".join(words)
-        parts = [joined[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-        return parts, np.add.reduceat(cut.astype(np.int64), firsts) if (lengths > 0).all() else np.bincount(np.repeat(np.arange(len(words)), lengths)[cut], minlength=len(words))
+        cut[firsts[lasts > firsts]] = True
+        starts = np.concatenate((at[:-1][cut], at[-1:]))
+        parts = pa.StringArray.from_buffers(len(starts) - 1, pa.py_buffer(starts.astype(np.int32)), data)
+        before = np.concatenate(([0], np.cumsum(cut)))
+        return parts, before[lasts] - before[firsts]
 
 
 def load(path: str = MODEL, kind: str = "bpe") -> Vocabulary:
@@ -135,16 +142,16 @@ def piece_table(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
 
 
 def lattices(units: DataFrame, pieces: DataFrame, longest: int, edge: Column) -> DataFrame:
-    """(unit, edges): the lattice of each distinct unit. An unknown character is an edge without an id."""
+    """(unit, n, edges): the lattice of each distinct unit. An unknown character is an edge without an id."""
     n = F.length("unit")
-    starts = units.select("unit", F.explode(F.sequence(F.lit(0), n - 1)).alias("a"))
-    ends = starts.select("unit", "a", F.explode(F.sequence(F.col("a") + 1, F.least(F.col("a") + longest, n))).alias("b"))
+    starts = units.select("unit", "n", F.explode(F.sequence(F.lit(0), n - 1)).alias("a"))
+    ends = starts.select("unit", "n", "a", F.explode(F.sequence(F.col("a") + 1, F.least(F.col("a") + longest, n))).alias("b"))
     edges = (
-        ends.select("unit", (F.col("a") * 64 + F.col("b")).alias("span"), F.substring("unit", F.col("a") + 1, F.col("b") - F.col("a")).alias("piece"))
+        ends.select("unit", "n", (F.col("a") * 64 + F.col("b")).alias("span"), F.substring("unit", F.col("a") + 1, F.col("b") - F.col("a")).alias("piece"))
         .join(F.broadcast(pieces), "piece", "left")
         .where("id is not null or span % 64 = floor(span / 64) + 1")
     )
-    return edges.groupBy("unit").agg(F.collect_list(edge).alias("edges"))
+    return edges.groupBy("unit").agg(F.first("n").alias("n"), F.collect_list(edge).alias("edges"))
 
 
 def _packed() -> Column:
@@ -198,7 +205,7 @@ def viterbi_fold(edges: Column, n: Column, unknown_score: float) -> Column:
 
 
 def encode_units(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(unit, ids) for distinct units."""
+    """(unit, ids, n) for distinct units; ``n`` comes through."""
     spark = units.sparkSession
     n = F.length("unit")
     bpe = vocabulary.kind == "bpe"
@@ -231,14 +238,14 @@ def encode_units(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
             ),
         )
     )
-    short = found.withColumn("spans", spans).withColumn("bounds", bounds).select("unit", ids.alias("ids"))
+    short = found.withColumn("spans", spans).withColumn("bounds", bounds).select("unit", ids.alias("ids"), "n")
 
     def long_units(batches):
         for batch in batches:
             texts = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([encode_long(u, vocabulary) for u in texts], pa.list_(pa.int32()))], ["unit", "ids"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([encode_long(u, vocabulary) for u in texts], pa.list_(pa.int32())), batch.column(1)], ["unit", "ids", "n"])
 
-    return short.unionByName(units.where(n > MAX_FOLD).select("unit").mapInArrow(long_units, "unit string, ids array<int>"))
+    return short.unionByName(units.where(n > MAX_FOLD).select("unit", "n").mapInArrow(long_units, "unit string, ids array<int>, n long"))
 
 
 def encode_long(unit: str, vocabulary: Vocabulary) -> list[int]:
@@ -352,8 +359,8 @@ class _Chunks:
         lists = pc.split_pattern(pc.if_else(pc.equal(texts, ""), "", ended), cut)
         words = pc.dictionary_encode(lists.flatten())
         lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
-        parts, n = self.cutter(pc.replace_substring(words.dictionary, " ", MARK).to_pylist())
-        units = pc.dictionary_encode(pa.array(parts, pa.string()))
+        parts, n = self.cutter(pc.replace_substring(words.dictionary, " ", MARK).cast(pa.string()))
+        units = pc.dictionary_encode(parts)
         return _Chunk(
             int.from_bytes(digest.digest()[:8], "little", signed=True), key, texts,
             pa.ListArray.from_arrays(_offsets(lengths), words.indices), pa.ListArray.from_arrays(_offsets(n), units.indices), units.dictionary,
@@ -377,29 +384,60 @@ def _last_offset(texts: pa.Array) -> int:
     return int(_bounds(texts)[-1])
 
 
-def chunk_units(docs: DataFrame, vocabulary: Vocabulary, limit: int) -> DataFrame:
-    """(chunk, at, unit): the distinct units of each chunk, numbered in order."""
+@dataclass(frozen=True)
+class Common:
+    """The units that the most chunks hold, numbered from 0, with their ids. At most ``COMMON_UNITS`` of at most ``COMMON_CHARS`` characters."""
+
+    units: pa.Array
+    values: np.ndarray
+    offsets: np.ndarray
+
+    def numbers(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """A number for each of a chunk's units, and which are not common: those count on from the common ones, in order."""
+        found = pc.index_in(units, value_set=self.units)
+        other = pc.is_null(found).to_numpy(zero_copy_only=False)
+        numbers = pc.fill_null(found, 0).to_numpy(zero_copy_only=False).astype(np.int32)
+        numbers[other] = len(self.units) + np.arange(int(other.sum()), dtype=np.int32)
+        return numbers, other
+
+
+def common_units(encoded: DataFrame) -> Common:
+    """The common ones of (unit, ids, n): those above the least step of ``n`` that leaves no more than ``COMMON_UNITS``."""
+    short = encoded.where(F.length("unit") <= COMMON_CHARS)
+    step = F.floor(F.log2("n") * 8)
+    sizes = short.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("size")).orderBy(F.desc("step")).collect()  # a row for each eighth of a doubling
+    totals = itertools.accumulate(r["size"] for r in sizes)
+    taken = [r["step"] for r, total in zip(sizes, totals, strict=True) if total <= COMMON_UNITS]
+    table = short.where(step >= min(taken)).select("unit", "ids").toArrow() if taken else pa.table({"unit": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))})
+    values, offsets = _ragged(table.column("ids"))
+    return Common(pa.concat_arrays([c.cast(pa.string()) for c in table.column("unit").chunks]) if table.num_rows else pa.array([], pa.string()), values.astype(np.int32), offsets)
+
+
+def chunk_units(docs: DataFrame, vocabulary: Vocabulary, limit: int, common: Common | None = None) -> DataFrame:
+    """(chunk, at, unit): the distinct units of each chunk, numbered in order; with ``common``, the others alone."""
     chunks = _Chunks(vocabulary.cutter(), limit)
 
     def run(batches):
         for chunk in chunks(batches):
-            n = len(chunk.units)
-            for at in range(0, n, 1 << 16):
-                part = chunk.units.slice(at, 1 << 16)
+            units = chunk.units.filter(pa.array(common.numbers(chunk.units)[1])) if common else chunk.units
+            for at in range(0, len(units), 1 << 16):
+                part = units.slice(at, 1 << 16)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk.name, np.int64)), pa.array(np.arange(at, at + len(part), dtype=np.int32)), part], ["chunk", "at", "unit"])
 
     return docs.mapInArrow(run, "chunk long, at int, unit string")
 
 
-def chunk_documents(docs: DataFrame, vocabulary: Vocabulary, limit: int) -> DataFrame:
+def chunk_documents(docs: DataFrame, vocabulary: Vocabulary, limit: int, common: Common) -> DataFrame:
     """(chunk, packed): a chunk's documents as numbers of words and units, compressed, with a digest of each text."""
     chunks = _Chunks(vocabulary.cutter(), limit)
 
     def run(batches):
         for chunk in chunks(batches):
             digests = pa.array([hashlib.md5(t.encode("utf-8", "surrogatepass")).digest() for t in chunk.texts.to_pylist()], pa.binary())
+            numbers, _ = common.numbers(chunk.units)
+            units_of = pa.ListArray.from_arrays(chunk.units_of.offsets, pa.array(numbers[chunk.units_of.values.to_numpy(zero_copy_only=False)], pa.int32()))
             sink = io.BytesIO()
-            for table in (pa.table({"doc_id": chunk.doc_id, "words": chunk.words_of, "digest": digests}), pa.table({"units": chunk.units_of})):
+            for table in (pa.table({"doc_id": chunk.doc_id, "words": chunk.words_of, "digest": digests}), pa.table({"units": units_of})):
                 with pa.ipc.new_stream(sink, table.schema) as writer:
                     writer.write_table(table)
             packed = zstandard.compress(sink.getvalue(), 3)
@@ -427,15 +465,16 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary | None = None, chun
 
     Null and empty texts have no ids. Repeated rows keep their own output rows; extra columns
     are not read. A literal word mark in a text decodes to a space, as the model has it. The
-    documents are read twice and must come the same both times, as tables do.
+    documents are read three times and must come the same each time, as tables do.
     """
     vocabulary = vocabulary or load()
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select("doc_id", "text")
-    pairs = chunk_units(rows, vocabulary, chunk_chars)
-    encoded = encode_units(pairs.select("unit").distinct(), vocabulary)
-    answers = pairs.join(encoded, "unit").select("chunk", "at", "ids")
-    packed = chunk_documents(rows, vocabulary, chunk_chars)
+    counts = chunk_units(rows, vocabulary, chunk_chars).groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
+    encoded, _ = materialize(encode_units(counts, vocabulary), "units")
+    common = common_units(encoded)
+    answers = chunk_units(rows, vocabulary, chunk_chars, common).join(encoded, "unit").select("chunk", "at", "ids")
+    packed = chunk_documents(rows, vocabulary, chunk_chars, common)
     piece_bytes = vocabulary.piece_bytes()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -443,10 +482,12 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary | None = None, chun
             raise ValueError("the documents came in other chunks the second time; write them as a table first")
         right = right.sort_by("at")
         values, offsets = _ragged(right.column("ids"))
+        # Units are numbered from the common ones on.
+        values, offsets = np.concatenate((common.values, values.astype(np.int32))), np.concatenate((common.offsets, common.offsets[-1] + offsets[1:]))
         blob = io.BytesIO(zstandard.decompress(left.column("packed")[0].as_py()))
         docs, words = pa.ipc.open_stream(blob).read_all(), pa.ipc.open_stream(blob).read_all()
         picks, ends = _ragged(words.column("units"))
-        values, lengths = _gather(values.astype(np.int32), offsets, picks)
+        values, lengths = _gather(values, offsets, picks)
         offsets = np.concatenate(([0], np.cumsum(lengths)))[ends]  # now of words
         spelled = [b"".join([piece_bytes.get(i, b"\xef\xbf\xbd") for i in values[a:b].tolist()]) for a, b in itertools.pairwise(offsets.tolist())]
         picks, ends = _ragged(docs.column("words"))
