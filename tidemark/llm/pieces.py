@@ -169,19 +169,34 @@ def _let(value: Column, body) -> Column:
 
 
 def merge_fold(spans: Column, n: Column) -> Column:
-    """Bounds of the merged symbols. Of equal ranks the leftmost pair merges first."""
+    """Bounds of the merged symbols. Of equal ranks the leftmost pair merges first.
 
-    def step(bounds: Column, _: Column) -> Column:
-        # Rank and place in one number: the least is the best rank, then the leftmost. A trailing -1 says that no pair is left.
-        pairs = F.transform(
-            F.sequence(F.lit(1), F.size(bounds) - 2),
-            lambda p: F.shiftright(F.element_at(spans, F.get(bounds, p - 1) * 64 + F.get(bounds, p + 1)), 24) * 64 + p,
-        )
-        joined = _let(F.array_min(pairs), lambda best: F.when(best.isNull(), F.concat(bounds, F.array(F.lit(-1)))).otherwise(F.filter(bounds, lambda x, i: i != best % 64)))
-        return F.when((F.size(bounds) <= 2) | (F.element_at(bounds, -1) < 0), bounds).otherwise(joined)
+    The state has a number per bound: the rank of the edge that would take its place, then the
+    bound. The least of all is the best rank, then the leftmost; once it is gone, only the
+    ranks of the bounds beside it are looked up again.
+    """
+    none = F.lit(1 << 40)
+
+    def ranked(a: Column, bound: Column, b: Column) -> Column:
+        return F.coalesce(F.shiftright(F.element_at(spans, (a * 64 + b).cast("int")), 24), none) * 64 + bound
+
+    def without(state: Column, best: Column) -> Column:
+        def beside(rest: Column, at: Column) -> Column:
+            def renewed(x: Column, i: Column) -> Column:
+                inner = (i > 0) & (i < F.size(rest) - 1) & ((i == at - 2) | (i == at - 1))
+                return F.when(inner, ranked(F.get(rest, i - 1) % 64, x % 64, F.get(rest, i + 1) % 64)).otherwise(x)
+
+            return F.transform(rest, renewed)
 
+        return _let(F.filter(state, lambda x: x != best), lambda rest: _let(F.array_position(state, best), lambda at: beside(rest, at)))
+
+    def step(state: Column, _: Column) -> Column:
+        return _let(F.array_min(state), lambda best: F.when(best >= none * 64, state).otherwise(without(state, best)))
+
+    bounds = F.sequence(F.lit(0), n)
+    start = F.transform(bounds, lambda i: F.when((i > 0) & (i < n), ranked(i - 1, i, i + 1)).otherwise(none * 64 + i))
     steps = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, F.sequence(F.lit(0), n), step, lambda bounds: F.filter(bounds, lambda x: x >= 0))
+    return F.aggregate(steps, start, step, lambda state: F.transform(state, lambda x: (x % 64).cast("int")))
 
 
 def viterbi_fold(edges: Column, n: Column, unknown_score: float) -> Column:
@@ -435,17 +450,51 @@ def chunk_documents(docs: DataFrame, vocabulary: Vocabulary, limit: int, common:
         for chunk in chunks(batches):
             digests = pa.array([hashlib.md5(t.encode("utf-8", "surrogatepass")).digest() for t in chunk.texts.to_pylist()], pa.binary())
             numbers, _ = common.numbers(chunk.units)
-            units_of = pa.ListArray.from_arrays(chunk.units_of.offsets, pa.array(numbers[chunk.units_of.values.to_numpy(zero_copy_only=False)], pa.int32()))
-            sink = io.BytesIO()
-            for table in (pa.table({"doc_id": chunk.doc_id, "words": chunk.words_of, "digest": digests}), pa.table({"units": units_of})):
-                with pa.ipc.new_stream(sink, table.schema) as writer:
-                    writer.write_table(table)
-            packed = zstandard.compress(sink.getvalue(), 3)
+            order = np.argsort(numbers)  # in this order the numbers only rise and pack well
+            place = np.empty(len(order), np.int32)
+            place[order] = np.arange(len(order), dtype=np.int32)
+            packed = pa.table({"doc_id": chunk.doc_id, "digest": digests, "words": _lengths(chunk.words_of)})
+            arrays = _new_as_zero(chunk.words_of.values.to_numpy(zero_copy_only=False)), _lengths(chunk.units_of), place[chunk.units_of.values.to_numpy(zero_copy_only=False)], np.diff(numbers[order], prepend=0)
+            packed = _pack(packed, *arrays)
             yield pa.RecordBatch.from_arrays([pa.array([chunk.name], pa.int64()), pa.array([packed], pa.binary())], ["chunk", "packed"])
 
     return docs.mapInArrow(run, "chunk long, packed binary")
 
 
+def _lengths(lists: pa.ListArray) -> np.ndarray:
+    return lists.value_lengths().to_numpy(zero_copy_only=False)
+
+
+def _new_as_zero(numbers: np.ndarray) -> np.ndarray:
+    """Numbers given in order of first appearance, with 0 for a new one and one more for a known one."""
+    before = np.concatenate(([-1], np.maximum.accumulate(numbers)[:-1])) if len(numbers) else numbers
+    return np.where(numbers > before, 0, numbers + 1)
+
+
+def _zero_as_new(numbers: np.ndarray) -> np.ndarray:
+    new = numbers == 0
+    return np.where(new, np.cumsum(new) - 1, numbers - 1)
+
+
+def _pack(table: pa.Table, *arrays: np.ndarray) -> bytes:
+    """A table and arrays of small numbers, compressed; bytes of one weight stand together."""
+    sink = io.BytesIO()
+    with pa.ipc.new_stream(sink, table.schema) as writer:
+        writer.write_table(table)
+    for x in arrays:
+        planes = np.ascontiguousarray(x.astype("<i4")).view(np.uint8).reshape(-1, 4).T.tobytes()
+        sink.write(len(planes).to_bytes(8, "little") + planes)
+    return zstandard.compress(sink.getvalue(), 3)
+
+
+def _unpack(packed: bytes, n: int) -> tuple[pa.Table, list[np.ndarray]]:
+    blob = io.BytesIO(zstandard.decompress(packed))
+    with pa.ipc.open_stream(blob) as reader:
+        table = reader.read_all()
+    arrays = [np.frombuffer(blob.read(int.from_bytes(blob.read(8), "little")), np.uint8).reshape(4, -1).T.copy().view("<i4").ravel() for _ in range(n)]
+    return table, arrays
+
+
 def _ragged(lists) -> tuple[np.ndarray, np.ndarray]:
     lists = lists.combine_chunks() if isinstance(lists, pa.ChunkedArray) else lists
     return lists.flatten().to_numpy(zero_copy_only=False), np.concatenate(([0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False)))).astype(np.int64)
@@ -484,13 +533,12 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary | None = None, chun
         values, offsets = _ragged(right.column("ids"))
         # Units are numbered from the common ones on.
         values, offsets = np.concatenate((common.values, values.astype(np.int32))), np.concatenate((common.offsets, common.offsets[-1] + offsets[1:]))
-        blob = io.BytesIO(zstandard.decompress(left.column("packed")[0].as_py()))
-        docs, words = pa.ipc.open_stream(blob).read_all(), pa.ipc.open_stream(blob).read_all()
-        picks, ends = _ragged(words.column("units"))
+        docs, (words, units_of, places, steps) = _unpack(left.column("packed")[0].as_py(), 4)
+        picks, ends = np.cumsum(steps)[places], np.concatenate(([0], np.cumsum(units_of))).astype(np.int64)
         values, lengths = _gather(values, offsets, picks)
         offsets = np.concatenate(([0], np.cumsum(lengths)))[ends]  # now of words
         spelled = [b"".join([piece_bytes.get(i, b"\xef\xbf\xbd") for i in values[a:b].tolist()]) for a, b in itertools.pairwise(offsets.tolist())]
-        picks, ends = _ragged(docs.column("words"))
+        picks, ends = _zero_as_new(words), np.concatenate(([0], np.cumsum(docs.column("words").to_numpy()))).astype(np.int64)
         ids, lengths = _gather(values, offsets, picks)
         texts = [b"".join([spelled[i] for i in picks[a:b].tolist()])[1:] for a, b in itertools.pairwise(ends.tolist())]
         same = [hashlib.md5(t).digest() == d for t, d in zip(texts, docs.column("digest").to_pylist(), strict=True)]
