@@ -269,6 +269,23 @@ def test_nearest_recall_and_exact_scores(spark):
     assert hits / total >= 0.9
 
 
+def test_nearest_among_near_copies_that_share_a_code(spark):
+    rng = np.random.default_rng(4)
+    x = rng.standard_normal((6000, 32))
+    x[::3] = x[0] + 1e-3 * rng.standard_normal((2000, 32))
+    x = np.vstack([x, 1e200 * x[1:3]])  # out of the range of table sums
+    ids = np.arange(len(x)) + 1
+    table = spark.createDataFrame([(int(i), v.tolist()) for i, v in zip(ids, x, strict=True)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.nearest_vectors(table, every=40).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert len(got) == (ids % 40 == 0).sum()
+    for q, found in got.items():
+        s = x @ x[q - 1]
+        s[q - 1] = -np.inf
+        assert [i for _, i in sorted(found)] == ids[np.lexsort((ids, -s))[:20]].tolist()
+
+
 def test_nearest_of_odd_rows(spark):
     _, table = embeddings(spark)
     got = ann.nearest_vectors(table).collect()

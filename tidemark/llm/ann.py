@@ -7,9 +7,11 @@ loss = |r|^2 + (eta - 1) (r . x/|x|)^2. Codes are chosen by coordinate descent o
 subspaces and centres by the weighted least squares of their members.
 
 A search looks up a query's table of partial products, one of 256 entries per code byte, and
-adds them over all candidates of a block; the best of each block are scored again exactly on
-the original vectors. Queries and candidates meet in blocks of bounded size: every query
-block with every candidate block.
+adds them over all candidates of a block. The best of each block by that sum are scored again
+exactly on the original vectors, which gives the least score that a result of the block can
+have. An exact score is within |query| |residual| of its sum, so every candidate whose sum and
+that bound reach the least score is scored exactly too, however many share a code. Queries and
+candidates meet in blocks of bounded size: every query block with every candidate block.
 """
 
 from __future__ import annotations
@@ -34,6 +36,7 @@ RERANK = 100
 QUERY_BLOCK = 2048
 CANDIDATE_BLOCK = 8192
 _SLICE = 128
+_PAIRS = 1 << 15
 
 
 @dataclass(frozen=True)
@@ -52,6 +55,12 @@ class Codebook:
         codes = _assign(self.pad(x), self.centres, self.eta, None, sweeps)
         return (codes[:, 0::2] | (codes[:, 1::2] << 4)).astype(np.uint8)
 
+    def bounds(self, x: np.ndarray, codes: np.ndarray) -> np.ndarray:
+        """How far, a unit of query length, a table sum can be from the inner product with each row: the residual's norm and the rounding of float32 sums."""
+        each = np.stack((codes & 15, codes >> 4), axis=2).reshape(len(x), -1)
+        centre = self.centres[np.arange(each.shape[1])[None, :], each].reshape(len(x), -1)
+        return np.linalg.norm(self.pad(x) - centre, axis=1) * (1 + 1e-9) + (codes.shape[1] + 4) * 2.0**-23 * (np.linalg.norm(centre, axis=1) + np.linalg.norm(x, axis=1))
+
     def tables(self, queries: np.ndarray) -> np.ndarray:
         """queries x bytes x 256: the inner product with what each byte stands for."""
         q = self.pad(queries).reshape(len(queries), -1, WIDTH)
@@ -113,7 +122,7 @@ def train(x: np.ndarray, rounds: int = 8, seed: int = 3) -> Codebook:
 
 
 def build_index(entries: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[DataFrame, dict[int, Codebook]]:
-    """(vec_id, dim, embedding, code) for every entry, and the codebook of each vector length."""
+    """(vec_id, dim, embedding, code, bound) for every entry, and the codebook of each vector length."""
     sample = entries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("embedding").collect()
     by_dim: dict[int, list] = {}
     for r in sample:
@@ -129,43 +138,74 @@ def build_index(entries: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[Dat
             dims = np.array(batch.column(1).to_pylist())
             for dim in np.unique(dims).tolist():
                 part = batch.filter(pa.array(dims == dim))
-                codes = books[dim].encode(matrix(part.column(2)))
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.tobytes() for c in codes], pa.binary())], ["vec_id", "dim", "embedding", "code"])
+                x = matrix(part.column(2))
+                codes = books[dim].encode(x)
+                bounds = pa.array(books[dim].bounds(x, codes), pa.float64())
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.tobytes() for c in codes], pa.binary()), bounds], ["vec_id", "dim", "embedding", "code", "bound"])
 
     kind = entries.schema["embedding"].dataType.simpleString()
-    indexed = entries.select("vec_id", F.size("embedding").alias("dim"), "embedding").mapInArrow(run, f"vec_id long, dim int, embedding {kind}, code binary")
+    indexed = entries.select("vec_id", F.size("embedding").alias("dim"), "embedding").mapInArrow(run, f"vec_id long, dim int, embedding {kind}, code binary, bound double")
     return indexed, books
 
 
+def _scores(q: np.ndarray, x: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
+    """The exact inner products of pairs, in slices of bounded size."""
+    out = np.empty(len(rows))
+    for at in range(0, len(rows), _PAIRS):
+        part = slice(at, at + _PAIRS)
+        out[part] = np.einsum("nd,nd->n", q[rows[part]], x[columns[part]])
+    return out
+
+
+def _least(scores: np.ndarray, k: int) -> np.ndarray:
+    """The k-th best score of each row; minus infinity where there are fewer."""
+    if scores.shape[1] < k:
+        return np.full(len(scores), -np.inf)
+    return -np.partition(-scores, k - 1, axis=1)[:, k - 1]
+
+
 def scan_block(table: pa.Table, books: dict[int, Codebook], k: int, rerank: int) -> pa.Table:
-    """The k best candidates of one block for each query of one block: table scan, then exact."""
+    """The k best candidates of one block for each query of one block: table scan, then exact.
+
+    ``rerank`` candidates are scored first, for a least score; it changes the work, not the result.
+    """
     is_query = table.column("is_query").to_numpy()
     queries, candidates = table.filter(pa.array(is_query)), table.filter(pa.array(~is_query))
     if not queries.num_rows or not candidates.num_rows:
         return pa.table({"query_id": pa.array([], pa.int64()), "query": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
     candidates = candidates.sort_by("vec_id")
     book = books[table.column("dim")[0].as_py()]
-    x, ids = matrix(candidates.column("embedding")), candidates.column("vec_id").to_numpy()
+    x, ids, bounds = matrix(candidates.column("embedding")), candidates.column("vec_id").to_numpy(), candidates.column("bound").to_numpy()
     codes = np.frombuffer(b"".join(candidates.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
     columns = [np.ascontiguousarray(codes[:, j]) for j in range(codes.shape[1])]
     q_ids, q_hash, q = queries.column("vec_id").to_numpy(), queries.column("query").to_numpy(), matrix(queries.column("embedding"))
-    keep = min(rerank + 1, len(ids))  # one more: a query's own row is no candidate
+    lengths = np.linalg.norm(x, axis=1)
+    keep = min(max(rerank, k), len(ids))
     out = []
     for at in range(0, len(q), _SLICE):
-        tables = book.tables(q[at : at + _SLICE])
+        part = q[at : at + _SLICE]
+        tables = book.tables(part)
         sums = np.zeros((len(tables), len(ids)), np.float32)
         for j, column in enumerate(columns):
             sums += np.take(tables[:, j], column, axis=1)
-        best = np.argpartition(-sums, keep - 1, axis=1)[:, :keep] if keep < len(ids) else np.tile(np.arange(len(ids)), (len(tables), 1))
-        best.sort(axis=1)
-        exact = np.einsum("qd,qcd->qc", q[at : at + _SLICE], x[best])
-        exact[ids[best] == q_ids[at : at + _SLICE, None]] = -np.inf
-        order = np.argsort(-exact, axis=1, kind="stable")[:, :k]
-        scores = np.take_along_axis(exact, order, axis=1)
-        found = ids[np.take_along_axis(best, order, axis=1)]
-        real = scores > -np.inf
-        rows = np.nonzero(real)[0]
-        out.append((q_ids[at + rows], q_hash[at + rows], found[real], scores[real]))
+        own = ids[None, :] == q_ids[at : at + _SLICE, None]  # a query's own row is no candidate
+        sums[own] = -np.inf
+        best = np.argpartition(-sums, keep - 1, axis=1)[:, :keep]
+        first = _scores(part, x, np.repeat(np.arange(len(part)), keep), best.ravel()).reshape(best.shape)
+        first[np.take_along_axis(own, best, axis=1)] = -np.inf
+        size = np.linalg.norm(part, axis=1)[:, None]
+        # All that can reach the least score; sums that left the range of float32 say nothing.
+        reach = (~(sums + size * bounds < _least(first, k)[:, None]) | ~np.isfinite(sums)) & ~own
+        some = np.nonzero(reach.any(axis=0))[0]
+        # One product for the slice settles most of them; its rounding is allowed for, and the rest get their exact score.
+        near = np.where(reach[:, some], part @ x[some].T, -np.inf)
+        slack = (x.shape[1] + 4) * 2.0**-51 * size * lengths[some]
+        rows, picks = np.nonzero((near + slack >= _least(near - slack, k)[:, None]) & reach[:, some])
+        scores = _scores(part, x, rows, some[picks])
+        order = np.lexsort((picks, -scores, rows))
+        rows, found, scores = rows[order], ids[some[picks[order]]], scores[order]
+        real = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
+        out.append((q_ids[at + rows[real]], q_hash[at + rows[real]], found[real], scores[real]))
     return pa.table(dict(zip(("query_id", "query", "vec_id", "score"), (pa.array(np.concatenate(c)) for c in zip(*out, strict=True)), strict=True)))
 
 
@@ -187,10 +227,10 @@ def nearest_vectors(vectors: DataFrame, k: int = NEAREST, every: int = 20, reran
     block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     every_block = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.withColumn("qb", block(n_query)).withColumn("cb", every_block(n_candidate)).select(
-        "dim", "qb", "cb", F.lit(True).alias("is_query"), F.xxhash64("embedding").alias("query"), "vec_id", "embedding", F.lit(None).cast("binary").alias("code")
+        "dim", "qb", "cb", F.lit(True).alias("is_query"), F.xxhash64("embedding").alias("query"), "vec_id", "embedding", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("bound")
     )
     right = indexed.withColumn("cb", block(n_candidate)).withColumn("qb", every_block(n_query)).select(
-        "dim", "qb", "cb", F.lit(False).alias("is_query"), F.lit(0).cast("long").alias("query"), "vec_id", "embedding", "code"
+        "dim", "qb", "cb", F.lit(False).alias("is_query"), F.lit(0).cast("long").alias("query"), "vec_id", "embedding", "code", "bound"
     )
 
     def run(table: pa.Table) -> pa.Table:
