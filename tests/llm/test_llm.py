@@ -148,6 +148,17 @@ def test_simhash_of_odd_rows(odd):
     assert kept.columns == odd.columns and sorted(r.doc_id for r in kept.collect() if r.doc_id is not None) == sorted({r.component_id for r in got if r.component_id is not None})
 
 
+def test_one_of_each_group_stays_whatever_its_id(spark):
+    rng = random.Random(8)
+    texts = [" ".join(str(rng.getrandbits(40)) for _ in range(30)) for _ in range(12)]
+    ids = [None] * 4 + [7] * 4 + [1, 2, 3, None]
+    rows = [(i, t) for i, t in zip(ids, texts, strict=True)]
+    rows += [(None, texts[0]), (None, texts[0]), (7, texts[4]), (9, texts[5]), (None, texts[8]), (5, texts[11])]
+    kept = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted(r.text for r in kept) == sorted(texts)
+    assert {r.text: r.doc_id for r in kept} == dict(zip(texts, [*ids[:11], 5], strict=True))
+
+
 def test_secrets_base_and_entropy(docs):
     patterns = [("assign", r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), ("access", r"AKIA[A-Z0-9]+"), ("hex", r"[0-9a-f]+")]
     size = {"assign": 0, "access": 18, "hex": 16}

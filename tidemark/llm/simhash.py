@@ -195,13 +195,8 @@ def link_fingerprints(fps: DataFrame, radius: int = 3, bands: int = BANDS, tree_
     return dealt.repartition(*keys).sortWithinPartitions(*keys, "fp").mapInArrow(run, "src long, dst long")
 
 
-def simhash_components(docs: DataFrame, radius: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """(doc_id, fp, component_id) per document row.
-
-    Null and word-less texts share fingerprint zero and link like others; repeated rows keep
-    their own output rows; a null doc_id never names a component unless its whole component
-    has none. Extra columns of ``docs`` are not read.
-    """
+def _in_components(docs: DataFrame, radius: int, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(doc_id, fp, component_id, component) per document row; ``component`` is the smallest fingerprint of the component."""
     prints, _ = materialize(with_fingerprints(docs, text, key), "fingerprints")
     groups = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
     components = connected_components(link_fingerprints(groups, radius))
@@ -209,8 +204,18 @@ def simhash_components(docs: DataFrame, radius: int = 3, text: str = "text", key
         "fp", "least", F.coalesce("component", "fp").alias("component")
     )
     smallest = named.groupBy("component").agg(F.min("least").alias("component_id"))
-    by_print = named.join(smallest, "component").select("fp", "component_id")
-    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id")
+    by_print = named.join(smallest, "component").select("fp", "component_id", "component")
+    return prints.join(by_print, "fp").select("doc_id", "fp", "component_id", "component")
+
+
+def simhash_components(docs: DataFrame, radius: int = 3, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """(doc_id, fp, component_id) per document row.
+
+    Null and word-less texts share fingerprint zero and link like others; repeated rows keep
+    their own output rows; a null doc_id never names a component unless its whole component
+    has none. Extra columns of ``docs`` are not read.
+    """
+    return _in_components(docs, radius, text, key).drop("component")
 
 
 def near_duplicates(docs: DataFrame, radius: int = 3) -> DataFrame:
@@ -221,18 +226,19 @@ def near_duplicates(docs: DataFrame, radius: int = 3) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, radius: int = 3) -> DataFrame:
-    """One document of each group: the row whose doc_id names the component.
+    """One document of each component of fingerprints: that of the smallest doc_id, null after all others.
 
-    Rows that repeat that doc_id come down to one: the first by fingerprint and text.
+    Ids neither need to be there nor to differ: components whose rows share an id, or have none,
+    keep a row each. Rows alike in id come down to the first by fingerprint and text.
     """
-    found = simhash_components(docs, radius)
-    chosen = found.groupBy("doc_id").agg(
-        F.min(F.when(F.col("doc_id").eqNullSafe(F.col("component_id")), F.col("fp"))).alias("keep_fp"), F.count("*").alias("copies")
-    ).where("keep_fp is not null")
-    kept = docs.join(chosen.withColumnRenamed("doc_id", "keep_id"), F.col("doc_id").eqNullSafe(F.col("keep_id")))
-    single = kept.where("copies = 1").select(*docs.columns)
-    # Only rows of a repeated id are looked at again: the one kept has the fingerprint of the component.
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __keep long, __fp long"
+    found = _in_components(docs, radius)
+    least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("least")
+    chosen = found.groupBy("component").agg(least).select(F.col("least.doc_id").alias("keep_id"), F.col("least.fp").alias("keep_fp"))
+    copies = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("copies"))
+    chosen, _ = materialize(chosen.join(copies, chosen["keep_id"] == copies["doc_id"], "left").select("keep_id", "keep_fp", "copies"), "kept")
+    single = docs.join(chosen.where("copies = 1").select("keep_id"), F.col("doc_id") == F.col("keep_id"), "left_semi")
+    # Only rows of a repeated id or of none are looked at again: those kept have the fingerprint chosen.
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __fp long"
     at = docs.columns.index("text")
 
     def again(batches):
@@ -240,10 +246,14 @@ def keep_one(docs: DataFrame, radius: int = 3) -> DataFrame:
             fps = np.array([fingerprint(t) for t in batch.column(at).to_pylist()], dtype=np.uint64).view(np.int64)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64())], [*batch.schema.names, "__fp"])
 
-    repeated = kept.where("copies > 1").select(*docs.columns, F.col("keep_fp").alias("__keep")).mapInArrow(again, schema).where("__fp = __keep")
+    repeated = docs.join(chosen.where("copies > 1").select("keep_id").distinct(), F.col("doc_id") == F.col("keep_id"), "left_semi")
+    doubtful = repeated.unionByName(docs.where("doc_id is null")).mapInArrow(again, schema)
+    # First one row of each id and fingerprint, so that no key of the join has many.
     order = [F.xxhash64("text"), *[F.col(c) for c in docs.columns]]
-    first = repeated.withColumn("__rank", F.row_number().over(Window.partitionBy("doc_id").orderBy(*order)))
-    return single.unionByName(first.where("__rank = 1").select(*docs.columns))
+    first = doubtful.withColumn("__rank", F.row_number().over(Window.partitionBy("doc_id", "__fp").orderBy(*order))).where("__rank = 1")
+    wanted = chosen.where("copies is null or copies > 1").select("keep_id", "keep_fp")
+    several = first.join(wanted, (F.col("__fp") == F.col("keep_fp")) & F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
+    return single.unionByName(several.select(*docs.columns))
 
 
 def hamming(a: int, b: int) -> int:
