@@ -319,6 +319,19 @@ def test_encoding_is_the_librarys(spark, docs, monkeypatch, common):
     assert {r.doc_id: r.text for r in pieces.decode_documents(out).collect()} == {k: v or "" for k, v in want.items()}
 
 
+@pytest.mark.parametrize("common", [pieces.COMMON_UNITS, 0])
+def test_chunks_of_equal_content(spark, docs, monkeypatch, common):
+    monkeypatch.setattr(pieces, "COMMON_UNITS", common)
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    few = docs.select("doc_id", "text").limit(20).coalesce(1).localCheckpoint()
+    want = {r.doc_id: model.encode(r.text) for r in few.collect()}
+    twice = pieces.encode_documents(few.union(few)).collect()
+    assert len(twice) == 2 * len(want) and all(r.round_trip and r.ids == want[r.doc_id] for r in twice)
+    longs = [r for r in few.collect() for _ in range(2)]  # A, A, B, B: each a chunk of its own
+    alone = pieces.encode_documents(spark.createDataFrame(longs, few.schema), chunk_chars=1).collect()
+    assert len(alone) == 2 * len(want) and all(r.round_trip and r.ids == want[r.doc_id] for r in alone)
+
+
 def test_viterbi_of_a_unigram_model(spark):
     scores = {"▁": -3.0, "▁a": -2.0, "a": -4.0, "b": -4.0, "ab": -3.5, "▁ab": -6.5, "bb": -4.5, "abb": -9.0}
     v = pieces.Vocabulary({p: i for i, p in enumerate(scores)}, scores, (), 99, "unigram")

@@ -523,6 +523,8 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary | None = None, chun
     encoded, _ = materialize(encode_units(counts, vocabulary), "units")
     common = common_units(encoded)
     answers = chunk_units(rows, vocabulary, chunk_chars, common).join(encoded, "unit").select("chunk", "at", "ids")
+    # Chunks of equal content have one name and give each answer once each; dealt by chunk, as the cogroup needs them anyway.
+    answers = answers.repartition("chunk").dropDuplicates(["chunk", "at"])
     packed = chunk_documents(rows, vocabulary, chunk_chars, common)
     piece_bytes = vocabulary.piece_bytes()
 
