@@ -93,6 +93,13 @@ def origin_mix_watermark(spark, sf_dir):
     return first.groupBy(F.col("event_type").alias("origin")).agg(F.count("*").alias("n"), F.sha2(ids, 256).alias("watermark"))
 
 
+@query()
+def origin_mix_watermark_all(spark, sf_dir):
+    # All events: a count and a sum of hashes, which no task holds as a list.
+    hashes = F.sum(F.xxhash64("event_id").cast("decimal(38,0)"))
+    return events(spark, sf_dir).groupBy(F.col("event_type").alias("origin")).agg(F.count("*").alias("n"), F.sha2(hashes.cast("string"), 256).alias("watermark"))
+
+
 @query(f"""WITH {EVENTS_SQL} SELECT 'failure-rate' AS metric, count(*) FILTER (WHERE event_type = 'error')::DOUBLE / count(*) AS value, 'ratio' AS unit, count(*) FILTER (WHERE event_type = 'error')::DOUBLE AS numerator, count(*)::DOUBLE AS denominator, NULL::VARCHAR AS reason FROM e
 UNION ALL SELECT 'late-usage', NULL, 'tokens', NULL, NULL, 'no observations'""")
 def metric_envelopes(spark, sf_dir):
