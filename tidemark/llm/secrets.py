@@ -41,6 +41,7 @@ ALLOWED = tuple(
         r"(?:[A-Za-z]+[0-9]{0,4}[/_=+-]+)+[A-Za-z]*[0-9]{0,4}",
     )
 )
+_JOINERS = "/_=+-"
 _PLOGP = [0.0, *[n * math.log2(n) for n in range(1, WINDOW + 1)]]
 
 
@@ -92,24 +93,46 @@ def merge(spans: Iterable[tuple[int, int]]) -> list[tuple[int, int]]:
     return out
 
 
+def uncovered(start: int, end: int, covered: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """The parts of [start, end) outside of ``covered``, which is in order and disjoint."""
+    at = bisect_left(covered, (start, 0))
+    if at and covered[at - 1][1] > start:
+        at -= 1
+    while at < len(covered) and covered[at][0] < end:
+        if covered[at][0] > start:
+            yield start, covered[at][0]
+        start = max(start, covered[at][1])
+        at += 1
+    if start < end:
+        yield start, end
+
+
 def entropy_spans(text: str, taken: list[tuple[str, int, int]]) -> list[tuple[str, int, int]]:
-    """High-entropy strings that touch no base span; each needs letters and digits."""
+    """High-entropy strings that overlap no base span; each needs letters and digits.
+
+    Of a run that base spans cover in part, what is left is taken piece by piece. Joiners at
+    the cuts count as no part of a piece where the allow-list is asked.
+    """
     out: list[tuple[str, int, int]] = []
     covered = merge((s, e) for _, s, e in taken)
     for m in _CANDIDATE.finditer(text):
-        run, offset = m.group(), m.start()
-        if run.isalpha() or any(p.fullmatch(run) for p in ALLOWED):
-            continue
-        before = bisect_left(covered, (m.end(), 0)) - 1
-        if before >= 0 and covered[before][1] > offset:
+        if m.group().isalpha() or any(p.fullmatch(m.group()) for p in ALLOWED):
             continue
-        best: list[tuple[int, int]] = []
-        for name, pattern in _CLASSES.items():
-            for part in pattern.finditer(run):
-                for a, b in high_windows(part.group(), THRESHOLDS[name]):
-                    if _mixed(part.group()[a:b]):
-                        best.append((part.start() + a, part.start() + b))
-        out += [(ENTROPY, offset + a, offset + b) for a, b in merge(best)]
+        for offset, end in uncovered(m.start(), m.end(), covered):
+            if end - offset < WINDOW:
+                continue
+            run = text[offset:end]
+            bare = run.lstrip(_JOINERS) if offset > m.start() else run
+            bare = bare.rstrip(_JOINERS) if end < m.end() else bare
+            if bare.isalpha() or any(p.fullmatch(bare) for p in ALLOWED):
+                continue
+            best: list[tuple[int, int]] = []
+            for name, pattern in _CLASSES.items():
+                for part in pattern.finditer(run):
+                    for a, b in high_windows(part.group(), THRESHOLDS[name]):
+                        if _mixed(part.group()[a:b]):
+                            best.append((part.start() + a, part.start() + b))
+            out += [(ENTROPY, offset + a, offset + b) for a, b in merge(best)]
     return out
 
 
