@@ -71,6 +71,17 @@ def test_pii_adds_repeats_in_other_forms_and_leaves_clean_texts(spark):
     assert got[0].base_sha256 == hashlib.sha256(secrets.joined(base).encode()).hexdigest()
 
 
+@pytest.mark.parametrize(("text", "again"), [
+    ("john.smith@x.org wrote; John.Smith wrote again", "John.Smith"),
+    ("a_b@x.org wrote; a_b wrote again", "a_b"),
+    ("\u0130 ann.77@x.io wrote; ann.77 wrote again", "ann.77"),
+    ("ann.77@x.io or ann.77 [At] x.io", "ann.77 [At] x.io"),
+])
+def test_pii_mentions_of_all_repeats(text, again):
+    found = [text[n["start"] : n["end"]] for n in pii.mentions(text, pii.base_spans(text))]
+    assert again in found[1:]
+
+
 def test_urls_rules_and_model(spark):
     rows = [(1, "https://WWW.a.Example.com/en/7?q"), (2, "http://x.com/en/"), (3, "no scheme"), (4, None), (5, "http://a.example.net/de/8"), (6, "https://b.net/de/1#x"), (7, "ftp://org/es/"), (8, "http://xcom/en/1"), (9, "http://m.casino-win.example.org/fr/1"), (10, "http://weather.example.org/fr/1"), (11, "http://Éa.com?x/en/")]
     got = {r.page_id: r for r in urls.judge_urls(spark.createDataFrame(rows, "page_id long, url string")).collect()}

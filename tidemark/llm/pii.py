@@ -1,7 +1,8 @@
 """Personal data by fixed patterns and a skip-chain conditional random field per document.
 
 The fixed patterns give the base spans. A looser grammar proposes mentions: phone-, card-,
-address- and mail-shaped strings, and bare repeats of a mail's local part. Each mention is a
+address- and mail-shaped strings, and bare repeats of a mail's local part that has a digit,
+dot, underscore or hyphen, since others are plain words. Each mention is a
 node of the document's field; its labels are "none" and the four kinds.
 
 * Node potentials: a softmax regression on shape and context features. It is trained by
@@ -57,6 +58,9 @@ _REGION = re.compile(r"[+(]?[0-9][0-9 ().+-]{5,}")
 _OBFUSCATED = re.compile(
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|\(dot\)|\[dot\]|\{dot\}| dot ) ?[A-Za-z0-9-]{1,63}+)+", re.IGNORECASE | re.ASCII
 )
+_AT = re.compile(r"at[)\]}]", re.IGNORECASE | re.ASCII)
+#: A-Z alone, so that offsets never move.
+_LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
 # Context words, lower case, by the kind they speak for.
 _CONTEXT = {
     "cue_mail": ("mail", "contact", "write"),
@@ -134,7 +138,7 @@ def mentions(text: str, base: list[tuple[str, int, int]]) -> list[dict]:
         if kind == "email":
             local = piece.partition("@")[0].lower()
             node(a, b, kind, ["mail"], [f"mail:{piece.lower()}", f"local:{local}"])
-            if len(local) >= 5 and any(c.isdigit() for c in local):
+            if any(c.isdigit() or c in "._-" for c in local) and any(c.isalnum() for c in local):
                 locals_seen.add(local)
         else:
             node(a, b, kind, _number_features(piece, kind), _number_keys(piece, kind))
@@ -143,16 +147,15 @@ def mentions(text: str, base: list[tuple[str, int, int]]) -> list[dict]:
             for m in _MENTION.finditer(text, region.start(), region.end()):
                 shape = m.lastgroup
                 node(m.start(), m.end(), None, _number_features(m.group(), shape), _number_keys(m.group(), shape))
-    if "at)" in text or "at]" in text or "at}" in text or "AT" in text:
+    if _AT.search(text):
         for m in _OBFUSCATED.finditer(text):
             plain = re.sub(r" ?(?:[(\[{]dot[)\]}]| dot ) ?", ".", re.sub(r" ?[(\[{]at[)\]}] ?", "@", m.group().lower()))
             node(m.start(), m.end(), None, ["mail", "mail_obfuscated"], [f"mail:{plain}", f"local:{plain.partition('@')[0]}"])
     if locals_seen:
-        lowered = text.lower()
-        if len(lowered) == len(text):
-            pattern = re.compile(r"(?<![\w.%+@-])(?:" + "|".join(map(re.escape, sorted(locals_seen, key=lambda x: (-len(x), x)))) + r")(?![\w%+@-])")
-            for m in pattern.finditer(lowered):
-                node(m.start(), m.end(), None, ["mail_local"], [f"local:{m.group()}"])
+        lowered = text.translate(_LOWER)
+        pattern = re.compile(r"(?<![\w.%+@-])(?:" + "|".join(map(re.escape, sorted(locals_seen, key=lambda x: (-len(x), x)))) + r")(?![\w%+@-])")
+        for m in pattern.finditer(lowered):
+            node(m.start(), m.end(), None, ["mail_local"], [f"local:{m.group()}"])
     out = sorted(nodes.values(), key=lambda n: (n["start"], n["end"]))
     starts = [s for _, s, _ in base]
     for n in out:  # what distant supervision says: the kind of a base span that covers the mention
