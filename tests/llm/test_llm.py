@@ -335,32 +335,52 @@ def test_nearest_of_odd_rows(spark):
     assert ann.nearest_vectors(table.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("common", [pieces.COMMON_UNITS, 2000, 0])
-def test_encoding_is_the_librarys(spark, docs, monkeypatch, common):
-    monkeypatch.setattr(pieces, "COMMON_UNITS", common)  # all units but the longest, some, none
+@pytest.mark.parametrize("chunk_chars", [pieces.CHUNK_CHARS, 50_000])
+def test_encoding_is_the_librarys(spark, docs, chunk_chars):
     model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
-    texts = [*ODD, "  a  b ", " lead", "ab ", "\n\n\n", "x" * 300 + " " + "ab" * 200, " " * 70 + "z", "tab\t\tq \r\n z"]
+    texts = [*ODD, "  a  b ", " lead", "ab ", "\n\n\n", "x" * 300 + " " + "ab" * 200, " " * 70 + "z", "tab\t\tq \r\n z", "nul\x00 \x00", "▁ literal▁mark", "中文字符🦙🦙 é́"]
     table = docs.select("doc_id", "text").union(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(texts)], "doc_id long, text string"))
-    out = pieces.encode_documents(table, chunk_chars=50_000).cache()
+    out = pieces.encode_documents(table, chunk_chars=chunk_chars).cache()
     want = {r.doc_id: r.text for r in table.collect()}
     for r in out.collect():
-        assert r.ids == (model.encode(want[r.doc_id]) if want[r.doc_id] else []) and r.round_trip
-    assert {r.doc_id: r.text for r in pieces.decode_documents(out).collect()} == {k: v or "" for k, v in want.items()}
+        assert r.ids == (model.encode(want[r.doc_id]) if want[r.doc_id] else []), want[r.doc_id]
+        assert r.round_trip or "▁" in want[r.doc_id]
+    assert {r.doc_id: r.text for r in pieces.decode_documents(out).collect()} == {k: (v or "").replace("▁", " ") for k, v in want.items()}
 
 
-@pytest.mark.parametrize("common", [pieces.COMMON_UNITS, 0])
-def test_chunks_of_equal_content(spark, docs, monkeypatch, common):
-    monkeypatch.setattr(pieces, "COMMON_UNITS", common)
+def test_long_units_take_the_same_merges(spark, monkeypatch):
+    rng = random.Random(3)
     model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
-    few = docs.select("doc_id", "text").limit(20).coalesce(1).localCheckpoint()
-    want = {r.doc_id: model.encode(r.text) for r in few.collect()}
+    texts = ["".join(rng.choice("etaoinshrd") for _ in range(rng.randint(1, 90))) for _ in range(200)]
+    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for limit in (pieces.MAX_FOLD, 3):  # nearly all units folded, then nearly all from the heap
+        monkeypatch.setattr(pieces, "MAX_FOLD", limit)
+        assert {r.doc_id: r.ids for r in pieces.encode_documents(table).collect()} == dict(enumerate(map(model.encode, texts)))
+    long = {"a" * 2**k: -float(k) for k in range(9)}
+    v = pieces.Vocabulary({p: i for i, p in enumerate(long)}, long, (), 99, "bpe")
+    assert pieces.encode_long("a" * 256, v) == [8] and pieces.encode_long("a" * 257, v) == [8, 0]
+
+
+def test_chunks_of_equal_content(spark, docs):
+    model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
+    rows = [(r.doc_id, r.text) for r in docs.limit(20).collect()]
+    few = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    want = {i: model.encode(t) for i, t in rows}
     twice = pieces.encode_documents(few.union(few)).collect()
     assert len(twice) == 2 * len(want) and all(r.round_trip and r.ids == want[r.doc_id] for r in twice)
-    longs = [r for r in few.collect() for _ in range(2)]  # A, A, B, B: each a chunk of its own
-    alone = pieces.encode_documents(spark.createDataFrame(longs, few.schema), chunk_chars=1).collect()
+    longs = [r for r in rows for _ in range(2)]  # A, A, B, B: each a chunk of its own
+    alone = pieces.encode_documents(spark.createDataFrame(longs, few.schema).coalesce(1), chunk_chars=1).collect()
     assert len(alone) == 2 * len(want) and all(r.round_trip and r.ids == want[r.doc_id] for r in alone)
 
 
+def test_documents_are_read_once(spark):
+    out = pieces.encode_documents(spark.read.parquet(f"{SF}/documents.parquet"))
+    out.collect()
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    plan = plan[: plan.index("== Initial Plan ==")]
+    assert plan.count("FileScan") == 1 and plan.count("ReusedExchange") == 2
+
+
 def test_viterbi_of_a_unigram_model(spark):
     scores = {"▁": -3.0, "▁a": -2.0, "a": -4.0, "b": -4.0, "ab": -3.5, "▁ab": -6.5, "bb": -4.5, "abb": -9.0}
     v = pieces.Vocabulary({p: i for i, p in enumerate(scores)}, scores, (), 99, "unigram")

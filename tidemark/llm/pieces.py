@@ -13,11 +13,12 @@ text. Each distinct unit of the corpus is encoded once:
   are merge ranks), so the fold merges: each step joins the adjacent pair of lattice nodes
   whose joint edge has the best rank.
 
-Documents stay in chunks of bounded text; a chunk sends out its distinct units and gets back
-their ids, so words are not shuffled one by one. The ids of the units that the most chunks
-hold, in a table of bounded size, go to every task instead. Chunks are named by their content, the same
-in every attempt. A unit longer than ``MAX_FOLD`` characters takes the same merges from a
-heap, since the fold's work grows with the square of a unit's length.
+The documents are read once. Each task packs them in chunks of bounded text: documents as
+numbers of words, words as numbers of units. Chunks are dealt by name; their distinct units go
+by unit to the lattices, and the symbols come back by chunk, so no word is shuffled one by
+one. A symbol is an id, or a character in no edge, which the chunk's task resolves. Units of
+one character need no lattice, and a unit longer than ``MAX_FOLD`` characters takes the same
+merges from a heap there, since the fold's work grows with the square of a unit's length.
 """
 
 from __future__ import annotations
@@ -32,21 +33,21 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.session import materialize
-
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
-MAX_FOLD = 48
-CHUNK_CHARS = 1_500_000
-#: Bounds of the table of common units that each task gets; the rest are joined by unit.
-COMMON_UNITS = 1 << 18
-COMMON_CHARS = 16
+MAX_FOLD = 256
+#: Characters of a chunk, and of the part of a chunk that is cut into words at once.
+CHUNK_CHARS = 16_000_000
+PART_CHARS = 1_500_000
+#: Vocabularies of more pieces are joined without a broadcast.
+BROADCAST_PIECES = 1 << 18
 UNKNOWN_PENALTY = 10.0
-#: Private characters, of which one that no text of a chunk holds separates words while Arrow splits them.
-_PRIVATE = (range(0xE000, 0xF900), range(0xF0000, 0xFFFFE), range(0x100000, 0x10FFFE))
+_SPAN_BITS, _ID_BITS = 9, 22
+_SPAN, _ID = (1 << _SPAN_BITS), (1 << _ID_BITS)
 
 
 @dataclass(frozen=True)
@@ -129,11 +130,6 @@ def load(path: str = MODEL, kind: str = "bpe") -> Vocabulary:
     )
 
 
-def marked(text: str | None) -> str:
-    """The text as the model sees it: a leading mark, and marks for spaces. An empty text has none."""
-    return MARK + text.replace(" ", MARK) if text else ""
-
-
 def piece_table(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
     """(piece, id, score, rank): rank 0 is the best score, equal scores share a rank."""
     rank = {x: i for i, x in enumerate(sorted(set(vocabulary.scores.values()), reverse=True))}
@@ -141,26 +137,30 @@ def piece_table(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
     return spark.createDataFrame(rows, "piece string, id int, score double, rank int")
 
 
-def lattices(units: DataFrame, pieces: DataFrame, longest: int, edge: Column) -> DataFrame:
-    """(unit, n, edges): the lattice of each distinct unit. An unknown character is an edge without an id."""
-    n = F.length("unit")
-    starts = units.select("unit", "n", F.explode(F.sequence(F.lit(0), n - 1)).alias("a"))
-    ends = starts.select("unit", "n", "a", F.explode(F.sequence(F.col("a") + 1, F.least(F.col("a") + longest, n))).alias("b"))
-    edges = (
-        ends.select("unit", "n", (F.col("a") * 64 + F.col("b")).alias("span"), F.substring("unit", F.col("a") + 1, F.col("b") - F.col("a")).alias("piece"))
-        .join(F.broadcast(pieces), "piece", "left")
-        .where("id is not null or span % 64 = floor(span / 64) + 1")
-    )
-    return edges.groupBy("unit").agg(F.first("n").alias("n"), F.collect_list(edge).alias("edges"))
-
+def lattices(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
+    """(unit, n, edges): the lattice of each distinct unit.
 
-def _packed() -> Column:
-    """An edge of a BPE lattice in one number: span (12 bits), rank (24), id + 1 (24); zero for no id."""
-    return F.expr("shiftleft(cast(span as bigint), 48) + shiftleft(cast(coalesce(rank, 16777215) as bigint), 24) + coalesce(id + 1, 0)")
+    Merges need no edges of one character. For Viterbi each character has one, without an id
+    if it is unknown. A unit without edges has no row.
+    """
+    bpe = vocabulary.kind == "bpe"
+    n, a, b, shortest = F.col("n"), F.col("a"), F.col("b"), 2 if bpe else 1
+    pieces = piece_table(units.sparkSession, vocabulary)
+    if len(vocabulary.ids) <= BROADCAST_PIECES:
+        pieces = F.broadcast(pieces)
+    starts = units.select("unit", F.length("unit").alias("n")).where(n >= shortest).select("unit", "n", F.explode(F.sequence(F.lit(0), n - shortest)).alias("a"))
+    ends = starts.select("unit", "n", "a", F.explode(F.sequence(a + shortest, F.least(a + vocabulary.longest, n))).alias("b"))
+    spelled = ends.where(b - a >= shortest).select("unit", "n", "a", "b", F.substring("unit", a + 1, b - a).alias("piece"))
+    if bpe:
+        edges, edge = spelled.join(pieces, "piece"), _packed(a, b)
+    else:
+        edges, edge = spelled.join(pieces, "piece", "left").where("id is not null or b = a + 1"), F.struct("a", "b", "id", "score")
+    return edges.groupBy("unit").agg(F.first("n").alias("n"), F.collect_list(edge).alias("edges"))
 
 
-def _spelled() -> Column:
-    return F.struct(F.expr("cast(floor(span / 64) as int)").alias("a"), F.expr("span % 64").alias("b"), "id", "score")
+def _packed(a: Column, b: Column) -> Column:
+    """An edge of a BPE lattice in one number: both ends (9 bits each), rank (22), id (22)."""
+    return F.shiftleft((a * _SPAN + b).cast("long"), 2 * _ID_BITS) + F.shiftleft(F.col("rank").cast("long"), _ID_BITS) + F.col("id")
 
 
 def _let(value: Column, body) -> Column:
@@ -173,30 +173,31 @@ def merge_fold(spans: Column, n: Column) -> Column:
 
     The state has a number per bound: the rank of the edge that would take its place, then the
     bound. The least of all is the best rank, then the leftmost; once it is gone, only the
-    ranks of the bounds beside it are looked up again.
+    ranks of the two bounds beside it are looked up again.
     """
     none = F.lit(1 << 40)
+    bound_of = lambda x: x.bitwiseAND(F.lit(_SPAN - 1))
 
     def ranked(a: Column, bound: Column, b: Column) -> Column:
-        return F.coalesce(F.shiftright(F.element_at(spans, (a * 64 + b).cast("int")), 24), none) * 64 + bound
+        return F.coalesce(F.shiftright(F.element_at(spans, (a * _SPAN + b).cast("int")), _ID_BITS), none) * _SPAN + bound
+
+    def renewed(rest: Column, i: Column) -> Column:
+        x = F.get(rest, i)
+        inner = (i > 0) & (i < F.size(rest) - 1)
+        return F.when(inner, ranked(bound_of(F.get(rest, i - 1)), bound_of(x), bound_of(F.get(rest, i + 1)))).otherwise(x)
 
     def without(state: Column, best: Column) -> Column:
         def beside(rest: Column, at: Column) -> Column:
-            def renewed(x: Column, i: Column) -> Column:
-                inner = (i > 0) & (i < F.size(rest) - 1) & ((i == at - 2) | (i == at - 1))
-                return F.when(inner, ranked(F.get(rest, i - 1) % 64, x % 64, F.get(rest, i + 1) % 64)).otherwise(x)
+            return F.concat(F.slice(rest, F.lit(1), at - 2), F.array(renewed(rest, at - 2), renewed(rest, at - 1)), F.slice(rest, at + 1, F.size(rest)))
 
-            return F.transform(rest, renewed)
-
-        return _let(F.filter(state, lambda x: x != best), lambda rest: _let(F.array_position(state, best), lambda at: beside(rest, at)))
+        return _let(F.array_remove(state, best), lambda rest: _let(F.array_position(state, best).cast("int"), lambda at: beside(rest, at)))
 
     def step(state: Column, _: Column) -> Column:
-        return _let(F.array_min(state), lambda best: F.when(best >= none * 64, state).otherwise(without(state, best)))
+        return _let(F.array_min(state), lambda best: F.when(best >= none * _SPAN, state).otherwise(without(state, best)))
 
     bounds = F.sequence(F.lit(0), n)
-    start = F.transform(bounds, lambda i: F.when((i > 0) & (i < n), ranked(i - 1, i, i + 1)).otherwise(none * 64 + i))
-    steps = F.when(n > 1, F.sequence(F.lit(1), n - 1)).otherwise(F.array().cast("array<int>"))
-    return F.aggregate(steps, start, step, lambda state: F.transform(state, lambda x: (x % 64).cast("int")))
+    start = F.transform(bounds, lambda i: F.when((i > 0) & (i < n), ranked(i - 1, i, i + 1)).otherwise(none * _SPAN + i))
+    return F.aggregate(F.sequence(F.lit(2), n), start, step, lambda state: F.transform(state, lambda x: bound_of(x).cast("int")))
 
 
 def viterbi_fold(edges: Column, n: Column, unknown_score: float) -> Column:
@@ -220,54 +221,33 @@ def viterbi_fold(edges: Column, n: Column, unknown_score: float) -> Column:
 
 
 def encode_units(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(unit, ids, n) for distinct units; ``n`` comes through."""
-    spark = units.sparkSession
-    n = F.length("unit")
-    bpe = vocabulary.kind == "bpe"
-    found = lattices(units.where(n <= MAX_FOLD), piece_table(spark, vocabulary), vocabulary.longest, _packed() if bpe else _spelled())
-    if bpe:
-        spans = F.map_from_arrays(F.transform("edges", lambda e: F.shiftright(e, 48).cast("int")), F.transform("edges", lambda e: e.bitwiseAND(F.lit((1 << 48) - 1))))
+    """(unit, symbols) for distinct units of at most ``MAX_FOLD`` characters: an id, or minus one minus the code point of a character in no edge.
+
+    Units that no piece has two characters of have no row: they are their characters.
+    """
+    n = F.col("n")
+    found = lattices(units, vocabulary)
+    if vocabulary.kind == "bpe":
+        spans = F.map_from_arrays(F.transform("edges", lambda e: F.shiftright(e, 2 * _ID_BITS).cast("int")), F.transform("edges", lambda e: e.bitwiseAND(F.lit((1 << 2 * _ID_BITS) - 1))))
         bounds = merge_fold(F.col("spans"), n)
-        id_of = lambda edge: F.nullif(edge.bitwiseAND(F.lit((1 << 24) - 1)), F.lit(0)).cast("int") - 1
+        id_of = lambda edge: edge.bitwiseAND(F.lit(_ID - 1)).cast("int")
     else:
-        spans = F.map_from_entries(F.transform("edges", lambda e: F.struct(e["a"] * 64 + e["b"], e["id"])))
+        spans = F.map_from_entries(F.transform("edges", lambda e: F.struct(e["a"] * _SPAN + e["b"], e["id"])))
         bounds = viterbi_fold(F.col("edges"), n, min(vocabulary.scores.values(), default=0.0) - UNKNOWN_PENALTY)
         id_of = lambda edge: edge
-    byte_ids = F.array(*[F.lit(i) for i in vocabulary.byte_ids]) if vocabulary.byte_ids else None
-
-    def fallback(a: Column) -> Column:
-        if byte_ids is None:
-            return F.array(F.lit(vocabulary.unknown))
-        digits = F.hex(F.encode(F.substring(F.col("unit"), a + 1, F.lit(1)), "UTF-8"))
-        return F.transform(
-            F.sequence(F.lit(0), (F.length(digits) / 2).cast("int") - 1),
-            lambda k: F.element_at(byte_ids, F.conv(F.substring(digits, k * 2 + 1, F.lit(2)), 16, 10).cast("int") + 1),
-        )
-
-    ids = F.flatten(
-        F.transform(
-            F.sequence(F.lit(0), F.size("bounds") - 2),
-            lambda p: _let(
-                id_of(F.element_at(F.col("spans"), F.get("bounds", p) * 64 + F.get("bounds", p + 1))),
-                lambda i: F.when(i.isNotNull(), F.array(i)).otherwise(fallback(F.get("bounds", p))),
-            ),
-        )
+    character = lambda a: -1 - F.ascii(F.substring(F.col("unit"), a + 1, F.lit(1)))
+    symbols = F.transform(
+        F.sequence(F.lit(0), F.size("bounds") - 2),
+        lambda p: _let(F.get("bounds", p), lambda a: F.coalesce(id_of(F.element_at(F.col("spans"), a * _SPAN + F.get("bounds", p + 1))), character(a))),
     )
-    short = found.withColumn("spans", spans).withColumn("bounds", bounds).select("unit", ids.alias("ids"), "n")
-
-    def long_units(batches):
-        for batch in batches:
-            texts = batch.column(0).to_pylist()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([encode_long(u, vocabulary) for u in texts], pa.list_(pa.int32())), batch.column(1)], ["unit", "ids", "n"])
-
-    return short.unionByName(units.where(n > MAX_FOLD).select("unit", "n").mapInArrow(long_units, "unit string, ids array<int>, n long"))
+    return found.withColumn("spans", spans).withColumn("bounds", bounds).select("unit", symbols.alias("symbols"))
 
 
 def encode_long(unit: str, vocabulary: Vocabulary) -> list[int]:
     """The ids of one long unit: merges from a heap for BPE, Viterbi position by position for unigram."""
     if vocabulary.kind != "bpe":
         return _viterbi_long(unit, vocabulary)
-    n = len(unit)
+    n, longest = len(unit), vocabulary.longest
     end, before = list(range(1, n + 1)), list(range(-1, n - 1))
     scores = vocabulary.scores
     heap = [(-scores[unit[i : i + 2]], i, i + 1, i + 2) for i in range(n - 1) if unit[i : i + 2] in scores]
@@ -280,13 +260,13 @@ def encode_long(unit: str, vocabulary: Vocabulary) -> list[int]:
         end[a], alive[b] = c, False
         if c < n:
             before[c] = a
-            piece = unit[a : end[c]]
-            if len(piece) <= 2 * MAX_FOLD and piece in scores:
+            piece = unit[a : end[c]] if end[c] - a <= longest else ""
+            if piece in scores:
                 heapq.heappush(heap, (-scores[piece], a, c, end[c]))
         p = before[a]
         if p >= 0:
-            piece = unit[p:c]
-            if len(piece) <= 2 * MAX_FOLD and piece in scores:
+            piece = unit[p:c] if c - p <= longest else ""
+            if piece in scores:
                 heapq.heappush(heap, (-scores[piece], p, a, c))
     out, at = [], 0
     while at < n:
@@ -318,72 +298,79 @@ def _viterbi_long(unit: str, vocabulary: Vocabulary) -> list[int]:
     return [i for a, b in zip(bounds, bounds[1:], strict=False) for i in _ids_of(unit[a:b], vocabulary)]
 
 
-@dataclass
-class _Chunk:
-    """Documents as word numbers, words as unit numbers, and the units: all in order of first appearance."""
-
-    name: int
-    doc_id: pa.Array
-    texts: pa.Array
-    words_of: pa.ListArray
-    units_of: pa.ListArray
-    units: pa.Array
-
-
-class _Chunks:
-    """The documents of a task in chunks of bounded text; a chunk's name is a digest of its content.
+def _words(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of all texts, one after another, and how many each text has. A mark is still a space here.
 
-    Words are what stands between spaces, with a mark for each space before. Arrow splits and
-    numbers them; only distinct words are cut into units one by one.
+    A word starts at each space that no space precedes; a text starts after a mark, an empty
+    one has no word.
+    """
+    marks = pc.if_else(pc.equal(texts, ""), "", pc.binary_join_element_wise(pa.scalar(" "), texts, "")).cast(pa.string())
+    bounds = _bounds(marks).astype(np.int64)
+    data = marks.buffers()[2]
+    data = data.slice(bounds[0], bounds[-1] - bounds[0]) if data is not None else pa.py_buffer(b"")
+    bounds = bounds - bounds[0]
+    space = np.frombuffer(data, np.uint8) == 32
+    first = space.copy()
+    first[1:] &= ~space[:-1]
+    first[bounds[:-1][bounds[1:] > bounds[:-1]]] = True
+    starts = np.flatnonzero(first)
+    words = pa.StringArray.from_buffers(len(starts), pa.py_buffer(np.append(starts, len(space)).astype(np.int32)), data)
+    return words, np.diff(np.searchsorted(starts, bounds))
+
+
+class _Packer:
+    """Packs the documents of a task in chunks: (chunk, packed).
+
+    A chunk's name holds its task and place, so chunks of equal content are dealt apart, and a
+    digest of its content, so that a task that was repeated with other documents is found out.
     """
 
-    def __init__(self, cutter: Cutter, limit: int) -> None:
-        self.cutter, self.limit = cutter, limit
+    def __init__(self, cutter: Cutter, chunk_chars: int) -> None:
+        self.cutter, self.chunk_chars, self.part_chars = cutter, chunk_chars, min(chunk_chars, PART_CHARS)
 
     def __call__(self, batches):
-        held, size = [], 0
+        task, place = TaskContext.get().partitionId() if TaskContext.get() else 0, 0
+        parts, size = [], 0
+        for part, chars in self.slices(batches):
+            parts.append(self.part(part))
+            size += chars
+            if size >= self.chunk_chars:
+                yield self.finish(parts, f"{task}-{place}")
+                parts, size, place = [], 0, place + 1
+                pa.default_memory_pool().release_unused()
+        if parts:
+            yield self.finish(parts, f"{task}-{place}")
+
+    def slices(self, batches):
+        """Runs of documents of about ``part_chars`` characters; no run spans two batches."""
         for batch in batches:
-            lengths = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False))
-            start = 0
-            for end in range(1, batch.num_rows + 1):
-                if size + lengths[end - 1] - (lengths[start - 1] if start else 0) >= self.limit:
-                    yield self.finish([*held, batch.slice(start, end - start)])
-                    held, size, start = [], 0, end
-                    pa.default_memory_pool().release_unused()
-            if start < batch.num_rows:
-                held.append(batch.slice(start))
-                size += int(lengths[-1] - (lengths[start - 1] if start else 0))
-        if held:
-            yield self.finish(held)
-
-    def finish(self, batches) -> _Chunk:
-        table = pa.Table.from_batches(batches).combine_chunks()
-        key, texts = (pa.concat_arrays(c.chunks) for c in table.columns)
-        texts = pc.fill_null(texts, "")
-        digest = hashlib.md5(pc.utf8_length(texts).to_numpy(zero_copy_only=False).tobytes())
-        digest.update("\x00".join(map(str, key.to_pylist())).encode())
-        digest.update(memoryview(texts.buffers()[2])[_first_offset(texts) : _last_offset(texts)] if texts.buffers()[2] else b"")
-        # A word ends before the first space after it; the text itself starts after a mark.
-        marks = pc.binary_join_element_wise(pa.scalar(" "), texts, "")
-        cut = next(c for c in map(chr, itertools.chain(*_PRIVATE)) if not pc.any(pc.match_substring(marks, c)).as_py())
-        # The regular expression is for texts with runs of spaces alone; in the others each space starts a word.
-        runs = pc.match_substring(marks, "  ")
-        ended = pc.utf8_slice_codeunits(pc.replace_substring(marks, " ", f"{cut} "), 1)
-        if pc.any(runs).as_py():
-            ended = pc.replace_with_mask(ended, runs, pc.replace_substring_regex(marks.filter(runs), pattern="([^ ])( )", replacement=f"\\1{cut}\\2"))
-        lists = pc.split_pattern(pc.if_else(pc.equal(texts, ""), "", ended), cut)
-        words = pc.dictionary_encode(lists.flatten())
-        lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
-        parts, n = self.cutter(pc.replace_substring(words.dictionary, " ", MARK).cast(pa.string()))
-        units = pc.dictionary_encode(parts)
-        return _Chunk(
-            int.from_bytes(digest.digest()[:8], "little", signed=True), key, texts,
-            pa.ListArray.from_arrays(_offsets(lengths), words.indices), pa.ListArray.from_arrays(_offsets(n), units.indices), units.dictionary,
-        )
-
-
-def _offsets(lengths: np.ndarray) -> pa.Array:
-    return pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32())
+            lengths = np.cumsum(pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            start = before = 0
+            while start < batch.num_rows:
+                end = min(int(np.searchsorted(lengths, before + self.part_chars)) + 1, batch.num_rows)
+                yield batch.slice(start, end - start), int(lengths[end - 1]) - before
+                start, before = end, int(lengths[end - 1])
+
+    def part(self, batch: pa.RecordBatch):
+        texts = pc.fill_null(batch.column(1), "")
+        digests = pa.array([hashlib.md5(t.as_buffer()).digest() for t in texts], pa.binary())
+        words, n = _words(texts)
+        encoded = pc.dictionary_encode(words)
+        docs = pa.table({"doc_id": batch.column(0), "digest": digests, "words": pa.array(n, pa.int32())})
+        return docs, encoded.indices.to_numpy().astype(np.int32), encoded.dictionary
+
+    def finish(self, parts, name: str) -> pa.RecordBatch:
+        docs = pa.concat_tables([d for d, _, _ in parts]).combine_chunks()
+        digest = hashlib.md5(b"".join(docs.column("digest").to_pylist())).hexdigest()
+        every = pc.dictionary_encode(pa.concat_arrays([w for _, _, w in parts]))
+        renamed = np.split(every.indices.to_numpy(), np.cumsum([len(w) for _, _, w in parts])[:-1])
+        numbers = np.concatenate([new[picks] for new, (_, picks, _) in zip(renamed, parts, strict=True)])
+        cuts = [self.cutter(pc.replace_substring(every.dictionary.slice(k, 1 << 17), " ", MARK)) for k in range(0, len(every.dictionary), 1 << 17)]
+        units = pc.dictionary_encode(pa.concat_arrays([u for u, _ in cuts])) if cuts else pa.array([], pa.string()).dictionary_encode()
+        n = np.concatenate([n for _, n in cuts]) if cuts else np.zeros(0, np.int64)
+        packed = _pack(docs, units.dictionary, _new_as_zero(numbers), n, _new_as_zero(units.indices.to_numpy()))
+        chunk = int.from_bytes(hashlib.md5(f"{name}-{digest}".encode()).digest()[:8], "little", signed=True)
+        return pa.RecordBatch.from_arrays([pa.array([chunk], pa.int64()), pa.array([packed], pa.binary())], ["chunk", "packed"])
 
 
 def _bounds(texts: pa.Array) -> np.ndarray:
@@ -391,80 +378,6 @@ def _bounds(texts: pa.Array) -> np.ndarray:
     return np.frombuffer(texts.buffers()[1], np.int64 if wide else np.int32)[texts.offset : texts.offset + len(texts) + 1]
 
 
-def _first_offset(texts: pa.Array) -> int:
-    return int(_bounds(texts)[0])
-
-
-def _last_offset(texts: pa.Array) -> int:
-    return int(_bounds(texts)[-1])
-
-
-@dataclass(frozen=True)
-class Common:
-    """The units that the most chunks hold, numbered from 0, with their ids. At most ``COMMON_UNITS`` of at most ``COMMON_CHARS`` characters."""
-
-    units: pa.Array
-    values: np.ndarray
-    offsets: np.ndarray
-
-    def numbers(self, units: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-        """A number for each of a chunk's units, and which are not common: those count on from the common ones, in order."""
-        found = pc.index_in(units, value_set=self.units)
-        other = pc.is_null(found).to_numpy(zero_copy_only=False)
-        numbers = pc.fill_null(found, 0).to_numpy(zero_copy_only=False).astype(np.int32)
-        numbers[other] = len(self.units) + np.arange(int(other.sum()), dtype=np.int32)
-        return numbers, other
-
-
-def common_units(encoded: DataFrame) -> Common:
-    """The common ones of (unit, ids, n): those above the least step of ``n`` that leaves no more than ``COMMON_UNITS``."""
-    short = encoded.where(F.length("unit") <= COMMON_CHARS)
-    step = F.floor(F.log2("n") * 8)
-    sizes = short.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("size")).orderBy(F.desc("step")).collect()  # a row for each eighth of a doubling
-    totals = itertools.accumulate(r["size"] for r in sizes)
-    taken = [r["step"] for r, total in zip(sizes, totals, strict=True) if total <= COMMON_UNITS]
-    table = short.where(step >= min(taken)).select("unit", "ids").toArrow() if taken else pa.table({"unit": pa.array([], pa.string()), "ids": pa.array([], pa.list_(pa.int32()))})
-    values, offsets = _ragged(table.column("ids"))
-    return Common(pa.concat_arrays([c.cast(pa.string()) for c in table.column("unit").chunks]) if table.num_rows else pa.array([], pa.string()), values.astype(np.int32), offsets)
-
-
-def chunk_units(docs: DataFrame, vocabulary: Vocabulary, limit: int, common: Common | None = None) -> DataFrame:
-    """(chunk, at, unit): the distinct units of each chunk, numbered in order; with ``common``, the others alone."""
-    chunks = _Chunks(vocabulary.cutter(), limit)
-
-    def run(batches):
-        for chunk in chunks(batches):
-            units = chunk.units.filter(pa.array(common.numbers(chunk.units)[1])) if common else chunk.units
-            for at in range(0, len(units), 1 << 16):
-                part = units.slice(at, 1 << 16)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(part), chunk.name, np.int64)), pa.array(np.arange(at, at + len(part), dtype=np.int32)), part], ["chunk", "at", "unit"])
-
-    return docs.mapInArrow(run, "chunk long, at int, unit string")
-
-
-def chunk_documents(docs: DataFrame, vocabulary: Vocabulary, limit: int, common: Common) -> DataFrame:
-    """(chunk, packed): a chunk's documents as numbers of words and units, compressed, with a digest of each text."""
-    chunks = _Chunks(vocabulary.cutter(), limit)
-
-    def run(batches):
-        for chunk in chunks(batches):
-            digests = pa.array([hashlib.md5(t.encode("utf-8", "surrogatepass")).digest() for t in chunk.texts.to_pylist()], pa.binary())
-            numbers, _ = common.numbers(chunk.units)
-            order = np.argsort(numbers)  # in this order the numbers only rise and pack well
-            place = np.empty(len(order), np.int32)
-            place[order] = np.arange(len(order), dtype=np.int32)
-            packed = pa.table({"doc_id": chunk.doc_id, "digest": digests, "words": _lengths(chunk.words_of)})
-            arrays = _new_as_zero(chunk.words_of.values.to_numpy(zero_copy_only=False)), _lengths(chunk.units_of), place[chunk.units_of.values.to_numpy(zero_copy_only=False)], np.diff(numbers[order], prepend=0)
-            packed = _pack(packed, *arrays)
-            yield pa.RecordBatch.from_arrays([pa.array([chunk.name], pa.int64()), pa.array([packed], pa.binary())], ["chunk", "packed"])
-
-    return docs.mapInArrow(run, "chunk long, packed binary")
-
-
-def _lengths(lists: pa.ListArray) -> np.ndarray:
-    return lists.value_lengths().to_numpy(zero_copy_only=False)
-
-
 def _new_as_zero(numbers: np.ndarray) -> np.ndarray:
     """Numbers given in order of first appearance, with 0 for a new one and one more for a known one."""
     before = np.concatenate(([-1], np.maximum.accumulate(numbers)[:-1])) if len(numbers) else numbers
@@ -476,23 +389,59 @@ def _zero_as_new(numbers: np.ndarray) -> np.ndarray:
     return np.where(new, np.cumsum(new) - 1, numbers - 1)
 
 
-def _pack(table: pa.Table, *arrays: np.ndarray) -> bytes:
-    """A table and arrays of small numbers, compressed; bytes of one weight stand together."""
+def _pack(docs: pa.Table, units: pa.Array, *arrays: np.ndarray) -> bytes:
+    """Units first, then documents, then arrays of small numbers, compressed; bytes of one weight stand together."""
     sink = io.BytesIO()
-    with pa.ipc.new_stream(sink, table.schema) as writer:
-        writer.write_table(table)
+    for table in (pa.table({"unit": units}), docs):
+        block = io.BytesIO()
+        with pa.ipc.new_stream(block, table.schema) as writer:
+            writer.write_table(table)
+        sink.write(block.tell().to_bytes(8, "little") + block.getvalue())
     for x in arrays:
         planes = np.ascontiguousarray(x.astype("<i4")).view(np.uint8).reshape(-1, 4).T.tobytes()
         sink.write(len(planes).to_bytes(8, "little") + planes)
     return zstandard.compress(sink.getvalue(), 3)
 
 
-def _unpack(packed: bytes, n: int) -> tuple[pa.Table, list[np.ndarray]]:
-    blob = io.BytesIO(zstandard.decompress(packed))
-    with pa.ipc.open_stream(blob) as reader:
-        table = reader.read_all()
-    arrays = [np.frombuffer(blob.read(int.from_bytes(blob.read(8), "little")), np.uint8).reshape(4, -1).T.copy().view("<i4").ravel() for _ in range(n)]
-    return table, arrays
+def _blocks(packed: bytes):
+    blob = memoryview(zstandard.decompress(packed))
+    at = 0
+    while at < len(blob):
+        n = int.from_bytes(blob[at : at + 8], "little")
+        yield blob[at + 8 : at + 8 + n]
+        at += 8 + n
+
+
+def _table(block) -> pa.Table:
+    with pa.ipc.open_stream(pa.py_buffer(block)) as reader:
+        return reader.read_all().combine_chunks()
+
+
+def _numbers(block) -> np.ndarray:
+    return np.frombuffer(block, np.uint8).reshape(4, -1).T.copy().view("<i4").ravel()
+
+
+def _units_of(packed: bytes) -> tuple[pa.Array, np.ndarray]:
+    """The units of a chunk and which of them have a lattice."""
+    column = _table(next(_blocks(packed))).column("unit")
+    units = column.chunk(0) if column.num_chunks else pa.array([], pa.string())
+    n = pc.utf8_length(units).to_numpy(zero_copy_only=False)
+    return units, (n >= 2) & (n <= MAX_FOLD)
+
+
+def chunk_units(chunks: DataFrame) -> DataFrame:
+    """(unit, chunk, at): the distinct units of each chunk that need a lattice, numbered in order."""
+
+    def run(batches):
+        for batch in batches:
+            for name, packed in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                units, wanted = _units_of(packed)
+                at, units = np.flatnonzero(wanted).astype(np.int32), units.filter(pa.array(wanted))
+                for k in range(0, len(at), 1 << 15):
+                    part = units.slice(k, 1 << 15)
+                    yield pa.RecordBatch.from_arrays([part, pa.array(np.full(len(part), name, np.int64)), pa.array(at[k : k + (1 << 15)])], ["unit", "chunk", "at"])
+
+    return chunks.mapInArrow(run, "unit string, chunk long, at int")
 
 
 def _ragged(lists) -> tuple[np.ndarray, np.ndarray]:
@@ -509,47 +458,75 @@ def _gather(values: np.ndarray, offsets: np.ndarray, picks: np.ndarray) -> tuple
     return values[np.arange(total) + shift], lengths
 
 
+def _unit_ids(units: pa.Array, wanted: np.ndarray, right: pa.Table, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+    """The ids of a chunk's units, ragged: from their lattices, from the heap, or of their characters alone."""
+    right = right.sort_by("at")
+    if not np.array_equal(right.column("at").to_numpy(), np.flatnonzero(wanted)):
+        raise ValueError("the documents came in other chunks the second time; write them as a table first")
+    symbols = right.column("symbols").combine_chunks()
+    found = np.zeros(len(units), bool)
+    found[np.flatnonzero(wanted)[symbols.is_valid().to_numpy(zero_copy_only=False)]] = True
+    rest = [encode_long(u, vocabulary) if len(u) > MAX_FOLD else [-1 - ord(c) for c in u] for u in units.filter(pa.array(~found)).to_pylist()]
+    values, offsets = _ragged(pa.concat_arrays([symbols.drop_null(), pa.array(rest, pa.list_(pa.int32()))]))
+    order = np.empty(len(units), np.int64)
+    order[np.concatenate((np.flatnonzero(found), np.flatnonzero(~found)))] = np.arange(len(units))
+    values, lengths = _gather(values, offsets, order)
+    # Each symbol stands for one id, or for the bytes of an unknown character.
+    known, picks = np.unique(values, return_inverse=True)
+    spelled = [[v] if v >= 0 else _ids_of(chr(-1 - v), vocabulary) for v in known.tolist()]
+    n = np.array([len(x) for x in spelled], np.int64)
+    ends = np.concatenate(([0], np.cumsum(lengths)))
+    ids, each = _gather(np.array(list(itertools.chain.from_iterable(spelled)), np.int32), np.concatenate(([0], np.cumsum(n))), picks)
+    return ids, np.concatenate(([0], np.cumsum(each)))[ends]
+
+
 def encode_documents(docs: DataFrame, vocabulary: Vocabulary | None = None, chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """(doc_id, ids, round_trip) per document row; ``round_trip`` says that the ids decode to the text.
 
-    Null and empty texts have no ids. Repeated rows keep their own output rows; extra columns
-    are not read. A literal word mark in a text decodes to a space, as the model has it. The
-    documents are read three times and must come the same each time, as tables do.
+    Null and empty texts have no ids; very long ones are chunks of their own. Repeated rows
+    keep their own output rows, null ids are ids like others, extra columns are not read, and
+    an empty table gives an empty result. A literal word mark in a text decodes to a space, as
+    the model has it.
     """
     vocabulary = vocabulary or load()
     kind = docs.schema["doc_id"].dataType.simpleString()
-    rows = docs.select("doc_id", "text")
-    counts = chunk_units(rows, vocabulary, chunk_chars).groupBy("unit").agg(F.count(F.lit(1)).alias("n"))
-    encoded, _ = materialize(encode_units(counts, vocabulary), "units")
-    common = common_units(encoded)
-    answers = chunk_units(rows, vocabulary, chunk_chars, common).join(encoded, "unit").select("chunk", "at", "ids")
-    # Chunks of equal content have one name and give each answer once each; dealt by chunk, as the cogroup needs them anyway.
-    answers = answers.repartition("chunk").dropDuplicates(["chunk", "at"])
-    packed = chunk_documents(rows, vocabulary, chunk_chars, common)
+    deal = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # One exchange serves the units and the documents; its count keeps it from being merged by size, as a row is seconds of work.
+    chunks = docs.select("doc_id", "text").mapInArrow(_Packer(vocabulary.cutter(), chunk_chars), "chunk long, packed binary").repartition(deal, "chunk")
+    held = chunk_units(chunks)
+    encoded = encode_units(held.select("unit").distinct(), vocabulary)
+    answers = held.join(encoded, "unit", "left").select("chunk", "at", "symbols")
     piece_bytes = vocabulary.piece_bytes()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        if not left.num_rows:
-            raise ValueError("the documents came in other chunks the second time; write them as a table first")
-        right = right.sort_by("at")
-        values, offsets = _ragged(right.column("ids"))
-        # Units are numbered from the common ones on.
-        values, offsets = np.concatenate((common.values, values.astype(np.int32))), np.concatenate((common.offsets, common.offsets[-1] + offsets[1:]))
-        docs, (words, units_of, places, steps) = _unpack(left.column("packed")[0].as_py(), 4)
-        picks, ends = np.cumsum(steps)[places], np.concatenate(([0], np.cumsum(units_of))).astype(np.int64)
-        values, lengths = _gather(values, offsets, picks)
-        offsets = np.concatenate(([0], np.cumsum(lengths)))[ends]  # now of words
-        spelled = [b"".join([piece_bytes.get(i, b"\xef\xbf\xbd") for i in values[a:b].tolist()]) for a, b in itertools.pairwise(offsets.tolist())]
-        picks, ends = _zero_as_new(words), np.concatenate(([0], np.cumsum(docs.column("words").to_numpy()))).astype(np.int64)
-        ids, lengths = _gather(values, offsets, picks)
-        texts = [b"".join([spelled[i] for i in picks[a:b].tolist()])[1:] for a, b in itertools.pairwise(ends.tolist())]
-        same = [hashlib.md5(t).digest() == d for t, d in zip(texts, docs.column("digest").to_pylist(), strict=True)]
-        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths)))[ends], pa.int32()), pa.array(ids, pa.int32()))
-        out = [pa.table({"doc_id": docs.column("doc_id"), "ids": lists, "round_trip": pa.array(same, pa.bool_())})]
-        # Chunks of equal content have one name and equal rows.
-        return pa.concat_tables(out * left.num_rows)
-
-    return packed.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, f"doc_id {kind}, ids array<int>, round_trip boolean")
+        out = []
+        for packed in left.column("packed").to_pylist():
+            unit_block, doc_block, *blocks = _blocks(packed)
+            docs, words, n, parts = _table(doc_block), *map(_numbers, blocks)
+            values, offsets = _unit_ids(*_units_of(packed), right, vocabulary)
+            values, lengths = _gather(values, offsets, _zero_as_new(parts))
+            offsets = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(n))).astype(np.int64)]  # now of words
+            spelled = [b"".join([piece_bytes.get(i, b"\xef\xbf\xbd") for i in values[a:b].tolist()]) for a, b in itertools.pairwise(offsets.tolist())]
+            out += _parts(docs, _zero_as_new(words), values, offsets, spelled)
+        return pa.concat_tables(out)
+
+    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(run, f"doc_id {kind}, ids array<int>, round_trip boolean")
+
+
+def _parts(docs: pa.Table, picks: np.ndarray, values: np.ndarray, offsets: np.ndarray, spelled: list[bytes]):
+    """The output rows of a chunk, some documents at a time."""
+    ends = np.concatenate(([0], np.cumsum(docs.column("words").to_numpy()))).astype(np.int64)
+    start = 0
+    while start < docs.num_rows:
+        end = max(start + 1, int(np.searchsorted(ends, ends[start] + (1 << 18), "right")) - 1)
+        own = picks[ends[start] : ends[end]]
+        ids, lengths = _gather(values, offsets, own)
+        cuts = ends[start : end + 1] - ends[start]
+        texts = list(map(spelled.__getitem__, own.tolist()))
+        same = [hashlib.md5(b"".join(texts[a:b])[1:]).digest() == d for (a, b), d in zip(itertools.pairwise(cuts.tolist()), docs.column("digest").slice(start, end - start).to_pylist(), strict=True)]
+        lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths)))[cuts], pa.int32()), pa.array(ids, pa.int32()))
+        yield pa.table({"doc_id": docs.column("doc_id").slice(start, end - start), "ids": lists, "round_trip": pa.array(same, pa.bool_())})
+        start = end
 
 
 def decode_documents(encoded: DataFrame, vocabulary: Vocabulary | None = None) -> DataFrame:
