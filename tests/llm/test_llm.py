@@ -374,7 +374,7 @@ def test_chunks_of_equal_content(spark, docs):
 
 
 def test_documents_are_read_once(spark):
-    out = pieces.encode_documents(spark.read.parquet(f"{SF}/documents.parquet"))
+    out = pieces.encode_documents(spark.read.parquet("/root/testdata/sf0.01/documents.parquet"))
     out.collect()
     plan = out._jdf.queryExecution().executedPlan().toString()
     plan = plan[: plan.index("== Initial Plan ==")]

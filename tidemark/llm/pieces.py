@@ -41,8 +41,10 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 MAX_FOLD = 256
 #: Characters of a chunk, and of the part of a chunk that is cut into words at once.
-CHUNK_CHARS = 16_000_000
+CHUNK_CHARS = 32_000_000
 PART_CHARS = 1_500_000
+#: Answers that a task packs at once.
+ANSWER_ROWS = 1 << 19
 #: Vocabularies of more pieces are joined without a broadcast.
 BROADCAST_PIECES = 1 << 18
 UNKNOWN_PENALTY = 10.0
@@ -397,10 +399,13 @@ def _pack(docs: pa.Table, units: pa.Array, *arrays: np.ndarray) -> bytes:
         with pa.ipc.new_stream(block, table.schema) as writer:
             writer.write_table(table)
         sink.write(block.tell().to_bytes(8, "little") + block.getvalue())
-    for x in arrays:
-        planes = np.ascontiguousarray(x.astype("<i4")).view(np.uint8).reshape(-1, 4).T.tobytes()
-        sink.write(len(planes).to_bytes(8, "little") + planes)
-    return zstandard.compress(sink.getvalue(), 3)
+    sink.write(_planes(*arrays))
+    return zstandard.compress(sink.getvalue(), 6)
+
+
+def _planes(*arrays: np.ndarray) -> bytes:
+    planes = [np.ascontiguousarray(x.astype("<i4")).view(np.uint8).reshape(-1, 4).T.tobytes() for x in arrays]
+    return b"".join(len(x).to_bytes(8, "little") + x for x in planes)
 
 
 def _blocks(packed: bytes):
@@ -458,18 +463,46 @@ def _gather(values: np.ndarray, offsets: np.ndarray, picks: np.ndarray) -> tuple
     return values[np.arange(total) + shift], lengths
 
 
-def _unit_ids(units: pa.Array, wanted: np.ndarray, right: pa.Table, vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
+def packed_answers(answers: DataFrame) -> DataFrame:
+    """(chunk, packed) from (chunk, at, symbols): the answers of a task for each chunk, compressed. A unit without symbols has length -1."""
+
+    def packed(batches: list[pa.RecordBatch]) -> pa.RecordBatch:
+        table = pa.Table.from_batches(batches).combine_chunks().sort_by([("chunk", "ascending"), ("at", "ascending")])
+        chunk, at, symbols = table.column("chunk").to_numpy(), table.column("at").to_numpy(), table.column("symbols").combine_chunks()
+        lengths = pc.fill_null(symbols.value_lengths(), -1).to_numpy(zero_copy_only=False)
+        values, ends = symbols.flatten().to_numpy(), np.concatenate(([0], np.cumsum(np.maximum(lengths, 0))))
+        cuts = [0, *(np.flatnonzero(np.diff(chunk)) + 1).tolist(), len(chunk)]
+        blobs = [zstandard.compress(_planes(np.diff(at[a:b], prepend=0), lengths[a:b], values[ends[a] : ends[b]]), 1) for a, b in itertools.pairwise(cuts)]
+        return pa.RecordBatch.from_arrays([pa.array(chunk[cuts[:-1]]), pa.array(blobs, pa.binary())], ["chunk", "packed"])
+
+    def run(batches):
+        held, n = [], 0
+        for batch in batches:
+            if batch.num_rows:
+                held.append(batch)
+                n += batch.num_rows
+            if n >= ANSWER_ROWS:
+                yield packed(held)
+                held, n = [], 0
+        if held:
+            yield packed(held)
+
+    return answers.select("chunk", "at", "symbols").mapInArrow(run, "chunk long, packed binary")
+
+
+def _unit_ids(units: pa.Array, wanted: np.ndarray, answers: list[bytes], vocabulary: Vocabulary) -> tuple[np.ndarray, np.ndarray]:
     """The ids of a chunk's units, ragged: from their lattices, from the heap, or of their characters alone."""
-    right = right.sort_by("at")
-    if not np.array_equal(right.column("at").to_numpy(), np.flatnonzero(wanted)):
+    columns = [[_numbers(x) for x in _blocks(a)] for a in answers]
+    at, lengths, values = (np.concatenate([np.zeros(0, np.int32), *c]) for c in ((np.cumsum(x[0]) for x in columns), (x[1] for x in columns), (x[2] for x in columns)))
+    if not np.array_equal(np.sort(at), np.flatnonzero(wanted)):
         raise ValueError("the documents came in other chunks the second time; write them as a table first")
-    symbols = right.column("symbols").combine_chunks()
     found = np.zeros(len(units), bool)
-    found[np.flatnonzero(wanted)[symbols.is_valid().to_numpy(zero_copy_only=False)]] = True
+    found[at[lengths >= 0]] = True
     rest = [encode_long(u, vocabulary) if len(u) > MAX_FOLD else [-1 - ord(c) for c in u] for u in units.filter(pa.array(~found)).to_pylist()]
-    values, offsets = _ragged(pa.concat_arrays([symbols.drop_null(), pa.array(rest, pa.list_(pa.int32()))]))
+    values = np.concatenate((values, np.fromiter(itertools.chain.from_iterable(rest), np.int32)))
+    offsets = np.concatenate(([0], np.cumsum(np.concatenate((lengths[lengths >= 0], np.array([len(x) for x in rest], np.int64)))))).astype(np.int64)
     order = np.empty(len(units), np.int64)
-    order[np.concatenate((np.flatnonzero(found), np.flatnonzero(~found)))] = np.arange(len(units))
+    order[np.concatenate((at[lengths >= 0], np.flatnonzero(~found)))] = np.arange(len(units))
     values, lengths = _gather(values, offsets, order)
     # Each symbol stands for one id, or for the bytes of an unknown character.
     known, picks = np.unique(values, return_inverse=True)
@@ -495,15 +528,15 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary | None = None, chun
     chunks = docs.select("doc_id", "text").mapInArrow(_Packer(vocabulary.cutter(), chunk_chars), "chunk long, packed binary").repartition(deal, "chunk")
     held = chunk_units(chunks)
     encoded = encode_units(held.select("unit").distinct(), vocabulary)
-    answers = held.join(encoded, "unit", "left").select("chunk", "at", "symbols")
+    answers = packed_answers(held.join(encoded, "unit", "left"))
     piece_bytes = vocabulary.piece_bytes()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         out = []
         for packed in left.column("packed").to_pylist():
-            unit_block, doc_block, *blocks = _blocks(packed)
+            _, doc_block, *blocks = _blocks(packed)
             docs, words, n, parts = _table(doc_block), *map(_numbers, blocks)
-            values, offsets = _unit_ids(*_units_of(packed), right, vocabulary)
+            values, offsets = _unit_ids(*_units_of(packed), right.column("packed").to_pylist(), vocabulary)
             values, lengths = _gather(values, offsets, _zero_as_new(parts))
             offsets = np.concatenate(([0], np.cumsum(lengths)))[np.concatenate(([0], np.cumsum(n))).astype(np.int64)]  # now of words
             spelled = [b"".join([piece_bytes.get(i, b"\xef\xbf\xbd") for i in values[a:b].tolist()]) for a, b in itertools.pairwise(offsets.tolist())]
