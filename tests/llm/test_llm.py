@@ -378,7 +378,7 @@ def test_documents_are_read_once(spark):
     out.collect()
     plan = out._jdf.queryExecution().executedPlan().toString()
     plan = plan[: plan.index("== Initial Plan ==")]
-    assert plan.count("FileScan") == 1 and plan.count("ReusedExchange") == 2
+    assert plan.count("FileScan") == 1 and plan.count("ReusedExchange") == 3
 
 
 def test_viterbi_of_a_unigram_model(spark):

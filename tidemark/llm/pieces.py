@@ -41,7 +41,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 MAX_FOLD = 256
 #: Characters of a chunk, and of the part of a chunk that is cut into words at once.
-CHUNK_CHARS = 32_000_000
+CHUNK_CHARS = 16_000_000
 PART_CHARS = 1_500_000
 #: Answers that a task packs at once.
 ANSWER_ROWS = 1 << 19
@@ -140,7 +140,7 @@ def piece_table(spark: SparkSession, vocabulary: Vocabulary) -> DataFrame:
 
 
 def lattices(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(unit, n, edges): the lattice of each distinct unit.
+    """(unit, n, edges) and the other columns of ``units``: the lattice of each distinct unit.
 
     Merges need no edges of one character. For Viterbi each character has one, without an id
     if it is unknown. A unit without edges has no row.
@@ -150,14 +150,16 @@ def lattices(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
     pieces = piece_table(units.sparkSession, vocabulary)
     if len(vocabulary.ids) <= BROADCAST_PIECES:
         pieces = F.broadcast(pieces)
-    starts = units.select("unit", F.length("unit").alias("n")).where(n >= shortest).select("unit", "n", F.explode(F.sequence(F.lit(0), n - shortest)).alias("a"))
-    ends = starts.select("unit", "n", "a", F.explode(F.sequence(a + shortest, F.least(a + vocabulary.longest, n))).alias("b"))
-    spelled = ends.where(b - a >= shortest).select("unit", "n", "a", "b", F.substring("unit", a + 1, b - a).alias("piece"))
+    more = [c for c in units.columns if c != "unit"]
+    sized = units.withColumn("n", F.length("unit"))
+    starts = sized.withColumn("a", F.explode(F.when(n >= shortest, F.sequence(F.lit(0), n - shortest))))
+    ends = starts.withColumn("b", F.explode(F.sequence(a + shortest, F.least(a + vocabulary.longest, n))))
+    spelled = ends.where(b - a >= shortest).withColumn("piece", F.substring("unit", a + 1, b - a))
     if bpe:
         edges, edge = spelled.join(pieces, "piece"), _packed(a, b)
     else:
         edges, edge = spelled.join(pieces, "piece", "left").where("id is not null or b = a + 1"), F.struct("a", "b", "id", "score")
-    return edges.groupBy("unit").agg(F.first("n").alias("n"), F.collect_list(edge).alias("edges"))
+    return edges.groupBy("unit").agg(F.first("n").alias("n"), *[F.first(c).alias(c) for c in more], F.collect_list(edge).alias("edges"))
 
 
 def _packed(a: Column, b: Column) -> Column:
@@ -223,7 +225,7 @@ def viterbi_fold(edges: Column, n: Column, unknown_score: float) -> Column:
 
 
 def encode_units(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
-    """(unit, symbols) for distinct units of at most ``MAX_FOLD`` characters: an id, or minus one minus the code point of a character in no edge.
+    """(unit, symbols) and the other columns of ``units``, for distinct units of at most ``MAX_FOLD`` characters: an id, or minus one minus the code point of a character in no edge.
 
     Units that no piece has two characters of have no row: they are their characters.
     """
@@ -242,7 +244,7 @@ def encode_units(units: DataFrame, vocabulary: Vocabulary) -> DataFrame:
         F.sequence(F.lit(0), F.size("bounds") - 2),
         lambda p: _let(F.get("bounds", p), lambda a: F.coalesce(id_of(F.element_at(F.col("spans"), a * _SPAN + F.get("bounds", p + 1))), character(a))),
     )
-    return found.withColumn("spans", spans).withColumn("bounds", bounds).select("unit", symbols.alias("symbols"))
+    return found.withColumn("spans", spans).withColumn("bounds", bounds).select(*units.columns, symbols.alias("symbols"))
 
 
 def encode_long(unit: str, vocabulary: Vocabulary) -> list[int]:
@@ -388,7 +390,7 @@ def _new_as_zero(numbers: np.ndarray) -> np.ndarray:
 
 def _zero_as_new(numbers: np.ndarray) -> np.ndarray:
     new = numbers == 0
-    return np.where(new, np.cumsum(new) - 1, numbers - 1)
+    return np.where(new, np.cumsum(new, dtype=np.int32) - 1, numbers - 1)
 
 
 def _pack(docs: pa.Table, units: pa.Array, *arrays: np.ndarray) -> bytes:
@@ -526,9 +528,12 @@ def encode_documents(docs: DataFrame, vocabulary: Vocabulary | None = None, chun
     deal = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     # One exchange serves the units and the documents; its count keeps it from being merged by size, as a row is seconds of work.
     chunks = docs.select("doc_id", "text").mapInArrow(_Packer(vocabulary.cutter(), chunk_chars), "chunk long, packed binary").repartition(deal, "chunk")
-    held = chunk_units(chunks)
-    encoded = encode_units(held.select("unit").distinct(), vocabulary)
-    answers = packed_answers(held.join(encoded, "unit", "left"))
+    # One exchange serves both sides of the join as well: the bounds, which always hold, keep all columns in use on both.
+    held = chunk_units(chunks).where("unit is not null").repartition("unit")
+    distinct = held.groupBy("unit").agg(F.max("chunk").alias("last_chunk"), F.max("at").alias("last_at"))
+    encoded = encode_units(distinct, vocabulary).withColumnRenamed("unit", "found")
+    bounds = (F.col("chunk") <= F.col("last_chunk")) & (F.col("at") <= F.col("last_at"))
+    answers = packed_answers(held.join(encoded, (F.col("unit") == F.col("found")) & bounds, "left"))
     piece_bytes = vocabulary.piece_bytes()
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
