@@ -219,33 +219,82 @@ def test_redaction_of_odd_rows(odd):
     assert secrets.redact("x password=abcdefghijkl1 y") == "x [SECRET] y"
 
 
+def mix_brute(rows, budget=1.5):
+    """The mix item by item: queues of each source in ticket order, all copies by finish time, cut at the budget."""
+    by = {}
+    for i, (doc_id, source, text) in enumerate(rows):
+        size = len(re.findall(mixing.WORD, text or ""))
+        row = hashlib.md5((text or "").encode()).hexdigest()[:16]
+        by.setdefault(source, []).append((hashlib.md5(f"42|{'null' if doc_id is None else doc_id}|{row}".encode()).hexdigest(), i, size))
+    names = sorted(by, key=lambda s: (s is None, s))
+    total = {s: sum(z for _, _, z in by[s]) for s in names}
+    weight = {s: mixing.WEIGHTS[k % 3] for k, s in enumerate(names)}
+    capped, everything = set(), sum(total.values())
+    while True:
+        free = [s for s in names if s not in capped]
+        level = (budget * everything - sum(2 * total[s] for s in capped)) / max(1, sum(weight[s] for s in free))
+        over = {s for s in free if weight[s] * level > 2 * total[s]}
+        if not over:
+            break
+        capped |= over
+    target = {s: 2 * total[s] if s in capped else weight[s] * level for s in names}
+    items, taken = [], [0] * len(rows)
+    for k, s in enumerate(names):
+        end = 0
+        for _, i, size in sorted(by[s]):
+            end += size
+            items += [((end + e * total[s]) / target[s], k, end + e * total[s], i, size) for e in (0, 1) if size]
+    left = int(budget * everything)
+    for _, _, _, i, size in sorted(items):
+        taken[i] += min(size, left)
+        left -= min(size, left)
+    return taken, target
+
+
 def test_mixing_near_targets_and_within_copies(spark, docs, odd):
     for table in (docs, odd):
+        rows = [(r.doc_id, r.source, r.text) for r in table.collect()]
+        want, target = mix_brute(rows)
         got = mixing.mix_documents(table).collect()
         assert len(got) == table.count() and all(0 <= r.taken <= 2 * r.size for r in got)
         assert sorted(map(tuple, got)) == sorted(map(tuple, mixing.mix_documents(table.repartition(3)).collect())) if all(r.doc_id is not None for r in got) else True
-        assert abs(sum(r.taken for r in got) - 1.5 * sum(r.size for r in got)) <= 25
-        by = {}
+        assert sum(r.taken for r in got) == int(1.5 * sum(r.size for r in got))
+        assert sorted((str(r.doc_id), r.taken) for r in got) == sorted((str(i), t) for (i, _, _), t in zip(rows, want, strict=True))
+        sums, largest = {}, {}
         for r in got:
-            by.setdefault((r.source_size, r.target), []).append(r.taken)
+            key = (r.source_size, r.target)
+            sums[key] = sums.get(key, 0) + r.taken
+            largest[key] = max(largest.get(key, 0), r.size)
         if table is docs:
-            assert all(abs(sum(v) - t) < 1 for (_, t), v in by.items())
+            assert all(abs(v - key[1]) <= largest[key] for key, v in sums.items())
+            assert sorted(t for _, t in sums) == pytest.approx(sorted(target.values()))
     assert mixing.mix_documents(docs.limit(0)).count() == 0
 
 
 def test_mixing_buckets_change_nothing(spark, monkeypatch):
-    rows = spark.range(500).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise("cold").alias("source"), (F.col("id") % 17).alias("size"))
+    rows = spark.range(500).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "hot").otherwise("cold").alias("source"), (F.col("id") % 17).alias("size"), F.lit("").alias("row"))
     whole = sorted(map(tuple, mixing.mix_plan(rows).collect()))
     monkeypatch.setattr(mixing, "BUCKET_ROWS", 7)
+    monkeypatch.setattr(mixing.crossing, "__defaults__", (11,))
     assert sorted(map(tuple, mixing.mix_plan(rows).collect())) == whole
 
 
-def test_mixed_rows_follow_the_plan(docs):
-    plan = mixing.mix_documents(docs).collect()
-    out = mixing.mixed_documents(docs)
-    assert out.columns == docs.columns
-    words = out.select(F.sum(mixing.word_count(F.col("text")))).first()[0]
-    assert words == sum(r.taken for r in plan)
+def test_mixed_rows_follow_the_plan(docs, odd):
+    for table in (docs, odd):
+        plan = mixing.mix_documents(table).collect()
+        out = mixing.mixed_documents(table)
+        assert out.columns == table.columns
+        got = out.select("doc_id", mixing.word_count(F.col("text")).alias("words")).collect()
+        assert sum(r.words for r in got) == sum(r.taken for r in plan)
+        sums = {}
+        for r in got:
+            sums[r.doc_id] = sums.get(r.doc_id, 0) + r.words
+        want = {}
+        for r in plan:
+            want[r.doc_id] = want.get(r.doc_id, 0) + r.taken
+        assert sums == {i: w for i, w in want.items() if i in sums} and all(w == 0 for i, w in want.items() if i not in sums)
+        assert {r.doc_id for r in plan if r.size == 0} <= set(sums)
+    assert mixing.mixed_documents(docs.limit(0)).count() == 0
 
 
 def embeddings(spark):
@@ -378,7 +427,7 @@ def test_documents_are_read_once(spark):
     out.collect()
     plan = out._jdf.queryExecution().executedPlan().toString()
     plan = plan[: plan.index("== Initial Plan ==")]
-    assert plan.count("FileScan") == 1 and plan.count("ReusedExchange") == 3
+    assert plan.count("FileScan") == 1 and plan.count("ReusedExchange") >= 2
 
 
 def test_viterbi_of_a_unigram_model(spark):

@@ -236,7 +236,8 @@ def keep_one(docs: DataFrame, radius: int = 3) -> DataFrame:
     chosen = found.groupBy("component").agg(least).select(F.col("least.doc_id").alias("keep_id"), F.col("least.fp").alias("keep_fp"))
     copies = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("copies"))
     chosen, _ = materialize(chosen.join(copies, chosen["keep_id"] == copies["doc_id"], "left").select("keep_id", "keep_fp", "copies"), "kept")
-    single = docs.join(chosen.where("copies = 1").select("keep_id"), F.col("doc_id") == F.col("keep_id"), "left_semi")
+    # The kept ids grow with the corpus, so they are joined by key at every size.
+    single = docs.join(chosen.where("copies = 1").select("keep_id").hint("merge"), F.col("doc_id") == F.col("keep_id"), "left_semi")
     # Only rows of a repeated id or of none are looked at again: those kept have the fingerprint chosen.
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __fp long"
     at = docs.columns.index("text")
