@@ -339,6 +339,23 @@ def test_vector_links_match_brute_force(spark, cell_rows, monkeypatch):
     assert all(got[i].n_links == 0 and got[i].kept for i in (6000, 6001, 6002, 6003, 6004, 6005))
 
 
+def test_pairs_at_the_edge_of_a_share_are_met(spark):
+    """Equal vectors at a threshold of one, and pairs whose whole distance lies in one block."""
+    rng = np.random.default_rng(6)
+    base = rng.standard_normal((40, 8))
+    rows = [(int(2 * i), v.tolist(), 0) for i, v in enumerate(base)] + [(int(2 * i + 1), (3 * v).tolist(), 0) for i, v in enumerate(base)]
+    got = {r.vec_id: r for r in vector_dedup.dedup_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int"), threshold=1.0 - 1e-12).collect()}
+    assert all(got[2 * i + 1].component_id == 2 * i and got[2 * i].n_links == 1 for i in range(40))
+    turn = vector_dedup.rotation(8)
+    for b, (lo, hi) in enumerate(vector_dedup.edges_of_blocks(8, 4)):
+        x = np.zeros((2, 8))
+        x[:, (lo + 4) % 8] = 1.0
+        x[1, lo] = np.sqrt(1 / 0.98**2 - 1) * (1 - 1e-9)  # a cosine just above 0.98
+        pair = spark.createDataFrame([(i, v.tolist(), 0) for i, v in enumerate(x @ turn.T)], "vec_id long, embedding array<double>, label int")
+        assert [r.n_links for r in vector_dedup.dedup_vectors(pair).collect()] == [1, 1], b
+    assert vector_dedup.dedup_vectors(spark.createDataFrame([], "vec_id long, embedding array<double>, label int")).count() == 0
+
+
 def test_nearest_recall_and_exact_scores(spark):
     table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet")
     rows = table.collect()
@@ -375,6 +392,38 @@ def test_nearest_among_near_copies_that_share_a_code(spark):
         assert [i for _, i in sorted(found)] == ids[np.lexsort((ids, -s))[:20]].tolist()
 
 
+@pytest.mark.parametrize("n", [400, 1500, 5000])
+def test_nearest_over_many_blocks(spark, monkeypatch, n):
+    monkeypatch.setattr(ann, "CANDIDATE_BLOCK", 128)
+    monkeypatch.setattr(ann, "QUERY_BLOCK", 40)
+    table = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").orderBy("vec_id").limit(n)
+    rows = table.collect()
+    ids, x = np.array([r.vec_id for r in rows]), np.array([r.embedding for r in rows], dtype=np.float64)
+    got = {}
+    for r in ann.nearest_vectors(table).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    for q in ids[ids % 20 == 0]:
+        s = x @ x[ids == q][0]
+        s[ids == q] = -np.inf
+        assert got[q] == set(ids[np.lexsort((ids, -s))[:20]].tolist())
+
+
+@pytest.mark.parametrize("books", [1000, 1])
+def test_nearest_of_every_length(spark, monkeypatch, books):
+    """Rare lengths get a codebook of their own; lengths beyond the bound are scored exactly."""
+    monkeypatch.setattr(ann.build_index, "__defaults__", (50, books))
+    rng = np.random.default_rng(9)
+    rows = [(int(i), rng.standard_normal(d).tolist()) for d, at in ((8, 0), (5, 4000), (3, 8000)) for i in range(at, at + (3000 if d == 8 else 400))]
+    got = {}
+    for r in ann.nearest_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), every=100).collect():
+        got.setdefault(r.query_id, []).append((r.rank, r.vec_id))
+    assert len(got) == sum(i % 100 == 0 for i, _ in rows)
+    for q, found in got.items():
+        v = next(np.array(v) for i, v in rows if i == q)
+        scores = sorted((-float(np.array(w) @ v), i) for i, w in rows if i != q and len(w) == len(v))
+        assert [i for _, i in sorted(found)] == [i for _, i in scores[:20]]
+
+
 def test_nearest_of_odd_rows(spark):
     _, table = embeddings(spark)
     got = ann.nearest_vectors(table).collect()
@@ -464,6 +513,8 @@ def test_warc_round_trip_and_lookup(spark, tmp_path):
     wanted = spark.createDataFrame([("http://a.com/",), ("https://A.com",), ("http://none.org/",), (None,)], "url string")
     found = index.lookup(wanted).collect()
     assert {r.page_id for r in found} == {2, 3} and {r.payload for r in found} == {big.encode(), b"small"}
+    digest = sorted(map(str, warc.archive_pages(pages).collect()))
+    assert digest == sorted(map(str, index.read_all().select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()))
     assert warc.url_key("https://www.A.com:8/p?q#f") == "com,a,www:8)/p?q"
     assert warc.archive_pages(pages.limit(0)).count() == 0
 

@@ -28,8 +28,10 @@ from tidemark.session import materialize
 
 WIDTH = 2
 CENTRES = 16
-#: Vectors the codebooks are fitted on, those of least hashed id; every row is indexed.
+#: Vectors that the codebook of one length is fitted on, about, by hashed id; every row is indexed.
 SAMPLE_ROWS = 20_000
+#: Lengths with a codebook, the most frequent first. Vectors of any other length are all scored exactly.
+MAX_BOOKS = 1000
 PARALLEL_THRESHOLD = 0.2
 NEAREST = 20
 RERANK = 100
@@ -121,17 +123,15 @@ def train(x: np.ndarray, rounds: int = 8, seed: int = 3) -> Codebook:
     return Codebook(centres, eta)
 
 
-def build_index(entries: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[DataFrame, dict[int, Codebook]]:
+def build_index(entries: DataFrame, sample_rows: int = SAMPLE_ROWS, max_books: int = MAX_BOOKS) -> tuple[DataFrame, dict[int, Codebook]]:
     """(vec_id, dim, embedding, code, bound) for every entry, and the codebook of each vector length."""
-    sample = entries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample_rows).select("embedding").collect()
-    by_dim: dict[int, list] = {}
-    for r in sample:
-        by_dim.setdefault(len(r["embedding"]), []).append(r["embedding"])
-    lengths = [r["dim"] for r in entries.select(F.size("embedding").alias("dim")).distinct().limit(1001).collect()]
-    if len(lengths) > 1000:
-        raise ValueError("vectors of more than 1000 different lengths")
-    # A length that the sample has no vector of gets codes of nothing: its blocks are ranked exactly.
-    books = {d: train(np.array(by_dim.get(d, [[0.0] * d]), dtype=np.float64)) for d in lengths}
+    sized = entries.withColumn("dim", F.size("embedding"))
+    books = {}
+    for r in sized.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(max_books).collect():
+        share = -(-r["n"] // sample_rows)  # one row of so many is looked at
+        sample = sized.where((F.col("dim") == r["dim"]) & (F.pmod(F.xxhash64("vec_id"), F.lit(share)) == 0)).limit(2 * sample_rows).select("embedding").collect()
+        sample = sample or sized.where(F.col("dim") == r["dim"]).limit(sample_rows).select("embedding").collect()
+        books[r["dim"]] = train(np.array([x["embedding"] for x in sample], dtype=np.float64))
 
     def run(batches):
         for batch in batches:
@@ -139,8 +139,9 @@ def build_index(entries: DataFrame, sample_rows: int = SAMPLE_ROWS) -> tuple[Dat
             for dim in np.unique(dims).tolist():
                 part = batch.filter(pa.array(dims == dim))
                 x = matrix(part.column(2))
-                codes = books[dim].encode(x)
-                bounds = pa.array(books[dim].bounds(x, codes), pa.float64())
+                book = books.get(dim)
+                codes = book.encode(x) if book else np.zeros((len(x), 0), np.uint8)
+                bounds = pa.array(book.bounds(x, codes) if book else np.full(len(x), np.inf), pa.float64())
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.tobytes() for c in codes], pa.binary()), bounds], ["vec_id", "dim", "embedding", "code", "bound"])
 
     kind = entries.schema["embedding"].dataType.simpleString()
@@ -174,7 +175,7 @@ def scan_block(table: pa.Table, books: dict[int, Codebook], k: int, rerank: int)
     if not queries.num_rows or not candidates.num_rows:
         return pa.table({"query_id": pa.array([], pa.int64()), "query": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
     candidates = candidates.sort_by("vec_id")
-    book = books[table.column("dim")[0].as_py()]
+    book = books.get(table.column("dim")[0].as_py())
     x, ids, bounds = matrix(candidates.column("embedding")), candidates.column("vec_id").to_numpy(), candidates.column("bound").to_numpy()
     codes = np.frombuffer(b"".join(candidates.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
     columns = [np.ascontiguousarray(codes[:, j]) for j in range(codes.shape[1])]
@@ -184,8 +185,8 @@ def scan_block(table: pa.Table, books: dict[int, Codebook], k: int, rerank: int)
     out = []
     for at in range(0, len(q), _SLICE):
         part = q[at : at + _SLICE]
-        tables = book.tables(part)
-        sums = np.zeros((len(tables), len(ids)), np.float32)
+        tables = book.tables(part) if book else None
+        sums = np.zeros((len(part), len(ids)), np.float32)
         for j, column in enumerate(columns):
             sums += np.take(tables[:, j], column, axis=1)
         own = ids[None, :] == q_ids[at : at + _SLICE, None]  # a query's own row is no candidate

@@ -55,10 +55,16 @@ def _cells(y: np.ndarray, lo: int, grid: int, reach: float) -> tuple[np.ndarray,
     width = GRID_WIDTH * reach
     x = y[:, lo : lo + grid]
     own = np.floor(x / width).astype(np.int64)
-    return own, x - own * width <= reach * (1 + _SLACK) + _SLACK
+    return own, x - own * width <= reach * (1 + _SLACK)
 
 
-def _deal(nodes: DataFrame, grid: int, budget: float, blocks: int) -> DataFrame:
+def _shares(dim: int, threshold: float, blocks: int) -> list[float]:
+    """The squared distance allowed in each block; the grid's reach is its root, so that both agree on every pair."""
+    budget = max(0.0, 2.0 - 2.0 * threshold)
+    return [budget * (hi - lo) / dim * (1 + _SLACK) + _SLACK for lo, hi in edges_of_blocks(dim, blocks)]
+
+
+def _deal(nodes: DataFrame, grid: int, threshold: float, blocks: int) -> DataFrame:
     """One row per node, block and cell it sits or is a guest in."""
     keys = ["label", "dim", "rep", "mult", "embedding"]
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in nodes.select(*keys).schema)
@@ -71,7 +77,7 @@ def _deal(nodes: DataFrame, grid: int, budget: float, blocks: int) -> DataFrame:
                 y = _unit(matrix(part.column(4))) @ rotation(dim)
                 for b, (lo, hi) in enumerate(edges_of_blocks(dim, blocks)):
                     g = min(grid, hi - lo)
-                    own, near = _cells(y, lo, g, math.sqrt(budget * (hi - lo) / dim))
+                    own, near = _cells(y, lo, g, math.sqrt(_shares(dim, threshold, blocks)[b]))
                     for guest in itertools.product((0, 1), repeat=g):
                         down = np.array(guest, bool)
                         rows = np.nonzero(near[:, down].all(axis=1))[0]
@@ -93,11 +99,9 @@ def _verify(table: pa.Table, threshold: float, grid: int, blocks: int) -> pa.Tab
     x = matrix(table.column("embedding"))
     norms = np.linalg.norm(x, axis=1)
     y = _unit(x) @ rotation(dim)
-    budget = 2.0 - 2.0 * threshold
-    spans = edges_of_blocks(dim, blocks)
-    shares = [budget * (hi - lo) / dim * (1 + _SLACK) + _SLACK for lo, hi in spans]
+    spans, shares = edges_of_blocks(dim, blocks), _shares(dim, threshold, blocks)
     lo, hi = spans[block]
-    own, _ = _cells(y, lo, len(cell), math.sqrt(budget * (hi - lo) / dim))
+    own, _ = _cells(y, lo, len(cell), math.sqrt(shares[block]))
     reps, mult, part = (table.column(c).to_numpy() for c in ("rep", "mult", "own"))
     left = np.nonzero(part == first)[0]
     right = np.nonzero(part == second)[0]
@@ -157,7 +161,7 @@ def link_vectors(nodes: DataFrame, threshold: float = THRESHOLD, blocks: int = B
     largest = nodes.groupBy("label", "dim").count().agg(F.max("count")).first()[0] or 0
     # Each grid coordinate leaves about half of a label's nodes together: as many as bring a cell to its bound.
     grid = min(MAX_GRID, max(1, math.ceil(math.log2(max(1, largest) / cell_rows))))
-    dealt, _ = materialize(_deal(nodes, grid, 2.0 - 2.0 * threshold, blocks), "cells")
+    dealt, _ = materialize(_deal(nodes, grid, threshold, blocks), "cells")
     key = ["label", "dim", "block", "cell"]
     sizes = dealt.groupBy(*key).agg(F.count("*").alias("n")).where("n > 1").withColumn("k", F.ceil(F.col("n") / cell_rows).cast("int"))
     pairs = F.transform(

@@ -9,8 +9,7 @@ largest page_id, and revisited by the others.
 Index: captures sorted by reversed-host URL key over all tasks become compressed blocks of
 bounded size; a sparse directory holds the first key of every block (or of every few blocks,
 so that it never exceeds its bound). A lookup binary-searches the directory for each key,
-opens the block, and range-reads the records it names. Reading everything back opens all
-blocks and range-reads archive by archive.
+opens the block, and range-reads the records it names, neighbours of one archive together.
 """
 
 from __future__ import annotations
@@ -33,6 +32,8 @@ BLOCK_CAPTURES = 3000
 DIRECTORY_ROWS = 1_000_000
 READ_GAP = 1 << 16
 READ_SPAN = 8 << 20
+#: Archive bytes that one reading task takes, where there are more than the session's partitions of them.
+TASK_BYTES = 64 << 20
 ARCHIVE_BYTES = 256 << 20
 CAPTURE = "key string, archive string, at long, length long"
 
@@ -92,7 +93,8 @@ def mark_revisits(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame
     """(page_id, url, html, size, sha1, refers_to): the response's id where a record revisits it.
 
     One row per shared digest is joined back, so a digest that a third of the pages share is
-    pre-aggregated first and split by adaptive execution in the join.
+    pre-aggregated first and split by adaptive execution in the join. Payloads too small to be
+    revisited share no key, whatever they hold.
     """
     payload = F.encode(F.coalesce("html", F.lit("")), "UTF-8")
     sized = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html"), F.octet_length(payload).cast("long").alias("size"), F.sha1(payload).alias("sha1"))
@@ -101,7 +103,9 @@ def mark_revisits(pages: DataFrame, min_revisit: int = MIN_REVISIT) -> DataFrame
         .where("n > 1 and response is not null")
         .select("sha1", "size", "response")
     )
-    return sized.join(shared, ["sha1", "size"], "left").select(
+    key = F.when(F.col("size") >= min_revisit, F.concat_ws(":", "sha1", "size")).otherwise(F.xxhash64("page_id", "url").cast("string"))
+    keyed = sized.withColumn("key", key)
+    return keyed.join(shared.select(F.concat_ws(":", "sha1", "size").alias("key"), "response"), "key", "left").select(
         "page_id", "url", "html", "size", "sha1",
         F.when(~F.col("page_id").eqNullSafe(F.col("response")), F.col("response")).alias("refers_to"),
     )
@@ -153,19 +157,19 @@ def write_archives(pages: DataFrame, folder: str, min_revisit: int = MIN_REVISIT
 
 
 def build_index(captures: DataFrame, block_captures: int = BLOCK_CAPTURES) -> DataFrame:
-    """(first_key, last_key, n, block): captures in key order as compressed blocks."""
+    """(first_key, last_key, n, bytes, block): captures in key order as compressed blocks, and the bytes their records take."""
 
     def run(batches):
         held: list[tuple] = []
 
         def pack(rows):
             lines = "\n".join("\x1f".join((k.encode("unicode_escape").decode(), a, str(o), str(n))) for k, a, o, n in rows)
-            return rows[0][0], rows[-1][0], len(rows), zlib.compress(lines.encode(), 6)
+            return rows[0][0], rows[-1][0], len(rows), sum(r[3] for r in rows), zlib.compress(lines.encode(), 6)
 
         def emit(blocks):
             columns = list(zip(*blocks, strict=True))
-            kinds = (pa.string(), pa.string(), pa.int32(), pa.binary())
-            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["first_key", "last_key", "n", "block"])
+            kinds = (pa.string(), pa.string(), pa.int32(), pa.int64(), pa.binary())
+            return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], ["first_key", "last_key", "n", "bytes", "block"])
 
         for batch in batches:
             held += zip(*(c.to_pylist() for c in batch.columns), strict=True)
@@ -176,7 +180,7 @@ def build_index(captures: DataFrame, block_captures: int = BLOCK_CAPTURES) -> Da
             yield emit([pack(held)])
 
     # The order of equal keys is that of their records, so one hot URL may span many blocks and tasks.
-    return captures.repartitionByRange("key", "archive", "at").sortWithinPartitions("key", "archive", "at").mapInArrow(run, "first_key string, last_key string, n int, block binary")
+    return captures.repartitionByRange("key", "archive", "at").sortWithinPartitions("key", "archive", "at").mapInArrow(run, "first_key string, last_key string, n int, bytes long, block binary")
 
 
 def unpack_block(block: bytes) -> list[tuple[str, str, int, int]]:
@@ -196,10 +200,12 @@ def open_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.select("block").mapInArrow(run, CAPTURE)
 
 
-def read_records(captures: DataFrame, folder: str, with_payload: bool = False) -> DataFrame:
+def read_records(captures: DataFrame, folder: str, size: int, with_payload: bool = False) -> DataFrame:
     """Range-reads the captures' records, neighbours of one archive together.
 
-    Captures are dealt by archive and stretch of archive, so a large archive is no larger a task.
+    Captures are dealt by archive and stretch of archive, so a large archive is no larger a
+    task. The tasks' number follows ``size``, the bytes of all archives: a capture is a small
+    row and much work.
     """
     columns = ["page_id", "url", "payload_bytes", "payload_digest", "record_type", "refers_to"] + (["payload"] if with_payload else [])
     kinds = {"page_id": pa.int64(), "url": pa.string(), "payload_bytes": pa.int64(), "payload_digest": pa.string(), "record_type": pa.string(), "refers_to": pa.int64(), "payload": pa.binary()}
@@ -230,8 +236,9 @@ def read_records(captures: DataFrame, folder: str, with_payload: bool = False) -
             if wanted:
                 yield read(name, wanted)
 
-    stretch = F.floor(F.col("at") / (8 * READ_SPAN))
-    dealt = captures.select("archive", "at", "length").repartition("archive", stretch).sortWithinPartitions("archive", "at")
+    stretch = F.floor(F.col("at") / READ_SPAN)
+    tasks = max(int(captures.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-size // TASK_BYTES))
+    dealt = captures.select("archive", "at", "length").repartition(tasks, "archive", stretch).sortWithinPartitions("archive", "at")
     schema = "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long" + (", payload binary" if with_payload else "")
     return dealt.mapInArrow(run, schema)
 
@@ -242,6 +249,7 @@ class CaptureIndex:
     def __init__(self, spark: SparkSession, folder: str) -> None:
         self.spark, self.folder = spark, folder
         self.blocks = spark.read.parquet(f"{folder}/index")
+        self.size = self.blocks.agg(F.sum("bytes")).first()[0] or 0
 
     @classmethod
     def write(cls, pages: DataFrame, folder: str | None = None, min_revisit: int = MIN_REVISIT, block_captures: int = BLOCK_CAPTURES) -> CaptureIndex:
@@ -252,7 +260,7 @@ class CaptureIndex:
         return cls(spark, folder)
 
     def read_all(self, with_payload: bool = False) -> DataFrame:
-        return read_records(open_blocks(self.blocks), f"{self.folder}/archives", with_payload)
+        return read_records(open_blocks(self.blocks), f"{self.folder}/archives", self.size, with_payload)
 
     def directory(self, max_rows: int = DIRECTORY_ROWS) -> list[str]:
         """The sparse directory: sorted first keys, of every block or of as many as the bound allows."""
@@ -265,7 +273,10 @@ class CaptureIndex:
     def lookup(self, urls: DataFrame, with_payload: bool = True) -> DataFrame:
         """The records captured of each distinct URL in ``urls`` (column ``url``)."""
         directory = self.directory()
-        as_key = F.udf(url_key)
+
+        def keys(batches):
+            for batch in batches:
+                yield pa.RecordBatch.from_arrays([pa.array([url_key(u) for u in batch.column(0).to_pylist()], pa.string())], ["wanted"])
 
         def slot(keys: pa.Array) -> pa.Array:
             # Blocks from the last first key before a key on may hold it.
@@ -281,23 +292,25 @@ class CaptureIndex:
                     span = range(bisect.bisect_left(directory, first), bisect.bisect_left(directory, last) + 1)
                     yield pa.RecordBatch.from_arrays([pa.array(list(span), pa.int32()), pa.array([block] * len(span), pa.binary())], ["slot", "block"])
 
-        wanted = urls.where("url is not null").select(as_key("url").alias("wanted")).distinct().mapInArrow(slots, "wanted string, slot int")
+        wanted = urls.where("url is not null").select("url").mapInArrow(keys, "wanted string").distinct().mapInArrow(slots, "wanted string, slot int")
         blocks = self.blocks.select("first_key", "last_key", "block").mapInArrow(block_slots, "slot int, block binary")
         # A block spans few slots: one, but for the keys that the bound left out of the directory.
         opened = blocks.join(wanted.select("slot").distinct(), "slot", "left_semi").select("block").distinct()
         captures = open_blocks(opened).join(wanted, F.col("key") == F.col("wanted"), "left_semi")
-        return read_records(captures, f"{self.folder}/archives", with_payload)
+        return read_records(captures, f"{self.folder}/archives", self.size, with_payload)
 
 
 def archive_pages(pages: DataFrame) -> DataFrame:
-    """The op7 digest per page row, from the records read back through the index.
+    """The op7 digest per page row, from the records that the index finds for the pages' URLs.
 
     A null html is an empty payload, a null URL an empty target. Rows that repeat the largest
     page_id of a payload are all its responses; a null page_id revisits like others but is no
-    response that others refer to. Extra columns are not read.
+    response that others refer to. Extra columns are not read, and an empty table gives an
+    empty result.
     """
     index = CaptureIndex.write(pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html"))
-    return index.read_all().select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+    found = index.lookup(pages.select(F.coalesce("url", F.lit("")).alias("url")), with_payload=False)
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 ORACLE_SQL = """
