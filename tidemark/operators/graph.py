@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tidemark.session import drop_path, materialize
 
 
-def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 50) -> DataFrame:
+def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component) for every node of an edge table; the component is its smallest node.
 
     Alternates the large-star and small-star steps: each node hands its larger (then its
@@ -25,7 +25,7 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
         e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
     )
     before = None
-    for _ in range(max_rounds):
+    while True:
         stars = _small_star(_large_star(current))
         following, next_path = materialize(stars, "edges")
         state = following.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
@@ -56,16 +56,25 @@ def _small_star(edges: DataFrame) -> DataFrame:
     )
 
 
-def lineage(parents: DataFrame, child: str = "child", parent: str = "parent", max_levels: int = 8) -> DataFrame:
-    """(node, ancestor, level) up to ``max_levels``; a chain stops before it meets a node again."""
-    p = parents.select(F.col(child).alias("c"), F.col(parent).alias("p")).where("p is not null and c is not null")
-    level = p.select(F.col("c").alias("node"), F.col("p").alias("ancestor"), F.array("c", "p").alias("seen")).where("c <> p")
-    out = level.select("node", "ancestor", F.lit(1).alias("level"))
-    for depth in range(2, max_levels + 1):
-        level = (
+def lineage(parents: DataFrame, child: str = "child", parent: str = "parent") -> DataFrame:
+    """(node, ancestor, level) for all ancestors; a chain stops before it meets a node again.
+
+    One join a level, each written to the shared folder, until no chain goes on. Null ends and
+    rows that name themselves as parent are dropped; an empty table gives an empty result.
+    """
+    p, _ = materialize(parents.select(F.col(child).alias("c"), F.col(parent).alias("p")).where("p is not null and c is not null").distinct(), "parents")
+    level, _ = materialize(p.select(F.col("c").alias("node"), F.col("p").alias("ancestor"), F.array("c", "p").alias("seen")).where("c <> p"), "level")
+    depth, levels = 1, []
+    while not level.isEmpty():
+        levels.append(level.select("node", "ancestor", F.lit(depth).alias("level")))
+        following = (
             level.join(p, level["ancestor"] == p["c"])
             .where(~F.array_contains("seen", F.col("p")))
             .select("node", F.col("p").alias("ancestor"), F.concat("seen", F.array("p")).alias("seen"))
         )
-        out = out.union(level.select("node", "ancestor", F.lit(depth).alias("level")))
+        level, _ = materialize(following, "level")
+        depth += 1
+    out = levels[0] if levels else level.select("node", "ancestor", F.lit(1).alias("level"))
+    for more in levels[1:]:
+        out = out.union(more)
     return out
