@@ -91,6 +91,40 @@ def test_urls_rules_and_model(spark):
     assert (got[11].host, got[11].path) == ("Éa.com", "")
 
 
+def test_urls_of_odd_rows_and_a_given_table(spark):
+    """Every row against rules written plainly; the model's verdict elsewhere."""
+    rows = [(i, u, "x", "y") for i, u in enumerate([None, "", "http://", "http://?", "x" * 50_000, "http://a.com/" + "en/" * 20_000, "http://a.com/en/1", "HTTP://B.NET/DE/1", "http://c.org/es/", "http://example.net/de/8#f"])]
+    rows += [rows[6], rows[6], (None, "http://d.net/de/", None, None)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, host string, verdict string")
+    labelled = spark.createDataFrame([("http://good.com/", 0), ("http://bad.com/", 1), (None, None), ("http://bad.com/", 1)], "url string, unwanted int")
+    got = urls.judge_urls(pages, labelled=labelled).collect()
+    model = urls.train(urls.read_labelled(labelled))
+    assert len(got) == len(rows)
+
+    def brute(url):
+        host, path = "", ""
+        if url and "://" in url:
+            rest = url.split("://", 1)[1]
+            host = re.match("[^/?#]*", rest).group()
+            path = re.match("[^?#]*", rest[len(host):]).group()
+            host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+        fits = [r for r in urls.RULES if (host == r.host or host.endswith("." + r.host)) and path.startswith("/" + r.path)]
+        rule = max(fits, key=lambda r: len(r.text)) if fits else None
+        return host, path, rule.text if rule else None, rule.verdict if rule else ("block" if model.score([host + path])[0] >= 0.5 else "allow")
+
+    want = sorted(((i, *brute(u)) for i, u, _, _ in rows), key=str)
+    assert sorted(((r.page_id, r.host, r.path, r.rule, r.verdict) for r in got), key=str) == want
+    assert urls.judge_urls(pages.limit(0)).count() == 0
+    with pytest.raises(ValueError):
+        urls.read_labelled(labelled, max_rows=2)
+    assert urls.read_labelled(urls.labelled_table(spark)) == sorted(urls.labelled_urls())
+
+
+def test_urls_of_unseen_sites():
+    right = urls.held_out()
+    assert right[1][0] / right[1][1] >= 0.65 and right[0][0] / right[0][1] >= 0.95
+
+
 def test_quality_on_held_out_rows(spark):
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{t}.parquet") for t in ("documents", "labels"))
     scored = quality.score_documents(docs, labels).join(labels, "doc_id").where("held_out")
