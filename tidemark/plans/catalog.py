@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from tidemark.plans import corpus, costs, ingest, intervals, joins, reports, requests, usage
+from tidemark.plans import corpus, costs, ingest, intervals, joins, ledgers, placement, reports, requests, usage
 
-MODULES = (usage, intervals, joins, requests, costs, reports, corpus, ingest)
+MODULES = (usage, intervals, joins, placement, ledgers, requests, costs, reports, corpus, ingest)
 QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
