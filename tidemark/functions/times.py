@@ -20,13 +20,13 @@ def bucket_label(ts: Column, bucket: str, zone: str = "UTC") -> Column:
 
 
 def in_window(ts: Column, since: Column | None, until: Column | None) -> Column:
-    """[since, until): the end is left out, and an unknown instant fails any bound."""
+    """[since, until): the end is left out. An unknown instant gives null under any bound, which a filter drops, so that scans see the plain comparison."""
     ok = F.lit(True)
     if since is not None:
         ok = ok & (ts >= since)
     if until is not None:
         ok = ok & (ts < until)
-    return F.coalesce(ok, F.lit(False))
+    return ok
 
 
 def event_time(occurred: Column, observed: Column) -> Column:

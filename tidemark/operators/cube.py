@@ -41,7 +41,9 @@ def matches(filters: dict[str, tuple[str, ...]]) -> Column:
     """Every filtered dimension has one of its values; ``(none)`` stands for null."""
     ok = F.lit(True)
     for dimension, values in filters.items():
-        ok = ok & F.coalesce(F.col(dimension).cast("string"), F.lit(NONE)).isin(*values)
+        known = [v for v in values if v != NONE]
+        some = F.col(dimension).isin(*known) if known else F.lit(False)
+        ok = ok & (some | F.col(dimension).isNull() if NONE in values else some)
     return ok
 
 
@@ -79,14 +81,17 @@ def top_groups(facts: DataFrame, q: UsageQuery) -> DataFrame:
     """(rank, key, ...): the first ``limit`` groups by the sort measure, nulls last, then ``(other)`` over the facts of the rest."""
     chosen = select_facts(facts, q).where(F.col(q.group).isNotNull())
     ranking = chosen.groupBy(F.col(q.group).alias("key")).agg(F.sum(q.sort).alias("__by"))
-    # One row per group is ranked in one task: as many rows as the dimension has values.
-    ranked = ranking.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("__by"), "key")))
-    labels = ranked.select(
-        F.col("key").alias("__key"),
-        F.when(F.col("rank") <= q.limit, F.col("rank")).otherwise(q.limit + 1).alias("rank"),
-        F.when(F.col("rank") <= q.limit, F.col("key").cast("string")).otherwise(OTHER).alias("key"),
-    )
-    return chosen.join(labels, F.col(q.group) == F.col("__key")).groupBy("rank", "key").agg(*_sums(q, F.col(q.session)))
+    labels = _leading(ranking, q.limit).select(F.col("key").alias("__key"), "rank")
+    labelled = chosen.join(F.broadcast(labels), F.col(q.group) == F.col("__key"), "left")
+    rank = F.coalesce("rank", F.lit(q.limit + 1))
+    key = F.when(F.col("rank").isNull(), OTHER).otherwise(F.col(q.group).cast("string"))
+    return labelled.withColumn("key", key).withColumn("rank", rank).groupBy("rank", "key").agg(*_sums(q, F.col(q.session)))
+
+
+def _leading(ranking: DataFrame, limit: int) -> DataFrame:
+    """The first ``limit`` keys with their rank: each task keeps its own first ones, and only those kept are numbered in one."""
+    first = ranking.orderBy(F.desc_nulls_last("__by"), "key").limit(limit)
+    return first.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("__by"), "key")))
 
 
 def series(facts: DataFrame, q: UsageQuery) -> DataFrame:
@@ -95,8 +100,7 @@ def series(facts: DataFrame, q: UsageQuery) -> DataFrame:
     if q.stack is None:
         return chosen.groupBy("bucket").agg(*_sums(q, F.col(q.session)))
     ranking = chosen.where(F.col(q.stack).isNotNull()).groupBy(F.col(q.stack).alias("key")).agg(F.sum(q.sort).alias("__by"))
-    ranked = ranking.withColumn("rank", F.row_number().over(Window.orderBy(F.desc_nulls_last("__by"), "key")))
-    keep = ranked.where(F.col("rank") <= (q.limit or 1_000_000)).select(F.col("key").alias("__key"))
+    keep = (_leading(ranking, q.limit) if q.limit else ranking).select(F.col("key").alias("__key"))
     labelled = chosen.join(keep, F.col(q.stack) == F.col("__key"), "left").withColumn(
         "stack", F.when(F.col(q.stack).isNull(), NONE).when(F.col("__key").isNull(), OTHER).otherwise(F.col(q.stack).cast("string"))
     )
@@ -128,4 +132,4 @@ def facts_to_read(facts: DataFrame, figures: DataFrame, session: list[str], ts:
     """The facts a windowed answer needs: those in the window, and all of the sessions that have a figure."""
     open_sessions = figures.select(*session).distinct()
     inside = in_window(F.col(ts), since, until)
-    return facts.where(inside).unionByName(facts.where(~inside).join(open_sessions, session, "left_semi"))
+    return facts.where(inside).unionByName(facts.where(~F.coalesce(inside, F.lit(False))).join(open_sessions, session, "left_semi"))

@@ -122,7 +122,7 @@ def largest_figure(readings: DataFrame, session: list[str], reading: str, amount
 def split_figure(figures: DataFrame, amount: str, per_model: str, tolerance: float = 1e-6) -> DataFrame:
     """A figure split by its map of costs per model where the map adds up to it, else whole."""
     total = F.aggregate(F.map_values(per_model), F.lit(0.0), lambda a, x: a + x)
-    adds_up = F.coalesce((F.size(per_model) > 0) & (F.abs(total - F.col(amount)) <= tolerance), F.lit(False))
+    adds_up = F.coalesce((F.size(per_model) > 0) & (F.abs(total - F.col(amount)) <= tolerance * F.greatest(F.lit(1.0), F.abs(F.col(amount)))), F.lit(False))
     pieces = F.when(adds_up, F.transform(F.map_entries(per_model), lambda e: F.struct(e["key"].alias("model"), e["value"].alias("amount")))).otherwise(F.array(F.struct(F.lit(None).cast("string").alias("model"), F.col(amount).cast("double").alias("amount"))))
     return figures.withColumn("__piece", F.explode(pieces)).withColumn("model", F.col("__piece.model")).withColumn(amount, F.col("__piece.amount")).drop("__piece", per_model)
 

@@ -48,8 +48,9 @@ def findings(rates: DataFrame, key: str, min_runs: int, rate: float, limit: int
     """Keys over the threshold, ranked by severity, then failures, then key; the first few."""
     over = rates.where((F.col("known") >= min_runs) & (F.col("rate") >= rate))
     severity = F.when(F.col("rate") >= 2 * rate, "high").otherwise("medium")
-    order = Window.orderBy(F.when(F.col("severity") == "high", 0).otherwise(1), F.desc("failures"), key)
-    return over.withColumn("severity", severity).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= limit).select("rank", key, "severity", "failures", "known", "rate")
+    order = [F.when(F.col("severity") == "high", 0).otherwise(1), F.desc("failures"), F.col(key)]
+    first = over.withColumn("severity", severity).orderBy(*order).limit(limit)
+    return first.withColumn("rank", F.row_number().over(Window.orderBy(*order))).select("rank", key, "severity", "failures", "known", "rate")
 
 
 def account_summary(rows: DataFrame, origin: str, ts: str, tokens: str, conversation: str) -> DataFrame:
