@@ -577,9 +577,17 @@ def test_pipeline_stages(spark):
     clean = {r.doc_id: r.text for r in p.redact_secrets(spark, single, SF).collect()}
     assert all(t == secrets.redact(rows[i].text) for i, t in clean.items())
     assert all(s.columns == docs.columns for s in (good, single))
-    out = p.run(spark, SF).collect()
+    out = p.run(spark, SF)
     model = sentencepiece.SentencePieceProcessor(model_file=pieces.MODEL)
-    for r in out:
-        if len(r.ids) == len(model.encode(clean[r.doc_id])):
-            assert r.ids == model.encode(clean[r.doc_id])
-    assert {r.doc_id for r in out} <= set(clean) and all(r.round_trip for r in out)
+    mixed = p.mix_sources(spark, p.redact_secrets(spark, single, SF), SF).collect()
+    want = sorted((r.doc_id, model.encode(r.text)) for r in mixed)
+    assert sorted((r.doc_id, r.ids) for r in out.collect()) == want
+    assert {r.doc_id for r in mixed} <= set(clean) and out.where("not round_trip or n_tokens <> size(ids)").count() == 0
+
+
+def test_stages_of_odd_rows(spark, odd):
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality.keep_good(odd, labels).columns == odd.columns and quality.keep_good(odd.limit(0), labels).count() == 0
+    for stage in (simhash.keep_one, secrets.redact_documents, mixing.mixed_documents):
+        assert stage(odd).columns == odd.columns and stage(odd.limit(0)).count() == 0
+    assert pieces.encode_documents(mixing.mixed_documents(secrets.redact_documents(simhash.keep_one(odd)))).where("not round_trip").count() == 0
