@@ -251,6 +251,9 @@ def test_redaction_of_odd_rows(odd):
     out = secrets.redact_documents(odd)
     assert out.columns == odd.columns and out.count() == odd.count()
     assert secrets.redact("x password=abcdefghijkl1 y") == "x [SECRET] y"
+    spark = odd.sparkSession
+    rows = spark.createDataFrame([(1, "an old [SECRET] here", 7), (2, "x password=abcdefghijkl1 y", 7)], "doc_id long, text string, n_chars int")
+    assert {r.doc_id: r.n_chars for r in secrets.redact_documents(rows).collect()} == {1: 7, 2: len("x [SECRET] y")}
 
 
 def mix_brute(rows, budget=1.5):

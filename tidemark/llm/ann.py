@@ -216,7 +216,8 @@ def nearest_vectors(vectors: DataFrame, k: int = NEAREST, every: int = 20, reran
     Rows without a vec_id, and vectors that are null, zero or not finite, take no part; vectors
     of different length are not compared. Rows alike in id and vector are one. Of vectors alike
     in all components only the k + 1 smallest ids can be among a query's k nearest, since ties
-    go to the smaller id, so no more of them are searched.
+    go to the smaller id, so no more of them are searched. Extra columns
+    are not read, and an empty table gives an empty result.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & takes_part(F.col("embedding")))
     alike = Window.partitionBy("embedding").orderBy("vec_id")

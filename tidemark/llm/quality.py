@@ -197,7 +197,10 @@ def score_documents(docs: DataFrame, labels: DataFrame, threshold: float = THRES
 def keep_good(docs: DataFrame, labels: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """The rows of ``docs`` that score at least ``threshold``, all columns as they were.
 
-    A second pass over the texts scores and filters in place, so no text is shuffled.
+    A second pass over the texts scores and filters in place, so no text is shuffled. Null and
+    empty texts are scored as texts without words, very long ones whole; repeated rows and rows
+    without an id stand or fall alike, and an empty table gives an empty result. Without labels
+    all scores are the same.
     """
     model = train(with_statistics(docs), labels)
     at = docs.columns.index("text")

@@ -149,7 +149,12 @@ def scan(text: str | None) -> tuple[list[tuple[str, int, int]], list[tuple[str,
 
 
 def scan_documents(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """The op8 digest per document row. Rows are independent, so nulls, ties and repeats need no rule."""
+    """The op8 digest per document row.
+
+    Null and empty texts have no spans and the digest of nothing; very long ones are scanned
+    whole. Rows are independent, so ties and repeats need no rule; extra columns are not read,
+    and an empty table gives an empty result.
+    """
     kind = docs.schema[key].dataType.simpleString()
 
     def run(batches):
@@ -187,18 +192,21 @@ def redact(text: str | None, mark: str = "[SECRET]") -> str | None:
 def redact_documents(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """All rows and columns of ``docs``; secrets in ``text`` are replaced and ``n_chars`` follows.
 
-    Documents without secrets come out as they are.
+    Documents without secrets come out as they are, with whatever ``n_chars`` they had; null
+    and empty texts have none, and very long ones are taken whole. Rows are independent, so
+    repeats, ties and other columns need no rule, and an empty table gives an empty result.
     """
     schema = docs.schema
     at = docs.columns.index("text")
+    counted = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches):
         for batch in batches:
-            texts = pa.array([redact(t, mark) for t in batch.column(at).to_pylist()], batch.schema.field(at).type)
-            yield batch.set_column(at, batch.schema.field(at), texts)
-
-    out = docs.mapInArrow(run, schema)
-    if "n_chars" in docs.columns:
-        # A row whose text is as it was keeps its own figure, whatever it counts.
-        out = out.withColumn("n_chars", F.when(F.col("text").contains(mark), F.length("text").cast(schema["n_chars"].dataType)).otherwise(F.col("n_chars")))
-    return out
+            before = batch.column(at).to_pylist()
+            after = [redact(t, mark) for t in before]
+            if counted is not None:
+                sizes = [len(b) if a != b else n for a, b, n in zip(before, after, batch.column(counted).to_pylist(), strict=True)]
+                batch = batch.set_column(counted, batch.schema.field(counted), pa.array(sizes, batch.schema.field(counted).type))
+            yield batch.set_column(at, batch.schema.field(at), pa.array(after, batch.schema.field(at).type))
+
+    return docs.mapInArrow(run, schema)

@@ -1,9 +1,10 @@
 """Near-duplicate documents by 64-bit SimHash and BK-trees.
 
 A fingerprint sets a bit where more than half of the document's 3-word shingle hashes set
-it. Two fingerprints link when at most ``radius`` bits differ. Such a pair agrees on at
-least one of ``radius + 1`` bands of bits, so each band value is a shard: its distinct
-fingerprints become BK-trees (children keyed by their integer Hamming distance to the
+it. Two fingerprints link when at most ``radius`` bits differ. The bits are cut into
+``radius + 3`` blocks; such a pair agrees on at least three of them, so each choice of three
+blocks and their value is a shard: 20 shards a fingerprint, by keys of some 32 bits. A shard's
+distinct fingerprints become BK-trees (children keyed by their integer Hamming distance to the
 parent) and a probe follows only the edges within the radius.
 
 A driver broadcast of the trees would carry the fingerprints of all documents through the
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from tidemark.operators.graph import connected_components
 from tidemark.session import materialize
 
-BANDS = 4
+KEY_BLOCKS = 3
 TREE_SIZE = 2048
 _BIT_SUMS = ((np.arange(256)[:, None] >> np.arange(8)[None, :]) & 1).astype(np.int64)
 
@@ -162,17 +163,16 @@ def _probe_sorted(batches, radius: int):
         yield links_of(held)
 
 
-def link_fingerprints(fps: DataFrame, radius: int = 3, bands: int = BANDS, tree_size: int = TREE_SIZE) -> DataFrame:
+def link_fingerprints(fps: DataFrame, radius: int = 3, tree_size: int = TREE_SIZE) -> DataFrame:
     """(src, dst) links between distinct fingerprints that suffice for the components.
 
     Shards of one fingerprint link nothing and are left out before any Python runs. Groups are
     small and many, so a task reads them sorted, one after another.
     """
-    if radius >= bands:
-        raise ValueError("a pair within the radius must share a band: radius < bands")
-    width = 64 // bands
-    mask = (1 << width) - 1
-    pieces = F.array(*[F.struct(F.lit(b).alias("band"), F.shiftrightunsigned("fp", width * b).bitwiseAND(F.lit(mask)).alias("part")) for b in range(bands)])
+    cuts = [round(64 * i / (radius + KEY_BLOCKS)) for i in range(radius + KEY_BLOCKS + 1)]
+    blocks = [sum(1 << bit for bit in range(lo, hi)) for lo, hi in itertools.pairwise(cuts)]
+    masks = [int(np.uint64(sum(chosen)).view(np.int64)) for chosen in itertools.combinations(blocks, KEY_BLOCKS)]
+    pieces = F.array(*[F.struct(F.lit(i).alias("band"), F.col("fp").bitwiseAND(F.lit(m)).alias("part")) for i, m in enumerate(masks)])
     cells = fps.select("fp").distinct().select("fp", F.explode(pieces).alias("c")).select("fp", "c.band", "c.part")
     sizes = cells.groupBy("band", "part").agg(F.count("*").alias("n")).where("n > 1")
     shards = cells.join(sizes, ["band", "part"]).withColumn("k", F.ceil(F.col("n") / tree_size).cast("int"))

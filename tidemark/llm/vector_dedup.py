@@ -186,7 +186,8 @@ def dedup_vectors(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame
 
     Only vectors of one label and one length are compared. Rows without a label, or whose
     vector takes no part, link with nothing; so do rows without a vec_id. Repeated rows count
-    as vectors of their own; rows that repeat a vec_id share the links of that id.
+    as vectors of their own; rows that repeat a vec_id share the links of that id. Extra columns
+    are not read, and an empty table gives an empty result.
     """
     rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "label", "embedding")
     linkable = rows.where(F.col("label").isNotNull() & F.col("vec_id").isNotNull() & takes_part(F.col("embedding")))
