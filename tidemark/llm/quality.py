@@ -73,6 +73,14 @@ def statistics(text: str | None) -> list[float] | None:
     ]
 
 
+def _forward(factor: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """What a lower triangular factor takes to ``b``: one row at a time from those above it."""
+    z = np.empty_like(b, dtype=np.float64)
+    for i in range(len(b)):
+        z[i] = (b[i] - factor[i, :i] @ z[:i]) / factor[i, i]
+    return z
+
+
 @dataclass(frozen=True)
 class Model:
     """Per class (0, 1): log prior, mean, Cholesky factor of the shrunk covariance, its log determinant."""
@@ -86,7 +94,7 @@ class Model:
         """Probability of class 1 for rows of statistics."""
         density = []
         for c in (0, 1):
-            z = np.linalg.solve(self.factor[c], (x - self.mean[c]).T)
+            z = _forward(self.factor[c], (x - self.mean[c]).T)
             density.append(self.prior[c] - 0.5 * (z * z).sum(axis=0) - 0.5 * self.log_det[c])
         return 1.0 / (1.0 + np.exp(np.clip(density[0] - density[1], -50, 50)))
 
