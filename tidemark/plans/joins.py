@@ -75,18 +75,12 @@ def hook_turn_nearest(spark, sf_dir):
     return asof.nearest_by_gap(_pairs(spark, sf_dir), ["row_id"], F.col("gap"), [F.desc("turn_id")]).select("row_id", "turn_id")
 
 
-@query("""WITH paths AS (SELECT page_id, '/' || replace(split_part(split_part(url, '://', 2), '?', 1), '.', '/') AS path FROM pages), roots AS (SELECT DISTINCT array_to_string(string_split(path, '/')[1:3], '/') AS root FROM paths WHERE page_id % 3 = 0
-UNION SELECT DISTINCT array_to_string(string_split(path, '/')[1:4], '/') FROM paths WHERE page_id % 7 = 0)
-SELECT page_id, arg_max(root, length(root)) AS root FROM paths LEFT JOIN roots ON rtrim(path, '/') = root OR starts_with(path, root || '/') GROUP BY page_id""")
+@query("""WITH paths AS (SELECT page_id, string_split(rtrim('/' || replace(split_part(split_part(url, '://', 2), '?', 1), '.', '/'), '/'), '/') AS parts FROM pages),
+roots AS (SELECT DISTINCT rtrim(array_to_string(parts[1:n], '/'), '/') AS root FROM paths, (VALUES (3), (4)) AS t(n)),
+heads AS (SELECT page_id, array_to_string(parts[1:n], '/') AS root FROM (SELECT page_id, parts, unnest(range(1, len(parts) + 1)) AS n FROM paths))
+SELECT page_id, arg_max(r.root, length(r.root)) AS root FROM heads LEFT JOIN roots r USING (root) GROUP BY page_id""")
 def longest_prefix_root(spark, sf_dir):
-    paths, head = _paths(spark, sf_dir)
-    roots = paths.where("page_id % 3 = 0").select(head(3)).union(paths.where("page_id % 7 = 0").select(head(4))).distinct()
-    return asof.longest_prefix(paths, roots, "path", "root").select("page_id", F.col("matched_root").alias("root"))
-
-
-@query()
-def longest_prefix_root_all(spark, sf_dir):
-    # Roots of every page, without slashes at their ends, so that no two are one.
+    # Roots have no slashes at their ends, so that no two are one.
     paths, head = _paths(spark, sf_dir)
     roots = paths.select(head(3)).union(paths.select(head(4))).select(F.regexp_replace("root", "/+$", "").alias("root")).distinct()
     return asof.longest_prefix(paths, roots, "path", "root").select("page_id", F.col("matched_root").alias("root"))
@@ -98,25 +92,12 @@ def _paths(spark, sf_dir):
     return paths, lambda n: F.array_join(F.slice(F.split("path", "/"), 1, n), "/").alias("root")
 
 
-@query("""WITH RECURSIVE n AS (SELECT o_orderkey AS id, o_custkey FROM orders WHERE o_orderstatus = 'P'),
-g AS (SELECT l_orderkey AS id, 'p' || l_partkey % 5000 AS k FROM lineitem JOIN n ON id = l_orderkey WHERE l_quantity > 45),
-e AS (SELECT DISTINCT a.id AS a, b.id AS b FROM g a JOIN g b USING (k)),
-r AS (SELECT DISTINCT id, id AS seen FROM g UNION SELECT r.id, e.b FROM r JOIN e ON r.seen = e.a)
-SELECT id AS order_id, min(seen) AS component FROM r GROUP BY 1""")
-def request_components(spark, sf_dir):
-    return _components(table(spark, sf_dir, "orders").where("o_orderstatus = 'P'"), table(spark, sf_dir, "lineitem").where("l_quantity > 45"))
-
-
 @query()
-def request_components_all(spark, sf_dir):
-    return _components(table(spark, sf_dir, "orders"), table(spark, sf_dir, "lineitem"))
-
-
-def _components(orders, lines):
+def request_components(spark, sf_dir):
     from tidemark.operators.facts import group_reports
 
-    orders = orders.select(F.col("o_orderkey").alias("order_id"))
-    lines = lines.join(orders, F.col("l_orderkey") == F.col("order_id"), "left_semi")
+    orders = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("order_id"))
+    lines = table(spark, sf_dir, "lineitem").join(orders, F.col("l_orderkey") == F.col("order_id"), "left_semi")
     reports = lines.select(F.col("l_orderkey").alias("order_id"), F.array(F.concat(F.lit("p"), (F.col("l_partkey") % 5000).cast("string"))).alias("keys"))
     return group_reports(reports, "order_id", "keys")
 
@@ -130,20 +111,12 @@ def parent_lineage(spark, sf_dir):
     return graph.lineage(parents)
 
 
-@query("""WITH ev AS (SELECT event_id, user_id, ts, CASE WHEN event_id % 3 <> 0 THEN k END AS req, CASE WHEN event_id % 4 <> 0 THEN user_id % 40 END AS session FROM (SELECT *, CAST(json_extract(props, '$.k') AS INT) AS k FROM events WHERE event_type = 'purchase' AND value > 300)),
+@query("""WITH ev AS (SELECT event_id, user_id, ts, CASE WHEN event_id % 3 <> 0 THEN k END AS req, CASE WHEN event_id % 4 <> 0 THEN user_id % 40 END AS session FROM (SELECT *, CAST(json_extract(props, '$.k') AS INT) AS k FROM events)),
 o AS (SELECT req, min(session) AS s FROM ev WHERE session IS NOT NULL GROUP BY 1 HAVING min(session) = max(session)) SELECT event_id, coalesce(session, o.s) AS session FROM ev LEFT JOIN o ON ev.req = o.req""")
 def sessionless_bridge(spark, sf_dir):
-    return _bridge(events(spark, sf_dir).where("event_type = 'purchase' and value > 300"))
-
-
-@query()
-def sessionless_bridge_all(spark, sf_dir):
-    return _bridge(events(spark, sf_dir))
-
-
-def _bridge(e):
     from tidemark.operators.facts import bridge_sessionless
 
+    e = events(spark, sf_dir)
     ev = e.select("event_id", F.when(F.col("event_id") % 3 != 0, F.col("k")).alias("req"), F.when(F.col("event_id") % 4 != 0, F.col("user_id") % 40).alias("session"))
     return bridge_sessionless(ev, "req", "session").select("event_id", "session")
 

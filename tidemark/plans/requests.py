@@ -117,18 +117,10 @@ def last_wins_dedupe(spark, sf_dir):
     return facts.one_per_key(events(spark, sf_dir), ["user_id", "event_type"], [F.desc("ts"), F.desc("event_id")]).select("event_id", "user_id")
 
 
-@query(f"""WITH {EVENTS_SQL}, r AS (SELECT event_id, user_id AS session, event_type AS channel, CASE WHEN event_id % 5 <> 0 THEN k END AS key FROM e WHERE event_type IN ('click', 'error') AND value > 200),
+@query(f"""WITH {EVENTS_SQL}, r AS (SELECT event_id, user_id AS session, event_type AS channel, CASE WHEN event_id % 5 <> 0 THEN k END AS key FROM e),
 s AS (SELECT session, min(channel) AS a, max(channel) AS b FROM r WHERE key IS NOT NULL GROUP BY 1) SELECT event_id FROM r JOIN s USING (session) WHERE key IS NULL AND (a <> channel OR b <> channel)""")
 def unresolved_reports(spark, sf_dir):
-    return _unresolved(events(spark, sf_dir).where("event_type in ('click', 'error') and value > 200"))
-
-
-@query()
-def unresolved_reports_all(spark, sf_dir):
-    return _unresolved(events(spark, sf_dir))
-
-
-def _unresolved(e):
+    e = events(spark, sf_dir)
     reports = e.select("event_id", F.col("user_id").alias("session"), F.col("event_type").alias("channel"), F.when(F.col("event_id") % 5 != 0, F.col("k")).alias("key"))
     return facts.overlaps_keyed(reports, "session", "channel", "key").select("event_id")
 
@@ -139,18 +131,10 @@ def fact_ids(spark, sf_dir):
     return table(spark, sf_dir, "orders").groupBy("o_custkey").agg(tokens.digest_id(ids).alias("fact_id"))
 
 
-@query(f"""WITH {EVENTS_SQL}, x AS (SELECT event_id, 'q' || k || '-' || (user_id % 20) AS key, CASE WHEN event_id % 19 = 0 THEN 'q' || ((k + 1) % 100) || '-' || (user_id % 20) END AS rep, event_type AS src, user_id::VARCHAR AS gen, epoch_us(ts) AS ob FROM e WHERE value > 100),
+@query(f"""WITH {EVENTS_SQL}, x AS (SELECT event_id, 'q' || k || '-' || (user_id % 20) AS key, CASE WHEN event_id % 19 = 0 THEN 'q' || ((k + 1) % 100) || '-' || (user_id % 20) END AS rep, event_type AS src, user_id::VARCHAR AS gen, epoch_us(ts) AS ob FROM e),
 l AS (SELECT * FROM x WHERE key NOT IN (SELECT rep FROM x WHERE rep IS NOT NULL)), m AS (SELECT *, max(ob) OVER (PARTITION BY key, src) AS n, last_value(gen) OVER (PARTITION BY key, src ORDER BY ob ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING) AS g FROM l) SELECT event_id FROM m WHERE ob = n OR gen = g""")
 def superseded_requests(spark, sf_dir):
-    return _superseded(events(spark, sf_dir).where("value > 100"))
-
-
-@query()
-def superseded_requests_all(spark, sf_dir):
-    return _superseded(events(spark, sf_dir))
-
-
-def _superseded(e):
+    e = events(spark, sf_dir)
     slot = (F.col("user_id") % 20).cast("string")
     key = lambda k: F.concat(F.lit("q"), k.cast("string"), F.lit("-"), slot)
     x = e.select("event_id", key(F.col("k")).alias("key"), F.when(F.col("event_id") % 19 == 0, key((F.col("k") + 1) % 100)).alias("rep"), F.col("event_type").alias("src"), F.col("user_id").cast("string").alias("gen"), F.unix_micros("ts").alias("ob"))
