@@ -119,6 +119,21 @@ def test_greedy_pairs_once(spark):
     assert {x.r: x.ambiguous for x in pairing.ambiguous(ties, "r", "t").collect()} == {1: True, 2: False}
 
 
+def test_greedy_agrees_with_taking_one_by_one(spark):
+    rng = random.Random(5)
+    pairs = [(rng.choice("st"), rng.randint(0, 30), rng.randint(0, 30), rng.randint(0, 6)) for _ in range(400)]
+    # A chain in which each pair waits for the one before it, a repeated pair and pairs of nothing.
+    pairs += [("c", i // 2, (i + 1) // 2, 0) for i in range(9)] + pairs[:5] + [("s", None, 1, 0), (None, 1, 1, 0)]
+    want, used = set(), set()
+    for gap, k, r, t in sorted((g, k, r, t) for k, r, t, g in pairs if k is not None and r is not None):
+        if not used & {(k, "r", r), (k, "t", t)}:
+            used |= {(k, "r", r), (k, "t", t)}
+            want.add((k, r, t, gap))
+    got = [tuple(x) for x in pairing.greedy(spark.createDataFrame(pairs, "k string, r long, t long, gap long"), ["k"], "r", "t").collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert pairing.greedy(spark.createDataFrame([], "k string, r long, t long, gap long"), ["k"], "r", "t").count() == 0
+
+
 def test_tokens_come_whole_from_one_report(spark):
     reports = spark.createDataFrame([("g", 0, None, 5.0, None), ("g", 1, "m", 9.0, 3.0)], "g string, rank long, model string, input double, output double")
     r = facts.reconcile(reports, ["g"], ["model"], [F.col("rank")], whole=[["input", "output"]]).first()
@@ -190,6 +205,25 @@ def test_unique_alignment_agrees_with_brute_force():
         assert got == (list(next(iter(every))) if len(every) == 1 else None), (a, b)
 
 
+def test_line_survival_agrees_with_a_fold(spark, monkeypatch):
+    monkeypatch.setattr(metrics, "FAN", 3)
+    rng = random.Random(7)
+    edits = [(f"f{f}", n, "\n".join(rng.sample("abcdefgh", rng.randint(0, 5))), rng.choice(["ai", "me", None])) for f in range(12) for n in range(1 + 3 * f)]
+    want = {}
+    for path, rows in itertools.groupby(edits, lambda e: e[0]):
+        lines, marks, unclear = [], [], False
+        for _, _, body, who in rows:
+            new = body.split("\n") if body else []
+            pairs = metrics.align_unique(lines, new)
+            unclear |= pairs is None
+            kept = {j: marks[i] for i, j in pairs or []}
+            lines, marks = new, [kept.get(j, who == "ai") for j in range(len(new))]
+        want[path] = (len(lines), None if unclear else float(sum(marks)), unclear)
+    got = metrics.line_survival(spark.createDataFrame(edits, "p string, n long, t string, who string"), "p", "n", "t", "who").collect()
+    assert {r.p: (r.lines, r.ai_lines, r.ambiguous) for r in got} == want and len(got) == len(want)
+    assert metrics.line_survival(spark.createDataFrame([], "p string, n long, t string, who string"), "p", "n", "t", "who").count() == 0
+
+
 def test_pages(spark):
     f = spark.range(10)
     assert [r.id for r in paging.page(f, [F.col("id")], 3, 2).orderBy("id").collect()] == [3, 4]

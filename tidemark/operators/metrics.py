@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.facts import one_per_key
+from tidemark.session import materialize
 
 # From where on friction is a finding.
 THRESHOLDS = {
@@ -79,6 +80,10 @@ def model_timeline(rows: DataFrame, by: list[str], ts: str, model: str, order: l
     return rows.withColumn("__before", F.lag(model).over(w)).where(~F.col(model).eqNullSafe(F.col("__before"))).drop("__before")
 
 
+#: Who wrote a line that the version before has not.
+AI, OTHERS = -1, -2
+
+
 def align_unique(before: list[str], after: list[str]) -> list[tuple[int, int]] | None:
     """The line pairs of the longest common subsequence where exactly one exists, else None."""
     n, m = len(before), len(after)
@@ -109,25 +114,39 @@ def align_unique(before: list[str], after: list[str]) -> list[tuple[int, int]] |
     return pairs
 
 
+#: Steps folded at once; more are folded in further rounds.
+FAN = 64
+
+
 def line_survival(edits: DataFrame, path: str, order: str, text: str, source: str) -> DataFrame:
     """(path, lines, ai_lines, ambiguous): which of a file's last lines came with AI edits, by unique alignment step by step.
 
-    One file is one group: the longest file's versions must fit a task.
+    Each pair of neighbouring versions is aligned by itself. A step tells of each line where it
+    was before, or who wrote it; steps are composed ``FAN`` at a time, so no task holds a file's
+    history. A null text is an empty one; versions of one order go by their text.
     """
     kind = edits.schema[path].dataType.simpleString()
-
-    def fold(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(order)
-        lines: list[str] = []
-        marks: list[bool] = []
-        unclear = False
-        for body, who in zip(frame[text], frame[source], strict=True):
-            new = body.split("\n") if body else []
-            pairs = align_unique(lines, new)
-            unclear |= pairs is None
-            kept = {j: marks[i] for i, j in pairs or []}
-            marks = [kept.get(j, who == "ai") for j in range(len(new))]
-            lines = new
-        return pd.DataFrame({path: [frame[path].iloc[0]], "lines": [len(lines)], "ai_lines": [None if unclear else sum(marks)], "ambiguous": [unclear]})
-
-    return edits.groupBy(path).applyInPandas(fold, f"{path} {kind}, lines long, ai_lines double, ambiguous boolean")
+    step = Window.partitionBy(path).orderBy(order, text)
+    ai = F.coalesce(F.col(source) == "ai", F.lit(False))
+    versions = edits.select(path, (F.row_number().over(step) - 1).cast("long").alias("__n"), F.lag(F.coalesce(text, F.lit(""))).over(step).alias("__before"), F.coalesce(text, F.lit("")).alias("__after"), ai.alias("__ai"))
+
+    def align(frames):
+        for frame in frames:
+            origins, unclear = [], []
+            for before, after, by_ai in zip(frame["__before"], frame["__after"], frame["__ai"], strict=True):
+                old, new = (body.split("\n") if body else [] for body in (before, after))
+                pairs = align_unique(old, new)
+                kept = {j: i for i, j in pairs or []}
+                origins.append([kept.get(j, AI if by_ai else OTHERS) for j in range(len(new))])
+                unclear.append(pairs is None)
+            yield pd.DataFrame({path: frame[path], "__n": frame["__n"], "__from": origins, "__unclear": unclear})
+
+    steps, _ = materialize(versions.mapInPandas(align, f"`{path}` {kind}, __n long, __from array<int>, __unclear boolean"), "alignments")
+    left = (steps.agg(F.max("__n")).first()[0] or 0) + 1
+    composed = lambda parts: F.aggregate(F.slice(parts, 2, FAN), F.get(parts, F.lit(0))["__from"], lambda before, x: F.transform(x["__from"], lambda i: F.when(i >= 0, F.get(before, i)).otherwise(i)))
+    while left > 1:
+        parts = steps.groupBy(path, F.floor(F.col("__n") / FAN).alias("__n")).agg(F.sort_array(F.collect_list(F.struct("__n", "__from"))).alias("__parts"), F.bool_or("__unclear").alias("__unclear"))
+        steps = parts.select(path, "__n", composed(F.col("__parts")).alias("__from"), "__unclear")
+        left = -(-left // FAN)
+    written = F.size(F.filter("__from", lambda i: i == AI)).cast("double")
+    return steps.select(path, F.size("__from").cast("long").alias("lines"), F.when(~F.col("__unclear"), written).alias("ai_lines"), F.col("__unclear").alias("ambiguous"))

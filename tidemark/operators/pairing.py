@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.asof import interval_pairs
+from tidemark.session import drop_path, materialize
 
 
 def candidates(rows: DataFrame, turns: DataFrame, by: list[str], row_ts: str, start: str, end: str, reach_seconds: int = 60) -> DataFrame:
@@ -18,20 +18,31 @@ def candidates(rows: DataFrame, turns: DataFrame, by: list[str], row_ts: str, st
 
 
 def greedy(pairs: DataFrame, by: list[str], row_id: str, turn_id: str) -> DataFrame:
-    """Pairs taken nearest first, each row and each turn at most once. A pair never leaves its session."""
-    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in pairs.select(*by, row_id, turn_id, "gap").schema)
-
-    def take(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["gap", row_id, turn_id], kind="stable")
-        rows, turns, keep = set(), set(), []
-        for i, r, t in zip(frame.index, frame[row_id], frame[turn_id], strict=True):
-            if r not in rows and t not in turns:
-                rows.add(r)
-                turns.add(t)
-                keep.append(i)
-        return frame.loc[keep]
-
-    return pairs.select(*by, row_id, turn_id, "gap").groupBy(*by).applyInPandas(take, schema)
+    """Pairs taken nearest first, each row and each turn at most once. A pair never leaves its session.
+
+    In the order of (gap, row, turn), a pair that comes first both among its row's and among its
+    turn's is taken whatever others do. Such pairs are taken and their rivals dropped, round by
+    round until none is left, so no task holds a session. Equal pairs are one; a pair with a null
+    key, row, turn or gap is none.
+    """
+    spark = pairs.sparkSession
+    row, turn = [*by, row_id], [*by, turn_id]
+    left = pairs.select(*by, row_id, turn_id, "gap").dropna().groupBy(*by, row_id, turn_id).agg(F.min("gap").alias("gap"))
+    rest, path = materialize(left, "pairs")
+    taken = []
+    while not rest.isEmpty():
+        of_row = rest.groupBy(*row).agg(F.min(F.struct("gap", turn_id)).alias("__best")).select(*row, "__best.*")
+        of_turn = rest.groupBy(*turn).agg(F.min(F.struct("gap", row_id)).alias("__best")).select(*turn, "__best.*")
+        first, _ = materialize(of_row.join(of_turn, [*by, row_id, turn_id, "gap"]), "paired")
+        taken.append(first)
+        rivals = rest.join(first.select(*row), row, "left_anti").join(first.select(*turn), turn, "left_anti")
+        rest, next_path = materialize(rivals, "pairs")
+        drop_path(spark, path)
+        path = next_path
+    found = rest
+    for first in taken:
+        found = found.unionByName(first)
+    return found.select(*by, row_id, turn_id, "gap")
 
 
 def ambiguous(pairs: DataFrame, row_id: str, turn_id: str) -> DataFrame:
