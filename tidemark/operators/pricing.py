@@ -74,6 +74,48 @@ def estimate(kind_local: Column, has_usage: Column, has_parts: Column, hit: Colu
     )
 
 
+def unit_line(count: Column, usd_per_unit: Column) -> Column:
+    """A charge by count (web searches, premium requests); null where nothing was counted or no price is known."""
+    return F.when(count > 0, round_half_up(count * usd_per_unit))
+
+
+def unpriced_units(count: Column, usd_per_unit: Column) -> Column:
+    """Counted units that no price is known for: with any the estimate is not complete."""
+    return (F.coalesce(count, F.lit(0)) > 0) & usd_per_unit.isNull()
+
+
+def with_fallback(estimated: Column, list_price: Column, premium_usd: Column) -> Column:
+    """``estimated`` as struct(usd, method, reason, complete), or without a price the tool's own list price, else its premium requests.
+
+    Premium requests leave the estimate incomplete; the reason of the missing price stays.
+    """
+    row = lambda usd, method, complete: F.struct(usd.cast("double").alias("usd"), method.alias("method"), estimated["reason"].alias("reason"), complete.alias("complete"))
+    return (
+        F.when(estimated["method"].isNotNull(), row(estimated["usd"], estimated["method"], F.lit(True)))
+        .when(list_price.isNotNull(), row(list_price, F.lit("list-price"), F.lit(True)))
+        .when(premium_usd.isNotNull(), row(premium_usd, F.lit("premium-requests"), F.lit(False)))
+        .otherwise(row(F.lit(None), F.lit(None).cast("string"), F.lit(False)))
+    )
+
+
+def peak_multiplier(ts: Column, since: Column, hours: list[tuple[int, int]], multiplier: float) -> Column:
+    """``multiplier`` within the hours (UTC, end exclusive) of weekdays from ``since`` on, else 1. The session's time zone must be UTC."""
+    within = F.lit(False)
+    for start, end in hours:
+        within |= (F.hour(ts) >= start) & (F.hour(ts) < end)
+    return F.when((ts >= since) & (F.weekday(ts) < 5) & within, F.lit(multiplier)).otherwise(F.lit(1.0))
+
+
+def expand_prices(prices: DataFrame, observed: DataFrame, model: str, keys: str) -> DataFrame:
+    """``prices`` and, for each observed model without rows of its own, the rows of the first of its ``keys`` that has some."""
+    listed = prices.select(F.col(model).alias("__key")).distinct()
+    unknown = observed.groupBy(model).agg(F.first(keys).alias(keys)).join(listed, F.col(model) == F.col("__key"), "left_anti")
+    tried = unknown.select(F.col(model).alias("__model"), F.posexplode(keys).alias("__pos", "__key")).join(listed, "__key")
+    best = tried.groupBy("__model").agg(F.min_by("__key", "__pos").alias("__key"))
+    found = prices.join(best, F.col(model) == F.col("__key"))
+    return prices.unionByName(found.withColumn(model, F.col("__model")).select(*prices.columns))
+
+
 def sheet_from_catalogs(catalogs: DataFrame, model: str, fetched: str, rates: list[str]) -> DataFrame:
     """Price versions from daily catalogs: a row where a model's rates change; the first is open at its start."""
     w = Window.partitionBy(model).orderBy(fetched)

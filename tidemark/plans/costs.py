@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import names
 from tidemark.operators import pricing
-from tidemark.plans.base import money, registry, table
+from tidemark.plans.base import events, money, registry, table
 
 QUERIES, ORACLES, query = registry()
 
@@ -58,6 +58,45 @@ def estimate_ladder(spark, sf_dir):
     return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", est.alias("x")).select("l_orderkey", "l_linenumber", "x.*")
 
 
+@query("""WITH x AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber % 3 <> 0 THEN l_quantity END AS searches, CASE l_suppkey % 3 WHEN 0 THEN 0.01 WHEN 1 THEN 0.025 END AS each FROM lineitem)
+SELECT l_orderkey, l_linenumber, floor(searches * each * 1e9 + 0.5) / 1e9 AS usd, searches IS NOT NULL AND each IS NULL AS unpriced FROM x""")
+def search_lines(spark, sf_dir):
+    n, maker = F.col("l_linenumber"), F.col("l_suppkey") % 3
+    searches = F.when(n % 3 != 0, F.col("l_quantity"))
+    each = F.when(maker == 0, 0.01).when(maker == 1, 0.025)
+    return table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", pricing.unit_line(searches, each).alias("usd"), pricing.unpriced_units(searches, each).alias("unpriced"))
+
+
+@query("""WITH x AS (SELECT l_orderkey, l_linenumber, l_linenumber IN (2, 3, 4) AS none, CASE WHEN l_suppkey % 3 = 0 THEN l_discount END AS listed, CASE WHEN l_suppkey % 2 = 0 THEN floor(l_quantity * 0.04 * 1e9 + 0.5) / 1e9 END AS premium, l_tax FROM lineitem)
+SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber = 1 THEN 0.0 WHEN NOT none THEN l_tax ELSE coalesce(listed, premium) END AS usd,
+CASE WHEN l_linenumber = 1 THEN 'local' WHEN NOT none THEN 'price-book' WHEN listed IS NOT NULL THEN 'list-price' WHEN premium IS NOT NULL THEN 'premium-requests' END AS method,
+CASE l_linenumber WHEN 2 THEN 'no-usage' WHEN 3 THEN 'total-only' WHEN 4 THEN 'model-unpriced' END AS reason, NOT none OR listed IS NOT NULL AS complete FROM x""")
+def fallback_estimates(spark, sf_dir):
+    n, supplier = F.col("l_linenumber"), F.col("l_suppkey")
+    estimated = pricing.estimate(n == 1, n != 2, n != 3, n != 4, F.col("l_tax"))
+    premium = pricing.unit_line(F.when(supplier % 2 == 0, F.col("l_quantity")), F.lit(0.04))
+    out = pricing.with_fallback(F.col("x"), F.when(supplier % 3 == 0, F.col("l_discount")), premium)
+    lines = table(spark, sf_dir, "lineitem").withColumn("x", estimated)
+    return lines.select("l_orderkey", "l_linenumber", out.alias("y")).select("l_orderkey", "l_linenumber", "y.*")
+
+
+@query("""SELECT event_id, CASE WHEN ts >= TIMESTAMP '2024-01-03 16:00:00' AND isodow(ts) < 6 AND (hour(ts) BETWEEN 1 AND 3 OR hour(ts) BETWEEN 6 AND 9) THEN 2.0 ELSE 1.0 END AS multiplier FROM events""")
+def peak_multipliers(spark, sf_dir):
+    since = F.lit("2024-01-03 16:00:00").cast("timestamp")
+    return events(spark, sf_dir).select("event_id", pricing.peak_multiplier(F.col("ts"), since, [(1, 4), (6, 10)], 2.0).alias("multiplier"))
+
+
+@query("""WITH p AS (SELECT p_brand AS model, p_size AS version, max(p_retailprice) AS input FROM part WHERE p_brand < 'Brand#3' GROUP BY 1, 2),
+o AS (SELECT DISTINCT p_brand AS model FROM part), k AS (SELECT model, 0 AS pos, 'none' AS key FROM o UNION ALL SELECT model, 1, 'Brand#1' || right(model, 1) FROM o UNION ALL SELECT model, 2, 'Brand#11' FROM o),
+b AS (SELECT model, arg_min(key, pos) AS key FROM k WHERE key IN (SELECT model FROM p) AND model NOT IN (SELECT model FROM p) GROUP BY 1)
+SELECT model, version, input FROM p UNION ALL SELECT b.model, version, input FROM b JOIN p ON b.key = p.model""")
+def observed_model_prices(spark, sf_dir):
+    part = table(spark, sf_dir, "part").withColumnRenamed("p_brand", "model")
+    prices = part.where("model < 'Brand#3'").groupBy("model", F.col("p_size").alias("version")).agg(F.max("p_retailprice").alias("input"))
+    observed = part.select("model", F.array(F.lit("none"), F.concat(F.lit("Brand#1"), F.right("model", F.lit(1))), F.lit("Brand#11")).alias("keys"))
+    return pricing.expand_prices(prices, observed, "model", "keys")
+
+
 @query("""WITH c AS (SELECT p_brand, l_shipdate AS seen, floor(max(p_retailprice) / 300) AS rate FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY 1, 2),
 v AS (SELECT *, lag(rate) OVER (PARTITION BY p_brand ORDER BY seen) AS b, row_number() OVER (PARTITION BY p_brand ORDER BY seen) AS n FROM c)
 SELECT p_brand, CASE WHEN n > 1 THEN epoch_us(seen) END AS effective_us, rate::BIGINT AS rate FROM v WHERE n = 1 OR rate IS DISTINCT FROM b""")
