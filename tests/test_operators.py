@@ -8,7 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from tidemark.functions import names, text, times, tokens
-from tidemark.operators import asof, cube, facts, graph, islands, metrics, paging, pairing, pricing
+from tidemark.operators import asof, cube, facts, friction, graph, islands, metrics, paging, pairing, pricing
 
 
 def one(df):
@@ -112,6 +112,22 @@ def test_bursts_keep_the_exact_gap_together(spark):
     assert sorted(r.points for r in islands.burst_intervals(points, ["k"], "ts").collect()) == [1, 2]
 
 
+def test_islands_do_not_depend_on_stretches(spark):
+    rng = random.Random(11)
+    rows = [(rng.choice("ab"), s := rng.choice([None, *range(0, 60_000, 500)]), None if s is None else s + rng.randint(-500, 3000)) for _ in range(120)]
+    iv = spark.createDataFrame(rows, "k string, s long, e long").withColumn("ts", F.timestamp_millis("s"))
+    found = [[sorted(map(tuple, islands.union_intervals(iv, ["k"], "s", "e", n).collect())), sorted(map(str, islands.burst_intervals(iv, ["k"], "ts", 1, n).collect()))] for n in (1, 7, 86400)]
+    assert found[0] == found[1] == found[2]
+    for k in "ab":
+        want = []
+        for s, e in sorted((s, e) for x, s, e in rows if x == k and s is not None and s <= e):
+            if want and s <= want[-1][2]:
+                want[-1] = (k, want[-1][1], max(e, want[-1][2]))
+            else:
+                want.append((k, s, e))
+        assert [x for x in found[0][0] if x[0] == k] == want
+
+
 def test_greedy_pairs_once(spark):
     pairs = spark.createDataFrame([("s", 1, 1, 5), ("s", 1, 2, 1), ("s", 2, 2, 2)], "k string, r long, t long, gap long")
     assert {(x.r, x.t) for x in pairing.greedy(pairs, ["k"], "r", "t").collect()} == {(1, 2)}
@@ -224,6 +240,20 @@ def test_line_survival_agrees_with_a_fold(spark, monkeypatch):
     assert metrics.line_survival(spark.createDataFrame([], "p string, n long, t string, who string"), "p", "n", "t", "who").count() == 0
 
 
+def test_friction_by_threshold(spark):
+    runs = spark.createDataFrame([("failed", ["a", "a", "b"]), ("failed", ["a"]), ("passed", []), ("unknown", None)], "o string, f array<string>")
+    calls = spark.createDataFrame([(True,)] * 3 + [(False,)] * 12, "failed boolean")
+    commands = spark.createDataFrame([("make",)] * 2 + [("ls",), (None,), (None,)], "c string")
+    edits = spark.createDataFrame([("x",)] * 10 + [("y",)] * 5 + [("z",)] * 4, "p string")
+    drafts = [friction.run_findings(runs, "o", "f"), friction.tool_findings(calls, "failed"), friction.command_findings(commands, "c"), friction.rework_findings(edits, "p")]
+    got = [(r.finding_id.removeprefix("friction."), r.severity, r.weight) for r in friction.ranked(drafts).orderBy("rank").collect()]
+    assert got == [
+        ("test-repeated-failure:a", "high", 2), ("file-rework:x", "medium", 10), ("tool-failure-rate", "medium", 3),
+        ("command-repeated-failure:make", "medium", 2), ("test-failure-rate", "medium", 2), ("file-rework:y", "low", 5),
+    ]
+    assert friction.ranked([d.limit(0) for d in drafts]).count() == 0
+
+
 def test_pages(spark):
     f = spark.range(10)
     assert [r.id for r in paging.page(f, [F.col("id")], 3, 2).orderBy("id").collect()] == [3, 4]

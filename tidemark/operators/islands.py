@@ -19,11 +19,25 @@ def close_open(end: Column, as_of: Column) -> Column:
     return F.coalesce(end, as_of)
 
 
-def union_intervals(df: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
-    """(by..., start, end) of the union; touching intervals merge, others than valid ones are left out."""
+def _stretch(df: DataFrame, ts: str, seconds: int) -> Column:
+    """Number of the stretch of time that ``ts``, an instant or a count of ms, falls into."""
+    ms = F.unix_millis(F.col(ts).cast("timestamp")) if df.schema[ts].dataType.typeName().startswith("timestamp") else F.col(ts)
+    return F.floor(ms / (seconds * 1000))
+
+
+def union_intervals(df: DataFrame, by: list[str], start: str, end: str, stretch_seconds: int = 86400) -> DataFrame:
+    """(by..., start, end) of the union; touching intervals merge, others than valid ones are left out.
+
+    Intervals that start in one stretch of time merge first, then what is left of a key, so the
+    rows of a hot key are many tasks.
+    """
+    valid = df.where(classify(F.col(start), F.col(end)) == "valid").withColumn("__stretch", _stretch(df, start, stretch_seconds))
+    return _merged(_merged(valid, [*by, "__stretch"], start, end), by, start, end)
+
+
+def _merged(valid: DataFrame, by: list[str], start: str, end: str) -> DataFrame:
     w = Window.partitionBy(*by).orderBy(start, end)
     upto = w.rowsBetween(Window.unboundedPreceding, -1)
-    valid = df.where(classify(F.col(start), F.col(end)) == "valid")
     opened = valid.withColumn("__new", F.when(F.col(start) <= F.max(end).over(upto), 0).otherwise(1))
     island = opened.withColumn("__island", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
     return island.groupBy(*by, "__island").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("__island")
@@ -44,8 +58,15 @@ def bursts(df: DataFrame, by: list[str], ts: str, gap_seconds: int, order: list[
     return df.withColumn("__new", new).withColumn("burst", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0))).drop("__new")
 
 
-def burst_intervals(df: DataFrame, by: list[str], ts: str, gap_seconds: int = 1800) -> DataFrame:
-    return bursts(df, by, ts, gap_seconds).groupBy(*by, "burst").agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.count("*").alias("points"))
+def burst_intervals(df: DataFrame, by: list[str], ts: str, gap_seconds: int = 1800, stretch_seconds: int = 86400) -> DataFrame:
+    """(by..., burst, start, end, points): bursts of a stretch of time first, then those that a stretch's end had parted."""
+    parts = bursts(df.withColumn("__stretch", _stretch(df, ts, stretch_seconds)), [*by, "__stretch"], ts, gap_seconds)
+    parts = parts.groupBy(*by, "__stretch", "burst").agg(F.min(ts).alias("start"), F.max(ts).alias("end"), F.count("*").alias("points")).drop("burst")
+    w = Window.partitionBy(*by).orderBy("start")
+    gap = F.unix_micros("start") - F.lag(F.unix_micros("end")).over(w)
+    new = parts.withColumn("__new", F.when(gap <= gap_seconds * 1_000_000, 0).otherwise(1))
+    whole = new.withColumn("burst", F.sum("__new").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    return whole.groupBy(*by, "burst").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("points").alias("points"))
 
 
 def episodes(df: DataFrame, by: list[str], ts: str, as_of: Column, gap_hours: int = 8, current_hours: int = 24) -> DataFrame:

@@ -46,11 +46,10 @@ def failure_rates(runs: DataFrame, by: list[str], outcome: str) -> DataFrame:
 
 
 def findings(rates: DataFrame, key: str, min_runs: int, rate: float, limit: int = THRESHOLDS["maxFindings"]) -> DataFrame:
-    """Keys over the threshold, ranked by severity, then failures, then key; the first few."""
+    """Keys over the threshold, ranked by failures, then key; the first few. A rate is a medium finding."""
     over = rates.where((F.col("known") >= min_runs) & (F.col("rate") >= rate))
-    severity = F.when(F.col("rate") >= 2 * rate, "high").otherwise("medium")
-    order = [F.when(F.col("severity") == "high", 0).otherwise(1), F.desc("failures"), F.col(key)]
-    first = over.withColumn("severity", severity).orderBy(*order).limit(limit)
+    order = [F.desc("failures"), F.col(key)]
+    first = over.withColumn("severity", F.lit("medium")).orderBy(*order).limit(limit)
     return first.withColumn("rank", F.row_number().over(Window.orderBy(*order))).select("rank", key, "severity", "failures", "known", "rate")
 
 

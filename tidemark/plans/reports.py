@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import metrics
+from tidemark.operators import friction, metrics
 from tidemark.plans.base import EVENTS_SQL, cents, events, micros, money, registry, table
 
 QUERIES, ORACLES, query = registry()
@@ -18,12 +18,34 @@ def failure_rates(spark, sf_dir):
 
 
 @query(f"""WITH {EVENTS_SQL}, r AS (SELECT user_id, count(*) FILTER (WHERE event_type = 'error') AS failures, count(*) FILTER (WHERE event_type IN ('error', 'click')) AS known FROM e GROUP BY 1),
-f AS (SELECT *, failures::DOUBLE / known AS rate, CASE WHEN failures::DOUBLE / known >= 0.4 THEN 'high' ELSE 'medium' END AS severity FROM r WHERE known >= 3 AND failures::DOUBLE / known >= 0.2)
-SELECT * FROM (SELECT row_number() OVER (ORDER BY CASE severity WHEN 'high' THEN 0 ELSE 1 END, failures DESC, user_id)::INT AS rank, user_id, severity, failures, known, rate FROM f) WHERE rank <= 10""")
+f AS (SELECT *, failures::DOUBLE / known AS rate, 'medium' AS severity FROM r WHERE known >= 3 AND failures::DOUBLE / known >= 0.2)
+SELECT * FROM (SELECT row_number() OVER (ORDER BY failures DESC, user_id)::INT AS rank, user_id, severity, failures, known, rate FROM f) WHERE rank <= 10""")
 def failure_rate_findings(spark, sf_dir):
     return metrics.findings(failure_rates(spark, sf_dir), "user_id", 3, 0.2)
 
 
+@query(f"""WITH {EVENTS_SQL}, runs AS (SELECT CASE event_type WHEN 'error' THEN 'failed' WHEN 'click' THEN 'passed' ELSE 'unknown' END AS outcome, k FROM e),
+tests AS (SELECT 't' || t AS test, count(*) AS n FROM (SELECT k AS t FROM runs WHERE outcome = 'failed' UNION ALL SELECT k + 1 FROM runs WHERE outcome = 'failed') GROUP BY 1),
+total AS (SELECT count(*) AS calls, count(*) FILTER (WHERE outcome = 'failed') AS failed, count(*) FILTER (WHERE outcome <> 'unknown') AS known FROM runs),
+d AS (SELECT 'friction.test-repeated-failure:' || test AS finding_id, 'high' AS severity, n AS weight FROM tests WHERE n >= 2
+UNION ALL SELECT 'friction.test-failure-rate', 'medium', failed FROM total WHERE known >= 3 AND failed / known >= 0.5
+UNION ALL SELECT 'friction.tool-failure-rate', 'medium', failed FROM total WHERE failed >= 3 AND failed / calls >= 0.2
+UNION ALL SELECT 'friction.command-repeated-failure:' || user_id, 'medium', count(*) FROM e WHERE event_type = 'error' GROUP BY user_id HAVING count(*) >= 2
+UNION ALL SELECT 'friction.file-rework:' || k, CASE WHEN count(*) >= 10 THEN 'medium' ELSE 'low' END, count(*) FROM e WHERE event_type = 'purchase' GROUP BY k HAVING count(*) >= 5)
+SELECT rank, finding_id, severity, weight FROM (SELECT *, row_number() OVER (ORDER BY CASE severity WHEN 'high' THEN 0 WHEN 'medium' THEN 1 ELSE 2 END, weight DESC, finding_id)::INT AS rank FROM d) WHERE rank <= 10""")
+def friction_findings(spark, sf_dir):
+    e = events(spark, sf_dir)
+    outcome = F.when(F.col("event_type") == "error", "failed").when(F.col("event_type") == "click", "passed").otherwise("unknown")
+    name = lambda k: F.concat(F.lit("t"), k.cast("string"))
+    failing = F.when(F.col("event_type") == "error", F.array(name(F.col("k")), name(F.col("k") + 1), name(F.col("k"))))
+    runs = e.select(outcome.alias("outcome"), failing.alias("failing"))
+    drafts = [
+        friction.run_findings(runs, "outcome", "failing"), friction.tool_findings(e.select((F.col("event_type") == "error").alias("failed")), "failed"),
+        friction.command_findings(e.where("event_type = 'error'"), "user_id"), friction.rework_findings(e.where("event_type = 'purchase'"), "k"),
+    ]
+    return friction.ranked(drafts)
+
+
 @query("""WITH g AS (SELECT min(o_orderdate) AS s FROM orders WHERE o_orderstatus = 'F' AND o_orderdate >= '1995-06-01'),
 u AS (SELECT * FROM orders, g WHERE (o_orderstatus = 'F' AND o_orderdate >= '1995-06-01') OR (o_orderstatus <> 'F' AND o_orderdate < g.s))
 SELECT count(*) AS rows, floor(sum(CASE WHEN o_custkey % 3 <> 0 THEN o_totalprice END) * 100 + 0.5) / 100 AS linked, floor(sum(CASE WHEN o_custkey % 3 = 0 THEN o_totalprice END) * 100 + 0.5) / 100 AS unlinked,
