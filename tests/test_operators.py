@@ -128,6 +128,21 @@ def test_islands_do_not_depend_on_stretches(spark):
         assert [x for x in found[0][0] if x[0] == k] == want
 
 
+def test_interval_pairs_of_all_lengths(spark):
+    rng = random.Random(13)
+    lengths = [0, 10, 4000, 200_000, 9_000_000, 400_000_000, 20_000_000_000]
+    left = [(rng.choice("ab"), i, rng.randint(0, 2_000_000_000)) for i in range(60)] + [("a", 60, None), (None, 61, 5)]
+    right = [(rng.choice("ab"), i, s := rng.randint(-1_000_000_000, 2_000_000_000), s + rng.choice(lengths)) for i in range(40)] + [("a", 40, 9, 3), ("a", 41, None, 3), ("b", 42, 3, None)]
+    for reach in (0, 3600):
+        want = {(x, y) for k, x, t in left for j, y, s, e in right if k == j and None not in (t, s, e) and s - reach <= t <= e + reach}
+        at = lambda c: F.timestamp_seconds(c).alias(c)
+        a = spark.createDataFrame(left, "k string, x long, t long").select("k", "x", at("t"))
+        b = spark.createDataFrame(right, "k string, y long, s long, e long").select("k", "y", at("s"), at("e"))
+        got = [(r.x, r.y) for r in asof.interval_pairs(a, b, ["k"], "t", "s", "e", reach).select("x", "y").collect()]
+        assert len(got) == len(want) and set(got) == want
+    assert asof.interval_pairs(a, b.limit(0), ["k"], "t", "s", "e").count() == 0
+
+
 def test_greedy_pairs_once(spark):
     pairs = spark.createDataFrame([("s", 1, 1, 5), ("s", 1, 2, 1), ("s", 2, 2, 2)], "k string, r long, t long, gap long")
     assert {(x.r, x.t) for x in pairing.greedy(pairs, ["k"], "r", "t").collect()} == {(1, 2)}

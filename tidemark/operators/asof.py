@@ -53,18 +53,31 @@ def nearest_join(left: DataFrame, right: DataFrame, by: list[str], left_ts: str,
     return both.select(*left.columns, pick("matched_at"), *[pick(c) for c in columns], agree.alias("both_agree"))
 
 
+#: Levels of stretches of an interval join, from hours to more than ten thousand years, and how much wider each is.
+LEVELS, GROWTH = 6, 32
+
+
 def interval_pairs(left: DataFrame, right: DataFrame, by: list[str], left_ts: str, start: str, end: str, reach_seconds: int = 0) -> DataFrame:
     """All (left row, right interval) pairs of a key with the instant within reach of the interval.
 
     Both sides are dealt by (key, stretch of time) as well as by key; an interval is sent to
-    every stretch it reaches, an instant to its own.
+    every stretch it reaches, an instant to its own. Longer intervals are dealt in wider
+    stretches, ``GROWTH`` times as wide a level, so that none is sent to more than some
+    ``GROWTH`` of them; an instant is sent once to each level that has intervals.
     """
     width = max(3600, 4 * reach_seconds)
-    stretch = lambda c: F.floor(F.unix_seconds(c.cast("timestamp")) / width)
+    seconds = lambda c: F.unix_seconds(c.cast("timestamp"))
     reach = F.expr(f"INTERVAL {reach_seconds} SECONDS")
-    r = right.withColumn("__stretch", F.explode(F.sequence(stretch(F.col(start) - reach), stretch(F.col(end) + reach))))
-    ll = left.withColumn("__stretch", stretch(F.col(left_ts)))
-    return ll.join(r, [*by, "__stretch"]).where((F.col(left_ts) >= F.col(start) - reach) & (F.col(left_ts) <= F.col(end) + reach)).drop("__stretch")
+    first, last = seconds(F.col(start) - reach), seconds(F.col(end) + reach)
+    level = F.when(first <= last, F.lit(LEVELS - 1))
+    for n in reversed(range(LEVELS - 1)):
+        level = F.when((first <= last) & (last - first <= width * GROWTH ** (n + 1)), F.lit(n)).otherwise(level)
+    levels = sorted(r[0] for r in right.select(level.alias("n")).where("n is not null").distinct().collect())
+    wide = F.lit(width) * F.pow(F.lit(GROWTH), F.col("__level"))
+    stretch = lambda s: F.floor(s / wide)
+    r = right.withColumn("__level", level).where("__level is not null").withColumn("__stretch", F.explode(F.sequence(stretch(first), stretch(last))))
+    ll = left.withColumn("__level", F.explode(F.array(*[F.lit(n) for n in levels]).cast("array<int>"))).withColumn("__stretch", stretch(seconds(F.col(left_ts))))
+    return ll.join(r, [*by, "__level", "__stretch"]).where((F.col(left_ts) >= F.col(start) - reach) & (F.col(left_ts) <= F.col(end) + reach)).drop("__level", "__stretch")
 
 
 def versions(df: DataFrame, by: list[str], effective: str) -> DataFrame:

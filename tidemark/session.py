@@ -43,6 +43,29 @@ def drop_path(spark: SparkSession, path: str) -> None:
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
 
 
+def swap_path(spark: SparkSession, new: str, path: str) -> None:
+    """``new`` takes the place of ``path`` by renames on their file system; what was there is kept until it has."""
+    jvm = spark.sparkContext._jvm
+    to, fresh, before = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, new, f"{path}.before"))
+    fs = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if fs.exists(to):
+        fs.delete(before, True)
+        if not fs.rename(to, before):
+            raise OSError(f"cannot set {path} aside")
+    if not fs.rename(fresh, to):
+        raise OSError(f"cannot put {new} in place of {path}; the former table is {path}.before")
+    fs.delete(before, True)
+
+
+def recover_path(spark: SparkSession, path: str) -> None:
+    """Ends a swap that was cut off between its two renames: the former table comes back."""
+    jvm = spark.sparkContext._jvm
+    to, before = (jvm.org.apache.hadoop.fs.Path(p) for p in (path, f"{path}.before"))
+    fs = to.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(to) and fs.exists(before) and not fs.rename(before, to):
+        raise OSError(f"cannot bring {path}.before back")
+
+
 def local_session(cores: int | str = "*", **conf: str) -> SparkSession:
     """A session for tests and the bench."""
     builder = (

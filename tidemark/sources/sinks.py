@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -9,10 +10,11 @@ from pyspark.sql import functions as F
 from pyspark.sql.utils import AnalysisException
 
 from tidemark.operators.facts import one_per_key
-from tidemark.session import drop_path, new_path
+from tidemark.session import recover_path, swap_path
 
 
 def _read(spark: SparkSession, path: str, like: DataFrame) -> DataFrame:
+    recover_path(spark, path)
     try:
         return spark.read.schema(like.schema).parquet(path)
     except AnalysisException:  # the table is not there yet
@@ -30,14 +32,16 @@ def append_events(events: DataFrame, path: str, key: str = "event_id") -> tuple[
 
 
 def replace_window(events: DataFrame, path: str, adapter: str, since: datetime, adapter_column: str = "adapter_id", ts: str = "occurred_at") -> None:
-    """One adapter's rows from ``since`` on give way to ``events``; all others stay."""
+    """One adapter's rows from ``since`` on give way to ``events``; all others stay.
+
+    The new table is written beside the old one and then takes its name, so a job that is cut off leaves one of them whole.
+    """
     spark = events.sparkSession
     old = _read(spark, path, events)
     kept = old.where(~F.coalesce((F.col(adapter_column) == adapter) & (F.col(ts) >= F.lit(since)), F.lit(False)))
-    staged = new_path(spark, "replace")
+    staged = f"{path}.{uuid.uuid4().hex}"
     kept.unionByName(events).write.parquet(staged)
-    spark.read.schema(events.schema).parquet(staged).write.mode("overwrite").parquet(path)
-    drop_path(spark, staged)
+    swap_path(spark, staged, path)
 
 
 def freeze_snapshot(selected: DataFrame, root: str, key: str = "event_id") -> str:

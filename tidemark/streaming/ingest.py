@@ -56,10 +56,11 @@ def settle(rows: DataFrame, request: str = "request", seconds: int = 60) -> Data
     return shaped.groupBy("request").applyInPandasWithState(step, "request string, output double, final boolean", "best double, done boolean", "append", GroupStateTimeout.ProcessingTimeTimeout)
 
 
-def refresh_facts(stream: DataFrame, events_path: str, derive: Callable[[DataFrame], DataFrame], facts_path: str, family: str, checkpoint: str):
+def refresh_facts(stream: DataFrame, events_path: str, derive: Callable[[DataFrame], DataFrame], facts_path: str, family: str, checkpoint: str, buckets: int = 64):
     """Each micro-batch appends its new events, then derives anew only the families they touch.
 
-    A batch that runs twice appends nothing the second time and writes the same facts.
+    A batch that runs twice appends nothing the second time and writes the same facts. With many
+    families take more ``buckets``, and the same number for all runs: a batch derives all families of the buckets it touches.
     """
     from tidemark.sources.sinks import write_facts
 
@@ -69,9 +70,9 @@ def refresh_facts(stream: DataFrame, events_path: str, derive: Callable[[DataFra
         touched = held.select(family).distinct()
         # Buckets are overwritten whole, so all families of a touched bucket are derived.
         everything = df.sparkSession.read.parquet(events_path)
-        bucket = lambda d: d.withColumn("__b", F.pmod(F.xxhash64(family), F.lit(64)))
+        bucket = lambda d: d.withColumn("__b", F.pmod(F.xxhash64(family), F.lit(buckets)))
         again = bucket(everything).join(bucket(touched).select("__b").distinct(), "__b", "left_semi").drop("__b")
-        write_facts(derive(again), facts_path, family)
+        write_facts(derive(again), facts_path, family, buckets)
         held.unpersist()
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
