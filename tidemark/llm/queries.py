@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tidemark.llm import ann, mixing, pieces, pii, quality, secrets, simhash, urls, vector_dedup, warc
+from tidemark.llm import ann, divergence, mixing, packing, pieces, pii, quality, runs, secrets, simhash, urls, vector_dedup, warc
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,7 +51,19 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.nearest_vectors(_table(spark, sf_dir, "embeddings"))
 
 
-QUERIES = (op1_pii, op2_urls, op3_quality, op4_vector_dedup, op5_pieces, op6_simhash, op7_warc, op8_secrets, op9_mixing, op10_nearest)
+def op11_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.run_digest(_table(spark, sf_dir, "documents"))
+
+
+def op12_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit_sources(_table(spark, sf_dir, "documents"))
+
+
+def op13_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.pack_documents(_table(spark, sf_dir, "documents"))
+
+
+QUERIES = (op1_pii, op2_urls, op3_quality, op4_vector_dedup, op5_pieces, op6_simhash, op7_warc, op8_secrets, op9_mixing, op10_nearest, op11_runs, op12_divergence, op13_packing)
 
 
 def queries() -> dict:
@@ -59,4 +71,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_vector_dedup": vector_dedup.ORACLE_SQL, "op7_warc": warc.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL}
+    return {"op4_vector_dedup": vector_dedup.ORACLE_SQL, "op7_warc": warc.ORACLE_SQL, "op9_mixing": mixing.ORACLE_SQL, "op12_divergence": divergence.ORACLE_SQL}
