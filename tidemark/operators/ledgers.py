@@ -105,30 +105,3 @@ def usage_results(rows: DataFrame, category: str, amount: str, ledgers: dict[str
     names = wide.columns
     money = wide.select(F.explode(F.array(*[F.struct(F.lit(n).alias("name"), F.col(f"`{n}`").alias("value")) for n in names])).alias("x")).select("x.name", "x.value")
     return tokens.unionByName(money)
-
-
-def flat_charges(usage: DataFrame, prices: DataFrame, model: str, counts: dict[str, str]) -> DataFrame:
-    """Usage with ``charges``: counted requests of each kind times the model's price of one; unpriced counts make it null.
-
-    ``counts`` maps a count column to its price column. No count, or a count of zero, costs nothing.
-    """
-    priced = usage.join(prices.withColumnRenamed(model, "__model"), F.col(model) == F.col("__model"), "left")
-    lines = [F.when(F.coalesce(F.col(c), F.lit(0)) > 0, F.col(c) * F.col(p)).otherwise(F.lit(0.0)) for c, p in counts.items()]
-    total = lines[0]
-    for line in lines[1:]:
-        total = total + line
-    return priced.select(*usage.columns, total.alias("charges"))
-
-
-def first_estimate(usage: DataFrame, estimates: list[tuple[str, Column]]) -> DataFrame:
-    """The first estimate that is known, and which it is."""
-    value = F.coalesce(*[c for _, c in estimates])
-    source = F.coalesce(*[F.when(c.isNotNull(), F.lit(n)) for n, c in estimates])
-    return usage.withColumn("estimate", value).withColumn("estimated_by", source)
-
-
-def observed_prices(prices: DataFrame, models: DataFrame, base: Column, model: str) -> DataFrame:
-    """The price table with a row for every observed model name that only its base name is priced for."""
-    seen = models.select(model).where(F.col(model).isNotNull()).distinct().join(prices.select(model), model, "left_anti").withColumn("__base", base)
-    more = seen.join(prices.withColumnRenamed(model, "__base"), "__base").drop("__base")
-    return prices.unionByName(more.select(*prices.columns))

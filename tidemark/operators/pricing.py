@@ -84,6 +84,15 @@ def unpriced_units(count: Column, usd_per_unit: Column) -> Column:
     return (F.coalesce(count, F.lit(0)) > 0) & usd_per_unit.isNull()
 
 
+def unit_charges(lines: list[tuple[Column, Column]]) -> tuple[Column, Column]:
+    """(usd, complete) of charges by count: what is priced adds up, and anything counted without a price leaves it incomplete."""
+    usd, complete = F.lit(0.0), F.lit(True)
+    for count, usd_per_unit in lines:
+        usd = usd + F.coalesce(unit_line(count, usd_per_unit), F.lit(0.0))
+        complete = complete & ~unpriced_units(count, usd_per_unit)
+    return round_half_up(usd), complete
+
+
 def with_fallback(estimated: Column, list_price: Column, premium_usd: Column) -> Column:
     """``estimated`` as struct(usd, method, reason, complete), or without a price the tool's own list price, else its premium requests.
 

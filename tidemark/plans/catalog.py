@@ -2,8 +2,20 @@
 
 from __future__ import annotations
 
-from tidemark.plans import corpus, costs, ingest, intervals, joins, ledgers, placement, reports, requests, usage
+from tidemark.plans import corpus, costs, ingest, intervals, joins, ledgers, placement, reports, requests, rollouts, usage
 
-MODULES = (usage, intervals, joins, placement, ledgers, requests, costs, reports, corpus, ingest)
-QUERIES = {name: q for m in MODULES for name, q in m.QUERIES.items()}
+MODULES = (usage, intervals, joins, placement, ledgers, requests, rollouts, costs, reports, corpus, ingest)
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
+
+
+def _queries() -> dict:
+    """All modules' queries; a name that two of them have is an error."""
+    out: dict = {}
+    for m in MODULES:
+        if twice := out.keys() & m.QUERIES.keys():
+            raise ValueError(f"{m.__name__} registers again: {sorted(twice)}")
+        out |= m.QUERIES
+    return out
+
+
+QUERIES = _queries()

@@ -80,3 +80,23 @@ def usage_csv_roles(spark, sf_dir):
     c.select(F.lit("2024-01-02").alias("Date"), kind.alias("Kind"), F.col("c_custkey").cast("string").alias("Model"), F.lit("1,234").alias("Total Tokens"), cost.alias("Cost")).write.option("header", True).csv(path)
     rows, _ = read_usage_csv(spark, path)
     return rows.where("cost_usd is not null").select(F.col("model").cast("long").alias("c_custkey"), F.round("cost_usd", 2).alias("amount"), "ledger")
+
+
+@query("""WITH r AS (SELECT user_id, event_id // 5000 AS turn, ts, CASE event_type WHEN 'purchase' THEN 'request' WHEN 'error' THEN 'failed' ELSE event_type END AS kind FROM events),
+b AS (SELECT *, lag(ts) OVER w AS before, coalesce(max((kind = 'failed')::INT) OVER (w ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS ended FROM r WINDOW w AS (PARTITION BY user_id, turn ORDER BY ts, kind)),
+o AS (SELECT *, ended + coalesce(max((ts >= before + INTERVAL 12 HOUR)::INT) OVER (PARTITION BY user_id, turn ORDER BY ts, kind ROWS UNBOUNDED PRECEDING), 0) AS over FROM b),
+t AS (SELECT user_id, turn, min(ts) AS started, max(ts) AS last, count_if(kind = 'request')::BIGINT AS requests, CASE WHEN max((kind = 'failed')::INT) = 1 THEN 'failed' ELSE 'unfinished' END AS status FROM o WHERE over = 0 GROUP BY 1, 2)
+SELECT user_id, turn, epoch_us(started) AS started_us, epoch_us(last) AS last_us, requests, status FROM t, (SELECT max(ts) - INTERVAL 10 MINUTE AS mark FROM events)
+WHERE (requests > 0 OR status = 'failed') AND CASE WHEN status = 'failed' THEN last ELSE last + INTERVAL 12 HOUR END <= mark""")
+def closed_turns_stream(spark, sf_dir):
+    """Turns that the stream of events closes: by a failure, or after half a day of quiet behind the watermark."""
+    from tidemark.streaming import turns
+
+    turns.use_rocksdb(spark)
+    src, out = new_path(spark, "turn-log"), new_path(spark, "turns")
+    kind = F.when(F.col("event_type") == "purchase", turns.REQUEST).when(F.col("event_type") == "error", "failed").otherwise(F.col("event_type"))
+    rows = events(spark, sf_dir).select(F.col("user_id").cast("string").alias("session"), F.floor(F.col("event_id") / 5000).cast("string").alias("turn"), F.col("ts").alias("at"), kind.alias("kind"))
+    rows.write.parquet(src)
+    found = turns.closed_turns(spark.readStream.schema(rows.schema).parquet(src), idle_minutes=720)
+    found.writeStream.format("parquet").option("path", out).option("checkpointLocation", new_path(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
+    return spark.read.schema(found.schema).parquet(out).select(F.col("session").cast("long").alias("user_id"), F.col("turn").cast("long").alias("turn"), F.unix_micros("started_at").alias("started_us"), F.unix_micros("last_at").alias("last_us"), "requests", "status")

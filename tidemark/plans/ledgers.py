@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import folds, ledgers, selection
+from tidemark.operators import folds, ledgers, pricing, selection
 from tidemark.plans.base import EVENTS_SQL, events, registry, table
 
 QUERIES, ORACLES, query = registry()
@@ -103,23 +103,13 @@ def _prices(spark):
     return spark.createDataFrame([("click", 0.01, 0.25), ("view", 0.02, None), ("error", None, 0.5)], "tool string, search_price double, premium_price double")
 
 
-CHARGES = f"""{EVENTS_SQL}, {PRICES}, u AS (SELECT event_id, e.tool, CASE WHEN k % 3 <> 0 THEN k % 4 END AS searches, k % 2 AS premiums, amount FROM e),
-c AS (SELECT u.*, CASE WHEN searches > 0 THEN searches * search_price::DOUBLE ELSE 0.0 END + CASE WHEN premiums > 0 THEN premiums * premium_price::DOUBLE ELSE 0.0 END AS charges FROM u LEFT JOIN p USING (tool))"""
-
-
-def _charged(spark, sf_dir):
-    u = events(spark, sf_dir).select("event_id", "tool", F.when(F.col("k") % 3 != 0, F.col("k") % 4).alias("searches"), (F.col("k") % 2).alias("premiums"), "amount")
-    return ledgers.flat_charges(u, _prices(spark), "tool", {"searches": "search_price", "premiums": "premium_price"})
-
-
-@query(f"WITH {CHARGES} SELECT event_id, charges FROM c")
+@query(f"""WITH {EVENTS_SQL}, {PRICES}, u AS (SELECT event_id, e.tool, CASE WHEN k % 3 <> 0 THEN k % 4 END AS searches, k % 2 AS premiums FROM e),
+c AS (SELECT event_id, coalesce(searches, 0) > 0 AND search_price IS NULL OR premiums > 0 AND premium_price IS NULL AS unpriced, CASE WHEN searches > 0 THEN searches * search_price::DOUBLE END AS a, CASE WHEN premiums > 0 THEN premiums * premium_price::DOUBLE END AS b FROM u LEFT JOIN p USING (tool))
+SELECT event_id, coalesce(a, 0) + coalesce(b, 0) AS charges, NOT unpriced AS complete FROM c""")
 def flat_charges(spark, sf_dir):
-    return _charged(spark, sf_dir).select("event_id", "charges")
-
-
-@query(f"""WITH {CHARGES} SELECT event_id, coalesce(charges, amount) AS estimate, CASE WHEN charges IS NOT NULL THEN 'charges' WHEN amount IS NOT NULL THEN 'list' END AS estimated_by FROM c""")
-def fallback_estimates(spark, sf_dir):
-    return ledgers.first_estimate(_charged(spark, sf_dir), [("charges", F.col("charges")), ("list", F.col("amount"))]).select("event_id", "estimate", "estimated_by")
+    u = events(spark, sf_dir).select("event_id", "tool", F.when(F.col("k") % 3 != 0, F.col("k") % 4).alias("searches"), (F.col("k") % 2).alias("premiums"))
+    usd, complete = pricing.unit_charges([(F.col("searches"), F.col("search_price")), (F.col("premiums"), F.col("premium_price"))])
+    return u.join(_prices(spark), "tool", "left").select("event_id", usd.alias("charges"), complete.alias("complete"))
 
 
 @query("""WITH p AS (SELECT p_brand AS model, max(p_retailprice) AS price FROM part GROUP BY 1), s AS (SELECT DISTINCT p_brand || '-v' || (p_size % 3) AS model FROM part UNION SELECT p_brand FROM part WHERE p_size = 1),
@@ -128,7 +118,8 @@ def observed_prices(spark, sf_dir):
     part = table(spark, sf_dir, "part")
     prices = part.groupBy(F.col("p_brand").alias("model")).agg(F.max("p_retailprice").alias("price"))
     seen = part.select(F.concat("p_brand", F.lit("-v"), (F.col("p_size") % 3).cast("string")).alias("model")).union(part.where("p_size = 1").select("p_brand"))
-    return ledgers.observed_prices(prices, seen, F.regexp_replace("model", "-v[0-9]+$", ""), "model")
+    keyed = seen.select("model", F.array(F.regexp_replace("model", "-v[0-9]+$", "")).alias("keys"))
+    return pricing.expand_prices(prices, keyed, "model", "keys")
 
 
 @query(f"""WITH {EVENTS_SQL}, v AS (SELECT event_id, CASE WHEN k % 5 <> 0 THEN ts END AS o, ts + INTERVAL 1 HOUR AS s, tool FROM e) SELECT event_id FROM v WHERE tool = 'click' AND coalesce(o, s) >= TIMESTAMP '2024-01-05' AND coalesce(o, s) <= TIMESTAMP '2024-01-20'""")
