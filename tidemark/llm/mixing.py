@@ -20,7 +20,7 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.session import materialize
+from tidemark.session import free_names, materialize
 
 WEIGHTS = (5, 2, 1)
 BUDGET = Fraction(3, 2)
@@ -171,7 +171,9 @@ def mixed_documents(docs: DataFrame, seed: int = 42, max_epochs: int = MAX_EPOCH
     takes no words of is left out, unless it has no words at all. Rows alike in id, source and
     text are copies of one document, whose other columns are those of one of them.
     """
-    columns = docs.columns
+    columns = [F.col(f"`{c}`") for c in docs.columns]
+    # Names that no column of the documents has.
+    key, copy = free_names(docs.columns, "__key", "__copy")
     sized, _ = materialize(_sized(docs), "sizes")
     plan = mix_plan(sized, seed, max_epochs=max_epochs)
     size = F.col("size")
@@ -179,18 +181,15 @@ def mixed_documents(docs: DataFrame, seed: int = 42, max_epochs: int = MAX_EPOCH
     copies = F.array(*[F.struct(w.alias("words"), (F.col("finish") + F.col("source_size") * e / F.col("target")).alias("finish")) for e, w in enumerate(words)])
     served = F.when(size > 0, F.filter(copies, lambda c: c["words"] > 0)).otherwise(F.slice(copies, 1, 1))
     # One struct is the join key, as structs compare null fields as equal.
-    taken = plan.select(F.struct("doc_id", "source", "size", "row").alias("__key"), F.explode(served).alias("__copy"))
-    keyed = docs.withColumn("__key", F.struct("doc_id", "source", word_count(F.col("text")).alias("size"), _row().alias("row")))
-    first_words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), 1, F.col("__copy.words").cast("int")), " ")
+    taken = plan.select(F.struct("doc_id", "source", "size", "row").alias(key), F.explode(served).alias(copy))
+    keyed = docs.withColumn(key, F.struct("doc_id", "source", word_count(F.col("text")).alias("size"), _row().alias("row")))
+    whole = F.col(copy)["words"] == F.col(key)["size"]
+    first_words = F.array_join(F.slice(F.regexp_extract_all("text", F.lit(f"({WORD})"), F.lit(1)), 1, F.col(copy)["words"].cast("int")), " ")
     # Texts move twice, by key and into the order of the mix; the plan grows with the corpus, so it is not broadcast.
-    out = (
-        keyed.dropDuplicates(["__key"]).hint("merge").join(taken, "__key")
-        .withColumn("text", F.when(F.col("__copy.words") == F.col("__key.size"), F.col("text")).otherwise(first_words))
-    )
-    if "n_chars" in columns:
-        whole = F.col("__copy.words") == F.col("__key.size")
+    out = keyed.dropDuplicates([key]).hint("merge").join(taken, key).withColumn("text", F.when(whole, F.col("text")).otherwise(first_words))
+    if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(whole, F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.orderBy("__copy.finish", "doc_id").select(*columns)
+    return out.orderBy(F.col(copy)["finish"], "doc_id").select(*columns)
 
 
 ORACLE_SQL = r"""

@@ -22,7 +22,6 @@ from collections.abc import Callable, Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -31,40 +30,50 @@ from tidemark.session import materialize
 CAPACITY = 4096
 END = 1
 VOCABULARY = "word_bpe_49k.json"
-BUCKET_ROWS = 1 << 16
-#: Words and parts of words whose ids a task keeps at hand: twice as many at most.
-HELD_WORDS = 250_000
+BUCKET_ROWS = 1 << 12
+#: Parts of words whose ids a task keeps at hand: twice as many at most.
+HELD_WORDS = 500_000
 
 
-class Recent(dict):
+class Recent:
     """A table of answers that keeps the ones asked for lately, up to twice ``most``."""
 
     def __init__(self, answer: Callable, most: int) -> None:
-        super().__init__()
-        self.answer, self.most, self.before = answer, most, {}
+        self.answer, self.most = answer, most
+        self.now: dict = {}
+        self.before: dict = {}
+
+    def all_of(self, keys: list) -> list:
+        found = list(map(self.now.get, keys))
+        at, missing = 0, found.count(None)
+        for _ in range(missing):
+            at = found.index(None, at)
+            found[at] = self._one(keys[at])
+        return found
 
-    def __missing__(self, key):
-        found = self.before.get(key)
+    def _one(self, key):
+        found = self.now.get(key)
         if found is None:
-            found = self.answer(key)
-        if len(self) >= self.most:
-            self.before = dict(self)
-            self.clear()
-        self[key] = found
+            found = self.before.get(key)
+            if found is None:
+                found = self.answer(key)
+            if len(self.now) >= self.most:
+                self.before, self.now = self.now, {}
+            self.now[key] = found
         return found
 
 
 class WordEncoder:
-    """Token ids of whole texts, word by word: nothing in this vocabulary spans white space.
+    """Token ids of whole texts, part by part: nothing in this vocabulary spans two parts of a text.
 
-    Most words are of printable ASCII and Latin letters, for which lower-casing, parting and
-    the byte alphabet are plain; their parts go to the library's merge model. All others, and
-    words that may hold a special token, go to the library whole.
+    Texts of ASCII and Latin letters are lower-cased and parted here, where that is plain, and
+    each part goes to the library's merge model once. Of other texts every word goes to the
+    library whole, as nothing spans white space; so does all that holds a special token.
     """
 
     # İ lower-cases to two characters and is not plain.
-    _PLAIN = re.compile("[!-~À-įı-ɏ]*")
-    _PARTS = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
+    _PLAIN = re.compile("[\t-\r -~À-įı-ɏ]*")
+    _PARTS = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[A-Za-zÀ-ÖØ-öø-ɏ]+|[0-9]|[!-/:-@\[-`{-~×÷]+")
     _SPACES = "\t\n\v\f\r"
 
     def __init__(self, path: str, held: int = HELD_WORDS) -> None:
@@ -72,26 +81,26 @@ class WordEncoder:
 
         self.library = Tokenizer.from_file(path)
         self.model = self.library.model
-        self.special = [t.content for t in self.library.get_added_tokens_decoder().values()]
+        self.special = re.compile("|".join(re.escape(t.content) for t in self.library.get_added_tokens_decoder().values()) or r"(?!)").search
+        self.as_id = [struct.pack("<I", i) for i in range(self.library.get_vocab_size())]
         byte = pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)
         self.as_bytes = str.maketrans({c: "".join(p for p, _ in byte.pre_tokenize_str(c)) for c in map(chr, range(0xC0, 0x250))})
-        self.words, self.parts = Recent(self._word, held), Recent(self._part, held)
+        self.words, self.parts = Recent(self._word, held // 4), Recent(self._part, held)
 
     def _part(self, part: str) -> bytes:
-        return b"".join(struct.pack("<I", t.id) for t in self.model.tokenize(part if part.isascii() else part.translate(self.as_bytes)))
+        return b"".join([self.as_id[t.id] for t in self.model.tokenize(part if part.isascii() else part.translate(self.as_bytes))])
 
     def _word(self, word: str) -> bytes:
-        if self._PLAIN.fullmatch(word) and not any(s in word for s in self.special):
-            lower = word.lower()
-            return b"".join(map(self.parts.__getitem__, self._PARTS.findall(lower)))
         return np.array(self.library.encode(word, add_special_tokens=False).ids, "<u4").tobytes()
 
     def encode(self, text: str | None) -> bytes:
         """The ids of a text as unsigned little-endian 32-bit numbers."""
         text = text or ""
+        if self._PLAIN.fullmatch(text) and not self.special(text):
+            return b"".join(self.parts.all_of(self._PARTS.findall(text.lower())))
         for space in self._SPACES:
             text = text.replace(space, " ")
-        return b"".join(map(self.words.__getitem__, text.split(" ")))
+        return b"".join(self.words.all_of(text.split(" ")))
 
 
 _ENCODERS: dict[str, WordEncoder] = {}

@@ -59,8 +59,10 @@ _OBFUSCATED = re.compile(
     r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+ ?(?:\(at\)|\[at\]|\{at\}) ?[A-Za-z0-9-]{1,63}+(?: ?(?:\.|\(dot\)|\[dot\]|\{dot\}| dot ) ?[A-Za-z0-9-]{1,63}+)+", re.IGNORECASE | re.ASCII
 )
 _AT = re.compile(r"at[)\]}]", re.IGNORECASE | re.ASCII)
+_RUN = re.compile(r"[\w.%+@-]+")
 #: A-Z alone, so that offsets never move.
 _LOWER = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+#: An obfuscated address has at most 64 characters before its "at" and 63 in each label, as mail addresses do.
 # Context words, lower case, by the kind they speak for.
 _CONTEXT = {
     "cue_mail": ("mail", "contact", "write"),
@@ -153,9 +155,13 @@ def mentions(text: str, base: list[tuple[str, int, int]]) -> list[dict]:
             node(m.start(), m.end(), None, ["mail", "mail_obfuscated"], [f"mail:{plain}", f"local:{plain.partition('@')[0]}"])
     if locals_seen:
         lowered = text.translate(_LOWER)
-        pattern = re.compile(r"(?<![\w.%+@-])(?:" + "|".join(map(re.escape, sorted(locals_seen, key=lambda x: (-len(x), x)))) + r")(?![\w%+@-])")
-        for m in pattern.finditer(lowered):
-            node(m.start(), m.end(), None, ["mail_local"], [f"local:{m.group()}"])
+        # A repeat starts where a run of address characters does, and ends with it or before a dot of it.
+        for m in _RUN.finditer(lowered):
+            run, end = m.group(), m.end() - m.start()
+            while end > 0 and run[:end] not in locals_seen:
+                end = run.rfind(".", 0, end)
+            if end > 0:
+                node(m.start(), m.start() + end, None, ["mail_local"], [f"local:{run[:end]}"])
     out = sorted(nodes.values(), key=lambda n: (n["start"], n["end"]))
     starts = [s for _, s, _ in base]
     for n in out:  # what distant supervision says: the kind of a base span that covers the mention
@@ -205,7 +211,12 @@ def skip_edges(nodes: list[dict]) -> list[tuple[int, int]]:
 
 
 def infer(nodes: list[dict], weights: np.ndarray, rounds: int = 30, damping: float = 0.3) -> np.ndarray:
-    """Beliefs (nodes x labels) by damped loopy sum-product in the log domain."""
+    """Beliefs (nodes x labels) by damped loopy sum-product in the log domain.
+
+    Messages are passed until none changes by 1e-4; fields without loops settle in as many
+    rounds as they are wide. Loopy ones need not settle, so ``rounds`` ends them: a field that
+    still moves then has the beliefs of its last round.
+    """
     at = {f: i for i, f in enumerate(FEATURES)}
     n, k = len(nodes), len(LABELS)
     unary = np.zeros((n, k))

@@ -22,9 +22,10 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from tidemark.operators.graph import connected_components
-from tidemark.session import materialize
+from tidemark.session import free_names, materialize
 
 KEY_BLOCKS = 3
 TREE_SIZE = 2048
@@ -232,29 +233,31 @@ def keep_one(docs: DataFrame, radius: int = 3) -> DataFrame:
     keep a row each. Rows alike in id come down to the first by fingerprint and text.
     """
     found = _in_components(docs, radius)
+    # Names that no column of the documents has.
+    keep_id, keep_fp, fp, rank = free_names(docs.columns, "keep_id", "keep_fp", "__fp", "__rank")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "fp")).alias("least")
-    chosen = found.groupBy("component").agg(least).select(F.col("least.doc_id").alias("keep_id"), F.col("least.fp").alias("keep_fp"))
+    chosen = found.groupBy("component").agg(least).select(F.col("least.doc_id").alias(keep_id), F.col("least.fp").alias(keep_fp))
     copies = found.where("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("copies"))
-    chosen, _ = materialize(chosen.join(copies, chosen["keep_id"] == copies["doc_id"], "left").select("keep_id", "keep_fp", "copies"), "kept")
+    chosen, _ = materialize(chosen.join(copies, chosen[keep_id] == copies["doc_id"], "left").select(keep_id, keep_fp, "copies"), "kept")
     # The kept ids grow with the corpus, so they are joined by key at every size.
-    single = docs.join(chosen.where("copies = 1").select("keep_id").hint("merge"), F.col("doc_id") == F.col("keep_id"), "left_semi")
+    single = docs.join(chosen.where("copies = 1").select(keep_id).hint("merge"), F.col("doc_id") == F.col(keep_id), "left_semi")
     # Only rows of a repeated id or of none are looked at again: those kept have the fingerprint chosen.
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema) + ", __fp long"
+    schema = StructType([*docs.schema.fields, StructField(fp, LongType())])
     at = docs.columns.index("text")
 
     def again(batches):
         for batch in batches:
             fps = np.array([fingerprint(t) for t in batch.column(at).to_pylist()], dtype=np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64())], [*batch.schema.names, "__fp"])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(fps, pa.int64())], [*batch.schema.names, fp])
 
-    repeated = docs.join(chosen.where("copies > 1").select("keep_id").distinct(), F.col("doc_id") == F.col("keep_id"), "left_semi")
+    repeated = docs.join(chosen.where("copies > 1").select(keep_id).distinct(), F.col("doc_id") == F.col(keep_id), "left_semi")
     doubtful = repeated.unionByName(docs.where("doc_id is null")).mapInArrow(again, schema)
     # First one row of each id and fingerprint, so that no key of the join has many.
-    order = [F.xxhash64("text"), *[F.col(c) for c in docs.columns]]
-    first = doubtful.withColumn("__rank", F.row_number().over(Window.partitionBy("doc_id", "__fp").orderBy(*order))).where("__rank = 1")
-    wanted = chosen.where("copies is null or copies > 1").select("keep_id", "keep_fp")
-    several = first.join(wanted, (F.col("__fp") == F.col("keep_fp")) & F.col("doc_id").eqNullSafe(F.col("keep_id")), "left_semi")
-    return single.unionByName(several.select(*docs.columns))
+    order = [F.xxhash64("text"), *[F.col(f"`{c}`") for c in docs.columns]]
+    first = doubtful.withColumn(rank, F.row_number().over(Window.partitionBy("doc_id", fp).orderBy(*order))).where(F.col(rank) == 1)
+    wanted = chosen.where("copies is null or copies > 1").select(keep_id, keep_fp)
+    several = first.join(wanted, (F.col(fp) == F.col(keep_fp)) & F.col("doc_id").eqNullSafe(F.col(keep_id)), "left_semi")
+    return single.unionByName(several.select(*[F.col(f"`{c}`") for c in docs.columns]))
 
 
 def hamming(a: int, b: int) -> int:

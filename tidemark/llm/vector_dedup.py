@@ -46,7 +46,13 @@ def edges_of_blocks(dim: int, blocks: int) -> list[tuple[int, int]]:
     return list(itertools.pairwise(cuts))
 
 
+def _scaled(x: np.ndarray) -> np.ndarray:
+    """Rows with a largest component from one half to one, by a power of two: no digit changes and no square leaves the range of doubles."""
+    return np.ldexp(x, -np.frexp(np.abs(x).max(axis=1, keepdims=True))[1])
+
+
 def _unit(x: np.ndarray) -> np.ndarray:
+    x = _scaled(x)
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -96,7 +102,7 @@ def _verify(table: pa.Table, threshold: float, grid: int, blocks: int) -> pa.Tab
     block, dim = table.column("block")[0].as_py(), table.column("dim")[0].as_py()
     first, second = table.column("i")[0].as_py(), table.column("j")[0].as_py()
     cell = np.array([int(c) for c in table.column("cell")[0].as_py().split(",")])
-    x = matrix(table.column("embedding"))
+    x = _scaled(matrix(table.column("embedding")))
     norms = np.linalg.norm(x, axis=1)
     y = _unit(x) @ rotation(dim)
     spans, shares = edges_of_blocks(dim, blocks), _shares(dim, threshold, blocks)
