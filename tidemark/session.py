@@ -37,6 +37,12 @@ def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
     return spark.read.schema(df.schema).parquet(path), path
 
 
+def free_names(columns: list[str], *names: str) -> list[str]:
+    """``names`` with as many underscores as it takes to differ from all ``columns``, in any case of letters."""
+    taken = {c.lower() for c in columns}
+    return [next(n + "_" * i for i in range(len(taken) + 1) if (n + "_" * i).lower() not in taken) for n in names]
+
+
 def drop_path(spark: SparkSession, path: str) -> None:
     jvm = spark.sparkContext._jvm
     hadoop = jvm.org.apache.hadoop.fs.Path(path)
