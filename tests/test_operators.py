@@ -232,10 +232,19 @@ def test_unique_alignment_agrees_with_brute_force():
     for _ in range(200):
         a, b = ([rng.choice("xyz") for _ in range(rng.randint(0, 5))] for _ in range(2))
         every = lcs_alignments(a, b)
-        got = metrics.align_unique(a, b)
+        got = metrics.sole_alignment(a, b)
         assert got == (list(next(iter(every))) if len(every) == 1 else None), (a, b)
 
 
+def test_alignment_of_long_versions():
+    """Twenty thousand lines, a tenth of them alike: time and memory follow the equal pairs."""
+    a = [f"line {i}" if i % 10 else "" for i in range(20_000)]
+    b = [*a[:7001], "new", *a[7005:]]
+    pairs = metrics.sole_alignment(a, b)
+    assert len(pairs) == 19_996 and all(a[i] == b[j] for i, j in pairs)
+    assert metrics.sole_alignment(a, [*a[:50], "", *a[50:]]) is None  # which of two empty lines in a row is new?
+
+
 def test_line_survival_agrees_with_a_fold(spark, monkeypatch):
     monkeypatch.setattr(metrics, "FAN", 3)
     rng = random.Random(7)
@@ -245,7 +254,7 @@ def test_line_survival_agrees_with_a_fold(spark, monkeypatch):
         lines, marks, unclear = [], [], False
         for _, _, body, who in rows:
             new = body.split("\n") if body else []
-            pairs = metrics.align_unique(lines, new)
+            pairs = metrics.sole_alignment(lines, new)
             unclear |= pairs is None
             kept = {j: marks[i] for i, j in pairs or []}
             lines, marks = new, [kept.get(j, who == "ai") for j in range(len(new))]

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import re
+from string import ascii_lowercase, ascii_uppercase, digits
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+# Parts of the patterns below.
 _VALUE = r"(?:\"(?:\\.|[^\"\\\n])*\"?|'(?:\\.|[^'\\\n])*'?|[^\s&]+)"
 _GAP = r"(?:[^\S\r\n]|[  - 　]|\\\r?\n)+"
 _LABEL = r"secret|passw(?:or)?d|passphrase|pwd|oauth|authorization|(?<![a-z])(?:pass|auth)(?![a-z])"
@@ -65,29 +69,33 @@ def entropy_bits(text: Column) -> Column:
     return F.when(F.length(text) > 0, -F.aggregate(counts, F.lit(0.0), lambda a, p: a + p * F.log2(p)))
 
 
+#: Each letter and digit stands for its class.
+_CLASSES = ascii_lowercase + ascii_uppercase + digits, "a" * 26 + "A" * 26 + "0" * 10
+
+
 def looks_like_key(run: Column) -> Column:
-    """Long runs with digits and both cases, few slashes, few word-like stretches and high entropy."""
-    count = lambda p: F.regexp_count(run, F.lit(p))
-    words = F.length(F.array_join(F.regexp_extract_all(run, F.lit("([A-Z]?[a-z]{3,})"), F.lit(1)), ""))
-    return (
-        (count("/") <= MAX_KEY_SLASHES) & (count("[0-9]") >= 2) & (count("[A-Z]") >= 2) & (count("[a-z]") >= 2)
-        & (words / F.length(run) < MAX_KEY_WORD_SHARE) & (entropy_bits(run) >= MIN_KEY_ENTROPY)
-    )
+    """Long runs with digits and both cases, few slashes, few word-like stretches and high entropy.
+
+    The run is drawn once with a letter for each class; what a pattern takes out of that
+    drawing is its share of the run.
+    """
+    drawn = F.translate(run, *_CLASSES)
+    taken = lambda pattern: F.length(run) - F.length(F.regexp_replace(drawn, pattern, ""))
+    of_each_class = F.forall(F.array(*[taken(c) for c in "aA0"]), lambda n: n > 1)
+    in_words = taken("A?a{3,}")
+    return of_each_class & (taken("/") <= MAX_KEY_SLASHES) & (in_words < F.length(run) * MAX_KEY_WORD_SHARE) & (entropy_bits(run) >= MIN_KEY_ENTROPY)
 
 
 def redact(text: Column) -> Column:
     """The text with secrets, mail addresses and home folders replaced, then key-like runs.
 
-    Patterns are tried only on texts that hold one of their hints, so a clean text costs some
-    substring searches and one pass for the runs.
+    Patterns are tried only on texts that hold one of their hints, so a clean text costs one
+    search for each group of hints and one pass for the runs.
     """
-    low = F.lower(text)
     out = text
     for patterns in (SECRET_PATTERNS[:8], SECRET_PATTERNS[8:14], SECRET_PATTERNS[14:]):
         hints = sorted({hint for *_, every in patterns for hint in every})
-        some = F.contains(low, F.lit(hints[0]))
-        for hint in hints[1:]:
-            some = some | F.contains(low, F.lit(hint))
+        some = text.rlike("(?i)" + "|".join(map(re.escape, hints)))
         tried = out
         for pattern, replacement, _ in patterns:
             tried = F.regexp_replace(tried, pattern, replacement)

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_left
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -83,34 +85,39 @@ def model_timeline(rows: DataFrame, by: list[str], ts: str, model: str, order: l
 AI, OTHERS = -1, -2
 
 
-def align_unique(before: list[str], after: list[str]) -> list[tuple[int, int]] | None:
-    """The line pairs of the longest common subsequence where exactly one exists, else None."""
-    n, m = len(before), len(after)
-    best = [[0] * (m + 1) for _ in range(n + 1)]
-    ways = [[1] * (m + 1) for _ in range(n + 1)]
-    for i in range(n - 1, -1, -1):
-        for j in range(m - 1, -1, -1):
-            if before[i] == after[j]:
-                best[i][j] = best[i + 1][j + 1] + 1
-            best[i][j] = max(best[i][j], best[i + 1][j], best[i][j + 1])
-            total = ways[i + 1][j + 1] if before[i] == after[j] and best[i + 1][j + 1] + 1 == best[i][j] else 0
-            total += ways[i + 1][j] if best[i + 1][j] == best[i][j] else 0
-            total += ways[i][j + 1] if best[i][j + 1] == best[i][j] else 0
-            # A path that may skip on either side first is one alignment, not two.
-            total -= ways[i + 1][j + 1] if best[i + 1][j + 1] == best[i][j] else 0
-            ways[i][j] = total
-    if ways[0][0] != 1:
-        return None
-    pairs, i, j = [], 0, 0
-    while i < n and j < m:
-        if before[i] == after[j] and best[i + 1][j + 1] + 1 == best[i][j]:
-            pairs.append((i, j))
-            i, j = i + 1, j + 1
-        elif best[i + 1][j] == best[i][j]:
-            i += 1
-        else:
-            j += 1
-    return pairs
+def _chain_lengths(rows: list[list[int]]) -> list[list[int]]:
+    """For rows of rising places, the most rows that a rising choice of places, at most one a row, has up to each place."""
+    ends: list[int] = []  # the least place that a choice of 1, 2, ... rows can end with
+    out = []
+    for places in rows:
+        before = [bisect_left(ends, place) for place in places]
+        for n, place in zip(before, places, strict=True):
+            if n == len(ends):
+                ends.append(place)
+            ends[n] = min(ends[n], place)
+        out.append([n + 1 for n in before])
+    return out
+
+
+def sole_alignment(before: list[str], after: list[str]) -> list[tuple[int, int]] | None:
+    """The line pairs of the longest common subsequence if only one set of pairs is as long, else None.
+
+    Only pairs of equal lines are looked at. A pair is in some longest alignment if the longest
+    chain up to it and the one from it on make up the whole; there is one alignment if such
+    pairs are no more than it is long. Time is the number of such pairs, repeats included, by
+    the logarithm of the lines.
+    """
+    places: dict[str, list[int]] = {}
+    for j, line in enumerate(after):
+        places.setdefault(line, []).append(j)
+    at = [i for i, line in enumerate(before) if line in places]
+    rows = [places[before[i]] for i in at]
+    upto = _chain_lengths(rows)
+    mirrored = _chain_lengths([[-j for j in reversed(row)] for row in reversed(rows)])
+    onward = [row[::-1] for row in reversed(mirrored)]
+    longest = max(map(max, upto), default=0)
+    pairs = [(i, j) for i, row, a, b in zip(at, rows, upto, onward, strict=True) for j, x, y in zip(row, a, b, strict=True) if x + y == longest + 1]
+    return pairs if len(pairs) == longest else None
 
 
 #: Steps folded at once; more are folded in further rounds.
@@ -134,7 +141,7 @@ def line_survival(edits: DataFrame, path: str, order: str, text: str, source: st
             origins, unclear = [], []
             for before, after, by_ai in zip(frame["__before"], frame["__after"], frame["__ai"], strict=True):
                 old, new = (body.split("\n") if body else [] for body in (before, after))
-                pairs = align_unique(old, new)
+                pairs = sole_alignment(old, new)
                 kept = {j: i for i, j in pairs or []}
                 origins.append([kept.get(j, AI if by_ai else OTHERS) for j in range(len(new))])
                 unclear.append(pairs is None)
