@@ -40,14 +40,14 @@ def word_jaccard_candidates(spark, sf_dir):
     return joined.select("a", "b", (F.floor(ratio * 1e6 + 0.5) / F.lit(1e6)).alias("similarity"))
 
 
-@query("""WITH w AS (SELECT conv_id * 1000 + turn AS id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM conversations),
+@query("""WITH w AS (SELECT doc_id AS id, list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+')) AS w FROM documents),
 p AS (SELECT a.id AS id, b.id AS other, len(list_intersect(a.w, b.w)) AS shared, len(a.w) + len(b.w) AS n FROM w a JOIN w b ON a.id <> b.id AND len(a.w) > 0 AND len(b.w) > 0 AND least(len(a.w), len(b.w)) >= 0.6 * greatest(len(a.w), len(b.w)) - 1e-9),
 s AS (SELECT *, shared::DOUBLE / (n - shared) AS similarity FROM p WHERE 5 * shared >= 3 * (n - shared))
 SELECT id, other, floor(similarity * 1e6 + 0.5) / 1e6 AS similarity, rank FROM (SELECT *, row_number() OVER (PARTITION BY id ORDER BY similarity DESC, other)::INT AS rank FROM s) WHERE rank <= 8""")
-def similar_turns(spark, sf_dir):
-    """Each turn of a conversation with the eight most alike by their words, three fifths at least."""
-    turns = table(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("id"), text.words(F.col("text")).alias("w"))
-    return setjoin.similar_records(turns, "id", "w").select("id", "other", (F.floor(F.col("similarity") * 1e6 + 0.5) / F.lit(1e6)).alias("similarity"), "rank")
+def similar_documents(spark, sf_dir):
+    """Each document with the eight most alike by their words, three fifths at least."""
+    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), text.words(F.col("text")).alias("w"))
+    return setjoin.similar_records(docs, "id", "w").select("id", "other", (F.floor(F.col("similarity") * 1e6 + 0.5) / F.lit(1e6)).alias("similarity"), "rank")
 
 
 @query("""SELECT source, sum(len(string_split(text, chr(10))))::BIGINT AS lines, floor(sum(len(string_split(text, chr(10))))::DOUBLE / sum(sum(len(string_split(text, chr(10))))) OVER () * 1e6 + 0.5) / 1e6 AS share FROM documents GROUP BY 1""")

@@ -100,3 +100,24 @@ def closed_turns_stream(spark, sf_dir):
     found = turns.closed_turns(spark.readStream.schema(rows.schema).parquet(src), idle_minutes=720)
     found.writeStream.format("parquet").option("path", out).option("checkpointLocation", new_path(spark, "checkpoint")).trigger(availableNow=True).start().awaitTermination()
     return spark.read.schema(found.schema).parquet(out).select(F.col("session").cast("long").alias("user_id"), F.col("turn").cast("long").alias("turn"), F.unix_micros("started_at").alias("started_us"), F.unix_micros("last_at").alias("last_us"), "requests", "status")
+
+
+@query("""WITH p AS (SELECT user_id, CAST(strftime(ts, '%d') AS INT) // 7 AS week, last_value(CASE WHEN event_type = 'signup' THEN 'b' || (event_id % 3) END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING) AS branch FROM events)
+SELECT user_id, week, branch, count(*) AS n FROM p GROUP BY 1, 2, 3""")
+def history_refresh(spark, sf_dir):
+    """Facts of an old history, then of a newer one, for which only the families are derived that it touches."""
+    from tidemark.operators.asof import asof_join
+    from tidemark.streaming import families
+
+    e = events(spark, sf_dir).select("event_id", "user_id", (F.floor(F.dayofmonth("ts") / 7)).cast("long").alias("week"), "ts", "event_type")
+    moves = e.where("event_type = 'signup'").select("user_id", F.col("ts").alias("at"), F.concat(F.lit("b"), F.col("event_id") % 3).alias("branch"), "event_id")
+
+    def derive_with(history):
+        return lambda rows: asof_join(rows, history, ["user_id"], "ts", "at", ["branch"], ["event_id"]).groupBy("user_id", "week", "branch").agg(F.count("*").alias("n"))
+
+    log = families.FactLog(spark, new_path(spark, "fact-log"), "user_id long, week long, branch string, n long", ["user_id", "week"])
+    before = moves.where("event_id % 5 <> 0")
+    log.refresh(e, e, derive_with(before))
+    changed = families.changed_stretches(before, moves, ["user_id"], "at", "branch", ["event_id"])
+    log.refresh(e, families.affected_families(e, changed, ["user_id"], "ts", ["user_id", "week"]), derive_with(moves))
+    return log.read()
