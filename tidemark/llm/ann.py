@@ -6,12 +6,18 @@ parallel to the vector more than the rest, since that part changes the large inn
 loss = |r|^2 + (eta - 1) (r . x/|x|)^2. Codes are chosen by coordinate descent over the
 subspaces and centres by the weighted least squares of their members.
 
+What a code leaves over is quantised again, ``LEVELS`` times in all. A row keeps, for each
+level, how far its approximation c stands along the row: with q.x = gain q.c + q.rest and the
+rest orthogonal to c, an inner product is within sqrt(|q|^2 - (q.c)^2 / |c|^2) |rest| of
+gain q.c. Each level is some three times as sharp as the one before.
+
 A search looks up a query's table of partial products, one of 256 entries per code byte, and
-adds them over all candidates of a block. The best of each block by that sum are scored again
-exactly on the original vectors, which gives the least score that a result of the block can
-have. An exact score is within |query| |residual| of its sum, so every candidate whose sum and
-that bound reach the least score is scored exactly too, however many share a code. Queries and
-candidates meet in blocks of bounded size: every query block with every candidate block.
+adds them over all candidates of a block. The k-th best least score that these sums allow
+tells which candidates can be among the k nearest; only those are summed at the next level,
+and so on. Blocks hold codes alone: every query block meets every candidate block. What is
+left of all blocks, once more held against the best least scores of the whole, is joined with
+its vectors and scored exactly. No count cuts candidates off, so the result is exact, however
+many share a code; on random vectors a few of a thousand are scored exactly.
 """
 
 from __future__ import annotations
@@ -32,41 +38,49 @@ CENTRES = 16
 SAMPLE_ROWS = 20_000
 #: Lengths with a codebook, the most frequent first. Vectors of any other length are all scored exactly.
 MAX_BOOKS = 1000
+#: Codes a row, each of what the one before leaves over.
+LEVELS = 4
 PARALLEL_THRESHOLD = 0.2
 NEAREST = 20
-RERANK = 100
 QUERY_BLOCK = 2048
 CANDIDATE_BLOCK = 8192
 _SLICE = 128
-_PAIRS = 1 << 15
 
 
 @dataclass(frozen=True)
 class Codebook:
-    """Centres (subspaces x 16 x 2) of vectors padded to an even number of bytes' worth of subspaces."""
+    """Centres of each level (levels x subspaces x 16 x 2) of vectors padded to an even number of bytes' worth of subspaces."""
 
     centres: np.ndarray
     eta: float
 
     def pad(self, x: np.ndarray) -> np.ndarray:
-        full = self.centres.shape[0] * WIDTH
+        full = self.centres.shape[1] * WIDTH
         return np.pad(x, ((0, 0), (0, full - x.shape[1]))) if x.shape[1] < full else x
 
-    def encode(self, x: np.ndarray, sweeps: int = 2) -> np.ndarray:
-        """Two codes a byte, rows x subspaces/2."""
-        codes = _assign(self.pad(x), self.centres, self.eta, None, sweeps)
-        return (codes[:, 0::2] | (codes[:, 1::2] << 4)).astype(np.uint8)
-
-    def bounds(self, x: np.ndarray, codes: np.ndarray) -> np.ndarray:
-        """How far, a unit of query length, a table sum can be from the inner product with each row: the residual's norm and the rounding of float32 sums."""
-        each = np.stack((codes & 15, codes >> 4), axis=2).reshape(len(x), -1)
-        centre = self.centres[np.arange(each.shape[1])[None, :], each].reshape(len(x), -1)
-        return np.linalg.norm(self.pad(x) - centre, axis=1) * (1 + 1e-9) + (codes.shape[1] + 4) * 2.0**-23 * (np.linalg.norm(centre, axis=1) + np.linalg.norm(x, axis=1))
-
-    def tables(self, queries: np.ndarray) -> np.ndarray:
-        """queries x bytes x 256: the inner product with what each byte stands for."""
+    def encode(self, x: np.ndarray, sweeps: int = 2) -> tuple[np.ndarray, np.ndarray]:
+        """Codes (rows x levels x subspaces/2), two a byte, and measures (rows x levels x 4): gain, |rest|, |c|, rounding.
+
+        Rounding is how far, a unit of query length, a sum of float32 entries can be from q.c.
+        """
+        x = self.pad(x)
+        so_far, codes, measures = np.zeros_like(x), [], []
+        with np.errstate(all="ignore"):
+            length = np.linalg.norm(x, axis=1)
+            for level, centres in enumerate(self.centres):
+                code = _assign(x - so_far, centres, self.eta if level == 0 else 1.0, None, sweeps if level == 0 else 0)
+                so_far = so_far + centres[np.arange(len(centres))[None, :], code].reshape(len(x), -1)
+                c = np.linalg.norm(so_far, axis=1)
+                gain = np.where(c > 0, (x * so_far).sum(axis=1) / np.maximum(c, 1e-300) ** 2, 1.0)
+                rest = np.linalg.norm(x - gain[:, None] * so_far, axis=1) * (1 + 1e-9)
+                codes.append((code[:, 0::2] | (code[:, 1::2] << 4)).astype(np.uint8))
+                measures.append(np.stack([gain, rest, c, (level + 1) * (codes[0].shape[1] + 6) * 2.0**-23 * (c + length)], axis=1))
+        return np.stack(codes, axis=1), np.stack(measures, axis=1)
+
+    def tables(self, queries: np.ndarray, level: int) -> np.ndarray:
+        """queries x bytes x 256: the inner product with what each byte of the level stands for."""
         q = self.pad(queries).reshape(len(queries), -1, WIDTH)
-        each = np.einsum("qsw,skw->qsk", q, self.centres)
+        each = np.einsum("qsw,skw->qsk", q, self.centres[level])
         low, high = each[:, 0::2], each[:, 1::2]
         return (high[:, :, :, None] + low[:, :, None, :]).reshape(len(q), -1, CENTRES * CENTRES).astype(np.float32)
 
@@ -92,8 +106,18 @@ def _assign(x: np.ndarray, centres: np.ndarray, eta: float, codes: np.ndarray |
     return codes
 
 
-def train(x: np.ndarray, rounds: int = 8, seed: int = 3) -> Codebook:
+def train(x: np.ndarray, rounds: int = 8, seed: int = 3, levels: int = LEVELS) -> Codebook:
     """Codebooks for vectors of one length; fewer vectors than centres repeat as centres."""
+    first, eta = _train_level(x, rounds, seed, True)
+    centres, rest = [first], np.pad(x, ((0, 0), (0, first.shape[0] * WIDTH - x.shape[1])))
+    for level in range(1, levels):
+        code = _assign(rest, centres[-1], eta if level == 1 else 1.0, None, 1 if level == 1 else 0)
+        rest = rest - centres[-1][np.arange(len(first))[None, :], code].reshape(len(rest), -1)
+        centres.append(_train_level(rest, rounds, seed + level, False)[0])
+    return Codebook(np.stack(centres), eta)
+
+
+def _train_level(x: np.ndarray, rounds: int, seed: int, anisotropic: bool) -> tuple[np.ndarray, float]:
     dim = x.shape[1]
     s = -(-dim // (2 * WIDTH)) * 2
     t2 = PARALLEL_THRESHOLD**2
@@ -105,7 +129,7 @@ def train(x: np.ndarray, rounds: int = 8, seed: int = 3) -> Codebook:
     unit = (x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)).reshape(len(x), s, WIDTH)
     codes = None
     for r in range(rounds):
-        weight = 1.0 if r < rounds // 2 else eta  # plain residuals first, then anisotropic
+        weight = 1.0 if not anisotropic or r < rounds // 2 else eta  # plain residuals first, then anisotropic
         codes = _assign(x, centres, weight, None if weight == 1.0 else codes, 0 if weight == 1.0 else 1)
         along = ((parts - centres[np.arange(s)[None, :], codes]) * unit).sum(-1)
         for k in range(s):
@@ -120,97 +144,131 @@ def train(x: np.ndarray, rounds: int = 8, seed: int = 3) -> Codebook:
             used = np.bincount(member, minlength=CENTRES) > 0
             centres[k][used] = np.linalg.solve(lhs[used], rhs[used][:, :, None])[:, :, 0]
             along[:, k] = ((parts[:, k] - centres[k][member]) * u).sum(-1)
-    return Codebook(centres, eta)
+    return centres, eta
 
 
 def build_index(entries: DataFrame, sample_rows: int = SAMPLE_ROWS, max_books: int = MAX_BOOKS) -> tuple[DataFrame, dict[int, Codebook]]:
-    """(vec_id, dim, embedding, code, bound) for every entry, and the codebook of each vector length."""
+    """(vec_id, vector, dim, code, measures) for every entry, and the codebook of each vector length.
+
+    ``vector`` is a hash that parts vectors of one id. The codebooks are fitted on samples, one
+    length a task, all in one job; the driver gets their centres.
+    """
     sized = entries.withColumn("dim", F.size("embedding"))
-    books = {}
-    for r in sized.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(max_books).collect():
-        share = -(-r["n"] // sample_rows)  # one row of so many is looked at
-        sample = sized.where((F.col("dim") == r["dim"]) & (F.pmod(F.xxhash64("vec_id"), F.lit(share)) == 0)).limit(2 * sample_rows).select("embedding").collect()
-        sample = sample or sized.where(F.col("dim") == r["dim"]).limit(sample_rows).select("embedding").collect()
-        books[r["dim"]] = train(np.array([x["embedding"] for x in sample], dtype=np.float64))
+    counts = sized.groupBy("dim").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "dim").limit(max_books)
+    share = F.ceil(F.col("n") / F.lit(sample_rows))  # one row of so many is looked at
+    # Of a length whose rows the hash all leaves out, the first few are taken.
+    nth = F.row_number().over(Window.partitionBy("dim").orderBy((F.pmod(F.xxhash64("vec_id"), share) != 0).cast("int"), F.xxhash64("vec_id"), F.xxhash64("embedding")))
+    sample = sized.join(F.broadcast(counts), "dim").withColumn("nth", nth).where(F.col("nth") <= F.greatest(F.ceil(F.col("n") / share), F.lit(1))).where((F.pmod(F.xxhash64("vec_id"), share) == 0) | (F.col("nth") <= CENTRES))
+
+    def fit(table: pa.Table) -> pa.Table:
+        book = train(matrix(table.column("embedding")))
+        return pa.table({"dim": table.column("dim")[:1], "levels": [len(book.centres)], "eta": [book.eta], "centres": pa.array([book.centres.ravel()], pa.list_(pa.float64()))})
+
+    fitted = sample.select("dim", "embedding").groupBy("dim").applyInArrow(fit, "dim int, levels long, eta double, centres array<double>").collect()
+    books = {r["dim"]: Codebook(np.array(r["centres"]).reshape(r["levels"], -1, CENTRES, WIDTH), r["eta"]) for r in fitted}
 
     def run(batches):
         for batch in batches:
-            dims = np.array(batch.column(1).to_pylist())
+            dims = np.array(batch.column(2).to_pylist())
             for dim in np.unique(dims).tolist():
                 part = batch.filter(pa.array(dims == dim))
-                x = matrix(part.column(2))
+                x = matrix(part.column(3))
                 book = books.get(dim)
-                codes = book.encode(x) if book else np.zeros((len(x), 0), np.uint8)
-                bounds = pa.array(book.bounds(x, codes) if book else np.full(len(x), np.inf), pa.float64())
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array([c.tobytes() for c in codes], pa.binary()), bounds], ["vec_id", "dim", "embedding", "code", "bound"])
-
-    kind = entries.schema["embedding"].dataType.simpleString()
-    indexed = entries.select("vec_id", F.size("embedding").alias("dim"), "embedding").mapInArrow(run, f"vec_id long, dim int, embedding {kind}, code binary, bound double")
-    return indexed, books
-
-
-def _scores(q: np.ndarray, x: np.ndarray, rows: np.ndarray, columns: np.ndarray) -> np.ndarray:
-    """The exact inner products of pairs, in slices of bounded size."""
-    out = np.empty(len(rows))
-    for at in range(0, len(rows), _PAIRS):
-        part = slice(at, at + _PAIRS)
-        out[part] = np.einsum("nd,nd->n", q[rows[part]], x[columns[part]])
-    return out
+                codes, measures = book.encode(x) if book else (np.zeros((len(x), 0), np.uint8), np.zeros((len(x), 0)))
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([m.tobytes() for m in measures], pa.binary())], ["vec_id", "vector", "dim", "code", "measures"])
 
+    rows = entries.select("vec_id", F.xxhash64("embedding").alias("vector"), F.size("embedding").alias("dim"), "embedding")
+    return rows.mapInArrow(run, "vec_id long, vector long, dim int, code binary, measures binary"), books
 
-def _least(scores: np.ndarray, k: int) -> np.ndarray:
-    """The k-th best score of each row; minus infinity where there are fewer."""
-    if scores.shape[1] < k:
-        return np.full(len(scores), -np.inf)
-    return -np.partition(-scores, k - 1, axis=1)[:, k - 1]
 
+def _kth(least: np.ndarray, k: int) -> np.ndarray:
+    """The k-th best of each row; minus infinity where there are fewer."""
+    least = np.where(np.isnan(least), -np.inf, least)
+    if least.shape[1] < k:
+        return np.full(len(least), -np.inf)
+    return -np.partition(-least, k - 1, axis=1)[:, k - 1]
 
-def scan_block(table: pa.Table, books: dict[int, Codebook], k: int, rerank: int) -> pa.Table:
-    """The k best candidates of one block for each query of one block: table scan, then exact.
 
-    ``rerank`` candidates are scored first, for a least score; it changes the work, not the result.
-    """
+def scan_block(table: pa.Table, books: dict[int, Codebook], k: int) -> pa.Table:
+    """The candidates of one block that can be among the k nearest of each query of one block, with the least and most they can score."""
     is_query = table.column("is_query").to_numpy()
     queries, candidates = table.filter(pa.array(is_query)), table.filter(pa.array(~is_query))
+    names = ("query_id", "query", "vec_id", "vector")
     if not queries.num_rows or not candidates.num_rows:
-        return pa.table({"query_id": pa.array([], pa.int64()), "query": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
-    candidates = candidates.sort_by("vec_id")
+        return pa.table({c: pa.array([], pa.int64()) for c in names} | {c: pa.array([], pa.float64()) for c in ("least", "most")})
     book = books.get(table.column("dim")[0].as_py())
-    x, ids, bounds = matrix(candidates.column("embedding")), candidates.column("vec_id").to_numpy(), candidates.column("bound").to_numpy()
-    codes = np.frombuffer(b"".join(candidates.column("code").to_pylist()), np.uint8).reshape(len(ids), -1)
-    columns = [np.ascontiguousarray(codes[:, j]) for j in range(codes.shape[1])]
-    q_ids, q_hash, q = queries.column("vec_id").to_numpy(), queries.column("query").to_numpy(), matrix(queries.column("embedding"))
-    lengths = np.linalg.norm(x, axis=1)
-    keep = min(max(rerank, k), len(ids))
+    ids, vectors = candidates.column("vec_id").to_numpy(), candidates.column("vector").to_numpy()
+    q_ids, q_hash, q = queries.column("vec_id").to_numpy(), queries.column("vector").to_numpy(), matrix(queries.column("embedding"))
+    levels = len(book.centres) if book else 0
+    codes = np.frombuffer(b"".join(candidates.column("code").to_pylist()), np.uint8).reshape(len(ids), max(levels, 1), -1)
+    measures = np.frombuffer(b"".join(candidates.column("measures").to_pylist()), np.float64).reshape(len(ids), max(levels, 1), -1)
+    columns = [np.ascontiguousarray(codes[:, 0, j]) for j in range(codes.shape[2])]
     out = []
     for at in range(0, len(q), _SLICE):
         part = q[at : at + _SLICE]
-        tables = book.tables(part) if book else None
-        sums = np.zeros((len(part), len(ids)), np.float32)
-        for j, column in enumerate(columns):
-            sums += np.take(tables[:, j], column, axis=1)
-        own = ids[None, :] == q_ids[at : at + _SLICE, None]  # a query's own row is no candidate
-        sums[own] = -np.inf
-        best = np.argpartition(-sums, keep - 1, axis=1)[:, :keep]
-        first = _scores(part, x, np.repeat(np.arange(len(part)), keep), best.ravel()).reshape(best.shape)
-        first[np.take_along_axis(own, best, axis=1)] = -np.inf
-        size = np.linalg.norm(part, axis=1)[:, None]
-        # All that can reach the least score; sums that left the range of float32 say nothing.
-        reach = (~(sums + size * bounds < _least(first, k)[:, None]) | ~np.isfinite(sums)) & ~own
-        some = np.nonzero(reach.any(axis=0))[0]
-        # One product for the slice settles most of them; its rounding is allowed for, and the rest get their exact score.
-        near = np.where(reach[:, some], part @ x[some].T, -np.inf)
-        slack = (x.shape[1] + 4) * 2.0**-51 * size * lengths[some]
-        rows, picks = np.nonzero((near + slack >= _least(near - slack, k)[:, None]) & reach[:, some])
-        scores = _scores(part, x, rows, some[picks])
-        order = np.lexsort((picks, -scores, rows))
-        rows, found, scores = rows[order], ids[some[picks[order]]], scores[order]
-        real = np.arange(len(rows)) - np.searchsorted(rows, rows) < k
-        out.append((q_ids[at + rows[real]], q_hash[at + rows[real]], found[real], scores[real]))
-    return pa.table(dict(zip(("query_id", "query", "vec_id", "score"), (pa.array(np.concatenate(c)) for c in zip(*out, strict=True)), strict=True)))
-
-
-def nearest_vectors(vectors: DataFrame, k: int = NEAREST, every: int = 20, rerank: int = RERANK) -> DataFrame:
+        size = np.linalg.norm(part, axis=1)
+
+        def reach(sums: np.ndarray, level: int, rows, picks, size=size) -> tuple[np.ndarray, np.ndarray]:
+            """The least and the most that each pair can score; all there is where a sum left the range of float32."""
+            gain, rest, c, rounding = measures[picks, level].T
+            off = size[rows] * rounding
+            along = np.maximum(np.abs(sums) - off, 0.0) / np.maximum(c, 1e-300)
+            bound = np.sqrt(np.maximum(size[rows] ** 2 - along**2, 0.0)) * rest + np.abs(gain) * off
+            middle = gain * sums
+            bad = ~np.isfinite(sums) | ~np.isfinite(bound) | ~np.isfinite(middle)
+            slack = 1e-12 * np.abs(middle)
+            return np.where(bad, -np.inf, middle - bound - slack), np.where(bad, np.inf, middle + bound + slack)
+
+        with np.errstate(all="ignore"):
+            own = ids[None, :] == q_ids[at : at + _SLICE, None]  # a query's own row is no candidate
+            rows, picks = np.nonzero(~own)
+            least, most = np.full(len(rows), -np.inf), np.full(len(rows), np.inf)
+            if book:
+                tables = book.tables(part, 0)
+                sums = np.zeros((len(part), len(ids)), np.float32)
+                for j, column in enumerate(columns):
+                    sums += np.take(tables[:, j], column, axis=1)
+                total = sums[rows, picks].astype(np.float64)
+                for level in range(levels):
+                    if level:
+                        tables = book.tables(part, level)
+                        for j in range(codes.shape[2]):
+                            total += tables[rows, j, codes[picks, level, j]]
+                    low, high = reach(total, level, rows, picks)
+                    least, most = np.maximum(least, low), np.minimum(most, high)
+                    held = np.full((len(part), len(ids)), -np.inf)
+                    held[rows, picks] = least
+                    stay = ~(most < _kth(held, k)[rows])
+                    rows, picks, total, least, most = rows[stay], picks[stay], total[stay], least[stay], most[stay]
+        out.append((q_ids[at + rows], q_hash[at + rows], ids[picks], vectors[picks], least, most))
+    return pa.table(dict(zip((*names, "least", "most"), (pa.array(np.concatenate(c)) for c in zip(*out, strict=True)), strict=True)))
+
+
+def candidates(entries: DataFrame, queries: DataFrame, k: int) -> DataFrame:
+    """(query_id, query, vec_id, vector) of all pairs that can be among the k nearest, by codes alone.
+
+    ``entries`` has (vec_id, embedding), ``queries`` (vec_id, vector, dim, embedding).
+    """
+    indexed, books = build_index(entries)
+    sizes = queries.agg(F.count("*")).first()[0], entries.count()
+    n_query, n_candidate = max(1, -(-sizes[0] // QUERY_BLOCK)), max(1, -(-sizes[1] // CANDIDATE_BLOCK))
+    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
+    every_block = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    none = F.lit(None)
+    left = queries.withColumn("qb", block(n_query)).withColumn("cb", every_block(n_candidate)).select("dim", "qb", "cb", F.lit(True).alias("is_query"), "vec_id", "vector", "embedding", none.cast("binary").alias("code"), none.cast("binary").alias("measures"))
+    right = indexed.withColumn("cb", block(n_candidate)).withColumn("qb", every_block(n_query)).select("dim", "qb", "cb", F.lit(False).alias("is_query"), "vec_id", "vector", none.cast(queries.schema["embedding"].dataType).alias("embedding"), "code", "measures")
+
+    def run(table: pa.Table) -> pa.Table:
+        return scan_block(table, books, k)
+
+    found, _ = materialize(left.unionByName(right).groupBy("dim", "qb", "cb").applyInArrow(run, "query_id long, query long, vec_id long, vector long, least double, most double"), "candidates")
+    # The k-th best least score of all blocks is at least that of any one.
+    best = Window.partitionBy("query_id", "query").orderBy(F.desc("least"), "vec_id", "vector")
+    reached = found.withColumn("nth", F.row_number().over(best)).where(F.col("nth") == k).select("query_id", "query", F.col("least").alias("reached"))
+    return found.join(reached, ["query_id", "query"], "left").where("reached IS NULL OR most >= reached").select("query_id", "query", "vec_id", "vector")
+
+
+def nearest_vectors(vectors: DataFrame, k: int = NEAREST, every: int = 20) -> DataFrame:
     """The op10 digest: query_id, rank, vec_id, score.
 
     Rows without a vec_id, and vectors that are null, zero or not finite, take no part; vectors
@@ -219,25 +277,15 @@ def nearest_vectors(vectors: DataFrame, k: int = NEAREST, every: int = 20, reran
     go to the smaller id, so no more of them are searched. Extra columns
     are not read, and an empty table gives an empty result.
     """
-    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").where(F.col("vec_id").isNotNull() & takes_part(F.col("embedding")))
+    rows = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).where(F.col("vec_id").isNotNull() & takes_part(F.col("embedding")))
     alike = Window.partitionBy("embedding").orderBy("vec_id")
     entries, _ = materialize(rows.withColumn("nth", F.dense_rank().over(alike)).where(F.col("nth") <= k + 1).drop("nth").dropDuplicates(["embedding", "vec_id"]), "vectors")
-    indexed, books = build_index(entries)
-    queries = rows.where(F.col("vec_id") % every == 0).select("vec_id", F.size("embedding").alias("dim"), "embedding").dropDuplicates(["vec_id", "embedding"])
-    sizes = queries.agg(F.count("*")).first()[0], entries.count()
-    n_query, n_candidate = max(1, -(-sizes[0] // QUERY_BLOCK)), max(1, -(-sizes[1] // CANDIDATE_BLOCK))
-    block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
-    every_block = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
-    left = queries.withColumn("qb", block(n_query)).withColumn("cb", every_block(n_candidate)).select(
-        "dim", "qb", "cb", F.lit(True).alias("is_query"), F.xxhash64("embedding").alias("query"), "vec_id", "embedding", F.lit(None).cast("binary").alias("code"), F.lit(None).cast("double").alias("bound")
-    )
-    right = indexed.withColumn("cb", block(n_candidate)).withColumn("qb", every_block(n_query)).select(
-        "dim", "qb", "cb", F.lit(False).alias("is_query"), F.lit(0).cast("long").alias("query"), "vec_id", "embedding", "code", "bound"
-    )
-
-    def run(table: pa.Table) -> pa.Table:
-        return scan_block(table, books, k, rerank)
-
-    found = left.unionByName(right).groupBy("dim", "qb", "cb").applyInArrow(run, "query_id long, query long, vec_id long, score double")
+    queries = rows.where(F.col("vec_id") % every == 0).select("vec_id", F.xxhash64("embedding").alias("vector"), F.size("embedding").alias("dim"), "embedding").dropDuplicates(["vec_id", "embedding"])
+    # Only now do the vectors of what is left come in.
+    asked = queries.select(F.col("vec_id").alias("query_id"), F.col("vector").alias("query"), F.col("embedding").alias("q"))
+    held = entries.select("vec_id", F.xxhash64("embedding").alias("vector"), F.col("embedding").alias("x"))
+    pairs = candidates(entries, queries, k).join(asked, ["query_id", "query"]).join(held, ["vec_id", "vector"])
+    score = F.aggregate(F.zip_with("q", "x", lambda a, b: a * b), F.lit(0.0), lambda a, b: a + b)
     best = Window.partitionBy("query_id", "query").orderBy(F.desc("score"), "vec_id")
-    return found.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    scored = pairs.select("query_id", "query", "vec_id", score.alias("score"))
+    return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
