@@ -31,10 +31,11 @@ def asof_join(
     side = F.col("__side")
     inside = Window.partitionBy(*by, "__bucket").orderBy(micros.asc_nulls_first(), side, F.col("__seq")).rowsBetween(Window.unboundedPreceding, 0)
     found = both.withColumn("__hit", F.last("__match", ignorenulls=True).over(inside))
-    ends = both.where("__side = 0").groupBy(*by, "__bucket").agg(F.max_by("__match", F.struct(micros, F.col("__seq"))).alias("__end"))
+    # One row per key and bucket of either side: what the right rows of the bucket end with, if it has any.
+    ends = both.groupBy(*by, "__bucket").agg(F.max_by("__match", F.when(side == 0, F.struct(micros, F.col("__seq")))).alias("__end"))
     bucket_order = F.unix_micros(F.col("__bucket").cast("timestamp")) * sign
     before = Window.partitionBy(*by).orderBy(bucket_order.asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    buckets = both.select(*by, "__bucket").distinct().join(ends, [*by, "__bucket"], "left").withColumn("__carry", F.last("__end", ignorenulls=True).over(before)).drop("__end")
+    buckets = ends.withColumn("__carry", F.last("__end", ignorenulls=True).over(before)).drop("__end")
     rows = found.where("__side = 1").join(buckets, [*by, "__bucket"], "left").withColumn("__best", F.when(F.col("__ts").isNotNull(), F.coalesce("__hit", "__carry")))
     return rows.select("__left.*", F.col("__best.__at").alias(f"matched_at{suffix}"), *[F.col(f"__best.{c}").alias(t) for c, t in zip(columns, tag, strict=True)])
 

@@ -12,6 +12,8 @@ from tidemark.session import materialize
 
 #: The confidence of a branch taken from a linked event is at most this; parents are followed so many levels.
 LINK_CONFIDENCE = 0.8
+#: How sure a branch is that a move tells, and one that owns a detached stretch.
+MOVE_CONFIDENCE, OWNER_CONFIDENCE = 0.95, 0.6
 PARENT_LEVELS = 8
 
 
@@ -63,29 +65,41 @@ def follow_renames(moves: DataFrame, column: str = "branch") -> DataFrame:
 def merge_histories(stored: DataFrame, live: DataFrame) -> DataFrame:
     """(worktree, incarnation, at, branch): one timeline per worktree from its stored moves and its reflog.
 
-    A path that was made anew is another incarnation, and only the latest one of each worktree
-    counts. At one instant the live move wins over a stored one.
+    ``stored`` has (worktree, incarnation, at, branch), ``live`` (worktree, at, branch). A path
+    that was made anew is another incarnation; each begins with its first move and tells up to
+    where the next one does, and none beyond where the live reflog begins. Live moves have no
+    incarnation. Of stored moves of one incarnation and instant the least branch counts.
     """
-    both = stored.withColumn("__rank", F.lit(1)).unionByName(live.withColumn("__rank", F.lit(0)))
-    latest = both.groupBy("worktree").agg(F.max("incarnation").alias("__latest"))
-    return (
-        both.join(latest, "worktree").where(F.col("incarnation") == F.col("__latest"))
-        .groupBy("worktree", "incarnation", "at").agg(F.min_by("branch", F.struct("__rank", "branch")).alias("branch"))
-    )
+    live_from = live.groupBy("worktree").agg(F.min("at").alias("__live"))
+    begins = stored.groupBy("worktree", "incarnation").agg(F.min("at").alias("__start")).join(live_from, "worktree", "left").where("__live IS NULL OR __start < __live")
+    following = F.lead("__start").over(Window.partitionBy("worktree").orderBy("__start", "incarnation"))
+    until = begins.select("worktree", "incarnation", F.least(following, F.col("__live")).alias("__until"))
+    older = stored.join(until, ["worktree", "incarnation"]).where("__until IS NULL OR at < __until")
+    kept = older.groupBy("worktree", "incarnation", "at").agg(F.min("branch").alias("branch"))
+    none = F.lit(None).cast(stored.schema["incarnation"].dataType).alias("incarnation")
+    return kept.unionByName(live.groupBy("worktree", "at").agg(F.min("branch").alias("branch")).select("worktree", none, "at", "branch"))
 
 
 def branch_at(probes: DataFrame, moves: DataFrame, current: DataFrame) -> DataFrame:
-    """Probes (worktree, ts, ...) with the branch that was checked out, and by what method.
+    """Probes (worktree, ts, ...) with the branch that was checked out, by what method and how sure.
 
-    Without any move of the worktree, its current branch counts from ``since`` on; ``current``
-    has one row a worktree: (worktree, current_branch, since).
+    ``moves`` has (worktree, at, branch) and may have (detached, owner, seq): a detached head
+    belongs to its owner, which is less sure, or to no branch. Without any move of the
+    worktree, its current branch counts from ``since`` on; ``current`` has one row a worktree:
+    (worktree, current_branch, since).
     """
-    found = asof_join(probes, moves, ["worktree"], "ts", "at", ["branch"])
+    if "detached" not in moves.columns:
+        moves = moves.withColumn("detached", F.lit(False)).withColumn("owner", F.lit(None).cast(moves.schema["branch"].dataType))
+    told = F.struct(F.col("branch").alias("branch"), F.coalesce("detached", F.lit(False)).alias("detached"), F.col("owner").alias("owner"))
+    found = asof_join(probes, moves.withColumn("__told", told), ["worktree"], "ts", "at", ["__told"], ["seq"] if "seq" in moves.columns else None)
     having = moves.select("worktree").distinct().withColumn("__moved", F.lit(True))
     joined = found.join(current, "worktree", "left").join(having, "worktree", "left")
     fallback = F.when(F.col("__moved").isNull() & (F.col("ts") >= F.col("since")), F.col("current_branch"))
-    method = F.when(F.col("branch").isNotNull(), "move").when(fallback.isNotNull(), "current")
-    return joined.select(*probes.columns, F.coalesce("branch", fallback).alias("branch"), method.alias("method"))
+    loose = F.coalesce("__told.detached", F.lit(False))
+    branch = F.when(loose, F.col("__told.owner")).otherwise(F.coalesce("__told.branch", fallback))
+    method = F.when(loose & branch.isNotNull(), "owner").when(~loose & F.col("__told.branch").isNotNull(), "move").when(~loose & fallback.isNotNull(), "current")
+    sure = F.when(method == "owner", OWNER_CONFIDENCE).when(method == "move", MOVE_CONFIDENCE)
+    return joined.select(*probes.columns, branch.alias("branch"), method.alias("method"), sure.alias("confidence"))
 
 
 def scored_commits(events: DataFrame, commits: DataFrame) -> DataFrame:
@@ -109,6 +123,7 @@ def by_links(events: DataFrame, found: DataFrame) -> DataFrame:
 
     First the surest branch of the same request, then that of the nearest event of the session.
     """
+    found, _ = materialize(found, "found-branches")
     placed = events.join(found, "event_id")
     per_request = placed.where("request is not null").groupBy("request").agg(F.min(F.struct((-F.col("confidence")).alias("less"), "branch")).alias("__r"))
     open_events = events.join(found.select("event_id"), "event_id", "left_anti").join(per_request, "request", "left")

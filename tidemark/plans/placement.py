@@ -91,13 +91,33 @@ def placement_links(spark, sf_dir):
     return placement.by_links(asked, found)
 
 
-@query(f"""WITH {EVENTS_SQL}, h AS (SELECT user_id % 50 AS worktree, k % 3 AS incarnation, ts AS t0, k % 9 AS branch, CASE WHEN event_type = 'signup' THEN 1 ELSE 0 END AS r FROM e WHERE event_type IN ('signup', 'view')),
-l AS (SELECT worktree, max(incarnation) AS last FROM h GROUP BY 1) SELECT h.worktree, incarnation, epoch_us(t0) AS at_us, arg_min(branch, (r, branch)) AS branch FROM h JOIN l ON h.worktree = l.worktree AND incarnation = last GROUP BY 1, 2, 3""")
+@query(f"""WITH {EVENTS_SQL}, s AS (SELECT user_id % 50 AS worktree, k % 3 AS incarnation, ts AS t0, k % 9 AS branch FROM e WHERE event_type = 'signup'),
+l AS (SELECT user_id % 50 AS worktree, ts AS t0, k % 9 AS branch FROM e WHERE event_type = 'view' AND ts >= TIMESTAMP '2024-01-20' AND user_id % 50 <> 7),
+i AS (SELECT * FROM (SELECT worktree, incarnation, min(t0) AS start FROM s GROUP BY 1, 2) LEFT JOIN (SELECT worktree, min(t0) AS live FROM l GROUP BY 1) USING (worktree) WHERE live IS NULL OR start < live),
+u AS (SELECT *, lead(start) OVER (PARTITION BY worktree ORDER BY start, incarnation) AS nxt FROM i)
+SELECT worktree, incarnation, epoch_us(t0) AS at_us, min(branch) AS branch FROM s JOIN u USING (worktree, incarnation) WHERE (nxt IS NULL OR t0 < nxt) AND (live IS NULL OR t0 < live) GROUP BY 1, 2, 3
+UNION ALL SELECT worktree, NULL, epoch_us(t0), min(branch) FROM l GROUP BY 1, 3""")
 def merged_histories(spark, sf_dir):
     def part(kind):
         return events(spark, sf_dir).where(F.col("event_type") == kind).select((F.col("user_id") % 50).alias("worktree"), (F.col("k") % 3).alias("incarnation"), F.col("ts").alias("at"), (F.col("k") % 9).alias("branch"))
 
-    return placement.merge_histories(part("signup"), part("view")).select("worktree", "incarnation", F.unix_micros("at").alias("at_us"), "branch")
+    live = part("view").drop("incarnation").where((F.col("at") >= F.lit("2024-01-20").cast("timestamp")) & (F.col("worktree") != 7))
+    return placement.merge_histories(part("signup"), live).select("worktree", "incarnation", F.unix_micros("at").alias("at_us"), "branch")
+
+
+@query(f"""WITH {MOVES}, o AS (SELECT *, CASE WHEN detached THEN coalesce(CASE WHEN lead(back) OVER w THEN lead(branch) OVER w END,
+  last_value(branch IGNORE NULLS) OVER (PARTITION BY worktree ORDER BY t0, seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
+  first_value(branch IGNORE NULLS) OVER (PARTITION BY worktree ORDER BY t0, seq ROWS BETWEEN 1 FOLLOWING AND UNBOUNDED FOLLOWING)) END AS owner FROM m WINDOW w AS (PARTITION BY worktree ORDER BY t0, seq)),
+p AS (SELECT event_id, user_id % 50 AS worktree, ts FROM e WHERE event_type = 'purchase'),
+x AS (SELECT p.event_id, arg_max({{'b': branch, 'd': detached, 'o': owner}}, (t0, seq)) AS h FROM p LEFT JOIN o ON o.worktree = p.worktree AND o.t0 <= p.ts GROUP BY 1)
+SELECT event_id, CASE WHEN h.d THEN h.o ELSE h.b END AS branch, CASE WHEN h.d AND h.o IS NOT NULL THEN 'owner' WHEN NOT h.d AND h.b IS NOT NULL THEN 'move' END AS method,
+CASE WHEN h.d AND h.o IS NOT NULL THEN 0.6 WHEN NOT h.d AND h.b IS NOT NULL THEN 0.95 END::DOUBLE AS confidence FROM x""")
+def branch_of_detached(spark, sf_dir):
+    """The branch at each purchase; a detached head belongs to the branch around it, less surely."""
+    probes = events(spark, sf_dir).where("event_type = 'purchase'").select("event_id", (F.col("user_id") % 50).alias("worktree"), "ts")
+    none = spark.createDataFrame([], "worktree long, current_branch string, since timestamp")
+    return placement.branch_at(probes, _moves(spark, sf_dir), none).select("event_id", "branch", "method", "confidence")
+
 
 
 @query()
