@@ -13,6 +13,9 @@ def ladder_brute(rows, touched, levels=8):
     by_turn = {}
     for t in touched:
         by_turn.setdefault(t.turn, []).append((t.repo, t.worktree))
+    for r in rows:
+        if r.repo is not None:
+            by_turn.setdefault(r.turn, []).append((r.repo, r.worktree))
     place, method = {}, {}
     for r in rows:
         places = by_turn.get(r.turn, [])
@@ -50,6 +53,26 @@ def test_the_ladder_is_the_plain_walk(spark):
     assert len({m for *_, m in got}) >= 3
 
 
+def test_a_turn_pools_its_events_places_with_touched_paths(spark):
+    rows = [(1, None, "a", None, 1, "r1", "w1"), (2, None, "a", None, 1, None, None), (3, None, "a", None, 2, "r1", "w1"), (4, None, "a", None, 2, None, None), (5, None, "a", None, 3, "r1", "w1"), (6, None, "a", None, 3, "r1", "w2"), (7, None, "a", None, 3, None, None)]
+    events_ = spark.createDataFrame(rows, "event_id long, ts timestamp, self string, parent string, turn long, repo string, worktree string")
+    touched = spark.createDataFrame([(2, "r2", "w9")], "turn long, repo string, worktree string")
+    got = {r.event_id: tuple(r)[1:] for r in placement.attribute_repos(events_, touched).collect()}
+    assert got[2] == ("r1", "w1", "paths")  # where the turn's other event was
+    assert got[4] == (None, None, "none")  # two repositories
+    assert got[7] == ("r1", None, "paths")  # one repository, two worktrees
+    stays = placement.attribute_repos(events_.selectExpr("*", "event_id IN (1, 2) AS kept"), touched).collect()
+    assert {r.event_id for r in stays if r.method == "kept"} == {1, 2} and len(stays) == 7
+
+
+def test_histories_keep_all_incarnations(spark):
+    """Each tells up to the start of the next, and none beyond where the live reflog begins."""
+    stored = spark.createDataFrame([("w", 1, 10, "a"), ("w", 1, 30, "late"), ("w", 2, 20, "b"), ("w", 2, 25, "c"), ("w", 2, 60, "beyond"), ("w", 3, 55, "unseen"), ("x", 1, 5, "only")], "worktree string, incarnation long, at long, branch string")
+    live = spark.createDataFrame([("w", 50, "live"), ("w", 50, "zlive"), ("y", 1, "new")], "worktree string, at long, branch string")
+    got = sorted(map(tuple, placement.merge_histories(stored, live).collect()), key=str)
+    assert got == sorted([("w", 1, 10, "a"), ("w", 2, 20, "b"), ("w", 2, 25, "c"), ("w", None, 50, "live"), ("x", 1, 5, "only"), ("y", None, 1, "new")], key=str)
+
+
 def test_empty_tables_and_nulls(spark):
     none = lambda s: spark.createDataFrame([], s)
     reflog = none("worktree string, at timestamp, seq long, target string, returning boolean, renamed_from string")

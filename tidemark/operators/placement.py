@@ -7,7 +7,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidemark.operators.asof import asof_join, nearest_join
+from tidemark.operators.asof import asof_join, interval_pairs, nearest_join
 from tidemark.session import materialize
 
 #: The confidence of a branch taken from a linked event is at most this; parents are followed so many levels.
@@ -143,12 +143,17 @@ def single_place(places: DataFrame, by: str) -> DataFrame:
 def attribute_repos(events: DataFrame, touched: DataFrame, levels: int = PARENT_LEVELS) -> DataFrame:
     """(event_id, repo, worktree, method) from events (event_id, ts, self, parent, turn, repo, worktree).
 
-    An event's own place comes first, then that of the paths its turn touched, (turn, repo,
-    worktree), if they are in one repository, then the place of the nearest event of its
-    parent, level by level. Events that none of it places have no repository.
+    An event's own place comes first. Then that of its turn: the own places of all the turn's
+    events and those of the paths it touched, (turn, repo, worktree), if they are together in
+    one repository. Then the place of the nearest event of its parent, level by level. Events
+    that none of it places have no repository. With a column ``kept``, events it is true for
+    stay where their source put them: they get no place here and give none.
     """
-    by_turn = single_place(touched, "turn").select("turn", F.col("repo").alias("__repo"), F.col("worktree").alias("__tree"))
-    first = events.join(by_turn, "turn", "left")
+    kept = F.coalesce("kept", F.lit(False)) if "kept" in events.columns else F.lit(False)
+    open_events = events.where(~kept)
+    pooled = touched.select("turn", "repo", "worktree").unionByName(open_events.where("repo is not null").select("turn", "repo", "worktree"))
+    by_turn = single_place(pooled, "turn").select("turn", F.col("repo").alias("__repo"), F.col("worktree").alias("__tree"))
+    first = open_events.join(by_turn, "turn", "left")
     method = F.when(F.col("repo").isNotNull(), "own").when(F.col("__repo").isNotNull(), "paths")
     place = F.when(F.col("repo").isNotNull(), F.struct("repo", "worktree")).when(F.col("__repo").isNotNull(), F.struct(F.col("__repo").alias("repo"), F.col("__tree").alias("worktree")))
     state, _ = materialize(first.select("event_id", "ts", "self", "parent", place.alias("place"), method.alias("method")), "places")
@@ -163,7 +168,9 @@ def attribute_repos(events: DataFrame, touched: DataFrame, levels: int = PARENT_
             .select("event_id", "ts", "self", "parent", F.coalesce("place", "found").alias("place"), F.when(F.col("place").isNotNull(), F.col("method")).when(F.col("found").isNotNull(), "parent").alias("method")),
             "places",
         )
-    return state.select("event_id", "place.repo", "place.worktree", F.coalesce("method", F.lit("none")).alias("method"))
+    none = F.lit(None)
+    stays = events.where(kept).select("event_id", none.cast(events.schema["repo"].dataType).alias("repo"), none.cast(events.schema["worktree"].dataType).alias("worktree"), F.lit("kept").alias("method"))
+    return state.select("event_id", "place.repo", "place.worktree", F.coalesce("method", F.lit("none")).alias("method")).unionByName(stays)
 
 
 def subagent_shares(turns: DataFrame, children: DataFrame) -> DataFrame:
@@ -173,15 +180,13 @@ def subagent_shares(turns: DataFrame, children: DataFrame) -> DataFrame:
     children inside the turn's span count, or all of the parent's where none is inside. Weights
     are shares of their tokens, or of their number where they have no tokens.
     """
-    kids = turns.join(children, turns["self"] == children["parent"]).where("place is not null")
-    inside = F.coalesce(F.col("ts").between(F.col("start"), F.col("end")), F.lit(False))
-    per_place = kids.groupBy("turn", "place").agg(
-        F.count_if(inside).alias("n_in"), F.sum(F.when(inside, F.coalesce("tokens", F.lit(0)))).alias("t_in"), F.count("*").alias("n_all"), F.sum(F.coalesce("tokens", F.lit(0))).alias("t_all")
-    )
+    placed = children.where("place is not null").select(F.col("parent").alias("self"), "ts", "place", F.coalesce("tokens", F.lit(0)).alias("tokens"))
+    sums = (F.count("*").alias("n"), F.sum("tokens").alias("t"))
+    # Only pairs inside a span are made; a parent's children as a whole are summed before any turn meets them.
+    inside, _ = materialize(interval_pairs(placed, turns.select("self", "turn", "start", "end"), ["self"], "ts", "start", "end").groupBy("turn", "place").agg(*sums), "turn-children")
+    whole = turns.select("self", "turn").join(inside.select("turn").distinct(), "turn", "left_anti").join(placed.groupBy("self", "place").agg(*sums), "self").select("turn", "place", "n", "t")
+    counted = inside.unionByName(whole)
     total = Window.partitionBy("turn")
-    some = F.sum("n_in").over(total) > 0
-    n, t = F.when(some, F.col("n_in")).otherwise(F.col("n_all")), F.when(some, F.coalesce("t_in", F.lit(0))).otherwise(F.col("t_all"))
-    counted = per_place.select("turn", "place", n.alias("n"), t.alias("t"))
     weight = F.when(F.sum("t").over(total) > 0, F.col("t") / F.sum("t").over(total)).otherwise(F.col("n") / F.sum("n").over(total))
     return counted.withColumn("weight", weight).where("weight > 0").select("turn", "place", "weight")
 
