@@ -137,3 +137,16 @@ def evidence_lookup(spark, sf_dir):
     wanted = spark.range(1).select(F.posexplode(F.array(*[F.lit(i) for i in (1, 5, 999999999, 7)])).alias("pos", "id"))
     found = wanted.join(events(spark, sf_dir).select("event_id", "event_type"), F.col("id") == F.col("event_id"), "left")
     return found.select("id", "pos", "event_type", F.when(F.col("event_id").isNull(), "not-found").alias("reason"))
+
+
+@query("SELECT event_id, event_type, floor(value * 1e6 + 0.5) / 1e6 AS value FROM events ORDER BY ts, event_id LIMIT 100 OFFSET 200")
+def pinned_third_page(spark, sf_dir):
+    """The third page of a pinned timeline, reached by cursors."""
+    from tidemark.operators.basis import Basis
+    from tidemark.session import new_path
+
+    basis = Basis.pin(events(spark, sf_dir).select("event_id", "ts", "event_type", "value"), new_path(spark, "basis"), ["ts", "event_id"])
+    cursor = None
+    for _ in range(2):
+        cursor = basis.cursor_after(basis.page(cursor, 100))
+    return basis.page(cursor, 100).select("event_id", "event_type", money(F.col("value")).alias("value"))
