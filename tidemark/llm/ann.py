@@ -208,38 +208,41 @@ def scan_block(table: pa.Table, books: dict[int, Codebook], k: int) -> pa.Table:
         part = q[at : at + _SLICE]
         size = np.linalg.norm(part, axis=1)
 
-        def reach(sums: np.ndarray, level: int, rows, picks, size=size) -> tuple[np.ndarray, np.ndarray]:
-            """The least and the most that each pair can score; all there is where a sum left the range of float32."""
-            gain, rest, c, rounding = measures[picks, level].T
-            off = size[rows] * rounding
+        def reach(sums: np.ndarray, length: np.ndarray, measured: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            """The least and the most that sums allow; all there is where one left the range of float32."""
+            gain, rest, c, rounding = measured
+            off = length * rounding
             along = np.maximum(np.abs(sums) - off, 0.0) / np.maximum(c, 1e-300)
-            bound = np.sqrt(np.maximum(size[rows] ** 2 - along**2, 0.0)) * rest + np.abs(gain) * off
             middle = gain * sums
-            bad = ~np.isfinite(sums) | ~np.isfinite(bound) | ~np.isfinite(middle)
-            slack = 1e-12 * np.abs(middle)
-            return np.where(bad, -np.inf, middle - bound - slack), np.where(bad, np.inf, middle + bound + slack)
+            bound = np.sqrt(np.maximum(length**2 - along**2, 0.0)) * rest + np.abs(gain) * off + 1e-12 * np.abs(middle)
+            good = np.isfinite(bound) & np.isfinite(middle)
+            return np.where(good, middle - bound, -np.inf), np.where(good, middle + bound, np.inf)
 
         with np.errstate(all="ignore"):
             own = ids[None, :] == q_ids[at : at + _SLICE, None]  # a query's own row is no candidate
-            rows, picks = np.nonzero(~own)
-            least, most = np.full(len(rows), -np.inf), np.full(len(rows), np.inf)
             if book:
                 tables = book.tables(part, 0)
                 sums = np.zeros((len(part), len(ids)), np.float32)
                 for j, column in enumerate(columns):
                     sums += np.take(tables[:, j], column, axis=1)
-                total = sums[rows, picks].astype(np.float64)
-                for level in range(levels):
-                    if level:
-                        tables = book.tables(part, level)
-                        for j in range(codes.shape[2]):
-                            total += tables[rows, j, codes[picks, level, j]]
-                    low, high = reach(total, level, rows, picks)
+                # The first level is one matrix; only what it leaves is looked at pair by pair.
+                low, high = reach(sums.astype(np.float64), size[:, None], measures[:, 0].T[:, None, :])
+                low[own] = -np.inf
+                rows, picks = np.nonzero(~(high < _kth(low, k)[:, None]) & ~own)
+                total, least, most = sums[rows, picks].astype(np.float64), low[rows, picks], high[rows, picks]
+                for level in range(1, levels):
+                    tables = book.tables(part, level)
+                    for j in range(codes.shape[2]):
+                        total += tables[rows, j, codes[picks, level, j]]
+                    low, high = reach(total, size[rows], measures[picks, level].T)
                     least, most = np.maximum(least, low), np.minimum(most, high)
                     held = np.full((len(part), len(ids)), -np.inf)
                     held[rows, picks] = least
                     stay = ~(most < _kth(held, k)[rows])
                     rows, picks, total, least, most = rows[stay], picks[stay], total[stay], least[stay], most[stay]
+            else:
+                rows, picks = np.nonzero(~own)
+                least, most = np.full(len(rows), -np.inf), np.full(len(rows), np.inf)
         out.append((q_ids[at + rows], q_hash[at + rows], ids[picks], vectors[picks], least, most))
     return pa.table(dict(zip((*names, "least", "most"), (pa.array(np.concatenate(c)) for c in zip(*out, strict=True)), strict=True)))
 
