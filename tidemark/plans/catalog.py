@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import corpus, costs, ingest, intervals, joins, ledgers, payloads, placement, reports, requests, rollouts, usage
+from tidemark.plans import corpus, costs, history, ingest, intervals, joins, ledgers, payloads, placement, reports, requests, rollouts, usage
 
-MODULES = (usage, intervals, joins, placement, ledgers, requests, rollouts, costs, reports, corpus, payloads, ingest)
+MODULES = (usage, intervals, joins, placement, ledgers, requests, rollouts, costs, reports, corpus, payloads, history, ingest)
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
 
 
