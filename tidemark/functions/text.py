@@ -45,6 +45,23 @@ def normalize_path(path: Column) -> Column:
     return F.when(path.rlike("^/+$"), "/").otherwise(F.regexp_replace(path, "/+$", ""))
 
 
+def absolute_path(path: Column) -> Column:
+    """A path with forward slashes, a capital drive letter and no empty, ``.`` or ``..`` parts; null if it is not absolute."""
+    slashed = F.translate(F.trim(path), "\\", "/")
+    drive = F.upper(F.regexp_extract(slashed, "^([A-Za-z]:)/", 1))
+    rest = F.regexp_replace(slashed, "^[A-Za-z]:(?=/)", "")
+    step = lambda seen, s: F.when(s.isin("", "."), seen).when(s == "..", F.slice(seen, 1, F.greatest(F.size(seen) - 1, F.lit(0)))).otherwise(F.concat(seen, F.array(s)))
+    parts = F.aggregate(F.split(rest, "/"), F.array().cast("array<string>"), step)
+    return F.when(rest.startswith("/"), F.concat(drive, F.lit("/"), F.array_join(parts, "/")))
+
+
+def path_prefixes(path: Column) -> Column:
+    """An absolute path and all folders above it, the root first."""
+    parts = F.split(F.rtrim(path, F.lit("/")), "/")
+    upto = lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/")
+    return F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.when(n == 1, F.concat(upto(n), F.lit("/"))).otherwise(upto(n)))
+
+
 def is_contained(path: Column, root: Column) -> Column:
     p, r = normalize_path(path), normalize_path(root)
     return (p == r) | (r == "/") | F.startswith(p, F.concat(r, F.lit("/")))
