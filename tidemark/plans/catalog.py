@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidemark.plans import corpus, costs, history, ingest, intervals, joins, ledgers, payloads, placement, reports, requests, rollouts, trees, usage, worktrees
+from tidemark.plans import chatstore, corpus, costs, history, ingest, intervals, joins, ledgers, payloads, placement, reports, requests, rollouts, trees, usage, worktrees
 
-MODULES = (usage, intervals, joins, placement, ledgers, requests, rollouts, costs, reports, corpus, payloads, history, worktrees, trees, ingest)
+MODULES = (usage, intervals, joins, placement, ledgers, requests, rollouts, costs, reports, corpus, payloads, history, worktrees, trees, chatstore, ingest)
 ORACLES = {name: sql for m in MODULES for name, sql in m.ORACLES.items()}
 
 
