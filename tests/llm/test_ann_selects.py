@@ -64,3 +64,34 @@ def test_sums_are_within_their_bounds():
             along = np.maximum(np.abs(total) - size[:, None] * rounding, 0) / c
             bound = np.sqrt(np.maximum(size[:, None] ** 2 - along**2, 0)) * rest + np.abs(gain) * size[:, None] * rounding
             assert (np.abs(q @ x.T - gain * total) <= bound + 1e-12 * np.abs(total)).all()
+
+
+def test_sums_of_any_size_select(spark, tmp_path):
+    """Products far below the range of float32 tell as much as any."""
+    rng = np.random.default_rng(5)
+    x = 1e-25 * rng.standard_normal((3000, 32))
+    vectors = table(spark, tmp_path, x)
+    queries = vectors.where("vec_id % 300 = 0").select("vec_id", F.xxhash64("embedding").alias("vector"), F.size("embedding").alias("dim"), "embedding")
+    for r in ann.candidates(vectors, queries, ann.NEAREST).groupBy("query_id").agg(F.collect_list("vec_id").alias("found")).collect():
+        s = x @ x[r.query_id]
+        s[r.query_id] = -np.inf
+        assert set(np.argsort(-s)[: ann.NEAREST].tolist()) <= set(r.found) and len(r.found) < 300
+
+
+def test_chunks_of_a_block_carry_what_is_reached():
+    rng = np.random.default_rng(6)
+    x = rng.standard_normal((20_000, 16))
+    book = ann.train(x[:2000])
+    codes, measures = book.encode(x)
+    n, none = 40, pa.nulls
+    columns = lambda q, ids, e, c, m: pa.table({"dim": pa.array([16] * len(ids)), "is_query": pa.array([q] * len(ids)), "vec_id": ids, "vector": ids, "embedding": e, "code": c, "measures": m})
+    ids = pa.array(np.arange(20_000))
+    asked = columns(True, ids[:n], pa.array(x[:n].tolist()), none(n, pa.binary()), none(n, pa.binary()))
+    held = columns(False, ids, none(20_000, pa.list_(pa.float64())), pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([m[-1:].tobytes() for m in measures], pa.binary()))
+    got = ann.scan_block(pa.concat_tables([asked, held]), {16: book}, 20).to_pandas()
+    s = x[:n] @ x.T
+    s[np.arange(n), np.arange(n)] = -np.inf
+    for i, found in got.groupby("query_id"):
+        assert set(np.argsort(-s[i])[:20].tolist()) <= set(found.vec_id) and len(found) < 100
+        true = s[i][found.vec_id.to_numpy()] / np.linalg.norm(x[i])
+        assert (found.least <= true).all() and (true <= found.most).all()

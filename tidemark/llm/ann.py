@@ -11,13 +11,15 @@ level, how far its approximation c stands along the row: with q.x = gain q.c + q
 rest orthogonal to c, an inner product is within sqrt(|q|^2 - (q.c)^2 / |c|^2) |rest| of
 gain q.c. Each level is some three times as sharp as the one before.
 
-A search looks up a query's table of partial products, one of 256 entries per code byte, and
-adds them over all candidates of a block. The k-th best least score that these sums allow
-tells which candidates can be among the k nearest; only those are summed at the next level,
-and so on. Blocks hold codes alone: every query block meets every candidate block. What is
-left of all blocks, once more held against the best least scores of the whole, is joined with
-its vectors and scored exactly. No count cuts candidates off, so the result is exact, however
-many share a code; on random vectors a few of a thousand are scored exactly.
+A search needs, for each candidate, the sum of the entries of a query's tables of partial
+products that its codes name. That sum is the query's product with what the codes stand for, so
+the sums of a block are one matrix product of its queries with its decoded codes, in float32
+and in units of the query's length. The k-th best least score that the sums allow tells which
+candidates can be among the k nearest; it is carried on from chunk to chunk of a block. Blocks
+hold codes alone: every query block meets every candidate block. What is left of all blocks,
+once more held against the best least scores of the whole, is joined with its vectors and
+scored exactly. No count cuts candidates off, so the result is exact, however many share a
+code; on random vectors a few of a thousand are scored exactly.
 """
 
 from __future__ import annotations
@@ -43,8 +45,10 @@ LEVELS = 4
 PARALLEL_THRESHOLD = 0.2
 NEAREST = 20
 QUERY_BLOCK = 2048
+#: Candidates that a query block meets at once, and how many such chunks one task takes, one after the other, from ``SPREAD`` of them on.
 CANDIDATE_BLOCK = 8192
-_SLICE = 128
+CHUNKS, SPREAD = 8, 12
+_SLICE = 512
 
 
 @dataclass(frozen=True)
@@ -77,6 +81,15 @@ class Codebook:
                 measures.append(np.stack([gain, rest, c, (level + 1) * (codes[0].shape[1] + 6) * 2.0**-23 * (c + length)], axis=1))
         return np.stack(codes, axis=1), np.stack(measures, axis=1)
 
+    def decode(self, codes: np.ndarray) -> np.ndarray:
+        """What codes (rows x levels x bytes) stand for, all levels together."""
+        out = np.zeros((len(codes), self.centres.shape[1], WIDTH))
+        for level, centres in enumerate(self.centres):
+            code = np.empty((len(codes), len(centres)), np.uint8)
+            code[:, 0::2], code[:, 1::2] = codes[:, level] & 15, codes[:, level] >> 4
+            out += centres[np.arange(len(centres))[None, :], code]
+        return out.reshape(len(codes), -1)
+
     def tables(self, queries: np.ndarray, level: int) -> np.ndarray:
         """queries x bytes x 256: the inner product with what each byte of the level stands for."""
         q = self.pad(queries).reshape(len(queries), -1, WIDTH)
@@ -150,7 +163,7 @@ def _train_level(x: np.ndarray, rounds: int, seed: int, anisotropic: bool) -> tu
 def build_index(entries: DataFrame, sample_rows: int = SAMPLE_ROWS, max_books: int = MAX_BOOKS) -> tuple[DataFrame, dict[int, Codebook]]:
     """(vec_id, vector, dim, code, measures) for every entry, and the codebook of each vector length.
 
-    ``vector`` is a hash that parts vectors of one id. The codebooks are fitted on samples, one
+    ``measures`` are those of the last level. ``vector`` is a hash that parts vectors of one id. The codebooks are fitted on samples, one
     length a task, all in one job; the driver gets their centres.
     """
     sized = entries.withColumn("dim", F.size("embedding"))
@@ -175,75 +188,66 @@ def build_index(entries: DataFrame, sample_rows: int = SAMPLE_ROWS, max_books: i
                 x = matrix(part.column(3))
                 book = books.get(dim)
                 codes, measures = book.encode(x) if book else (np.zeros((len(x), 0), np.uint8), np.zeros((len(x), 0)))
-                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([m.tobytes() for m in measures], pa.binary())], ["vec_id", "vector", "dim", "code", "measures"])
+                yield pa.RecordBatch.from_arrays([*part.columns[:3], pa.array([c.tobytes() for c in codes], pa.binary()), pa.array([m[-1:].tobytes() for m in measures], pa.binary())], ["vec_id", "vector", "dim", "code", "measures"])
 
     rows = entries.select("vec_id", F.xxhash64("embedding").alias("vector"), F.size("embedding").alias("dim"), "embedding")
     return rows.mapInArrow(run, "vec_id long, vector long, dim int, code binary, measures binary"), books
 
 
-def _kth(least: np.ndarray, k: int) -> np.ndarray:
-    """The k-th best of each row; minus infinity where there are fewer."""
-    least = np.where(np.isnan(least), -np.inf, least)
-    if least.shape[1] < k:
-        return np.full(len(least), -np.inf)
-    return -np.partition(-least, k - 1, axis=1)[:, k - 1]
+def _units(x: np.ndarray) -> np.ndarray:
+    """Rows of length one; no square leaves the range of doubles."""
+    x = x / np.maximum(np.abs(x).max(axis=1, keepdims=True), 5e-324)
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
 def scan_block(table: pa.Table, books: dict[int, Codebook], k: int) -> pa.Table:
-    """The candidates of one block that can be among the k nearest of each query of one block, with the least and most they can score."""
+    """The candidates of one block that can be among the k nearest of each query of one block, with the least and most they can score a unit of query length."""
     is_query = table.column("is_query").to_numpy()
     queries, candidates = table.filter(pa.array(is_query)), table.filter(pa.array(~is_query))
     names = ("query_id", "query", "vec_id", "vector")
     if not queries.num_rows or not candidates.num_rows:
         return pa.table({c: pa.array([], pa.int64()) for c in names} | {c: pa.array([], pa.float64()) for c in ("least", "most")})
     book = books.get(table.column("dim")[0].as_py())
+    candidates = candidates.sort_by("vec_id")
     ids, vectors = candidates.column("vec_id").to_numpy(), candidates.column("vector").to_numpy()
-    q_ids, q_hash, q = queries.column("vec_id").to_numpy(), queries.column("vector").to_numpy(), matrix(queries.column("embedding"))
-    levels = len(book.centres) if book else 0
-    codes = np.frombuffer(b"".join(candidates.column("code").to_pylist()), np.uint8).reshape(len(ids), max(levels, 1), -1)
-    measures = np.frombuffer(b"".join(candidates.column("measures").to_pylist()), np.float64).reshape(len(ids), max(levels, 1), -1)
-    columns = [np.ascontiguousarray(codes[:, 0, j]) for j in range(codes.shape[2])]
-    out = []
-    for at in range(0, len(q), _SLICE):
-        part = q[at : at + _SLICE]
-        size = np.linalg.norm(part, axis=1)
-
-        def reach(sums: np.ndarray, length: np.ndarray, measured: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-            """The least and the most that sums allow; all there is where one left the range of float32."""
-            gain, rest, c, rounding = measured
-            off = length * rounding
-            along = np.maximum(np.abs(sums) - off, 0.0) / np.maximum(c, 1e-300)
-            middle = gain * sums
-            bound = np.sqrt(np.maximum(length**2 - along**2, 0.0)) * rest + np.abs(gain) * off + 1e-12 * np.abs(middle)
-            good = np.isfinite(bound) & np.isfinite(middle)
-            return np.where(good, middle - bound, -np.inf), np.where(good, middle + bound, np.inf)
-
+    q_ids, q_hash = queries.column("vec_id").to_numpy(), queries.column("vector").to_numpy()
+    if book:
+        codes = np.frombuffer(b"".join(candidates.column("code").to_pylist()), np.uint8).reshape(len(ids), len(book.centres), -1)
+        gain, rest, c, _ = np.frombuffer(b"".join(candidates.column("measures").to_pylist()), np.float64).reshape(len(ids), -1).T
+        q = book.pad(_units(matrix(queries.column("embedding")))).astype(np.float32)
         with np.errstate(all="ignore"):
-            own = ids[None, :] == q_ids[at : at + _SLICE, None]  # a query's own row is no candidate
-            if book:
-                tables = book.tables(part, 0)
-                sums = np.zeros((len(part), len(ids)), np.float32)
-                for j, column in enumerate(columns):
-                    sums += np.take(tables[:, j], column, axis=1)
-                # The first level is one matrix; only what it leaves is looked at pair by pair.
-                low, high = reach(sums.astype(np.float64), size[:, None], measures[:, 0].T[:, None, :])
-                low[own] = -np.inf
-                rows, picks = np.nonzero(~(high < _kth(low, k)[:, None]) & ~own)
-                total, least, most = sums[rows, picks].astype(np.float64), low[rows, picks], high[rows, picks]
-                for level in range(1, levels):
-                    tables = book.tables(part, level)
-                    for j in range(codes.shape[2]):
-                        total += tables[rows, j, codes[picks, level, j]]
-                    low, high = reach(total, size[rows], measures[picks, level].T)
-                    least, most = np.maximum(least, low), np.minimum(most, high)
-                    held = np.full((len(part), len(ids)), -np.inf)
-                    held[rows, picks] = least
-                    stay = ~(most < _kth(held, k)[rows])
-                    rows, picks, total, least, most = rows[stay], picks[stay], total[stay], least[stay], most[stay]
-            else:
-                rows, picks = np.nonzero(~own)
-                least, most = np.full(len(rows), -np.inf), np.full(len(rows), np.inf)
-        out.append((q_ids[at + rows], q_hash[at + rows], ids[picks], vectors[picks], least, most))
+            along = np.abs(gain) * c
+            good = np.isfinite(along) & np.isfinite(rest) & np.isfinite(along + rest)
+            scale = max((along + rest)[good].max(initial=0.0), 1e-300)
+            # What a sum can be off: the rest, and the rounding of a product of so many components.
+            off = np.where(good, rest / scale + along / scale * (q.shape[1] + 16) * 2.0**-24 + 1e-37, np.inf)
+            off = np.nextafter(off.astype(np.float32), np.float32(np.inf))
+            x = np.where(good[:, None], book.decode(codes) * np.where(good, gain / scale, 0.0)[:, None], 0.0).astype(np.float32)
+    else:  # nothing is known of any
+        scale, off = 1.0, np.full(len(ids), np.inf, np.float32)
+    own = np.searchsorted(ids, q_ids, "left"), np.searchsorted(ids, q_ids, "right")
+    out = []
+    for at in range(0, len(q_ids), _SLICE):
+        n = min(_SLICE, len(q_ids) - at)
+        best, picked = np.full((n, k), -np.inf, np.float32), []
+        for first in range(0, len(ids), CANDIDATE_BLOCK):
+            here = slice(first, min(first + CANDIDATE_BLOCK, len(ids)))
+            sums = q[at : at + n] @ x[here].T if book else np.zeros((n, here.stop - first), np.float32)
+            low = sums - off[here]
+            sums += off[here]
+            for i, (a, b) in enumerate(zip(own[0][at : at + n] - first, own[1][at : at + n] - first, strict=True)):
+                if b > a and b > 0 and a < low.shape[1]:  # a query's own row is no candidate
+                    low[i, max(a, 0) : b] = -np.inf
+                    sums[i, max(a, 0) : b] = np.nan
+            top = np.partition(low, low.shape[1] - k, axis=1)[:, -k:] if low.shape[1] > k else low
+            both = np.concatenate([best, top], axis=1)
+            best = np.partition(both, both.shape[1] - k, axis=1)[:, -k:]
+            rows, picks = np.nonzero(sums >= best.min(axis=1)[:, None])
+            picked.append((rows, first + picks, low[rows, picks], sums[rows, picks]))
+        rows, picks, least, most = (np.concatenate(p) for p in zip(*picked, strict=True))
+        stay = most >= best.min(axis=1)[rows]
+        rows, picks = rows[stay], picks[stay]
+        out.append((q_ids[at + rows], q_hash[at + rows], ids[picks], vectors[picks], least[stay] * np.float64(scale), most[stay] * np.float64(scale)))
     return pa.table(dict(zip((*names, "least", "most"), (pa.array(np.concatenate(c)) for c in zip(*out, strict=True)), strict=True)))
 
 
@@ -254,7 +258,8 @@ def candidates(entries: DataFrame, queries: DataFrame, k: int) -> DataFrame:
     """
     indexed, books = build_index(entries)
     sizes = queries.agg(F.count("*")).first()[0], entries.count()
-    n_query, n_candidate = max(1, -(-sizes[0] // QUERY_BLOCK)), max(1, -(-sizes[1] // CANDIDATE_BLOCK))
+    n_query, chunks = max(1, -(-sizes[0] // QUERY_BLOCK)), max(1, -(-sizes[1] // CANDIDATE_BLOCK))
+    n_candidate = max(min(chunks, SPREAD), -(-chunks // CHUNKS))
     block = lambda n: F.pmod(F.xxhash64("vec_id"), F.lit(n)).cast("int")
     every_block = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     none = F.lit(None)
