@@ -1,5 +1,8 @@
 """The attribution ladder against a plain walk over the events, and rows that none of it should trip over."""
 
+import random
+from datetime import datetime, timedelta
+
 from pyspark.sql import functions as F
 
 from tidemark.operators import folds, ledgers, placement, selection
@@ -97,3 +100,30 @@ def test_digest_does_not_depend_on_the_order_of_columns(spark):
     both = t.select(selection.content_digest("a", "b", "c").alias("x"), selection.content_digest("c", "a", "b").alias("y")).collect()
     assert all(r.x == r.y for r in both) and both[0].x != both[1].x
     assert t.where(selection.usage_bearing(F.lit("ai.session"), F.col("b"))).count() == 0
+
+
+def test_heads_are_carried_over_days(spark):
+    rng = random.Random(8)
+    rows = [(rng.choice(["w", "v", None]), datetime(2024, 1, 1) + timedelta(hours=rng.randrange(24 * 9)), i, rng.choice(["a", "b", "c", "x1", "x2"]), rng.random() < 0.3, None) for i in range(120)]
+    names = [(w, n) for w in ("w", "v") for n in "abc"]
+    got = placement.head_moves(spark.createDataFrame(rows, "worktree string, at timestamp, seq long, target string, returning boolean, renamed_from string"), spark.createDataFrame(names, "worktree string, name string"))
+    want = []
+    for tree in ("w", "v", None):
+        states = [(t if (w, t) in names else None, (w, t) not in names, back, s) for w, _, s, t, back, _ in sorted((r for r in rows if r[0] == tree), key=lambda r: (r[1], r[2]))]
+        moved = [m for i, m in enumerate(states) if i == 0 or states[i - 1][:2] != m[:2]]
+        for i, (branch, detached, _, seq) in enumerate(moved):
+            following, known = moved[i + 1 : i + 2], lambda part: [m[0] for m in part if m[0]]
+            owner = (following and following[0][2] and following[0][0]) or next(iter(known(reversed(moved[:i]))), None) or next(iter(known(moved[i + 1 :])), None)
+            want.append((tree, seq, branch, detached, owner if detached else None))
+    assert sorted(map(tuple, got.select("worktree", "seq", "branch", "detached", "owner").collect()), key=str) == sorted(want, key=str)
+    assert "unboundedfollowing" not in got._jdf.queryExecution().toString().lower()
+
+
+def test_rounds_of_renames_are_the_logarithm_of_the_chain(spark, monkeypatch):
+    n, rounds = 200, []
+    rows = [("w", i, i, f"n{i}", f"n{i - 1}" if i else None) for i in range(n)] + [("v", 0, n, "n3", None)]
+    moves = spark.createDataFrame(rows, "worktree string, at long, seq long, branch string, renamed_from string")
+    keep = placement.materialize
+    monkeypatch.setattr(placement, "materialize", lambda df, name: rounds.append(name) or keep(df, name))
+    assert {r.seq: r.branch for r in placement.follow_renames(moves).collect()} == {i: f"n{n - 1}" for i in range(n)} | {n: "n3"}
+    assert len(rounds) < 15

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidemark.operators.asof import asof_join, interval_pairs, nearest_join
-from tidemark.session import materialize
+from tidemark.operators.carry import carry_last
+from tidemark.session import drop_path, materialize
 
 #: The confidence of a branch taken from a linked event is at most this; parents are followed so many levels.
 LINK_CONFIDENCE = 0.8
@@ -29,37 +30,55 @@ def head_moves(reflog: DataFrame, branches: DataFrame) -> DataFrame:
     states = reflog.where("target is not null").join(known, ["worktree", "target"], "left").select(
         "worktree", "at", "seq", F.when(F.col("__local"), F.col("target")).alias("branch"), F.col("__local").isNull().alias("detached"), F.coalesce("returning", F.lit(False)).alias("returning"), "renamed_from"
     )
-    order = Window.partitionBy("worktree").orderBy("at", "seq")
+    # A worktree's rows are dealt by days, and each look back or ahead is one carry over them.
+    carried = lambda df, values, ahead=False: carry_last(df.withColumn("__tree", F.struct("worktree")), ["__tree"], F.struct("at", "seq"), values, before=True, stretch=_day("at"), ahead=ahead)
     state = F.struct("branch", "detached")
-    moved = states.withColumn("__before", F.lag(state).over(order)).where(F.col("__before").isNull() | ~state.eqNullSafe(F.col("__before")))
-    before = F.last("branch", ignorenulls=True).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    after = F.first("branch", ignorenulls=True).over(order.rowsBetween(1, Window.unboundedFollowing))
-    returned = F.when(F.lead("returning").over(order), F.lead("branch").over(order))
-    owner = F.when(F.col("detached"), F.coalesce(returned, before, after))
-    return moved.select("worktree", "at", "seq", "branch", "detached", owner.alias("owner"), "renamed_from")
+    moved = carried(states, {"__before": state}).where(F.col("__before").isNull() | ~state.eqNullSafe(F.col("__before")))
+    # Once as a table: every carry reads its rows twice.
+    moved, _ = materialize(moved.drop("__before", "__tree"), "head-moves")
+    around = carried(carried(moved, {"__last": F.col("branch")}), {"__first": F.col("branch"), "__next": F.struct("returning", "branch")}, ahead=True)
+    owner = F.when(F.col("detached"), F.coalesce(F.when(F.col("__next.returning"), F.col("__next.branch")), "__last", "__first"))
+    return around.select("worktree", "at", "seq", "branch", "detached", owner.alias("owner"), "renamed_from")
+
+
+def _day(at: str):
+    """The stretch of time that rows of a key are dealt by; rows without a time stand before all."""
+    return F.coalesce(F.floor(F.col(at).cast("timestamp").cast("double") / 86_400), F.lit(-(2**62)))
 
 
 def follow_renames(moves: DataFrame, column: str = "branch") -> DataFrame:
     """Moves with the name their branch has now: each later rename of that name carries it on, until none does.
 
-    One as-of join a link of the longest chain of renames, each written to the shared folder.
+    The next rename of a name is carried back to the moves and renames before it; the links from
+    rename to rename are doubled, so rounds are the logarithm of the longest chain.
     Renames at a move's own instant are later ones if their ``seq`` is higher.
     """
-    renames = moves.where("renamed_from is not null and branch is not null").select("worktree", F.col("renamed_from").alias("__name"), F.struct("at", "seq").alias("__when"), F.col("branch").alias("__to"))
-    current, _ = materialize(moves.withColumn("__now", F.col(column)).withColumn("__since", F.struct("at", "seq")), "moves")
-    while True:
-        found = current.join(renames.withColumnRenamed("worktree", "__tree"), (F.col("__now") == F.col("__name")) & (F.col("worktree") == F.col("__tree")) & (F.col("__when") > F.col("__since")))
-        steps = found.groupBy("worktree", "at", "seq").agg(F.min(F.struct("__when", "__to")).alias("__step"))
-        steps, _ = materialize(steps, "renames")
-        if steps.isEmpty():
-            return current.withColumn(column, F.col("__now")).select(*moves.columns)
-        current, _ = materialize(
-            current.join(steps, ["worktree", "at", "seq"], "left")
-            .withColumn("__now", F.coalesce("__step.__to", "__now"))
-            .withColumn("__since", F.coalesce("__step.__when", "__since"))
-            .drop("__step"),
-            "moves",
-        )
+    spark = moves.sparkSession
+    key = ["worktree", "__name"]
+    told = moves.where("worktree is not null and renamed_from is not null and branch is not null")
+    renames, _ = materialize(told.groupBy("worktree", F.col("renamed_from").alias("__name"), F.struct("at", "seq").alias("__when")).agg(F.min("branch").alias("__to")), "renames")
+
+    def following(asking: DataFrame) -> DataFrame:
+        """``asking`` (worktree, __name, __when, ...) with the first rename of the name after that."""
+        step = F.struct("__when", "__to").alias("__step")
+        both = renames.select(*key, "__when", step, F.lit(1).alias("__side")).unionByName(asking.withColumn("__side", F.lit(0)), allowMissingColumns=True)
+        # Seen from the end, what asks stands before a rename of its own instant.
+        found = carry_last(both, key, F.struct(F.col("__when"), (1 - F.col("__side")).alias("side")), {"__next": F.col("__step")}, before=True, stretch=_day("__when.at"), ahead=True)
+        return found.where("__side = 0").drop("__side", "__step")
+
+    links = following(renames.select("worktree", F.col("__to").alias("__name"), "__when", F.col("__name").alias("__from")))
+    state, path = materialize(links.select("worktree", F.col("__from").alias("__name"), "__when", F.col("__name").alias("__to"), F.col("__next.__when").alias("__jump")), "rename-links")
+    while not state.where("__jump is not null").isEmpty():
+        above = state.select("worktree", F.col("__name").alias("__to"), F.col("__when").alias("__jump"), F.col("__to").alias("__last"), F.col("__jump").alias("__more"))
+        jumping = state.where("__jump is not null").join(above, ["worktree", "__to", "__jump"])
+        doubled = jumping.select("worktree", "__name", "__when", F.col("__last").alias("__to"), F.col("__more").alias("__jump")).union(state.where("__jump is null"))
+        following_state, next_path = materialize(doubled, "rename-links")
+        drop_path(spark, path)
+        state, path = following_state, next_path
+    first = following(moves.select("worktree", F.col(column).alias("__name"), F.struct("at", "seq").alias("__when"), F.struct(*moves.columns).alias("__move")))
+    ends = state.select("worktree", "__name", F.col("__when").alias("__first"), F.col("__to").alias("__now"))
+    named = first.withColumn("__first", F.col("__next.__when")).join(ends, [*key, "__first"], "left").select("__move.*", "__now")
+    return named.withColumn(column, F.coalesce("__now", column)).select(*moves.columns)
 
 
 def merge_histories(stored: DataFrame, live: DataFrame) -> DataFrame:
