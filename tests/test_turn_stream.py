@@ -50,3 +50,14 @@ def test_stream_equals_table_with_late_rows(spark):
     got = run(spark, batches, delay="25 minutes")
     want = sorted(map(tuple, turns.closed_turns_batch(spark.createDataFrame(rows, LOG)).collect()), key=str)
     assert got == want and {r[5] for r in got} == {"completed", "unfinished"}
+
+
+def test_turns_share_the_state_of_a_bucket(spark, monkeypatch):
+    """Calls and timers are a bucket's: turns of one bucket close each at its own time."""
+    monkeypatch.setattr(turns, "BUCKETS", 1)
+    rng = random.Random(9)
+    rows = [(f"s{i}", "t", at(rng.randrange(400)), rng.choice(["request", "other", "completed"])) for i in range(60) for _ in range(3)]
+    batches = [sorted(rows, key=lambda r: r[2]), [("clock", "t", at(2000), "started")], [("clock", "t", at(2001), "started")]]
+    calls = turns.closed_turns(spark.readStream.format("rate").load().selectExpr("'s' session", "'t' turn", "timestamp at", "'request' kind"))
+    assert "bucket" in calls._jdf.queryExecution().toString()
+    assert run(spark, batches) == sorted(map(tuple, turns.closed_turns_batch(spark.createDataFrame(rows, LOG)).collect()), key=str)

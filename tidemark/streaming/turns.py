@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
-from datetime import UTC, datetime
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -28,12 +27,16 @@ def _micros(t) -> int:
     return (t if isinstance(t, pd.Timestamp) else pd.Timestamp(t)).value // 1000
 
 
+#: Fixed value: turns share the state of so many buckets, so that calls and timers are a bucket's and not a turn's.
+BUCKETS = 1024
+
+
 class IdleTurns(StatefulProcessor):
-    """One turn: its rows wait in a list until the watermark has passed the point where it closes.
+    """One bucket of turns: their rows wait in a list until the watermark has passed the point where each closes.
 
     Rows come in any order within the watermark's delay, so nothing is told before: a late row
     may lengthen a turn or end it. A closed turn stays closed for ``keep`` minutes, then its
-    state goes.
+    state goes. The one timer of a bucket is at the first of these points; it takes all that are due.
     """
 
     def __init__(self, idle: int, keep: int) -> None:
@@ -41,47 +44,65 @@ class IdleTurns(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.rows = handle.getListState("rows", StructType([StructField("at", LongType()), StructField("kind", StringType())]))
-        self.closed = handle.getValueState("closed", StructType([StructField("at", LongType())]))
-
-    def _cut(self) -> tuple[list[tuple[int, str]], int, str]:
-        """The turn's rows up to its close, when that is known for sure, and how it closes."""
-        rows = sorted((r[0], r[1]) for r in self.rows.get())
-        for i, (at, kind) in enumerate(rows):
-            if kind in ENDS:
-                return rows[: i + 1], at, kind
-            if i + 1 == len(rows) or rows[i + 1][0] - at >= self.idle:
-                return rows[: i + 1], at + self.idle, "unfinished"
-        return [], 0, "unfinished"
-
-    def _wait(self, micros: int) -> None:
+        turn = [StructField("session", StringType()), StructField("turn", StringType())]
+        self.rows = handle.getListState("rows", StructType([*turn, StructField("at", LongType()), StructField("kind", StringType())]))
+        self.closed = handle.getListState("closed", StructType([*turn, StructField("at", LongType())]))
+
+    def _cuts(self, rows: pd.DataFrame) -> pd.DataFrame:
+        """(session, turn, started, last, requests, status, at) of each turn: its rows up to its close, and when and how it closes, as far as the rows tell."""
+        rows = rows.sort_values(["session", "turn", "at", "kind"], kind="stable", ignore_index=True)
+        turn = rows.groupby(["session", "turn"], sort=False)
+        # A row closes its turn if it ends it, or if the next one comes too late or never.
+        ends = rows["kind"].isin(ENDS)
+        rows["closes"] = ends | ~(turn["at"].shift(-1) - rows["at"] < self.idle)
+        taken = rows[turn["closes"].cumsum() - rows["closes"] == 0]
+        per_turn = taken.assign(request=taken["kind"] == REQUEST).groupby(["session", "turn"], sort=False).agg(started=("at", "first"), last=("at", "last"), requests=("request", "sum"), status=("kind", "last")).reset_index()
+        ended = per_turn["status"].isin(ENDS)
+        per_turn["status"] = per_turn["status"].where(ended, "unfinished")
+        per_turn["at"] = per_turn["last"].where(ended, per_turn["last"] + self.idle)
+        return per_turn
+
+    def _state(self, state, columns: list[str]) -> pd.DataFrame:
+        return pd.DataFrame([tuple(r) for r in state.get()], columns=columns)
+
+    def _wait(self, points: list[int]) -> None:
         for timer in list(self.handle.listTimers()):
             self.handle.deleteTimer(int(timer[0] if isinstance(timer, tuple) else timer))
-        self.handle.registerTimer(-(-micros // 1000))
+        if points:
+            self.handle.registerTimer(-(-min(points) // 1000))
+
+    def _points(self, cuts: pd.DataFrame, closed: pd.DataFrame) -> list[int]:
+        return [int(x) for x in [*cuts["at"], *(closed["at"] + self.keep)]]
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802
-        if not self.closed.exists():
-            new = [(_micros(at), kind) for frame in rows for at, kind in zip(frame["at"], frame["kind"], strict=True) if not pd.isna(at)]
-            if new:
-                self.rows.appendList(new)
-                self._wait(self._cut()[1])
+        new = pd.concat([f[["session", "turn", "at", "kind"]] for f in rows], ignore_index=True)
+        new = new[new["at"].notna()].assign(at=lambda f: [_micros(x) for x in f["at"]])
+        closed = self._state(self.closed, ["session", "turn", "at"])
+        gone = set(zip(closed["session"], closed["turn"], strict=True))
+        new = new[[t not in gone for t in zip(new["session"], new["turn"], strict=True)]]
+        if len(new):
+            self.rows.appendList([(s, t, int(at), None if pd.isna(kind) else kind) for s, t, at, kind in new.itertuples(index=False, name=None)])
+            self._wait(self._points(self._cuts(self._state(self.rows, ["session", "turn", "at", "kind"])), closed))
         yield pd.DataFrame()
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802
-        if self.closed.exists():
-            self.closed.clear()
-            yield pd.DataFrame()
-            return
-        taken, at, status = self._cut()
-        self.rows.clear()
-        self.closed.update((at,))
-        self._wait(at + self.keep)
-        requests = sum(kind == REQUEST for _, kind in taken)
-        if not requests and status == "unfinished":
-            yield pd.DataFrame()
-            return
-        stamp = lambda x: pd.Timestamp(datetime.fromtimestamp(x / 1e6, UTC).replace(tzinfo=None)).floor("us")
-        yield pd.DataFrame({"session": [key[0]], "turn": [key[1]], "started_at": [stamp(taken[0][0])], "last_at": [stamp(taken[-1][0])], "requests": [requests], "status": [status]})
+        # A timer fires once the watermark is beyond it.
+        now = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentWatermarkInMs() - 1) * 1000
+        rows, closed = self._state(self.rows, ["session", "turn", "at", "kind"]), self._state(self.closed, ["session", "turn", "at"])
+        cuts = self._cuts(rows)
+        due = cuts["at"] <= now
+        out, open_turns = cuts[due], set(zip(cuts["session"][~due], cuts["turn"][~due], strict=True))
+        # What was closed before, but for that whose time is over, and what closes now.
+        closed = pd.concat([closed[closed["at"] + self.keep > now], out[["session", "turn", "at"]]], ignore_index=True)
+        if len(out):
+            left = [r for r in rows.itertuples(index=False, name=None) if r[:2] in open_turns]
+            self.rows.put(left) if left else self.rows.clear()
+        kept = [(s, t, int(at)) for s, t, at in closed.itertuples(index=False, name=None)]
+        self.closed.put(kept) if kept else self.closed.clear()
+        self._wait(self._points(cuts[~due], closed))
+        out = out[(out["requests"] > 0) | (out["status"] != "unfinished")]
+        stamps = {f"{n}_at": pd.to_datetime(out[n].astype("int64"), unit="us") for n in ("started", "last")}
+        yield pd.DataFrame({"session": out["session"], "turn": out["turn"], "started_at": stamps["started_at"], "last_at": stamps["last_at"], "requests": out["requests"].astype("int64"), "status": out["status"]})
 
     def close(self) -> None:
         pass
@@ -97,7 +118,8 @@ def closed_turns(rows: DataFrame, idle_minutes: int = IDLE_MINUTES, delay: str =
     turn are dropped. Call ``use_rocksdb`` before the stream starts.
     """
     shaped = rows.select(F.col("session").cast("string").alias("session"), F.col("turn").cast("string").alias("turn"), F.col("at").cast("timestamp").alias("at"), F.col("kind").cast("string").alias("kind")).where("session IS NOT NULL AND turn IS NOT NULL AND at IS NOT NULL")
-    grouped = shaped.withWatermark("at", delay).groupBy("session", "turn")
+    bucket = F.pmod(F.xxhash64("session", "turn"), F.lit(BUCKETS)).cast("int").alias("bucket")
+    grouped = shaped.withWatermark("at", delay).select("*", bucket).groupBy("bucket")
     return grouped.transformWithStateInPandas(IdleTurns(idle_minutes, keep_minutes), TURNS, "Append", "EventTime")
 
 
