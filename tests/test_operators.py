@@ -291,3 +291,10 @@ def test_row_order_changes_nothing(spark):
     a = facts.one_per_key(spark.createDataFrame(rows, "k long, o long, v string"), ["k"], [F.desc("o")]).collect()
     b = facts.one_per_key(spark.createDataFrame(rows[::-1], "k long, o long, v string"), ["k"], [F.desc("o")]).collect()
     assert sorted(a) == sorted(b)
+
+
+def test_parents_of_a_lineage_are_not_broadcast(spark, monkeypatch):
+    plans, keep = [], graph.materialize
+    monkeypatch.setattr(graph, "materialize", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or keep(df, name))
+    rows = graph.lineage(spark.createDataFrame([("a", "b"), ("b", "c")], "child string, parent string")).collect()
+    assert len(rows) == 3 and not any("BroadcastHashJoin" in p for p in plans)

@@ -67,8 +67,9 @@ def lineage(parents: DataFrame, child: str = "child", parent: str = "parent") ->
     depth, levels = 1, []
     while not level.isEmpty():
         levels.append(level.select("node", "ancestor", F.lit(depth).alias("level")))
+        # Both sides are dealt by key: a level's parents would go through the driver with every broadcast.
         following = (
-            level.join(p, level["ancestor"] == p["c"])
+            level.join(p.hint("merge"), level["ancestor"] == p["c"])
             .where(~F.array_contains("seen", F.col("p")))
             .select("node", F.col("p").alias("ancestor"), F.concat("seen", F.array("p")).alias("seen"))
         )
