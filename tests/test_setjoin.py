@@ -47,3 +47,15 @@ def test_common_words_are_no_keys_of_the_join(spark):
             keys[t] += 1
     assert max(keys.values()) == 1
     assert setjoin.similar_pairs(sets).count() == 0
+
+
+def test_rows_that_meet_hold_no_tokens(spark, monkeypatch):
+    """Long texts with common rare words that are not alike: nothing is compared token by token."""
+    rng = random.Random(7)
+    records = [(i, [f"w{rng.randrange(3000)}" for _ in range(300)]) for i in range(120)]
+    _, sets = setjoin.token_sets(spark.createDataFrame(records, "id long, w array<string>"), "id", "w")
+    compared = []
+    keep = setjoin.F.array_intersect
+    monkeypatch.setattr(setjoin.F, "array_intersect", lambda a, b: compared.append((a, b)) or keep(a, b))
+    pairs = setjoin.similar_pairs(sets)
+    assert compared == [("tokens_a", "tokens_b")] and pairs.count() == 0

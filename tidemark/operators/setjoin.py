@@ -4,6 +4,8 @@ Two sets with a Jaccard similarity of at least t share a token among the first
 |x| - ceil(t |x|) + 1 of each, in any one order of all tokens. In order of rarity those are
 the rare ones, so the join's keys are rare tokens, and common ones are only compared where a
 pair has met. Sets alike in all tokens are one row of the join, however many records have them.
+The join's rows hold no tokens: a pair that meets is held against what its places leave and
+against parities of both sets, and only what remains is joined with its tokens.
 """
 
 from __future__ import annotations
@@ -17,6 +19,8 @@ from tidemark.session import materialize
 THRESHOLD = 0.6
 TOP = 8
 _ROUNDING = 1e-9
+#: Words of 64 parities a set has: bit i is how many of its tokens hash to i, modulo 2.
+WORDS = 8
 
 
 def least_overlap(size: Column, threshold: float) -> Column:
@@ -27,36 +31,44 @@ def least_overlap(size: Column, threshold: float) -> Column:
 def token_sets(records: DataFrame, key: str, tokens: str) -> tuple[DataFrame, DataFrame]:
     """(members, sets): each record's set, and each distinct set with its tokens from rare to common.
 
-    ``members`` has (key, set); ``sets`` (set, tokens, size). Null tokens are dropped, and
+    ``members`` has (key, set); ``sets`` (set, tokens, size, alone, bits): how many of its tokens, the
+    first ones, no other set has, and its parities. Null tokens are dropped, and
     records without any are in neither: they are alike to nothing.
     """
     given = records.select(F.col(key).alias("key"), F.array_sort(F.array_distinct(F.filter(tokens, lambda x: x.isNotNull()))).alias("tokens")).where(F.size("tokens") > 0)
-    # Equal sets have equal sorted arrays, whose digest stands for them.
-    named, _ = materialize(given.select("key", F.sha2(F.to_json(F.struct("tokens")), 256).alias("set"), "tokens"), "token-sets")
-    distinct = named.dropDuplicates(["set"]).select("set", "tokens")
+    # Equal sets have equal sorted arrays, whose digest stands for them until they are numbered.
+    named, _ = materialize(given.select("key", F.unhex(F.sha2(F.to_json(F.struct("tokens")), 256)).alias("digest"), "tokens"), "token-sets")
+    distinct, _ = materialize(named.select("digest", "tokens").dropDuplicates(["digest"]).withColumn("set", F.monotonically_increasing_id()), "distinct-sets")
     each = distinct.select("set", F.explode("tokens").alias("token"))
     frequency = each.groupBy("token").agg(F.count("*").alias("n"))
     ranked = each.join(frequency, "token").groupBy("set").agg(F.array_sort(F.collect_list(F.struct("n", "token"))).alias("ranked"))
-    sets, _ = materialize(ranked.select("set", F.col("ranked.token").alias("tokens"), F.size("ranked").alias("size")), "ranked-sets")
-    return named.select("key", "set"), sets
+    at = F.pmod(F.xxhash64("token"), F.lit(64 * WORDS))
+    bits = each.select("set", at.alias("at")).groupBy("set").agg(*[F.bit_xor(F.when(F.floor(F.col("at") / 64) == i, F.expr("shiftleft(1L, cast(at % 64 as int))")).otherwise(F.lit(0).cast("long"))).alias(f"w{i}") for i in range(WORDS)])
+    shaped = ranked.select("set", F.col("ranked.token").alias("tokens"), F.size("ranked").alias("size"), F.size(F.filter("ranked", lambda x: x["n"] == 1)).alias("alone"))
+    sets, _ = materialize(shaped.join(bits.select("set", F.array(*[f"w{i}" for i in range(WORDS)]).alias("bits")), "set"), "ranked-sets")
+    return named.select("key", "digest").join(distinct.select("digest", "set"), "digest").select("key", "set"), sets
 
 
 def similar_pairs(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     """(a, b, similarity) of distinct sets a < b with a Jaccard similarity of ``threshold`` or more."""
     prefix = F.col("size") - least_overlap(F.col("size"), threshold) + 1
-    keyed = sets.withColumn("prefix", F.slice("tokens", F.lit(1), prefix))
-    rare = keyed.select("set", "tokens", "size", "prefix", F.posexplode("prefix").alias("at", "token"))
-    left, right = (rare.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("set", "tokens", "size", "prefix", "at")]) for s in "ab")
+    # Tokens meet by their hashes; what no other set has meets nothing.
+    rare = sets.select("set", "size", "alone", "bits", F.posexplode(F.slice("tokens", F.lit(1), prefix)).alias("at", "token")).where("at >= alone").select("set", "size", "bits", "at", F.xxhash64("token").alias("token"))
+    left, right = (rare.select("token", *[F.col(c).alias(f"{c}_{s}") for c in ("set", "size", "bits", "at")]) for s in "ab")
     longer, shorter = F.greatest("size_a", "size_b"), F.least("size_a", "size_b")
-    # What can still be shared from here on reaches what must be.
+    both_sizes = F.col("size_a") + F.col("size_b")
+    # Where a pair first meets, what can be shared from there on reaches what must be.
     rest = F.least(F.col("size_a") - F.col("at_a"), F.col("size_b") - F.col("at_b"))
-    must = F.ceil((F.col("size_a") + F.col("size_b")) * threshold / (1 + threshold) - F.lit(_ROUNDING))
-    met = left.join(right, "token").where((F.col("set_a") < F.col("set_b")) & (shorter >= longer * threshold - _ROUNDING))
-    # A pair counts where it first meets, so that no pair is looked at twice.
-    first = met.where((F.get(F.array_intersect("prefix_a", "prefix_b"), F.lit(0)) == F.col("token")) & (rest >= must))
+    must = F.ceil(both_sizes * threshold / (1 + threshold) - F.lit(_ROUNDING))
+    # Each parity that differs is a token that one of them has alone.
+    apart = sum((F.bit_count(F.col("bits_a")[i].bitwiseXOR(F.col("bits_b")[i])) for i in range(WORDS)), F.lit(0))
+    met = left.join(right, "token").where((F.col("set_a") < F.col("set_b")) & (shorter >= longer * threshold - _ROUNDING) & (rest >= must) & (both_sizes - apart >= 2 * must))
+    pairs = met.select(F.col("set_a").alias("a"), F.col("set_b").alias("b")).distinct()
+    held = lambda name: sets.select(F.col("set").alias(name), F.col("tokens").alias(f"tokens_{name}"), F.col("size").alias(f"size_{name}"))
+    joined = pairs.join(held("a"), "a").join(held("b"), "b")
     both = F.size(F.array_intersect("tokens_a", "tokens_b"))
-    ratio = both / (F.col("size_a") + F.col("size_b") - both)
-    return first.select(F.col("set_a").alias("a"), F.col("set_b").alias("b"), ratio.alias("similarity")).where(F.col("similarity") >= threshold - _ROUNDING)
+    ratio = both / (both_sizes - both)
+    return joined.select("a", "b", ratio.alias("similarity")).where(F.col("similarity") >= threshold - _ROUNDING)
 
 
 def similar_records(records: DataFrame, key: str, tokens: str, threshold: float = THRESHOLD, top: int = TOP) -> DataFrame:
