@@ -7,6 +7,22 @@ from pyspark.sql import functions as F
 
 from tidemark.session import drop_path, materialize
 
+#: A key with more than this part of a table's rows is heavy: there are as many at most.
+HEAVY = 1000
+
+
+def with_value(rows: DataFrame, by: str, each: DataFrame, value: str, total: int, least: int = 10_000) -> DataFrame:
+    """``rows`` with ``value`` of their key, from ``each`` (by, value, n): one row a key, ``n`` of its rows.
+
+    Rows of a heavy key stay where they are, as its value comes to them: of ``total`` rows no
+    more than ``HEAVY`` keys have over ``total / HEAVY``. All others are dealt by key.
+    """
+    is_heavy = F.col("n") > F.greatest(F.lit(total) / HEAVY, F.lit(least))
+    marked = rows.join(F.broadcast(each.where(is_heavy).select(by, F.col(value).alias("__heavy"))), by, "left")
+    # Both sides read ``n``, so that they share one exchange.
+    light = marked.where("__heavy is null").drop("__heavy").join(each.where(~is_heavy & (F.col("n") > 0)).select(by, value).hint("merge"), by)
+    return marked.where("__heavy is not null").withColumnRenamed("__heavy", value).unionByName(light)
+
 
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -> DataFrame:
     """(node, component) for every node of an edge table; the component is its smallest node.
@@ -24,13 +40,13 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     current, path = materialize(
         e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges"
     )
-    before = None
+    before, links = None, current.count()
     while True:
-        stars = _small_star(_large_star(current))
+        stars = _small_star(_large_star(current, links), links)
         following, next_path = materialize(stars, "edges")
         state = following.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
         drop_path(spark, path)
-        current, path = following, next_path
+        current, path, links = following, next_path, state[0]
         if tuple(state) == before:
             break
         before = tuple(state)
@@ -39,19 +55,20 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst") -
     )
 
 
-def _large_star(edges: DataFrame) -> DataFrame:
-    both = edges.union(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-    return both.join(least, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+def _large_star(edges: DataFrame, links: int) -> DataFrame:
+    """Every edge leads on from its lower end to that end's smallest neighbour; ``edges`` (u, v) have u > v."""
+    low = edges.select(F.col("v").alias("u"), F.col("u").alias("m"), F.lit(1).alias("n")).union(edges.select("u", F.col("v").alias("m"), F.lit(0).alias("n")))
+    least = low.groupBy("u").agg(F.least(F.min("m"), F.col("u")).alias("m"), F.sum("n").alias("n"))
+    joined = with_value(edges.select(F.col("v").alias("u"), F.col("u").alias("high")), "u", least, "m", links)
+    return joined.select(F.col("high").alias("u"), F.col("m").alias("v")).distinct()
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
-    down = edges.where("u > v")
-    least = down.groupBy("u").agg(F.min("v").alias("m"))
-    joined = down.join(least, "u")
+def _small_star(edges: DataFrame, links: int) -> DataFrame:
+    least = edges.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
+    joined = with_value(edges, "u", least, "m", links)
     return (
         joined.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        .union(joined.select("u", F.col("m").alias("v")))
+        .union(least.select("u", F.col("m").alias("v")))
         .distinct()
     )
 
