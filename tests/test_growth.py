@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from tidemark.operators import graph, trees
+from tidemark.operators import graph, rollout, trees
 
 
 def test_rows_of_a_hub_stay_dealt_out(spark):
@@ -61,3 +61,21 @@ def test_a_deep_tree_is_not_written_every_round(spark, monkeypatch):
     chain = spark.createDataFrame([("f", i, str(i), str(i - 1), i if i == 3 else None) for i in range(3000)], "file string, seq int, node string, parent string, v int")
     assert trees.inherit(chain, {"near": F.col("v")}).where("seq > 3 and near = 3").count() == 2996
     assert sum(written) <= 2 * 3000
+
+
+def test_wide_rows_of_sessions_are_dealt_once(spark):
+    # What a stretch starts with takes a few columns, but its rows with all of theirs cross one exchange for all carries.
+    fields = dict(x.split(" ") for x in rollout.ROW.split(", "))
+    rows = spark.range(1000).select(*[(F.col("id") if n == "seq" else F.lit("head") if n == "kind" else F.lit(None) if n in ("forked", "born") else F.col("id") % 7).cast(t).alias(n) if n != "at" else F.timestamp_seconds("id").alias(n) for n, t in fields.items()])
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        state = rollout.session_state(rows, 100)
+        assert state.count() == 1000
+        state.write.format("noop").mode("overwrite").save()
+        # A window's rows come from the window below it, with no exchange of the session's rows between.
+        plan = [x.strip(" :+-|") for x in state._jdf.queryExecution().executedPlan().toString().splitlines()]
+        depth = [i for i, x in enumerate(plan) if "Window [" in x and "last(" in x]
+        assert not any("Exchange hashpartitioning(session" in x for x in plan[depth[0] : depth[1]]), plan[depth[0] : depth[1]]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)

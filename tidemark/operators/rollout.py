@@ -44,21 +44,26 @@ def _is(*kinds: str):
 
 def session_state(rows: DataFrame, size: int = STRETCH) -> DataFrame:
     """Every row with the state it meets: own history, settings, the turn entered last, facts, counters."""
+    # Rows cross one exchange, to their stretch; what holds for a session comes to its stretches.
+    by, stretch = ["session", "__stretch"], F.col("__stretch")
+    rows = rows.withColumn("__stretch", F.floor(F.col("seq") / size))
+    spread = lambda df: parts.join(df, "session").hint("merge")
+    parts = rows.select(*by).distinct()
     head = F.min_by(F.struct("seq", "thread", "born", "forked", "cwd", "provider"), F.when(_is("head"), F.col("seq")))
     heads = rows.groupBy("session").agg(head.alias("head"))
-    known = rows.join(heads, "session")
+    known = rows.join(spread(heads), by)
     after_head = F.col("seq") > F.col("head.seq")
     own_record = _is("record") & after_head & (F.col("thread") == F.col("head.thread"))
     own_turn = _is("started", "context") & after_head & F.col("turn").isNotNull() & (F.col("head.born").isNull() | F.coalesce(F.col("born") >= F.col("head.born"), F.lit(False)))
     firsts = known.groupBy("session").agg(F.min(F.when(own_record | own_turn, F.col("seq"))).alias("own_from"), F.min(F.when(own_record, F.col("seq"))).alias("record_from"))
     replayed = F.coalesce("head.forked", F.lit(False)) & F.coalesce(after_head, F.lit(False)) & (F.col("own_from").isNull() | (F.col("seq") < F.col("own_from")))
-    marked = known.join(firsts, "session").select(*known.columns, "record_from", F.coalesce(own_record, F.lit(False)).alias("own_record"), replayed.alias("replayed"))
+    marked = known.join(spread(firsts), by).select(*known.columns, "record_from", F.coalesce(own_record, F.lit(False)).alias("own_record"), replayed.alias("replayed"))
     at = F.col("seq")
     applies = _is("settings") & (F.col("thread").isNull() | F.col("head").isNull() | ~F.coalesce(after_head, F.lit(False)) | (F.col("thread") == F.col("head.thread")))
     first_head = _is("head") & (F.col("seq") == F.col("head.seq"))
     settings = {f"set_{c}": F.when(applies, F.col(c)) for c in ("model", "effort", "tier")} | {"set_provider": F.when(applies | first_head, F.col("provider"))}
     entered = F.when(_is("started", "context"), F.col("turn"))
-    with_settings = carry_last(marked, ["session"], at, settings | {"current": entered}, size=size)
+    with_settings = carry_last(marked, ["session"], at, settings | {"current": entered}, stretch=stretch)
     turn = F.coalesce("turn", F.when(_is("context", "aborted", "record", "count"), F.col("current")))
     turned = with_settings.withColumn("turn", turn)
     context = _is("context") & F.col("turn").isNotNull() & ~F.col("replayed")
@@ -70,8 +75,8 @@ def session_state(rows: DataFrame, size: int = STRETCH) -> DataFrame:
     }
     counted = _is("count")
     return carry_last(
-        carry_last(turned, ["session"], at, facts, size=size), ["session"], at, {"total_before": F.when(counted, F.col("total"))}, before=True, size=size
-    ).select("*", F.struct(F.col("at_cwd").alias("cwd"), F.col("at_effort").alias("effort"), F.col("at_model").alias("model"), F.col("at_fixed.provider").alias("provider"), F.col("at_fixed.tier").alias("tier")).alias("facts"))
+        carry_last(turned, ["session"], at, facts, stretch=stretch), ["session"], at, {"total_before": F.when(counted, F.col("total"))}, before=True, stretch=stretch
+    ).drop("__stretch").select("*", F.struct(F.col("at_cwd").alias("cwd"), F.col("at_effort").alias("effort"), F.col("at_model").alias("model"), F.col("at_fixed.provider").alias("provider"), F.col("at_fixed.tier").alias("tier")).alias("facts"))
 
 
 def turn_spans(state: DataFrame, size: int = STRETCH) -> DataFrame:
