@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 
 import pytest
 
+from tidemark.operators import ancestry, history
 from tidemark.operators.history import commit_chains, fork_points
 
 DAY = datetime(2025, 1, 1)
@@ -160,3 +161,58 @@ def test_odd_commits(spark):
         commit_chains(spark.createDataFrame([("r", "a", ["b"]), ("r", "b", ["a"])], COMMITS))
     none = [spark.createDataFrame([], s) for s in (COMMITS, BRANCHES, BASES, CREATED)]
     assert fork_points(*none).count() == 0
+
+
+def merged_branches(n):
+    """A line that takes a branch of two commits at each step; the branches' tips."""
+    parents, tips = {"m000": []}, {}
+    for i in range(1, n):
+        a, b, m = f"a{i:03d}", f"b{i:03d}", f"m{i:03d}"
+        parents |= {a: [f"m{i - 1:03d}"], b: [a], m: [f"m{i - 1:03d}", b]}
+        tips[f"t{i:03d}"] = (b, DAY + timedelta(days=i))
+    return parents, tips | {"main": (f"m{n - 1:03d}", DAY)}
+
+
+def test_tables_grow_with_the_history(spark, monkeypatch):
+    most = {}
+    keep = history._Tables.keep
+
+    def counted(self, df, name):
+        out = keep(self, df, name)
+        most["n"] = max(most.get("n", 0), out.count())
+        return out
+
+    monkeypatch.setattr(history._Tables, "keep", counted)
+    sizes = []
+    for n in (40, 160):
+        parents, tips = merged_branches(n)
+        most.clear()
+        commits = [("r", c, ps, 3 * int(c[1:]) + "abm".index(c[0])) for c, ps in parents.items()]
+        base = [("r", b, "main", f"m{n - 1:03d}", False) for b in tips]
+        rows = fork_points(
+            spark.createDataFrame(commits, COMMITS + ", clock long"), spark.createDataFrame([("r", b, *x) for b, x in tips.items()], BRANCHES),
+            spark.createDataFrame(base, BASES), spark.createDataFrame([], CREATED),
+        ).collect()
+        assert [(r.method, r.ref, r.fork, r.distance) for r in rows if r.branch == "t020"] == [("default", "main", "m019", 2)]
+        sizes.append(most["n"])
+    assert sizes[1] < 5 * sizes[0]
+
+
+def test_walks_beyond_their_stretch_and_any_clock(spark, monkeypatch):
+    monkeypatch.setattr(ancestry, "WIDTH", 2)
+    rng = random.Random(5)
+    cases = {f"r{seed}": drawn(seed, 16) for seed in range(100, 116)}
+    commits = [(repo, c, ps, rng.choice([None, rng.randrange(20), *[int(c[1:])] * 8])) for repo, case in cases.items() for c, ps in case[0].items()]
+    tips = [(repo, n, s, at) for repo, case in cases.items() for n, (s, at) in case[1].items()]
+    base = [(repo, n, *x) for repo, case in cases.items() for n, x in case[2].items()]
+    made = [(repo, n, s, r, x) for repo, case in cases.items() for n, (s, r, x) in case[3].items()]
+    rows = fork_points(spark.createDataFrame(commits, COMMITS + ", clock long"), spark.createDataFrame(tips, BRANCHES), spark.createDataFrame(base, BASES), spark.createDataFrame(made, CREATED)).collect()
+    got = {(r.repo, r.branch): (r.method, r.ref, r.fork, None if r.distance is None else int(r.distance)) for r in rows}
+    assert got == {(repo, b): row for repo, case in cases.items() for b, row in plain(Graph(case[0]), *case[1:]).items()}
+
+
+def test_a_cycle_of_merges_is_an_error(spark):
+    rows = [("r", "o", []), ("r", "a", ["o", "b"]), ("r", "b", ["o", "a"])]
+    none = [spark.createDataFrame([], s) for s in (BRANCHES, BASES, CREATED)]
+    with pytest.raises(ValueError, match="cycle"):
+        fork_points(spark.createDataFrame(rows, COMMITS), *none)

@@ -47,7 +47,21 @@ def carry_last(df: DataFrame, by: list[str], at: Column, values: dict[str, Colum
     return found.select(*keep, *[F.coalesce(f"__in_{n}", f"__start_{n}").alias(n) for n in values])
 
 
-def carry_sum(df: DataFrame, by: list[str], at: Column, values: dict[str, Column], size: int = STRETCH) -> DataFrame:
+def carry_max(df: DataFrame, by: list[str], at: Column, values: dict[str, Column], size: int = STRETCH) -> DataFrame:
+    """``df`` with the greatest of each expression up to each row."""
+    held = df.select("*", *[v.alias(f"__v_{n}") for n, v in values.items()])
+    value = {n: F.col(f"__v_{n}") for n in values}
+    found = _carried(
+        held, by, at, size,
+        {n: (lambda w, v=v: F.max(v).over(w.rowsBetween(Window.unboundedPreceding, 0))) for n, v in value.items()},
+        {n: F.max(v) for n, v in value.items()},
+        lambda c, w: F.max(c).over(w),
+    )
+    keep = [c for c in df.columns if c not in values]
+    return found.select(*keep, *[F.greatest(f"__in_{n}", f"__start_{n}").alias(n) for n in values])
+
+
+def carry_sum(df: DataFrame, by: list[str], at: Column, values: dict[str, Column], size: int = STRETCH, stretch: Column | None = None) -> DataFrame:
     """``df`` with the sum of each expression up to each row; nulls add nothing."""
     held = df.select("*", *[F.coalesce(v, F.lit(0)).alias(f"__v_{n}") for n, v in values.items()])
     value = {n: F.col(f"__v_{n}") for n in values}
@@ -55,7 +69,7 @@ def carry_sum(df: DataFrame, by: list[str], at: Column, values: dict[str, Column
         held, by, at, size,
         {n: (lambda w, v=v: F.sum(v).over(w.rowsBetween(Window.unboundedPreceding, 0))) for n, v in value.items()},
         {n: F.sum(v) for n, v in value.items()},
-        lambda c, w: F.sum(c).over(w),
+        lambda c, w: F.sum(c).over(w), stretch,
     )
     keep = [c for c in df.columns if c not in values]
     return found.select(*keep, *[(F.col(f"__in_{n}") + F.coalesce(f"__start_{n}", F.lit(0))).alias(n) for n in values])

@@ -2,9 +2,9 @@
 
 The graph is dealt into chains: paths of first parents, found by pointer doubling in as many
 rounds as the logarithm of the longest. What a commit reaches on a chain is all of it up to some
-place, so a source needs one number a chain, a label that a smaller one never changes. Walks
-go from chain to chain by such labels; their rounds are the nesting of merges, not the length of
-the history. Every round is a table in the shared folder and serves all repositories at once.
+place. What it reaches beyond its first parent is kept (``ancestry``), so walks look up how far
+another commit, or enough tips, reach, and go down only where a branch is alone. Every round is a
+table in the shared folder and serves all repositories at once.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ from functools import reduce
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidemark.operators.ancestry import as_of, blocks, borders, crowds, fresh, holding, latest, ordered, tops, tour
 from tidemark.session import drop_path, materialize
 
 #: Branches that are bases of others and have no fork of their own, and whose claim to a fork counts first.
@@ -45,7 +46,12 @@ def commit_chains(commits: DataFrame, tables: _Tables | None = None) -> tuple[Da
     parents below. Parents that are not among the commits (a shallow clone) are not followed.
     Rows of one commit count once; a null repo or sha is no commit; a cycle is an error.
     """
-    tables = tables or _Tables(commits.sparkSession)
+    places, _, across = _chains(commits, tables or _Tables(commits.sparkSession))
+    return places, across
+
+
+def _chains(commits: DataFrame, tables: _Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The tables of ``commit_chains`` with (repo, parent, sha, nth), the links to known parents, between them."""
     known = commits.where("repo is not null and sha is not null").groupBy("repo", "sha").agg(F.first("parents").alias("parents"))
     links = known.select("repo", "sha", F.posexplode("parents").alias("nth", "parent"))
     links = tables.keep(links.join(known.select("repo", F.col("sha").alias("parent")), ["repo", "parent"]).where("parent <> sha"), "links")
@@ -70,43 +76,7 @@ def commit_chains(commits: DataFrame, tables: _Tables | None = None) -> tuple[Da
     crossing = links.join(places, ["repo", "sha"]).join(to, ["repo", "parent"])
     # A link inside a chain says nothing new: what is below on a chain is reached anyhow.
     across = crossing.where("chain <> to_chain").groupBy("repo", "chain", "pos", "to_chain", "to_pos").agg(F.max(F.col("nth") == 0).alias("first"))
-    return places, tables.keep(across, "crossing")
-
-
-def reach(starts: DataFrame, links: DataFrame, tables: _Tables | None = None) -> DataFrame:
-    """(repo, source, chain, top): how far up each chain a source reaches, from its own places (repo, source, chain, top).
-
-    A round follows the links that leave the stretch by which a label grew.
-    """
-    tables = tables or _Tables(starts.sparkSession)
-    labels = starts.groupBy("repo", "source", "chain").agg(F.max("top").alias("top")).withColumn("before", F.lit(None).cast("long"))
-    labels = tables.keep(labels, "labels")
-    while True:
-        grown = labels.where("before is null or top > before")
-        if grown.isEmpty():
-            return labels.drop("before")
-        out = grown.join(links, ["repo", "chain"]).where("pos <= top and (before is null or pos > before)").groupBy("repo", "source", F.col("to_chain").alias("chain")).agg(F.max("to_pos").alias("top"))
-        every = labels.select("repo", "source", "chain", "top", F.col("top").alias("before")).union(out.withColumn("before", F.lit(None).cast("long")))
-        labels = tables.keep(every.groupBy("repo", "source", "chain").agg(F.max("top").alias("top"), F.max("before").alias("before")), "labels")
-
-
-def latest_common(common: DataFrame, by: list[str], links: DataFrame) -> DataFrame:
-    """The places (by, chain, pos) of a set of commits that have no child in the set.
-
-    ``common`` has (by, chain, pos): of each chain the set holds all up to ``pos``, and with a
-    commit its parents. ``by`` has repo.
-    """
-    children = common.join(links.select("repo", F.col("to_chain").alias("chain"), F.col("to_pos").alias("pos"), F.col("chain").alias("__chain"), F.col("pos").alias("__pos")), ["repo", "chain", "pos"])
-    held = common.select(*by, F.col("chain").alias("__chain"), F.col("pos").alias("__top"))
-    covered = children.join(held, [*by, "__chain"]).where("__pos <= __top").select(*by, "chain", "pos").distinct()
-    return common.join(covered, [*by, "chain", "pos"], "left_anti")
-
-
-def merge_bases(pairs: DataFrame, by: list[str], labels: DataFrame, links: DataFrame) -> DataFrame:
-    """(by, chain, pos) of the best common ancestors of ``left`` and ``right``, two shas of a row of ``pairs``; several where histories cross."""
-    side = lambda name, top: labels.select("repo", F.col("source").alias(name), "chain", F.col("top").alias(top))
-    both = pairs.join(side("left", "__l"), ["repo", "left"]).join(side("right", "__r"), ["repo", "right", "chain"])
-    return latest_common(both.select(*by, "chain", F.least("__l", "__r").alias("pos")), by, links)
+    return places, links, tables.keep(across, "crossing")
 
 
 def fork_points(commits: DataFrame, branches: DataFrame, bases: DataFrame, created: DataFrame) -> DataFrame:
@@ -123,90 +93,119 @@ def fork_points(commits: DataFrame, branches: DataFrame, bases: DataFrame, creat
     an explicit base have the base alone. The candidate with the fewest commits after it wins,
     a tip itself only if it is alone; ties go by method, then to the branch with the latest tip,
     then by name. Where two histories cross and have several best common ancestors, all are
-    candidates. Tips outside ``commits`` have nulls. Rows made for ``ref`` are pairs of a branch
-    and the branches that hold its fork.
+    candidates. Tips outside ``commits`` have nulls. ``commits`` may have a number ``clock``, such
+    as commit times (see ``ancestry.ordered``); results do not depend on it.
     """
     tables = _Tables(commits.sparkSession)
-    places, links = commit_chains(commits, tables)
-    key = ["repo", "branch"]
-    at = lambda df, name: df.join(places.withColumnRenamed("sha", name), ["repo", name])
+    places, links, across = _chains(commits, tables)
+    key, place = ["repo", "branch"], ["repo", "chain", "pos"]
+    clock = commits.where("repo is not null and sha is not null").groupBy("repo", "sha").agg(F.max(F.col("clock").cast("long")).alias("clock")) if "clock" in commits.columns else None
+    numbered = ordered(places, across, tables, clock)
+    entries, firsts = fresh(numbered, links, tables)
     tips = branches.where("repo is not null and branch is not null").groupBy(*key).agg(F.max(F.struct("at", "sha")).alias("x")).select(*key, F.col("x.sha").alias("head"), F.col("x.at").alias("at"))
-    heads = tables.keep(at(tips, "head").select(*key, "head", "at", "chain", "pos", F.col("branch").isin(*DEFAULT_NAMES).alias("main")), "heads")
-    base = tables.keep(at(bases.select(*key, "ref", F.col("sha").alias("base"), F.coalesce("explicit", F.lit(False)).alias("explicit")), "base").drop("chain", "pos"), "bases")
+    tips = tables.keep(tips, "tips")
+    others = tips.where(~F.col("branch").isin(*DEFAULT_NAMES))
+    nodes = tour(numbered, across, entries, others, tables)
+    held = tables.keep(entries.join(nodes.select("repo", "rank", "enter", "leave", "tip_enter", "tip_leave"), ["repo", "rank"]), "held")
+    steps = tops(held).withColumn("kind", F.lit(0)).unionByName(crowds(held).withColumn("kind", F.lit(1)))
+    steps = tables.keep(steps, "steps")
+    reached = steps.where("kind = 0")
+
+    at = lambda df, name, *more: df.join(nodes.select("repo", F.col("sha").alias(name), *more), ["repo", name])
+    heads = at(tips, "head", "chain", "pos", "enter", F.col("n").alias("all")).withColumn("main", F.col("branch").isin(*DEFAULT_NAMES))
+    heads = tables.keep(heads, "heads")
+    base = at(bases.select(*key, "ref", F.col("sha").alias("base"), F.coalesce("explicit", F.lit(False)).alias("explicit")), "base", F.col("enter").alias("base_enter"))
+    base = tables.keep(base, "bases")
     made = tables.keep(created.select(*key, F.col("sha").alias("oldest"), F.col("ref").alias("made_from"), "ref_sha").where("made_from is not null"), "made")
-
-    sources = heads.select("repo", F.col("head").alias("sha")).union(base.select("repo", "base")).union(made.select("repo", "ref_sha")).distinct()
-    start = lambda shas: places.join(shas, ["repo", "sha"]).select("repo", F.col("sha").alias("source"), "chain", F.col("pos").alias("top"))
-    labels = tables.keep(reach(start(sources), links, tables), "reached")
-    own = labels.withColumnRenamed("source", "head")
+    free = tables.keep(heads.where("not main").join(base.where("explicit").select(*key), key, "left_anti"), "free")
+    self = free.select(*key, F.struct("chain", "pos").alias("self"))
+
+    # Whose additions hold a tip: they tell how many tips reach it, and which merge its base has it by.
+    dealt, levels = _dealt(held, tables)
+    bearers = tables.keep(holding(free.select("repo", "head", "chain", "pos").distinct(), dealt, levels).select("repo", "head", "rank", "enter", "leave", "tip_enter", "tip_leave"), "bearers")
+    count = bearers.groupBy("repo", "head").agg(F.sum(F.col("tip_leave") - F.col("tip_enter")).alias("tips"))
+
+    # The base; what the reflog names; of branches that the base has merged, the base's first
+    # parent before the merge; other branches. What holds a tip holds all below it, so a commit
+    # below is held by a branch that does not hold the tip if and only if more tips reach it.
+    ask = lambda df, use, *more: df.select(*key, F.lit(use).alias("use"), *more)
+    of_base = heads.join(base, key)
+    named = at(made.where("ref_sha is not null and made_from <> 'HEAD'").join(free, key), "ref_sha", F.col("enter").alias("ref_enter"))
+    merge = free.join(base, key).join(bearers.select("repo", "head", "rank", F.col("enter").alias("__in"), F.col("leave").alias("__out")), ["repo", "head"]).where("__in <= base_enter and base_enter < __out and __in <> enter")
+    before = firsts.join(nodes.select("repo", F.col("rank").alias("first"), F.col("enter").alias("first_enter")), ["repo", "first"]).drop("first")
+    merge = merge.join(before, ["repo", "rank"])
+    walk = ["repo", "head", "kind", "at"]
+    look = lambda kind, c: (F.col("ref"), F.lit(kind).alias("kind"), c.cast("long").alias("at"), F.col("head"), F.col("chain"), F.col("pos"))
+    asked = ask(of_base, "base", *look(0, F.col("base_enter")))
+    asked = asked.union(ask(named.withColumn("ref", F.col("made_from")), "named", *look(0, F.col("ref_enter"))))
+    asked = asked.union(ask(merge, "merged", *look(0, F.col("first_enter"))))
+    asked = asked.union(ask(free.join(count, ["repo", "head"]).withColumn("ref", F.lit(None).cast("string")), "others", *look(1, -F.col("tips") - 1)))
+    asked = tables.keep(asked, "asked")
+    border = borders(asked.select(*walk, "chain", "pos"), across, steps, walk, tables)
+    border = tables.keep(border.join(nodes.select(*place, "enter", F.col("sha").alias("fork"), "n"), place), "borders")
+    border = tables.keep(latest(border, reached, walk), "latest")
+    hits = tables.keep(asked.select(*key, "use", "ref", *walk[1:]).join(border, walk), "hits")
     found = []
 
     def candidates(df: DataFrame, method, ref) -> None:
-        found.append(df.select(*key, method.alias("method"), ref.alias("ref"), "chain", "pos"))
+        found.append(df.select(*key, method.alias("method"), ref.alias("ref"), F.col("fork").alias("sha"), F.col("n").alias("below")))
 
-    # The base: a branch that lies in its base's history is its own common ancestor with it.
-    with_base = heads.select(*key, "head", "main").join(base, key)
-    pairs = with_base.select(*key, F.col("base").alias("left"), F.col("head").alias("right"))
-    fallback = tables.keep(merge_bases(pairs, key, labels, links).join(base, key), "fallback")
-    candidates(fallback, F.when(F.col("explicit"), "explicit").otherwise("default"), F.col("ref"))
-    free = tables.keep(heads.where("not main").join(base.where("explicit").select(*key), key, "left_anti"), "free")
+    # A branch that lies in its base's history is its own common ancestor with it.
+    candidates(hits.where("use = 'base'").join(base.select(*key, "explicit"), key), F.when(F.col("explicit"), "explicit").otherwise("default"), F.col("ref"))
+    beyond = tables.keep(hits.where("use in ('named', 'merged')").join(self, key).where(F.struct("chain", "pos") != F.col("self")), "beyond")
+    candidates(beyond.where("use = 'merged'"), F.lit("default"), F.col("ref"))
 
     # The reflog's oldest entry if the branch still holds it, and the fork from what it names.
-    oldest = at(made.join(free.select(*key, "head"), key), "oldest").join(own, ["repo", "head", "chain"]).where("pos <= top").select(*key, "made_from", "chain", "pos")
-    named = made.where("ref_sha is not null and made_from <> 'HEAD'").join(free.select(*key, "head", F.struct("chain", "pos").alias("self")), key)
-    of_named = merge_bases(named.select(*key, F.col("ref_sha").alias("left"), F.col("head").alias("right")), key, labels, links).join(named, key).where(F.struct("chain", "pos") != F.col("self"))
-    told = tables.keep(oldest.union(of_named.select(*key, "made_from", "chain", "pos")), "told")
-    candidates(told, F.lit("reflog"), F.col("made_from"))
-
-    # Other branches. What holds a branch holds all below it, so a commit below is held by a
-    # branch that does not hold this one if and only if more tips reach it than reach this one.
-    silent = free.join(told.select(*key).distinct(), key, "left_anti")
-    reached = tables.keep(
-        heads.where("not main").select(*key, "head", "at").join(own, ["repo", "head"])
-        .withColumn("rank", F.row_number().over(Window.partitionBy("repo", "chain").orderBy(F.desc("top"), "branch"))),
-        "tops",
-    )
-    tops = reached.select("repo", "chain", F.col("branch").alias("other"), F.col("top").alias("other_top"), F.col("at").alias("other_at"), "rank")
-    holders = tables.keep(silent.join(tops, ["repo", "chain"]).where("other_top >= pos").select(*key, "other"), "holders")
-    count = holders.groupBy(*key).agg((F.count("*") + 1).cast("int").alias("rank"))
-    shared = silent.select(*key, "head").join(count, key).join(own, ["repo", "head"]).join(tops.select("repo", "chain", "rank", "other_top"), ["repo", "chain", "rank"])
-    forks = tables.keep(latest_common(shared.select(*key, "chain", F.least("top", "other_top").alias("pos")), key, links), "forks")
-    near = forks.join(tops, ["repo", "chain"]).where("other_top >= pos").join(holders, [*key, "other"], "left_anti")
-    first = near.groupBy(*key, "chain", "pos").agg(F.min(F.struct((-F.unix_micros("other_at")).alias("late"), "other")).alias("x"))
-    candidates(first, F.lit("ancestor-branch"), F.col("x.other"))
-
-    # Branches their base has merged: the oldest merge on its line of first parents that holds the tip.
-    merged = fallback.join(free.select(*key, "head", "chain", "pos"), [*key, "chain", "pos"]).select(*key, "ref", "base", "head", "chain", "pos")
-    upwards = links.select("repo", F.col("to_chain").alias("chain"), (-F.col("to_pos")).alias("pos"), F.col("chain").alias("to_chain"), (-F.col("pos")).alias("to_pos"))
-    up = reach(merged.select("repo", F.col("head").alias("source"), "chain", (-F.col("pos")).alias("top")), upwards, tables)
-    low = up.select("repo", F.col("source").alias("head"), "chain", (-F.col("top")).alias("low"))
-    bottoms = places.groupBy("repo", "chain").agg(F.min("pos").alias("pos"))
-    line = reach(start(base.select("repo", F.col("base").alias("sha")).distinct()), links.where("first"), tables)
-    merges = commits.where(F.size("parents") > 1).select("repo", "sha").distinct().join(places, ["repo", "sha"])
-    after = merged.select(*key, "ref", "base", "head", F.col("chain").alias("__chain"), F.col("pos").alias("__pos")).join(line.withColumnRenamed("source", "base"), ["repo", "base"]).join(low, ["repo", "head", "chain"])
-    after = after.join(merges.select("repo", "chain", F.col("pos").alias("at_pos")), ["repo", "chain"]).where("at_pos <= top and at_pos >= low and not (chain = __chain and at_pos = __pos)")
-    # Places on one line of first parents are in its order.
-    oldest_merge = after.groupBy(*key, "ref", "head").agg(F.min(F.struct("at_pos", "chain")).alias("m"))
-    oldest_merge = oldest_merge.select(*key, "ref", "head", F.col("m.chain").alias("chain"), F.col("m.at_pos").alias("pos")).join(places, ["repo", "chain", "pos"])
-    mainline = oldest_merge.select(*key, "ref", "head", "sha").join(commits.select("repo", "sha", F.get("parents", F.lit(0)).alias("left")).distinct(), ["repo", "sha"])
-    mainline = tables.keep(mainline.select(*key, "ref", "left", F.col("head").alias("right")), "mainline")
-    before = reach(start(mainline.select("repo", F.col("left").alias("sha")).distinct()), links, tables)
-    both = labels.union(before.select(*labels.columns)).groupBy("repo", "source", "chain").agg(F.max("top").alias("top"))
-    of_merged = merge_bases(mainline.select(*key, "left", "right"), key, both, links).join(mainline.select(*key, "ref"), key)
-    candidates(of_merged.join(free.select(*key, "chain", "pos"), [*key, "chain", "pos"], "left_anti"), F.lit("default"), F.col("ref"))
+    oldest = at(made.join(free.select(*key, F.col("enter").alias("at")), key), "oldest", "chain", "pos", F.col("sha").alias("fork"), "n").withColumn("kind", F.lit(0))
+    oldest = as_of(oldest, reached, "top").where("pos <= top").select(*key, F.col("made_from").alias("ref"), "fork", "n")
+    told = tables.keep(oldest.union(beyond.where("use = 'named'").select(*key, "ref", "fork", "n")), "told")
+    candidates(told, F.lit("reflog"), F.col("ref"))
+
+    # Of the other branches that hold a fork, the one with the latest tip.
+    silent = hits.where("use = 'others'").join(told.select(*key).distinct(), key, "left_anti")
+    silent = tables.keep(silent.select(*key, "head", "fork", "chain", "pos", "n"), "silent")
+    late = (-F.unix_micros("at")).alias("late")
+    by_tip = others.join(nodes.where("here > 0").select("repo", F.col("sha").alias("head"), "tip_enter"), ["repo", "head"])
+    by_tip = by_tip.withColumn("tip", F.col("tip_enter") + F.row_number().over(Window.partitionBy("repo", "head").orderBy("branch")) - 1).select("repo", "tip", F.struct(late, F.col("branch").alias("ref")).alias("who"))
+    first = _latest_between(silent, bearers, by_tip, dealt, levels, tables)
+    candidates(silent.join(first, ["repo", "head", "fork"]), F.lit("ancestor-branch"), F.col("who.ref"))
 
     # How many commits come after a candidate: all of the tip's less all of its own.
-    claims = reduce(DataFrame.union, found).join(places, ["repo", "chain", "pos"]).join(heads.select(*key, "head", "at"), key)
-    claims = tables.keep(claims.select(*key, "method", "ref", "sha", "head"), "claims")
-    asked = claims.select("repo", "sha").distinct()
-    sizes = reach(start(asked), links, tables).union(labels).distinct().join(bottoms.withColumnRenamed("pos", "bottom"), ["repo", "chain"])
-    sizes = tables.keep(sizes.groupBy("repo", "source").agg(F.sum(F.col("top") - F.col("bottom") + 1).alias("n")), "sizes")
-    counted = claims.join(sizes.select("repo", F.col("source").alias("sha"), F.col("n").alias("below")), ["repo", "sha"]).join(sizes.select("repo", F.col("source").alias("head"), F.col("n").alias("all")), ["repo", "head"])
-    late = tips.select("repo", F.col("branch").alias("ref"), (-F.unix_micros("at")).alias("late"))
+    claims = reduce(DataFrame.union, found).join(heads.select(*key, "head", "all"), key)
+    claims = claims.join(tips.select("repo", F.col("branch").alias("ref"), late), ["repo", "ref"], "left")
     rank = F.element_at(F.create_map(*[F.lit(x) for kv in METHOD_RANK.items() for x in kv]), F.col("method"))
     order = F.struct((F.col("sha") == F.col("head")).alias("itself"), (F.col("all") - F.col("below")).alias("distance"), rank.alias("rank"), F.coalesce("late", F.lit(0)).alias("late"), "ref", "method", "sha")
-    best = counted.join(late, ["repo", "ref"], "left").groupBy(*key).agg(F.min(order).alias("x"))
+    best = claims.groupBy(*key).agg(F.min(order).alias("x"))
     out = tips.select(*key).join(best, key, "left").select(*key, "x.method", "x.ref", F.col("x.sha").alias("fork"), "x.distance")
     result, _ = materialize(out, "fork-points")
     tables.drop()
     return result
+
+
+def _dealt(held: DataFrame, tables: _Tables) -> tuple[DataFrame, list[int]]:
+    """``held`` by the blocks of places that its rows are made of, and the levels of these."""
+    cut = held.withColumn("__b", F.explode(blocks(F.col("low") + 1, F.col("high") + 1)))
+    dealt = tables.keep(cut.select("repo", "chain", "__b.level", "__b.block", "rank", "enter", "leave", "tip_enter", "tip_leave"), "dealt")
+    return dealt, sorted(r[0] for r in dealt.select("level").distinct().collect())
+
+
+def _latest_between(silent: DataFrame, bearers: DataFrame, by_tip: DataFrame, dealt: DataFrame, levels: list[int], tables: _Tables) -> DataFrame:
+    """(repo, head, fork, who): the least ``who`` of the tips that reach a fork and do not reach the head.
+
+    Tips are numbered along the tour, so those that reach a commit are intervals, and those that
+    reach a head lie in those of all below it; what is between them is cut into blocks.
+    """
+    pair = ["repo", "head", "fork"]
+    asked = tables.keep(silent.select(*pair, "chain", "pos").distinct(), "pairs")
+    some = lambda df: df.where("tip_enter < tip_leave")
+    of_fork = some(holding(asked.select("repo", "fork", "chain", "pos").distinct(), dealt, levels)).select("repo", "fork", "tip_enter", "tip_leave")
+    of_fork = asked.select(*pair).join(of_fork, ["repo", "fork"])
+    of_head = asked.select(*pair).join(some(bearers).select("repo", "head", "tip_enter", "tip_leave"), ["repo", "head"])
+    edges = lambda df, d: [df.select(*pair, F.col("tip_enter").alias("from"), F.lit(d).alias("d")), df.select(*pair, F.col("tip_leave").alias("from"), F.lit(-d).alias("d"))]
+    ends = reduce(DataFrame.union, edges(of_fork, 1) + edges(of_head, -1)).groupBy(*pair, "from").agg(F.sum("d").alias("d")).where("d <> 0")
+    along = Window.partitionBy(*pair).orderBy("from")
+    gaps = ends.select(*pair, "from", F.sum("d").over(along).alias("in"), F.lead("from").over(along).alias("to")).where("in > 0")
+    gaps = tables.keep(gaps.select(*pair, F.explode(blocks(F.col("from"), F.col("to"))).alias("b")).select(*pair, "b.level", "b.block"), "gaps")
+    level = F.explode(F.array(*[F.lit(r[0]) for r in gaps.select("level").distinct().collect()]).cast("array<int>"))
+    least = by_tip.withColumn("level", level).groupBy("repo", "level", F.call_function("shiftright", F.col("tip"), F.col("level")).alias("block")).agg(F.min("who").alias("who"))
+    return tables.keep(gaps.join(least, ["repo", "level", "block"]).groupBy(*pair).agg(F.min("who").alias("who")), "first")

@@ -22,7 +22,7 @@ def commit_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     here, repo = Window.partitionBy("repo", "branch").orderBy("id"), Window.partitionBy("repo").orderBy("id")
     c = e.select("*", F.lag("sha").over(here).alias("p"), F.lag("sha").over(repo).alias("q"), F.lag("branch").over(repo).alias("q_branch"))
     second = F.when(F.col("p").isNotNull() & (F.col("id") % 5 == 2) & (F.col("q") != F.col("p")), F.col("q"))
-    commits = c.select("repo", "sha", F.array_compact(F.array(F.coalesce("p", "q"), second)).alias("parents"))
+    commits = c.select("repo", "sha", F.array_compact(F.array(F.coalesce("p", "q"), second)).alias("parents"), F.col("id").alias("clock"))
     tips = c.groupBy("repo", "branch").agg(
         F.max("lane").alias("lane"), F.max("stretch").alias("stretch"), F.max_by("sha", "id").alias("sha"), F.max_by("at", "id").alias("at"), F.min_by("sha", "id").alias("oldest"), F.min_by("q_branch", "id").alias("made_from")
     )
