@@ -112,9 +112,10 @@ def fork_points(commits: DataFrame, branches: DataFrame, bases: DataFrame, creat
     reached = steps.where("kind = 0")
 
     at = lambda df, name, *more: df.join(nodes.select("repo", F.col("sha").alias(name), *more), ["repo", name])
-    heads = at(tips, "head", "chain", "pos", "enter", F.col("n").alias("all")).withColumn("main", F.col("branch").isin(*DEFAULT_NAMES))
+    heads = at(tips, "head", "chain", "pos", "rank", "enter", F.col("n").alias("all")).withColumn("main", F.col("branch").isin(*DEFAULT_NAMES))
     heads = tables.keep(heads, "heads")
-    base = at(bases.select(*key, "ref", F.col("sha").alias("base"), F.coalesce("explicit", F.lit(False)).alias("explicit")), "base", F.col("enter").alias("base_enter"))
+    there = lambda name: [F.col(c).alias(f"{name}_{c}") for c in ("chain", "pos", "rank", "enter")]
+    base = at(bases.select(*key, "ref", F.col("sha").alias("base"), F.coalesce("explicit", F.lit(False)).alias("explicit")), "base", *there("base"))
     base = tables.keep(base, "bases")
     made = tables.keep(created.select(*key, F.col("sha").alias("oldest"), F.col("ref").alias("made_from"), "ref_sha").where("made_from is not null"), "made")
     free = tables.keep(heads.where("not main").join(base.where("explicit").select(*key), key, "left_anti"), "free")
@@ -130,14 +131,21 @@ def fork_points(commits: DataFrame, branches: DataFrame, bases: DataFrame, creat
     # below is held by a branch that does not hold the tip if and only if more tips reach it.
     ask = lambda df, use, *more: df.select(*key, F.lit(use).alias("use"), *more)
     of_base = heads.join(base, key)
-    named = at(made.where("ref_sha is not null and made_from <> 'HEAD'").join(free, key), "ref_sha", F.col("enter").alias("ref_enter"))
-    merge = free.join(base, key).join(bearers.select("repo", "head", "rank", F.col("enter").alias("__in"), F.col("leave").alias("__out")), ["repo", "head"]).where("__in <= base_enter and base_enter < __out and __in <> enter")
+    named = at(made.where("ref_sha is not null and made_from <> 'HEAD'").join(free, key), "ref_sha", *there("ref"))
+    merge = free.drop("rank").join(base, key).join(bearers.select("repo", "head", "rank", F.col("enter").alias("__in"), F.col("leave").alias("__out")), ["repo", "head"]).where("__in <= base_enter and base_enter < __out and __in <> enter")
     before = firsts.join(nodes.select("repo", F.col("rank").alias("first"), F.col("enter").alias("first_enter")), ["repo", "first"]).drop("first")
     merge = merge.join(before, ["repo", "rank"])
     walk = ["repo", "head", "kind", "at"]
     look = lambda kind, c: (F.col("ref"), F.lit(kind).alias("kind"), c.cast("long").alias("at"), F.col("head"), F.col("chain"), F.col("pos"))
-    asked = ask(of_base, "base", *look(0, F.col("base_enter")))
-    asked = asked.union(ask(named.withColumn("ref", F.col("made_from")), "named", *look(0, F.col("ref_enter"))))
+
+    def meet(name, sha):  # The earlier of the two walks: what the later one is beyond it may be all the history.
+        low = F.col(f"{name}_rank") < F.col("rank")
+        earlier = lambda c, there: F.when(low, F.col(there)).otherwise(F.col(c)).alias(c)
+        until = F.when(low, F.col("enter")).otherwise(F.col(f"{name}_enter")).alias("at")
+        return F.col("ref"), F.lit(0).alias("kind"), until, earlier("head", sha), earlier("chain", f"{name}_chain"), earlier("pos", f"{name}_pos")
+
+    asked = ask(of_base, "base", *meet("base", "base"))
+    asked = asked.union(ask(named.withColumn("ref", F.col("made_from")), "named", *meet("ref", "ref_sha")))
     asked = asked.union(ask(merge, "merged", *look(0, F.col("first_enter"))))
     asked = asked.union(ask(free.join(count, ["repo", "head"]).withColumn("ref", F.lit(None).cast("string")), "others", *look(1, -F.col("tips") - 1)))
     asked = tables.keep(asked, "asked")
