@@ -29,11 +29,11 @@ def new_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/tidemark/{name}-{uuid.uuid4().hex}"
 
 
-def materialize(df: DataFrame, name: str) -> tuple[DataFrame, str]:
-    """Write ``df`` as Parquet in the shared folder and read it back: the lineage ends there."""
+def materialize(df: DataFrame, name: str, codec: str | None = None) -> tuple[DataFrame, str]:
+    """Write ``df`` as Parquet in the shared folder and read it back: the lineage ends there. ``codec`` is for large ones."""
     spark = df.sparkSession
     path = new_path(spark, name)
-    df.write.parquet(path)
+    df.write.parquet(path, compression=codec)
     return spark.read.schema(df.schema).parquet(path), path
 
 
