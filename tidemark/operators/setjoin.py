@@ -31,9 +31,11 @@ COUNTS = 1 << 20
 #: Parities a token of a set has at least: bit i is how many of the tokens hash to i, modulo 2.
 PARITIES = 2
 #: Rare tokens a block holds at least and at most, and how many blocks there are between.
-BLOCK, MOST, BLOCKS = 1 << 16, 1 << 20, 12
+BLOCK, MOST, BLOCKS = 1 << 16, 1 << 20, 24
 #: Pairs, and words of their parities, that a task looks at in one go.
 CHUNK = 1 << 18
+#: Sets a task orders or shapes in one go.
+STEP = 1000
 #: Up to so many numbers of sets are broadcast.
 BROADCAST = 1 << 20
 SHAPE = "block int, set long, size int, alone int, rare binary, bits binary"
@@ -83,6 +85,11 @@ def _few(numbers: DataFrame) -> DataFrame:
     return F.broadcast(numbers) if numbers.limit(BROADCAST + 1).count() <= BROADCAST else numbers
 
 
+def _steps(batches):
+    for batch in batches:
+        yield from (batch.slice(at, STEP) for at in range(0, batch.num_rows, STEP))
+
+
 def _lists(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
     """(where each list begins and the last ends, all their values)."""
     offsets = column.offsets.to_numpy()
@@ -91,9 +98,7 @@ def _lists(column: pa.Array) -> tuple[np.ndarray, pa.Array]:
 
 def _ranks(counts: np.ndarray):
     def ranks(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _steps(batches):
             starts, tokens = _lists(batch.column("tokens"))
             hashes = _lists(batch.column("hashes"))[1].to_numpy()
             sizes = np.diff(starts)
@@ -137,9 +142,7 @@ def _shapes(threshold: float, sizes: np.ndarray, first: np.ndarray, parts: np.nd
     """Sets with their block, their rare tokens as numbers and their parities; sets whose rare tokens no other has meet nothing."""
 
     def shapes(batches):
-        for batch in batches:
-            if not batch.num_rows:
-                continue
+        for batch in _steps(batches):
             starts, hashes = _lists(batch.column("hashes"))
             hashes, starts, n = hashes.to_numpy().view(np.uint64), starts.astype(np.int64), np.diff(starts).astype(np.int64)
             number, alone = batch.column("set").to_numpy(), batch.column("alone").to_numpy().astype(np.int64)
@@ -274,7 +277,7 @@ def _meets(threshold: float, compared: bool = False):
                 for i, j in _meet(a, b, same, threshold):
                     waiting.append(i.astype(np.int64) << 32 | j)
                     n += len(i)
-                    if n > 16 * CHUNK:
+                    if n > 8 * CHUNK:
                         found, waiting, n = np.unique(np.concatenate([found, *waiting])), [], 0
                 found = np.unique(np.concatenate([found, *waiting]))
                 i, j = found >> 32, found & 0xFFFFFFFF
