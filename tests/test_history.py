@@ -216,3 +216,36 @@ def test_a_cycle_of_merges_is_an_error(spark):
     none = [spark.createDataFrame([], s) for s in (BRANCHES, BASES, CREATED)]
     with pytest.raises(ValueError, match="cycle"):
         fork_points(spark.createDataFrame(rows, COMMITS), *none)
+
+
+def test_lines_of_many_parts_equal_those_of_one(spark, monkeypatch):
+    rng = random.Random(11)
+    cases = {f"r{seed}": drawn(seed, 30)[0] for seed in range(200, 212)}
+    rows = [(repo, c, ps, rng.choice([None, 7, *[int(c[1:])] * 6])) for repo, parents in cases.items() for c, ps in parents.items()]
+    commits = spark.createDataFrame(rows, COMMITS + ", clock long")
+    places = lambda: sorted((r.repo, r.sha, r.chain, r.pos) for r in commit_chains(commits)[0].collect())
+    one = places()
+    above = {repo: {} for repo in cases}
+    for repo, parents in cases.items():
+        for c in reversed(parents):  # children come after their parents
+            height, leaf = above[repo].setdefault(c, (0, c))
+            if parents[c] and parents[c][0] in parents:
+                above[repo][parents[c][0]] = max(above[repo].get(parents[c][0], (0, "")), (height + 1, leaf))
+    assert {(repo, sha): chain for repo, sha, chain, _ in one} == {(repo, c): x[1] for repo, some in above.items() for c, x in some.items()}
+    for part in (1, 3):
+        monkeypatch.setattr(history, "PART", part)
+        assert places() == one
+    with pytest.raises(ValueError, match="cycle"):
+        commit_chains(spark.createDataFrame([("r", f"c{i}", [f"c{(i + 1) % 8}"], i) for i in range(8)], COMMITS + ", clock long"))
+
+
+def test_only_ends_of_parts_are_doubled(spark, monkeypatch):
+    """What is written round after round are the commits at which lines leave a part, not all commits."""
+    monkeypatch.setattr(history, "PART", 100, raising=False)
+    written = []
+    keep = history._Tables.keep
+    monkeypatch.setattr(history._Tables, "keep", lambda self, df, name: (out := keep(self, df, name), written.append(out.count()) if name == "chains" else None)[0])
+    n = 2000
+    places, _ = commit_chains(spark.createDataFrame([("r", f"c{i:04d}", [f"c{i - 1:04d}"] if i else [], i) for i in range(n)], COMMITS + ", clock long"))
+    assert {(r.chain, r.pos - int(r.sha[1:])) for r in places.collect()} == {(f"c{n - 1}", 0)}
+    assert sum(written) < n

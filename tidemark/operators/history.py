@@ -1,7 +1,8 @@
 """Fork points of branches over a commit graph.
 
-The graph is dealt into chains: paths of first parents, found by pointer doubling in as many
-rounds as the logarithm of the longest. What a commit reaches on a chain is all of it up to some
+The graph is dealt into chains: paths of first parents, followed inside parts of a history and
+found between them by pointer doubling, in as many rounds as the logarithm of the most parts that
+a path goes through. What a commit reaches on a chain is all of it up to some
 place. What it reaches beyond its first parent is kept (``ancestry``), so walks look up how far
 another commit, or enough tips, reach, and go down only where a branch is alone. Every round is a
 table in the shared folder and serves all repositories at once.
@@ -11,6 +12,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -20,6 +22,13 @@ from tidemark.session import drop_path, materialize
 #: Branches that are bases of others and have no fork of their own, and whose claim to a fork counts first.
 DEFAULT_NAMES = ("main", "master")
 METHOD_RANK = {"explicit": 0, "reflog": 0, "ancestor-branch": 1, "default": 2}
+#: Commits of a part, in which a task follows lines of first parents.
+PART = 1 << 14
+#: Tables of so many repositories or fewer are broadcast.
+REPOS = 1 << 18
+PARTED = "repo string, part struct<__stretch bigint, __nth bigint>, sha string"
+FOLLOWED = f"{PARTED}, root string, depth long, parent string, away string, height long, leaf string"
+PLACED = "repo string, sha string, chain string, pos long"
 
 
 class _Tables:
@@ -46,37 +55,115 @@ def commit_chains(commits: DataFrame, tables: _Tables | None = None) -> tuple[Da
     parents below. Parents that are not among the commits (a shallow clone) are not followed.
     Rows of one commit count once; a null repo or sha is no commit; a cycle is an error.
     """
-    places, _, across = _chains(commits, tables or _Tables(commits.sparkSession))
+    places, _, across, _ = _chains(commits, tables or _Tables(commits.sparkSession))
     return places, across
 
 
-def _chains(commits: DataFrame, tables: _Tables) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """The tables of ``commit_chains`` with (repo, parent, sha, nth), the links to known parents, between them."""
-    known = commits.where("repo is not null and sha is not null").groupBy("repo", "sha").agg(F.first("parents").alias("parents"))
-    links = known.select("repo", "sha", F.posexplode("parents").alias("nth", "parent"))
-    links = tables.keep(links.join(known.select("repo", F.col("sha").alias("parent")), ["repo", "parent"]).where("parent <> sha"), "links")
+def _chains(commits: DataFrame, tables: _Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """The tables of ``commit_chains`` with (repo, parent, sha, nth), the links to known parents, between them, and the commits last.
+
+    Lines are followed inside parts of a repository, stretches of its clock, by the task that has
+    a part; only the commits at which lines leave a part are doubled.
+    """
+    clock = F.max(F.col("clock").cast("long")) if "clock" in commits.columns else F.lit(None).cast("long")
+    known = commits.where("repo is not null and sha is not null").groupBy("repo", "sha").agg(F.first("parents").alias("parents"), clock.alias("clock"))
+    known = tables.keep(known, "commits")
+    links = known.select("repo", "sha", F.posexplode("parents").alias("nth", "parent")).where("parent <> sha")
+    links = tables.keep(links.join(known.select("repo", F.col("sha").alias("parent")), ["repo", "parent"]), "links")
     # A first parent that is not known leaves a root; the others are links like any.
-    state = known.select("repo", "sha").join(links.where("nth = 0").select("repo", "sha", F.col("parent").alias("jump")), ["repo", "sha"], "left")
-    state = state.select("repo", "sha", "jump", F.col("jump").isNotNull().cast("long").alias("pos"), F.struct(F.lit(0).cast("long").alias("height"), F.col("sha").alias("leaf")).alias("top"))
+    local = tables.keep(_parted(known, tables).groupBy("repo", "part").applyInArrow(_followed, FOLLOWED), "lines")
+    if not local.where("root is null").isEmpty():
+        raise ValueError("the commits' parents form a cycle")
+    roots = local.where("sha = root").select("repo", "sha", "part", "away", "height", "leaf")
+    hangs = roots.where("away is not null").select("repo", "sha", "away")
+    hangs = tables.keep(hangs.join(local.select("repo", F.col("sha").alias("away"), F.col("part").alias("on"), F.col("root").alias("jump"), F.col("depth") + 1), ["repo", "away"]).toDF("repo", "away", "sha", "on", "jump", "pos"), "hangs")
+    state = roots.select("repo", "sha", F.struct("height", "leaf").alias("top")).join(hangs.select("repo", "sha", "jump", "pos"), ["repo", "sha"], "left").fillna(0, ["pos"])
     state = tables.keep(state, "chains")
-    step, total = 1, state.count()
+    rounds, total = 0, state.count()
     while not state.where("jump is not null").isEmpty():
-        if step > total:
+        if 1 << rounds > total:
             raise ValueError("the commits' parents form a cycle")
         below = state.select("repo", F.col("sha").alias("jump"), F.col("jump").alias("__jump"), F.col("pos").alias("__pos"))
-        above = state.where("jump is not null").groupBy("repo", F.col("jump").alias("sha")).agg(F.max(F.struct((F.col("top.height") + step).alias("height"), F.col("top.leaf").alias("leaf"))).alias("__top"))
+        above = state.where("jump is not null").groupBy("repo", F.col("jump").alias("sha")).agg(F.max(F.struct((F.col("top.height") + F.col("pos")).alias("height"), F.col("top.leaf").alias("leaf"))).alias("__top"))
         state = tables.keep(
             state.join(below, ["repo", "jump"], "left").join(above, ["repo", "sha"], "left")
             .select("repo", "sha", F.col("__jump").alias("jump"), (F.col("pos") + F.coalesce("__pos", F.lit(0))).alias("pos"), F.greatest("top", "__top").alias("top")),
             "chains",
         )
-        step *= 2
-    places = tables.keep(state.select("repo", "sha", F.col("top.leaf").alias("chain"), "pos"), "places")
+        rounds += 1
+    # Back in its part a commit has the place of its line's end there, and what hangs on the part's commits.
+    none = lambda kind: F.lit(None).cast(kind)
+    own = local.select("repo", "part", "sha", "root", "depth", "parent", none("long").alias("height"), none("string").alias("leaf"))
+    ends = state.join(roots.select("repo", "sha", "part"), ["repo", "sha"]).select("repo", "part", "sha", none("string"), "pos", none("string"), none("long"), none("string"))
+    hung = hangs.join(state.select("repo", "sha", "top"), ["repo", "sha"]).select("repo", F.col("on"), "away", none("string"), none("long"), none("string"), F.col("top.height") + 1, F.col("top.leaf"))
+    places = tables.keep(own.union(ends).union(hung).groupBy("repo", "part").applyInArrow(_placed, PLACED), "places")
     to = places.select("repo", F.col("sha").alias("parent"), F.col("chain").alias("to_chain"), F.col("pos").alias("to_pos"))
     crossing = links.join(places, ["repo", "sha"]).join(to, ["repo", "parent"])
     # A link inside a chain says nothing new: what is below on a chain is reached anyhow.
     across = crossing.where("chain <> to_chain").groupBy("repo", "chain", "pos", "to_chain", "to_pos").agg(F.max(F.col("nth") == 0).alias("first"))
-    return places, links, tables.keep(across, "crossing")
+    return places, links, tables.keep(across, "crossing"), known
+
+
+def _parted(known: DataFrame, tables: _Tables) -> DataFrame:
+    """(repo, sha, part, parent): parts are stretches of a repository's clock and hold ``PART`` commits or so; any parts give the same chains."""
+    span = known.groupBy("repo").agg(F.min("clock").alias("__from"), F.max("clock").alias("__to"), F.ceil(F.count("*") / PART).alias("__n"))
+    span = tables.keep(span, "spans")
+    span = F.broadcast(span) if span.count() <= REPOS else span
+    stretch = F.floor((F.col("clock") - F.col("__from")) / (F.col("__to") - F.col("__from") + 1) * F.col("__n")).cast("long")
+    first = F.get("parents", F.lit(0))
+    cut = known.join(span, "repo").select("repo", "sha", F.when(first != F.col("sha"), first).alias("parent"), F.coalesce(stretch, F.lit(-1).cast("long")).alias("__stretch"))
+    # Where a clock stands still its commits are dealt by their names; there are fewer such stretches than commits by PART.
+    crowd = cut.groupBy("repo", "__stretch").agg(F.ceil(F.count("*") / (2 * PART)).alias("__n")).where("__n > 1")
+    nth = F.pmod(F.xxhash64("sha"), F.coalesce("__n", F.lit(1).cast("long")))
+    return cut.join(F.broadcast(crowd), ["repo", "__stretch"], "left").select("repo", "sha", "parent", F.struct("__stretch", nth.alias("__nth")).alias("part"))
+
+
+def _followed(table: pa.Table) -> pa.Table:
+    """A part's commits with the root of their line in it, how far above they are, and of roots the longest line above and the parent away."""
+    shas, parents = table.column("sha").to_pylist(), table.column("parent").to_pylist()
+    at = {s: i for i, s in enumerate(shas)}
+    below = [at.get(p, -1) for p in parents]
+    root, depth = [-1 if b >= 0 else i for i, b in enumerate(below)], [0] * len(shas)
+    for i in range(len(shas)):
+        line = []
+        while root[i] == -1:
+            root[i] = -2  # on this line: met again, it is a cycle
+            line.append(i)
+            i = below[i]
+        for j in reversed(line):
+            root[j], depth[j] = (root[i], depth[i] + 1) if root[i] >= 0 else (-2, 0)
+            i = j
+    top = {}
+    for i, r in enumerate(root):
+        if r >= 0:
+            top[r] = max(top.get(r, (-1, "")), (depth[i], shas[i]))
+    none = [None] * len(shas)
+    away, height, leaf = none[:], none[:], none[:]
+    for r, (h, s) in top.items():
+        away[r], height[r], leaf[r] = parents[r], h, s
+    inside = [p if b >= 0 else None for p, b in zip(parents, below, strict=True)]
+    made = [pa.array([shas[r] if r >= 0 else None for r in root], pa.string()), pa.array(depth, pa.int64()), pa.array(inside, pa.string()), pa.array(away, pa.string()), pa.array(height, pa.int64()), pa.array(leaf, pa.string())]
+    part = table.column("part").combine_chunks()
+    part = pa.StructArray.from_arrays(part.flatten(), ["__stretch", "__nth"])
+    return pa.table([table.column("repo"), part, table.column("sha"), *made], ["repo", "part", "sha", "root", "depth", "parent", "away", "height", "leaf"])
+
+
+def _placed(table: pa.Table) -> pa.Table:
+    """A part's commits with their chain and place, from its own rows, those of its roots' places and those of what hangs on it."""
+    rows = list(zip(*(table.column(c).to_pylist() for c in ("sha", "root", "depth", "parent", "height", "leaf")), strict=True))
+    own = sorted((r for r in rows if r[1] is not None), key=lambda r: -r[2])
+    place = {r[0]: r[2] for r in rows if r[1] is None and r[4] is None}
+    top = {}
+    for sha, root, _, _, height, leaf in rows:
+        if root is None and height is not None:
+            top[sha] = max(top.get(sha, (-1, "")), (height, leaf))
+    for sha, _, _, parent, _, _ in own:
+        height, leaf = top[sha] = max(top.get(sha, (0, sha)), (0, sha))
+        if parent is not None:
+            top[parent] = max(top.get(parent, (-1, "")), (height + 1, leaf))
+    repo = table.column("repo")[0].as_py()
+    made = [[repo] * len(own), [r[0] for r in own], [top[r[0]][1] for r in own], [place[r[1]] + r[2] for r in own]]
+    return pa.table([pa.array(x, k) for x, k in zip(made, (pa.string(), pa.string(), pa.string(), pa.int64()), strict=True)], ["repo", "sha", "chain", "pos"])
 
 
 def fork_points(commits: DataFrame, branches: DataFrame, bases: DataFrame, created: DataFrame) -> DataFrame:
@@ -97,9 +184,9 @@ def fork_points(commits: DataFrame, branches: DataFrame, bases: DataFrame, creat
     as commit times (see ``ancestry.ordered``); results do not depend on it.
     """
     tables = _Tables(commits.sparkSession)
-    places, links, across = _chains(commits, tables)
+    places, links, across, known = _chains(commits, tables)
     key, place = ["repo", "branch"], ["repo", "chain", "pos"]
-    clock = commits.where("repo is not null and sha is not null").groupBy("repo", "sha").agg(F.max(F.col("clock").cast("long")).alias("clock")) if "clock" in commits.columns else None
+    clock = known.select("repo", "sha", "clock") if "clock" in commits.columns else None
     numbered = ordered(places, across, tables, clock)
     entries, firsts = fresh(numbered, links, tables)
     tips = branches.where("repo is not null and branch is not null").groupBy(*key).agg(F.max(F.struct("at", "sha")).alias("x")).select(*key, F.col("x.sha").alias("head"), F.col("x.at").alias("at"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tidemark.operators.history import fork_points as points_of
 from tidemark.plans.base import registry, table
+from tidemark.session import materialize
 
 QUERIES, ORACLES, query = registry()
 
@@ -26,6 +27,7 @@ def commit_tables(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFram
     tips = c.groupBy("repo", "branch").agg(
         F.max("lane").alias("lane"), F.max("stretch").alias("stretch"), F.max_by("sha", "id").alias("sha"), F.max_by("at", "id").alias("at"), F.min_by("sha", "id").alias("oldest"), F.min_by("q_branch", "id").alias("made_from")
     )
+    tips, _ = materialize(tips, "branch-tips")
     main = tips.where("branch = 'main'").select("repo", F.col("sha").alias("tip"), F.col("oldest").alias("root"))
     explicit = F.coalesce((F.col("lane") == 1) & (F.col("stretch") % 7 == 3), F.lit(False))
     bases = tips.where("branch <> 'main'").join(main, "repo").select(
