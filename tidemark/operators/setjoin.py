@@ -32,6 +32,8 @@ COUNTS = 1 << 20
 PARITIES = 2
 #: Rare tokens a block holds at least and at most, and how many blocks there are between.
 BLOCK, MOST, BLOCKS = 1 << 16, 1 << 20, 24
+#: Sets a block holds at most where they are compared: each two may be alike.
+MANY = 1024
 #: Pairs, and words of their parities, that a task looks at in one go.
 CHUNK = 1 << 18
 #: Sets a task orders or shapes in one go.
@@ -325,6 +327,8 @@ def _met(sets: DataFrame, threshold: float, dealt: tuple, schema: str, *more: st
     packed = shaped.repartition(n, "block").groupBy("block").applyInArrow(_pack, PACKED + (", ends binary, text binary" if more else ""))
     blocks, path = materialize(packed, "blocks", "zstd")
     left, right = (blocks.select(*[F.col(c).alias(f"{c}_{s}") for c in blocks.columns]) for s in "ab")
+    if more:  # Few sets are left; blocks of alike sizes, where copies are, go to different tasks.
+        right = right.repartition(min(n, BLOCKS), "block_b")
     # Every two blocks are read by a task where they lie, so none is written again for each other.
     near = left.join(right.hint("shuffle_replicate_nl"), (F.col("block_a") <= F.col("block_b")) & (F.col("most_a") >= F.col("least_b") * threshold - _ROUNDING))
     return near.mapInArrow(_meets(threshold, bool(more)), schema), path
@@ -337,7 +341,7 @@ def similar_pairs(sets: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
     met, met_path = materialize(met, "met-sets")
     drop_path(sets.sparkSession, path)
     some = sets.join(_few(met.distinct()), "set", "left_semi")
-    pairs, path = _met(some, threshold, _deal(some, F.col("size")), COMPARED, "tokens")
+    pairs, path = _met(some, threshold, _deal(some, F.greatest(F.col("size"), F.lit(MOST // MANY))), COMPARED, "tokens")
     both = F.size(F.array_intersect("tokens_a", "tokens_b"))
     ratio = both / (F.size("tokens_a") + F.size("tokens_b") - both)
     alike, _ = materialize(pairs.select("a", "b", ratio.alias("similarity")).where(F.col("similarity") >= threshold - _ROUNDING), "similar-sets")
